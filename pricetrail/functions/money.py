@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,25 +44,39 @@ def direction(change: Column) -> Column:
     return F.when(change < 0, F.lit("down")).when(change > 0, F.lit("up")).otherwise(F.lit("flat"))
 
 
-def weighted_median(value: str, weight: str, keep: Column | None = None) -> Column:
-    """Half-up median of integers that carry a repeat count.
-
-    Meant for rows already counted per (group, value): what reaches the final
-    merge is one entry per distinct price, not one per row.
-    """
-    picked = F.col(value) if keep is None else F.when(keep, F.col(value))
-    return half_up(F.percentile(picked, F.lit(0.5), F.col(weight)))
-
-
 def count_values(df: DataFrame, keys: Sequence[str], value: str, *extra: Column) -> DataFrame:
     """Rows per (keys, value). A hot group spreads over its distinct values here."""
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("value_count"), *extra)
 
 
+def median_by_rank(counted: DataFrame, keys: Sequence[str], value: str, weight: str, alias: str, *extra: Column) -> DataFrame:
+    """Exact half-up median of counted integers, by running rank.
+
+    `counted` has one row per (keys, value). Ranking sorts distinct values and
+    spills, so no group is ever held as a map in memory; integers stay integers.
+    """
+    group = Window.partitionBy(*keys)
+    running = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({
+        "rank_upto": F.sum(weight).over(running),
+        "rank_total": F.sum(weight).over(group),
+    })
+    here = F.col(weight) > 0
+    lower = F.min(F.when(here & (F.col("rank_upto") * 2 >= F.col("rank_total")), F.col(value)))
+    upper = F.min(F.when(here & (F.col("rank_upto") * 2 > F.col("rank_total")), F.col(value)))
+    # Arithmetic shift is floor division by two.
+    return (
+        ranked.groupBy(*keys)
+        .agg(lower.alias("rank_lower"), upper.alias("rank_upper"), *extra)
+        .withColumn(alias, F.shiftright(F.col("rank_lower") + F.col("rank_upper") + 1, 1))
+        .drop("rank_lower", "rank_upper")
+    )
+
+
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
-    """Exact half-up median per group, counted per distinct value first."""
+    """Exact half-up median per group; rows fold to (keys, value, count) map-side first."""
     counted = count_values(df.where(F.col(value).isNotNull()), keys, value)
-    return counted.groupBy(*keys).agg(weighted_median(value, "value_count").alias(alias))
+    return median_by_rank(counted, keys, value, "value_count", alias)
 
 
 def format_gbp(minor: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrail.functions.money import count_values, grouped_median, half_up, weighted_median
+from pricetrail.functions.money import count_values, grouped_median, half_up, median_by_rank
 from pricetrail.functions.periods import (
     instant_text,
     month_label,
@@ -40,21 +40,27 @@ def month_contributors(obs: DataFrame) -> DataFrame:
         F.max("observed_at").alias("last_at"),
         first,
     )
-    grouped = counted.groupBy(*keys).agg(
+    # Captures without a comparable price only count where none has one.
+    seller = Window.partitionBy(*keys)
+    marked = counted.withColumn("has_comparable", F.max("comparable").over(seller))
+    voting = F.when(F.col("comparable") == F.col("has_comparable"), F.col("value_count")).otherwise(F.lit(0))
+    priced = marked.withColumn("voting", voting).groupBy(*keys, "has_comparable", "amount_minor").agg(
+        F.sum("voting").alias("voting"), F.sum("value_count").alias("value_count"),
+        F.max("last_at").alias("last_at"), F.min("first_row").alias("first_row"),
+    )
+    grouped = median_by_rank(
+        priced, [*keys, "has_comparable"], "amount_minor", "voting", "vote_minor",
         F.sum("value_count").alias("capture_count"),
         F.max("last_at").alias("last_observed_at"),
-        F.max("comparable").alias("comparable"),
-        weighted_median("amount_minor", "value_count", F.col("comparable")).alias("comparable_minor"),
-        weighted_median("amount_minor", "value_count").alias("any_minor"),
         F.min("first_row").alias("first_row"),
     )
     return grouped.select(
         *keys,
         "capture_count",
         "last_observed_at",
-        F.coalesce("comparable_minor", "any_minor").alias("amount_minor"),
-        F.when(F.col("comparable"), F.lit(True)).otherwise(F.col("first_row.vat_included")).alias("vat_included"),
-        F.when(~F.col("comparable"), F.lit("VAT_BASIS_NOT_COMPARABLE")).alias("exclusion_reason"),
+        F.col("vote_minor").alias("amount_minor"),
+        F.when(F.col("has_comparable"), F.lit(True)).otherwise(F.col("first_row.vat_included")).alias("vat_included"),
+        F.when(~F.col("has_comparable"), F.lit("VAT_BASIS_NOT_COMPARABLE")).alias("exclusion_reason"),
     )
 
 
@@ -80,8 +86,8 @@ def per_product_month_series(obs: DataFrame) -> DataFrame:
         F.count_if(F.col("exclusion_reason").isNotNull()).alias("outside"),
     )
     kept = F.when(F.col("inside") > 0, F.col("amount_minor"))
-    point = counts.groupBy("mpn", "month").agg(
-        half_up(F.percentile(kept, F.lit(0.5), F.col("inside"))).alias("median_minor"),
+    point = median_by_rank(
+        counts, ["mpn", "month"], "amount_minor", "inside", "median_minor",
         F.min(kept).alias("low_minor"),
         F.max(kept).alias("high_minor"),
         F.sum("inside").alias("seller_count"),

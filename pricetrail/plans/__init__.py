@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-SECTIONS = ["series", "qualify"]
+SECTIONS = ["series", "qualify", "market"]
 
 
 def load_all() -> ModuleType:

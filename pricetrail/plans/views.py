@@ -261,3 +261,85 @@ FROM (
   ON w.m = p.mpn)
 """,
 })
+
+AVAILABLE = """CASE WHEN stock_semantics <> 'explicit' THEN NULL
+  WHEN regexp_matches(lower(stock_text), 'out of stock|sold out|unavailable|not available') THEN NULL
+  WHEN stock_state IN ('in_stock', 'available_to_order') THEN stock_state
+  WHEN stock_state = 'stated_at_capture' AND regexp_matches(lower(stock_text), 'in stock|hurry, only [1-9][0-9]* left') THEN 'in_stock'
+  WHEN stock_state = 'stated_at_capture' AND contains(lower(stock_text), 'available to order') THEN 'available_to_order' END"""
+
+URL_OK = """(https_host IS NOT NULL AND CASE WHEN archived THEN
+  regexp_matches(source_url, '^https://web\\.archive\\.org/web/[0-9]{14}id_/https://[^/:@?#]+(/[^?#]*)?$')
+  AND regexp_extract(source_url, 'id_/https://([^/]+)', 1) = https_host AND regexp_extract(source_url, '/web/([0-9]{14})id_', 1) = strftime(observed_at, '%Y%m%d%H%M%S')
+  ELSE regexp_matches(source_url, '^https://[^/:@?#]+(/[^?#]*)?$') AND regexp_extract(source_url, '^https://([^/]+)', 1) = https_host END)"""
+
+VIEWS.update({
+    "v_policy": "SELECT mpn_normalized AS mpn, 'review-' || (k_part % 2) AS review_id FROM v_catalogue WHERE k_size <= 30",
+    "v_review": "SELECT 'review-' || (k_part % 2) AS review_id, product_key FROM v_catalogue WHERE k_size % 10 <> 7",
+    "v_approved": """
+SELECT p.mpn, manufacturer_name AS manufacturer, model, memory_generation AS memory_type, total_capacity_gb AS capacity_gb, module_count, speed_mt_s, form_factor
+FROM v_policy p JOIN v_catalogue c ON c.mpn_normalized = p.mpn JOIN v_review r ON r.review_id = p.review_id AND r.product_key = c.product_key
+WHERE memory_generation = 'DDR5' AND total_capacity_gb = 32 AND module_count = 2 AND form_factor = 'UDIMM'
+""",
+    "v_match": """
+SELECT observation_id, count(entry) AS entry_count,
+  CASE WHEN count(entry) = 1 THEN bool_and(http_status = 200 AND response_bytes > 0 AND fact_mpn = mpn AND fact_amount_minor = amount_minor
+    AND fact_currency = currency AND fact_vat_included = (vat_state = 'included') AND retrieved_at = observed_at) END AS facts_equal
+FROM (SELECT o.*, l.* EXCLUDE (evidence_id, seller_display_name, source_url), l.evidence_id AS entry FROM v_offer o LEFT JOIN v_ledger l ON o.evidence_id = l.evidence_id WHERE o.archived
+  UNION ALL SELECT o.*, l.* EXCLUDE (evidence_id, seller_display_name, source_url), l.evidence_id AS entry FROM v_offer o LEFT JOIN v_ledger l
+  ON o.source_url = l.source_url AND o.observed_at = l.retrieved_at AND o.seller_display_name = l.seller_display_name WHERE NOT o.archived)
+GROUP BY observation_id
+""",
+    "v_offer_q": f"""
+SELECT o.*, r.retailer_id, r.retailer_name, {AVAILABLE} AS stock, concat_ws(',',
+  CASE WHEN archived AND NOT identity_exact THEN 'archived_identity_not_exact' END,
+  CASE WHEN NOT archived AND mpn_expected <> o.mpn THEN 'direct_identity_not_exact_mpn' END,
+  CASE WHEN amount_minor <= 0 THEN 'invalid_item_price' END,
+  CASE WHEN currency <> 'GBP' THEN 'currency_not_gbp' END,
+  CASE WHEN vat_state <> 'included' THEN 'vat_not_explicitly_included' END,
+  CASE WHEN {AVAILABLE} IS NULL THEN 'availability_not_explicitly_orderable' END,
+  CASE WHEN r.retailer_id IS NULL THEN 'retailer_not_recognised' END,
+  CASE WHEN seller_relationship <> 'retailer_owned' THEN 'seller_not_retailer_owned' END,
+  CASE WHEN entry_count = 0 THEN 'missing_evidence_ledger_entry' WHEN entry_count > 1 THEN 'ambiguous_evidence_ledger_entry' END,
+  CASE WHEN NOT facts_equal THEN 'evidence_facts_mismatch' END,
+  CASE WHEN r.retailer_id IS NOT NULL AND NOT {URL_OK} THEN 'source_url_contract_mismatch' END,
+  CASE WHEN stock_semantics = 'ambiguous' OR contains(lower(review_note), 'identity_mismatch') THEN 'record_specific_ambiguity_restriction_or_rejection' END,
+  CASE WHEN publication_allowed THEN 'record_authority_drift' END) AS reasons
+FROM v_offer o JOIN v_approved a ON a.mpn = o.mpn LEFT JOIN v_retailer r ON r.accepted_name = o.seller_display_name JOIN v_match m ON m.observation_id = o.observation_id
+""",
+    # Merged instants: times cut to the quarter hour so several offers share a key.
+    "v_cand": """
+SELECT 'offer-' || substring(sha256(concat_ws(chr(31), mpn, retailer_id, strftime(observed_at, '%Y-%m-%dT%H:%M:%SZ'), CAST(amount_minor AS VARCHAR), currency, source_url)), 1, 24) AS public_observation_id,
+  observed_at, CASE WHEN archived THEN 'archived_retail_observation' ELSE 'direct_retail_observation' END AS observation_kind, mpn, retailer_id, retailer_name,
+  amount_minor AS item_price_minor, currency, vat_state, stock AS availability, 'excluded_not_verified' AS delivery_state, source_url, observation_id
+FROM v_offer_q WHERE reasons = ''
+""",
+    "v_copied": """
+SELECT * FROM v_cand UNION ALL SELECT * REPLACE (observation_id || '-copy' AS observation_id) FROM v_cand WHERE item_price_minor % 9 = 0
+UNION ALL SELECT * REPLACE (observation_id || '-clash' AS observation_id, item_price_minor + 1 AS item_price_minor) FROM v_cand WHERE item_price_minor % 9 = 1
+""",
+    "v_public": """
+SELECT public_observation_id, observed_at, observation_kind, mpn, retailer_id, retailer_name, item_price_minor, currency, vat_state, availability, delivery_state, source_url
+FROM (SELECT *, row_number() OVER (PARTITION BY mpn, retailer_id, observed_at ORDER BY observation_id) AS rn,
+  count(*) OVER (PARTITION BY mpn, retailer_id, observed_at) AS n, f.fact_sets FROM v_copied
+  JOIN (SELECT mpn AS m, retailer_id AS r, observed_at AS t, count(DISTINCT (public_observation_id, item_price_minor, source_url, availability, observation_kind)) AS fact_sets FROM v_copied GROUP BY ALL) f
+  ON f.m = mpn AND f.r = retailer_id AND f.t = observed_at) WHERE fact_sets = 1 AND rn = 1
+""",
+    "v_day_row": """
+SELECT * FROM (SELECT CAST((observed_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS DATE) AS date, *,
+  row_number() OVER (PARTITION BY CAST((observed_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS DATE), mpn, retailer_id ORDER BY observed_at DESC, public_observation_id DESC) AS rn
+  FROM v_public WHERE availability = 'in_stock' AND item_price_minor <> 9999999) WHERE rn = 1
+""",
+    "v_day_product": """
+SELECT date, mpn, CAST(floor(quantile_cont(item_price_minor, 0.5) + 0.5) AS BIGINT) AS median_minor, min(item_price_minor) AS low_minor,
+  max(item_price_minor) AS high_minor, count(*) AS retailer_count FROM v_day_row GROUP BY ALL
+""",
+    "v_day": """
+SELECT p.date, typical_minor, low_minor, high_minor, product_count, (SELECT count(*) FROM v_approved) AS declared_product_count, retailer_count, observation_count,
+  CAST(floor(product_count * 1000 / (SELECT count(*) FROM v_approved)) AS BIGINT) AS coverage_permille, capture_basis
+FROM (SELECT date, CAST(floor(quantile_cont(median_minor, 0.5) + 0.5) AS BIGINT) AS typical_minor, count(*) AS product_count FROM v_day_product GROUP BY date) p
+JOIN (SELECT date, min(item_price_minor) AS low_minor, max(item_price_minor) AS high_minor, count(DISTINCT retailer_id) AS retailer_count, count(*) AS observation_count,
+  CASE WHEN count(DISTINCT observation_kind) > 1 THEN 'mixed' WHEN min(observation_kind) = 'direct_retail_observation' THEN 'direct' ELSE 'archive' END AS capture_basis
+  FROM v_day_row GROUP BY date) r ON r.date = p.date
+""",
+})
