@@ -278,9 +278,13 @@ def range_start(latest: Column, range_name: str) -> Column:
 
 
 def range_points(points: DataFrame, range_name: str) -> DataFrame:
-    """Days of a range anchored on the latest day present."""
-    latest = points.agg(F.max("date")).scalar()
-    return points.where((F.col("date") >= range_start(latest, range_name)) & (F.col("date") <= latest))
+    """Days of a range anchored on the latest day present.
+
+    `points` is one row per calendar day, so the unpartitioned window is small
+    and spares a second run of everything behind the table.
+    """
+    anchored = points.withColumn("latest_date", F.max("date").over(Window.partitionBy()))
+    return anchored.where(F.col("date") >= range_start(F.col("latest_date"), range_name)).drop("latest_date")
 
 
 def monthly_average(points: DataFrame, products: DataFrame) -> DataFrame:

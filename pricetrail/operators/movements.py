@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.money import basis_points, direction, half_up
 from pricetrail.functions.reasons import stacked, violations
+from pricetrail.functions.windows import lag_in_chunks
 
 LINE = ["product_key", "retailer_key"]
 
@@ -126,15 +127,17 @@ def quoted_history(obs: DataFrame) -> DataFrame:
     points = obs.join(eligible.select("mpn"), "mpn", "left_semi").groupBy("mpn", "observed_at").agg(
         F.min(F.struct("observation_id", "amount_minor", "seller_legal_name")).alias("r")
     )
-    w = Window.partitionBy("mpn").orderBy("observed_at")
-    return points.select(
+    flat = points.select("mpn", "observed_at", "r.observation_id", "r.amount_minor", "r.seller_legal_name")
+    chained = lag_in_chunks(flat, ["mpn"], ["observed_at"], ["observation_id", "amount_minor"], F.trunc("observed_at", "month"))
+    return chained.where("prior IS NOT NULL").select(
         "mpn",
-        F.col("r.seller_legal_name").alias("seller_legal_name"),
-        F.lag("r.observation_id").over(w).alias("from_observation_id"),
-        F.col("r.observation_id").alias("to_observation_id"),
-        F.lag("r.amount_minor").over(w).alias("denominator_minor"),
-        F.col("r.amount_minor").alias("to_minor"),
-    ).where("from_observation_id IS NOT NULL").withColumn("delta_minor", F.col("to_minor") - F.col("denominator_minor"))
+        "seller_legal_name",
+        F.col("prior.observation_id").alias("from_observation_id"),
+        F.col("observation_id").alias("to_observation_id"),
+        F.col("prior.amount_minor").alias("denominator_minor"),
+        F.col("amount_minor").alias("to_minor"),
+        (F.col("amount_minor") - F.col("prior.amount_minor")).alias("delta_minor"),
+    )
 
 
 def movement_drift(recorded: DataFrame, derived: DataFrame) -> DataFrame:

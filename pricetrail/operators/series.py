@@ -290,9 +290,9 @@ def value_runs(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 def series_staleness(summary: DataFrame, stale_after: int = 3) -> DataFrame:
     """Placement of every product inside the month span of the whole dataset."""
-    domain = summary.agg(F.min("first_month").alias("first"), F.max("last_month").alias("last"))
-    first = domain.select("first").scalar()
-    last = domain.select("last").scalar()
+    ends = F.struct(F.min("first_month").alias("first"), F.max("last_month").alias("last"))
+    domain = summary.agg(ends.alias("domain")).scalar()
+    first, last = domain.getField("first"), domain.getField("last")
     behind = month_offset(last, F.col("last_month"))
     return summary.select(
         "mpn",

@@ -141,9 +141,9 @@ def _(spark, root):
     return market.latest_offers(offers(spark, root)).withColumn("observed_at", instant_text(F.col("observed_at")))
 
 
-@register("offer_history", f"SELECT * REPLACE ({STAMP}) FROM v_public WHERE mpn = 'KX-5-6400'")
+@register("offer_history", f"SELECT * REPLACE ({STAMP}) FROM v_public WHERE mpn = 'KX-2-5600'")
 def _(spark, root):
-    return market.offer_history(offers(spark, root), "KX-5-6400").withColumn("observed_at", instant_text(F.col("observed_at")))
+    return market.offer_history(offers(spark, root), "KX-2-5600").withColumn("observed_at", instant_text(F.col("observed_at")))
 
 
 @register("latest_per_key", """
