@@ -102,13 +102,13 @@ def _(spark, root):
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    """Purchases of one kind of event as collection runs."""
-    return table(spark, root, "events").where("event_type = 'error' AND value > 140").select(
+    """The largest error events as collection runs."""
+    return table(spark, root, "events").where("event_type = 'error' AND value > 180").select(
         F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"), F.col("ts").cast("timestamp").alias("started_at")
     )
 
 
-RUNS = "(SELECT 'run-' || event_id AS run_id, ts AS started_at FROM events WHERE event_type = 'error' AND value > 140)"
+RUNS = "(SELECT 'run-' || event_id AS run_id, ts AS started_at FROM events WHERE event_type = 'error' AND value > 180)"
 MISSED = f"""SELECT strftime(d + INTERVAL 690 MINUTE, '%Y-%m-%dT%H:%M:%S') AS scheduled_for, 'unobserved_no_run' AS state FROM
   (SELECT unnest(generate_series(date_trunc('day', z), TIMESTAMP '2024-02-20', INTERVAL 1 DAY)) AS d, z FROM (SELECT max(started_at) AS z FROM {RUNS}))
   WHERE d + INTERVAL 690 MINUTE > z AND d + INTERVAL 690 MINUTE < TIMESTAMP '2024-02-20 12:00:00' AND d < TIMESTAMP '2024-02-20'

@@ -9,6 +9,7 @@ from pricetrail.functions.periods import instant_text
 from pricetrail.functions.reasons import stacked
 from pricetrail.operators import market
 from pricetrail.plans.registry import register
+from pricetrail.session import settle
 from pricetrail.sources.adapter import catalogue, evidence_ledger, offer_observations, retailers
 
 SENTINELS = [9999999]
@@ -62,6 +63,11 @@ def daily(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return market.daily_market(rows, approved(spark, root)), market.daily_products(rows)
 
 
+def settled_days(spark: SparkSession, root: str) -> DataFrame:
+    """The daily table, one row per calendar day, computed once for plans that read it repeatedly."""
+    return settle(daily(spark, root)[0])
+
+
 def dated(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in names})
 

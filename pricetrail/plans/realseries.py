@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.reasons import stacked
 from pricetrail.operators import realseries as ops
-from pricetrail.plans.market import daily
+from pricetrail.plans.market import settled_days
 from pricetrail.plans.registry import register
 from pricetrail.plans.views import VIEWS
+from pricetrail.session import settle
 from pricetrail.sources.adapter import observations
 from pricetrail.sources.tables import literal_table
 
@@ -25,9 +26,9 @@ SELECT mpn, seller, CAST(observed_at AS DATE) AS date, bool_or(status = 'eligibl
   coalesce(arg_min(amount_minor, observation_id) FILTER (WHERE status = 'eligible'), arg_min(amount_minor, observation_id)) AS amount_minor
 FROM v_quoted GROUP BY ALL
 """,
-    # Brand and region as a coarse line, so whole bases are met on some dates.
+    # Number family and region as a coarse line, so whole bases are met on some dates.
     "v_coarse": """
-SELECT split_part(mpn, '-', 1) AS mpn, seller, CAST(observed_at AS DATE) AS date, arg_min(amount_minor, observation_id) AS amount_minor
+SELECT CASE WHEN mpn LIKE 'KX%' THEN 'KX' ELSE 'OTHER' END AS mpn, seller, CAST(observed_at AS DATE) AS date, arg_min(amount_minor, observation_id) AS amount_minor
 FROM v_quoted WHERE status = 'eligible' GROUP BY ALL
 """,
     "v_dayvalue": "SELECT date, CAST(typical_minor AS DECIMAL(38,10)) AS value FROM v_day",
@@ -56,7 +57,7 @@ def quoted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def coarse(spark: SparkSession, root: str) -> DataFrame:
-    return ops.dated_lines(quoted(spark, root).withColumn("mpn", F.split_part("mpn", F.lit("-"), F.lit(1))))
+    return ops.dated_lines(quoted(spark, root).withColumn("mpn", F.when(F.col("mpn").startswith("KX"), F.lit("KX")).otherwise(F.lit("OTHER"))))
 
 
 COVERAGE_SQL = f"""
@@ -125,7 +126,7 @@ def _(spark, root):
 
 
 def day_values(spark: SparkSession, root: str) -> DataFrame:
-    return daily(spark, root)[0].select("date", F.col("typical_minor").cast("decimal(38,10)").alias("value"))
+    return settled_days(spark, root).select("date", F.col("typical_minor").cast("decimal(38,10)").alias("value"))
 
 
 def contracts(days: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def contracts(days: DataFrame) -> DataFrame:
 
 def months(spark: SparkSession, root: str) -> DataFrame:
     days = day_values(spark, root)
-    return ops.monthly_complete_mean(days, contracts(days))
+    return settle(ops.monthly_complete_mean(days, contracts(days)))
 
 
 @register("monthly_complete_mean", """
@@ -236,17 +237,16 @@ def _(spark, root):
     return ops.revision_impact(earlier.where("month NOT LIKE '2000%'"), later).withColumn("impact", F.round("impact", 2))
 
 
-def vintage(spark: SparkSession, root: str, low: bool) -> DataFrame:
+def vintage(days: DataFrame, low: bool) -> DataFrame:
     """Daily low or high price as a native series; some days unavailable."""
-    days = daily(spark, root)[0]
     value = F.col("low_minor" if low else "high_minor")
     ok = F.col("typical_minor") % 10 != 0
     return days.select("date", F.when(ok, F.lit("AVAILABLE")).otherwise(F.lit("UNAVAILABLE_FIXTURE_GAP")).alias("state"), F.when(ok, value * 1000).alias("value"))
 
 
-def overlap(spark: SparkSession, root: str) -> DataFrame:
-    a = vintage(spark, root, True).select("date", F.col("value").alias("prior_value"))
-    b = vintage(spark, root, False).select("date", "state", F.col("value").alias("candidate_value"))
+def overlap(days: DataFrame) -> DataFrame:
+    a = vintage(days, True).select("date", F.col("value").alias("prior_value"))
+    b = vintage(days, False).select("date", "state", F.col("value").alias("candidate_value"))
     return a.join(b, "date").where("date BETWEEN DATE'1998-06-01' AND DATE'1998-06-30'").withColumnRenamed("state", "quality_state")
 
 
@@ -260,8 +260,9 @@ WITH {VINTAGE}
 SELECT 1 AS segment_no, strftime(date, '%Y-%m-%d') AS date, state, lo AS value FROM native WHERE date < DATE '1998-07-01'
 UNION ALL SELECT 2, strftime(date, '%Y-%m-%d'), state, CAST((2 * CAST(native.hi AS HUGEINT) * f.lo + f.hi) // (2 * f.hi) AS BIGINT) FROM native, f WHERE date >= DATE '1998-07-01'""")
 def _(spark, root):
-    prior = vintage(spark, root, True).where("date < DATE'1998-07-01'").withColumn("segment_no", F.lit(1).cast("long"))
-    linked = ops.link_vintage(prior, vintage(spark, root, False), overlap(spark, root), "1998-07-01")
+    days = settled_days(spark, root)
+    prior = vintage(days, True).where("date < DATE'1998-07-01'").withColumn("segment_no", F.lit(1).cast("long"))
+    linked = ops.link_vintage(prior, vintage(days, False), overlap(days), "1998-07-01")
     return linked.withColumn("date", F.col("date").cast("string"))
 
 
@@ -273,7 +274,7 @@ UNION ALL SELECT 'overlap_date_not_unique', '1998-06-09', '2' FROM native WHERE
 UNION ALL SELECT 'overlap_not_available', '1998-06-09', '' FROM native WHERE state <> 'AVAILABLE' AND date = DATE '1998-06-09'
 UNION ALL SELECT 'overlap_value_not_positive', '1998-06-09', '' FROM native WHERE lo IS NULL AND date = DATE '1998-06-09'""")
 def _(spark, root):
-    o = overlap(spark, root)
+    o = overlap(settled_days(spark, root))
     return ops.check_overlap(stacked(o, o.where("date = DATE'1998-06-09'")))
 
 
@@ -282,6 +283,6 @@ WITH {VINTAGE}
 SELECT 'point_not_before_boundary' AS rule, strftime(date, '%Y-%m-%d') AS key, '' AS detail FROM native WHERE date >= DATE '2001-01-01'
 UNION ALL SELECT 'point_value_malformed', strftime(date, '%Y-%m-%d'), '' FROM native WHERE state <> 'AVAILABLE' AND day(date) = 1""")
 def _(spark, root):
-    points = vintage(spark, root, True)
+    points = vintage(settled_days(spark, root), True)
     spoiled = points.withColumn("value", F.when(F.dayofmonth("date") == 1, F.coalesce("value", F.lit(5))).otherwise(F.col("value")))
     return ops.check_prefix(spoiled, "2001-01-01")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "pricetrail") -> SparkSession:
@@ -27,3 +28,23 @@ def use_utc(spark: SparkSession) -> SparkSession:
     """Instants are UTC everywhere; local calendars are derived explicitly."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small result that several plans are about to read.
+
+    Writes a reliable checkpoint into the folder the cluster names in
+    `spark.checkpoint.dir`. A folder of our own is used only in local mode; a
+    cluster that names none keeps the plan as it is.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if folder:
+            context.setCheckpointDir(folder)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="pricetrail-"))
+        else:
+            return df
+    return df.checkpoint()
