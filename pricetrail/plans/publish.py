@@ -140,12 +140,7 @@ def _(spark, root):
         "mpn", a.alias("relative_permille"), (a / 100).cast("decimal(20,2)").cast("double").alias("low_price"),
         F.when(a % 100 == 0, F.lit("in GBP terms")).otherwise(F.format_string("about %d.%02d", F.floor(a / 100), a % 100)).alias("note"),
     )
-    # Doubles print small enough here to keep their two decimals.
-    return publish.assert_public_safe(rows, ["mpn", "relative_permille"]).where("NOT (rule = 'two_decimal_text' AND key = 'low_price')").unionByName(
-        rows.where((F.col("relative_permille") % 100) % 10 != 0).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit("two_decimal_text").alias("rule"), F.lit("low_price").alias("key"), F.col("n").cast("string").alias("detail")
-        )
-    )
+    return publish.assert_public_safe(rows, ["mpn", "relative_permille"])
 
 
 @register("private_tokens", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,21 +31,34 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in `spark.checkpoint.dir`.
+
+    A folder of our own is used only in local mode; elsewhere there is none.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        return _local_folder()
+    return None
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="pricetrail-")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small result that several plans are about to read.
 
-    Writes a reliable checkpoint into the folder the cluster names in
-    `spark.checkpoint.dir`. A folder of our own is used only in local mode; a
-    cluster that names none keeps the plan as it is.
+    Writes a reliable checkpoint into the shared folder; where a cluster names
+    none, the plan stays as it is.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if folder:
-            context.setCheckpointDir(folder)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="pricetrail-"))
-        else:
+        folder = shared_folder(df.sparkSession)
+        if folder is None:
             return df
+        context.setCheckpointDir(folder)
     return df.checkpoint()
