@@ -160,10 +160,16 @@ def match_listings(listings: DataFrame, products: DataFrame, aliases: DataFrame)
         (found & conflict, "abstain_ambiguous", "specification_conflict"),
         (found & (F.col("mpn_raw") == F.col("mpn_key")), "match", "exact_mpn"),
         (found, "match", "normalized_mpn"),
-        (stated_conflict({"memory_generation": F.lit(SCOPE["memory_generation"])}), "unsupported", "unsupported_memory_type"),
-        (stated_conflict({"form_factor": F.lit(SCOPE["form_factor"])}), "unsupported", "unsupported_form_factor"),
-        (stated_conflict({"module_count": F.lit(SCOPE["module_count"])}), "unsupported", "unsupported_module_configuration"),
-        (stated_conflict({"total_capacity_gb": F.lit(SCOPE["total_capacity_gb"])}), "unsupported", "unsupported_capacity"),
+        *[
+            (stated_conflict({field: F.lit(SCOPE[field])}), "unsupported", reason)
+            for field, reason in (
+                ("memory_generation", "unsupported_memory_type"),
+                ("form_factor", "unsupported_form_factor"),
+                ("module_count", "unsupported_module_configuration"),
+                ("total_capacity_gb", "unsupported_capacity"),
+            )
+            if field in fields
+        ],
         (gtin_bad, "abstain_insufficient", "malformed_identifier"),
         (no_number & F.col("title").rlike(r"(?i)\b(choose|or)\b"), "abstain_ambiguous", "multi_product_listing"),
         (no_number & F.col("gtin_raw").isNull() & F.coalesce(F.col("maker_products") > 1, F.lit(False)), "abstain_ambiguous", "multiple_candidates"),

@@ -37,8 +37,8 @@ def read_run_ledger(spark: SparkSession, paths: str | list[str]) -> tuple[DataFr
 def input_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Digest and header of every batch file, read as bytes."""
     files = spark.read.format("binaryFile").load(paths)
-    header = F.from_json(F.decode("content", F.lit("UTF-8")), schemas.TRANCHE)
-    classes = F.transform(F.coalesce("h.observations", F.array()), lambda o: o["source"]["source_class"])
+    header = F.from_json(F.decode("content", "UTF-8"), schemas.TRANCHE)
+    classes = F.coalesce(F.col("h.observations.source.source_class"), F.array().cast("array<string>"))
     some = F.size(classes) > 0
     return files.select("path", F.sha2("content", 256).alias("sha256"), header.alias("h")).select(
         "path", "sha256", F.col("h.schema_version").alias("file_schema_version"), F.col("h.scope").alias("file_scope"),
