@@ -109,56 +109,58 @@ def check_source_url(url: Column, archived: Column, observed_at: Column, host: C
     return F.coalesce(F.when(archived, archive_ok).otherwise(direct_ok), F.lit(False))
 
 
+def _fact_print(*facts: Column) -> list[Column]:
+    """Two independent 64-bit prints of a row of facts, 128 bits together."""
+    return [F.xxhash64(F.lit(salt), *facts) for salt in ("a", "b")]
+
+
 def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
     """(observation_id, entry_count, facts_equal): exactly one entry must agree.
 
     Archived rows are bound by evidence id; live rows by address, time and
-    seller. Each kind is its own equi-join, and the ledger is folded to one row
-    per binding key beforehand, so copies of an entry never multiply rows.
+    seller. Each kind is its own equi-join. The ledger is folded to one row per
+    binding key beforehand, as a count and a fixed-width print of its facts, so
+    copies of an entry never multiply rows and the fold hashes instead of sorts.
     """
-    def folded(entries: DataFrame, keys: list[str]) -> DataFrame:
-        return entries.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("entry_count"),
-            *[F.any_value(c).alias(c) for c in entries.columns if c not in keys],
-        )
-
-    archive = obs.where("archived").join(
-        folded(ledger, ["evidence_id"]).select(
-            "evidence_id", "entry_count", "http_status", "response_sha256", "response_bytes", "fact_mpn",
-            "fact_amount_minor", "fact_currency", "fact_vat_included", F.col("retrieved_at").alias("entry_at"),
-        ),
-        "evidence_id", "left",
+    sound = (F.col("http_status") == 200) & F.col("response_sha256").rlike("^[0-9a-f]{64}$") & (F.col("response_bytes") > 0)
+    stated = _fact_print(
+        F.coalesce(sound, F.lit(False)), F.col("fact_mpn"), F.col("fact_amount_minor"), F.col("fact_currency"), F.col("fact_vat_included"), F.col("retrieved_at")
+    )
+    expected = _fact_print(
+        F.lit(True), F.col("mpn"), F.col("amount_minor"), F.col("currency"), F.col("vat_state") == "included", F.col("observed_at")
     )
-    live_keys = ["source_url", "retrieved_at", "seller_display_name"]
     if "final_url" in ledger.columns:
         # An entry may be reached by the address asked for or the one it ended at.
-        either = F.explode(F.array_distinct(F.array_compact(F.array("source_url", "final_url"))))
-        ledger = ledger.withColumn("source_url", either).drop("final_url")
-    live = obs.where(~F.col("archived")).withColumn("retrieved_at", F.col("observed_at")).join(
-        folded(ledger, live_keys).select(
-            *live_keys, "entry_count", "http_status", "response_sha256", "response_bytes", "fact_mpn",
-            "fact_amount_minor", "fact_currency", "fact_vat_included",
-        ),
-        live_keys, "left",
-    ).withColumn("entry_at", F.col("retrieved_at")).drop("retrieved_at")
-    facts_equal = (
-        (F.col("http_status") == 200)
-        & F.col("response_sha256").rlike("^[0-9a-f]{64}$")
-        & (F.col("response_bytes") > 0)
-        & (F.col("fact_mpn") == F.col("mpn"))
-        & (F.col("fact_amount_minor") == F.col("amount_minor"))
-        & (F.col("fact_currency") == F.col("currency"))
-        & (F.col("fact_vat_included") == (F.col("vat_state") == "included"))
-        & (F.col("entry_at") == F.col("observed_at"))
+        either = F.array_distinct(F.array_compact(F.array("source_url", "final_url")))
+    else:
+        either = F.array("source_url")
+    entries = ledger.select(
+        "evidence_id", "seller_display_name", "retrieved_at", either.alias("urls"), stated[0].alias("print_a"), stated[1].alias("print_b")
+    )
+    needs = obs.select(
+        "observation_id", "archived", "evidence_id", "source_url", F.col("observed_at").alias("retrieved_at"), "seller_display_name",
+        expected[0].alias("want_a"), expected[1].alias("want_b"),
     )
-    count = F.coalesce("entry_count", F.lit(0)).alias("entry_count")
-    return stacked(*[
-        part.select(
-            "observation_id", count,
-            F.when(F.col("entry_count") == 1, F.coalesce(facts_equal, F.lit(False))).alias("facts_equal"),
+
+    def bound(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+        folded = held.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("entries"), F.min("print_a").alias("print_a"), F.min("print_b").alias("print_b")
         )
-        for part in (archive, live)
-    ])
+        agree = (F.col("print_a") == F.col("want_a")) & (F.col("print_b") == F.col("want_b"))
+        return rows.join(folded, keys, "left").select(
+            "observation_id",
+            F.coalesce("entries", F.lit(0)).alias("entry_count"),
+            F.when(F.col("entries") == 1, agree).alias("facts_equal"),
+        )
+
+    archive = bound(needs.where("archived").select("observation_id", "evidence_id", "want_a", "want_b"), entries, ["evidence_id"])
+    live_keys = ["source_url", "retrieved_at", "seller_display_name"]
+    live = bound(
+        needs.where(~F.col("archived")).select("observation_id", *live_keys, "want_a", "want_b"),
+        entries.withColumn("source_url", F.explode("urls")).drop("urls"),
+        live_keys,
+    )
+    return stacked(archive, live)
 
 
 def restriction_reasons(fields: list[str], flags: list[str]) -> Column:

@@ -12,7 +12,7 @@ from pricetrail.operators import movements
 from pricetrail.plans.registry import register
 from pricetrail.plans.views import VIEWS
 from pricetrail.sources.adapter import catalogue, observations
-from pricetrail.sources.tables import literal_table, table
+from pricetrail.sources.tables import literal_table, spread_table, table
 
 VIEWS.update({
     "v_tranche_row": """
@@ -316,7 +316,7 @@ CLAIM = """(SELECT 'claim-' || doc_id AS claim_id, 'cap-' || CASE WHEN doc_id %
 
 
 def captures(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents")
+    d = spread_table(spark, root, "documents", "doc_id")
     tail = F.when(F.col("doc_id") % 13 == 0, F.lit("x")).otherwise(F.lit(""))
     return d.select(
         F.concat(F.lit("cap-"), F.col("doc_id").cast("string")).alias("capture_id"), F.col("source").alias("source_item_id"),
@@ -327,7 +327,7 @@ def captures(spark: SparkSession, root: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents")
+    d = spread_table(spark, root, "documents", "doc_id")
     i = F.col("doc_id")
     tail = F.when((i % 13 == 0) & (i % 2 == 0), F.lit("x")).otherwise(F.lit(""))
     return d.select(
@@ -346,7 +346,7 @@ def claims(spark: SparkSession, root: str) -> DataFrame:
 SELECT 'source_item_unknown' AS rule, capture_id AS key, '' AS detail FROM {CAPTURE} WHERE source_item_id = 'src3'
 UNION ALL SELECT 'byte_count_differs', capture_id, '' FROM {CAPTURE} WHERE doc_id % 11 = 0 UNION ALL SELECT 'sha256_differs', capture_id, '' FROM {CAPTURE} WHERE doc_id % 13 = 0""")
 def _(spark, root):
-    items = table(spark, root, "documents").select(F.col("source").alias("source_item_id")).distinct().where("source_item_id <> 'src3'")
+    items = spread_table(spark, root, "documents", "doc_id").select(F.col("source").alias("source_item_id")).distinct().where("source_item_id <> 'src3'")
     return audit.check_captures(captures(spark, root), items)
 
 
@@ -370,7 +370,7 @@ UNION ALL SELECT 'duplicates_split_lineage', relationship_id, '' FROM j WHERE re
 UNION ALL SELECT 'contradiction_within_lineage', relationship_id, '' FROM j WHERE relationship = 'contradicts' AND fl = tl""")
 def _(spark, root):
     i = F.col("doc_id")
-    edges = table(spark, root, "documents").select(
+    edges = spread_table(spark, root, "documents", "doc_id").select(
         F.concat(F.lit("rel-"), i.cast("string")).alias("relationship_id"), F.concat(F.lit("claim-"), i.cast("string")).alias("from_claim_id"),
         F.concat(F.lit("claim-"), (i + F.when(i % 4 == 0, 5).otherwise(1)).cast("string")).alias("to_claim_id"),
         F.when(i % 2 == 0, F.lit("duplicates")).otherwise(F.lit("contradicts")).alias("relationship"),

@@ -13,7 +13,7 @@ from pricetrail.plans.registry import register
 from pricetrail.plans.views import VIEWS
 from pricetrail.sources.adapter import catalogue, evidence_ledger, observations, offer_observations, retailer_key
 from pricetrail.sources.release import release_difference, release_manifest
-from pricetrail.sources.tables import literal_table, table
+from pricetrail.sources.tables import literal_table, spread_table, table
 
 TS = "'%Y-%m-%dT%H:%M:%SZ'"
 
@@ -339,7 +339,7 @@ BLOG_RULES = [("pricetrail", False, "/es/"), ("pricetrail", True, "/es/5"), ("pr
 
 
 def page_paths(spark: SparkSession, root: str) -> DataFrame:
-    p = table(spark, root, "pages")
+    p = spread_table(spark, root, "pages", "page_id")
     url = F.regexp_replace("url", r"[?#].*$", "")
     return p.select(F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(url, "^https?://[^/]+(/.*)?$", 1).alias("path"))
 
@@ -363,7 +363,7 @@ def _(spark, root):
 @register("page_titles", """
 SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&pound;', '£'), '&amp;', '&'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title FROM pages""")
 def _(spark, root):
-    return ingest.page_titles(table(spark, root, "pages"))
+    return ingest.page_titles(spread_table(spark, root, "pages", "page_id"))
 
 
 def site(name: str, heading: str, number: str) -> ingest.SiteRules:

@@ -12,7 +12,7 @@ from pricetrail.plans.ingest import readings
 from pricetrail.plans.registry import register
 from pricetrail.plans.series import BASE, HOLED_SQL, PRICES_SQL, holed_prices, index_sql, prices, summary
 from pricetrail.sources.adapter import observations
-from pricetrail.sources.tables import table
+from pricetrail.sources.tables import spread_table, table
 
 
 @register("project_index", index_sql(HOLED_SQL, 10, """
@@ -164,7 +164,7 @@ WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split(text, '. ')) A
 SELECT doc_id AS text_id, token FROM documents JOIN t ON contains(text, token)""")
 def _(spark, root):
     tokens = table(spark, root, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("token"))
-    return publish.leak_scan(table(spark, root, "documents").select(F.col("doc_id").alias("text_id"), "text"), tokens)
+    return publish.leak_scan(spread_table(spark, root, "documents", "doc_id").select(F.col("doc_id").alias("text_id"), "text"), tokens)
 
 
 SECRET_SQL = " UNION ALL ".join(
@@ -182,4 +182,4 @@ def _(spark, root):
         F.when(i % 50 == 1, F.concat(F.lit(" Authorization: Bearer "), F.sha2(i.cast("string"), 256)))
         .when(i % 50 == 2, F.concat(F.lit(" ftp://u"), i.cast("string"), F.lit(":pw@host.example/"))).otherwise(F.lit(""))
     )
-    return publish.secret_scan(table(spark, root, "documents").select(i.alias("text_id"), F.concat("text", planted).alias("text")))
+    return publish.secret_scan(spread_table(spark, root, "documents", "doc_id").select(i.alias("text_id"), F.concat("text", planted).alias("text")))

@@ -185,8 +185,9 @@ def _(spark, root):
 
 
 @register("rebase_100", """
-SELECT month, CASE WHEN value IS NULL THEN 'UNAVAILABLE_HISTORICAL_REFERENCE_INPUT' ELSE 'AVAILABLE' END AS quality_state,
-  floor(value * 100 / (SELECT avg(value) FROM v_monthly WHERE month LIKE '1998%' AND value IS NOT NULL) * 1000 + 0.5) / 1000 AS value FROM v_monthly""")
+WITH r AS (SELECT avg(value) AS reference FROM v_monthly WHERE month LIKE '1998%' AND value IS NOT NULL)
+SELECT month, CASE WHEN value IS NULL OR reference IS NULL THEN 'UNAVAILABLE_HISTORICAL_REFERENCE_INPUT' ELSE 'AVAILABLE' END AS quality_state,
+  floor(value * 100 / reference * 1000 + 0.5) / 1000 AS value FROM v_monthly, r""")
 def _(spark, root):
     m = months(spark, root)
     based = ops.rebase_100(m, ops.reference_level(m, reference_months(m, 1998)))

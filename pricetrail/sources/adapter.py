@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.sources.tables import table
+from pricetrail.sources.tables import spread_table, table
 
 # Speeds written into part numbers.
 SPEEDS = [4800, 5200, 5600, 6000, 6200, 6400, 6600, 7200, 7600, 8000]
@@ -31,7 +31,7 @@ def mpn_of(partkey: Column) -> Column:
 
 def lines(spark: SparkSession, root: str) -> DataFrame:
     """Line items with short driver columns and the observation fields they give."""
-    src = table(spark, root, "lineitem")
+    src = spread_table(spark, root, "lineitem", "l_orderkey")
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5).cast("long")
     minutes = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 131) % 1440
     at = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + minutes * 60)
@@ -65,27 +65,42 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def sellers(spark: SparkSession, root: str) -> DataFrame:
-    """Supplier -> observed name, country-level seller, region-level seller."""
+def _seller_columns() -> list[Column]:
+    return [
+        F.col("s_name").alias("seller_observed"),
+        F.col("n_name").alias("seller_fine"),
+        F.col("r_name").alias("seller"),
+        F.when(F.col("n_nationkey") % 5 != 4, F.concat(F.col("n_name"), F.lit(" Ltd"))).alias("seller_legal_name"),
+    ]
+
+
+def _with_sellers(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """Join the seller dimensions one by one onto `rows`.
+
+    Left-deep, so that each join sees one table whose size is known: a joined
+    pair of dimensions is estimated at the product of both and would push the
+    facts to the broadcast side.
+    """
+    supplier = table(spark, root, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, root, "nation")
     region = table(spark, root, "region")
     return (
-        table(spark, root, "supplier")
+        rows.join(supplier, F.col("k_supp") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("s_suppkey").alias("k_supp"),
-            F.col("s_name").alias("seller_observed"),
-            F.col("n_name").alias("seller_fine"),
-            F.col("r_name").alias("seller"),
-            F.when(F.col("n_nationkey") % 5 != 4, F.concat(F.col("n_name"), F.lit(" Ltd"))).alias("seller_legal_name"),
-        )
     )
 
 
+def sellers(spark: SparkSession, root: str) -> DataFrame:
+    """Supplier -> observed name, country-level seller, region-level seller."""
+    keys = table(spark, root, "supplier").select(F.col("s_suppkey").alias("k_supp"))
+    return _with_sellers(keys, spark, root).select("k_supp", *_seller_columns())
+
+
 def observations(spark: SparkSession, root: str) -> DataFrame:
     """The flat observation table most operators start from."""
-    return lines(spark, root).join(sellers(spark, root), "k_supp")
+    rows = lines(spark, root)
+    return _with_sellers(rows, spark, root).select(*rows.columns, *_seller_columns())
 
 
 def retailer_key(name: Column) -> Column:

@@ -12,7 +12,10 @@ from pricetrail.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cpus=4, app="pricetrail-tests")
+    session = local_session(cpus=8, app="pricetrail-tests")
+    # Tiny inputs: few partitions, and no time spent compiling stages.
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -12,7 +12,6 @@ import __spark_entry__ as entry_point
 from tools.check import rows_of
 
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-# Needs a base quarter with at least 300 matched products, which the smallest tables lack.
 ROOT = "/root/testdata/sf0.001"
 
 
