@@ -13,7 +13,7 @@ from pricetrail.plans.registry import register
 from pricetrail.plans.views import VIEWS
 from pricetrail.sources.adapter import catalogue, evidence_ledger, observations, offer_observations, retailer_key
 from pricetrail.sources.release import release_difference, release_manifest
-from pricetrail.sources.tables import literal_table, spread_table, table
+from pricetrail.sources.tables import spread_table, table
 
 TS = "'%Y-%m-%dT%H:%M:%SZ'"
 
@@ -352,11 +352,12 @@ s AS (SELECT * FROM r WHERE g = CASE WHEN host LIKE 'blog.%' THEN 'pricetrail' E
 SELECT p.host, p.path, coalesce((SELECT allow FROM s WHERE s.host = p.host AND starts_with(p.path, rp) ORDER BY length(rp) DESC, allow DESC LIMIT 1), true) AS allowed FROM p""")
 def _(spark, root):
     p = page_paths(spark, root)
-    columns = "agent_group string, allow boolean, path string"
-    hosts = p.select("host").distinct().withColumn("blog", F.col("host").startswith("blog."))
-    plain = literal_table(spark, columns, RULES).withColumn("for_blog", F.lit(False))
-    blog = literal_table(spark, columns, BLOG_RULES).withColumn("for_blog", F.lit(True))
-    rules = hosts.join(stacked(plain, blog), ~F.col("for_blog") | F.col("blog")).select("host", "agent_group", "allow", "path")
+
+    def written(rules: list[tuple]) -> F.Column:
+        return F.array(*[F.struct(F.lit(g).alias("agent_group"), F.lit(a).alias("allow"), F.lit(x).alias("path")) for g, a, x in rules])
+
+    held = F.when(F.col("host").startswith("blog."), written(RULES + BLOG_RULES)).otherwise(written(RULES))
+    rules = p.select("host").distinct().select("host", F.explode(held).alias("r")).select("host", "r.*")
     return ingest.resolve_crawl_rules(p, rules, "pricetrail-collector")
 
 

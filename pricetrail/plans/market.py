@@ -37,9 +37,9 @@ def qualified_offers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, root: str) -> DataFrame:
+def candidates(qualified: DataFrame) -> DataFrame:
     """Accepted rows plus exact copies and clashing copies of some of them."""
-    base = market.offer_candidates(qualified_offers(spark, root))
+    base = market.offer_candidates(qualified)
     price = F.col("item_price_minor")
     kinds = F.array_compact(F.array(
         F.lit(""), F.when(price % 9 == 0, F.lit("-copy")), F.when(price % 9 == 1, F.lit("-clash"))
@@ -51,7 +51,8 @@ def candidates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, root: str) -> DataFrame:
-    return market.public_offers(candidates(spark, root))
+    """The published table, written once; everything after it starts from there."""
+    return settle(market.public_offers(candidates(qualified_offers(spark, root))))
 
 
 def day_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -64,7 +65,7 @@ def daily(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def settled_days(spark: SparkSession, root: str) -> DataFrame:
-    """The daily table, one row per calendar day, computed once for plans that read it repeatedly."""
+    """The daily table, one row per calendar day, written once for plans that read it repeatedly."""
     return settle(daily(spark, root)[0])
 
 
@@ -98,7 +99,8 @@ def _(spark, root):
 
 @register("public_offers", f"SELECT * REPLACE ({STAMP}) FROM v_public")
 def _(spark, root):
-    return offers(spark, root).withColumn("observed_at", instant_text(F.col("observed_at")))
+    fresh = market.public_offers(candidates(qualified_offers(spark, root)))
+    return fresh.withColumn("observed_at", instant_text(F.col("observed_at")))
 
 
 @register("offer_exceptions", """
@@ -110,8 +112,8 @@ UNION ALL SELECT c.observation_id, c.mpn, strftime(c.observed_at, '%Y-%m-%dT%H:%
   CASE WHEN sets > 1 THEN 'conflicting_same_retailer_timestamp' ELSE 'duplicate_fact' END
 FROM v_copied c JOIN k ON k.mpn = c.mpn AND k.retailer_id = c.retailer_id AND k.observed_at = c.observed_at WHERE sets > 1 OR c.observation_id <> kept""")
 def _(spark, root):
-    q = qualified_offers(spark, root)
-    return market.offer_exceptions(q, candidates(spark, root)).withColumn("observed_at", instant_text(F.col("observed_at")))
+    q = settle(qualified_offers(spark, root))
+    return market.offer_exceptions(q, candidates(q)).withColumn("observed_at", instant_text(F.col("observed_at")))
 
 
 @register("assert_public_offers", f"""
@@ -242,8 +244,9 @@ SELECT 'price_bounds' AS rule, strftime(date, '%Y-%m-%d') AS key, '' AS detail F
 UNION ALL SELECT 'evidence_not_published', public_observation_id, '' FROM v_day_row d JOIN (SELECT date, min(item_price_minor) AS lo, max(item_price_minor) AS hi FROM v_day_row GROUP BY date) e ON e.date = d.date
   JOIN (SELECT unnest(['low', 'high']) AS side) s ON item_price_minor = CASE WHEN side = 'low' THEN lo ELSE hi END WHERE retailer_id = 'nation-2'""")
 def _(spark, root):
-    rows = day_rows(spark, root)
+    public = offers(spark, root)
+    rows = market.daily_offers(public, SENTINELS)
     points = market.daily_market(rows, approved(spark, root))
     spoiled = points.withColumn("low_minor", F.when(F.col("typical_minor") % 5 == 0, F.col("high_minor") + 1).otherwise(F.col("low_minor")))
-    published = offers(spark, root).where("retailer_id <> 'nation-2'")
+    published = public.where("retailer_id <> 'nation-2'")
     return market.validate_daily(spoiled, market.daily_evidence(rows), published, SENTINELS)

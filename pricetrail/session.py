@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +52,15 @@ def _local_folder() -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small result that several plans are about to read.
+    """Write a result that several plans are about to read, and read it back.
 
-    Writes a reliable checkpoint into the shared folder; where a cluster names
-    none, the plan stays as it is.
+    The table goes to the shared folder, so it survives lost executors, and
+    what reads it is planned and computed from the table alone. Where a cluster
+    names no folder, the plan stays as it is.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/settled/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,7 +66,7 @@ def test_periods(spark):
 
 
 def test_text(spark):
-    assert one(spark, slug(F.lit("Overclockers UK!"))) == "overclockers-uk"
+    assert one(spark, slug(F.lit("Corner Shop UK!"))) == "corner-shop-uk"
     assert one(spark, strip_markup(F.lit("<b>a</b>\n &amp; &pound;5"))) == "a & £5"
     assert one(spark, pounds_to_minor(F.lit("now £ 1,101 .64 inc VAT"))) == 110164
     assert one(spark, pounds_to_minor(F.lit("call us"))) is None
