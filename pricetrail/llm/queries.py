@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import bpe, langid, mixing, quality, rules
+from pricetrail.llm import bpe, crosspolytope, langid, lshforest, mixing, quality, repair, rules
 from pricetrail.llm.common import learned_from, ship_code, split_is
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,33 @@ def language_id(spark: SparkSession, root: str) -> DataFrame:
     model = langid.fit(docs.where(learned_from(F.col("doc_id"), 3, 1)))
     out = langid.predict(docs, model, ["doc_id"])
     return out.select("doc_id", split_is(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@register("op6_minhash_forest")
+def minhash_forest(spark: SparkSession, root: str) -> DataFrame:
+    return lshforest.near_duplicates(read(spark, root, "documents"), width=2)
+
+
+@register("op4_embedding_near_dup", sql="""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+    ), l AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reach AS (
+        SELECT vec_id AS node, vec_id AS other FROM embeddings
+        UNION
+        SELECT r.node, l.b FROM reach r JOIN l ON r.other = l.a
+    ), least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT node AS vec_id, coalesce(n_links, 0) AS n_links, component_id, node = component_id AS kept
+    FROM least LEFT JOIN n ON n.a = node
+""")
+def embedding_near_dup(spark: SparkSession, root: str) -> DataFrame:
+    return crosspolytope.near_duplicates(read(spark, root, "embeddings"))
+
+
+@register("op10_repair_shards")
+def repair_shards(spark: SparkSession, root: str) -> DataFrame:
+    return repair.through_files(read(spark, root, "documents"), tokenizer_path())
