@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import bpe, crosspolytope, langid, lshforest, mixing, quality, repair, rules
+from pricetrail.llm import bpe, brown, crosspolytope, langid, lshforest, mixing, quality, repair, rules, secretscan
 from pricetrail.llm.common import learned_from, ship_code, split_is
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,16 @@ def embedding_near_dup(spark: SparkSession, root: str) -> DataFrame:
 @register("op10_repair_shards")
 def repair_shards(spark: SparkSession, root: str) -> DataFrame:
     return repair.through_files(read(spark, root, "documents"), tokenizer_path())
+
+
+@register("op3_brown_bigram")
+def brown_bigram(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    model, counts = brown.fit(docs.where(learned_from(F.col("doc_id"), 7, 2)))
+    return brown.score(docs, model, counts, [split_is(F.col("doc_id"), 7, 2).alias("held_out")])
+
+
+@register("op5_secret_forest")
+def secret_forest(spark: SparkSession, root: str) -> DataFrame:
+    found = secretscan.scan(read(spark, root, "documents"))
+    return found.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), "kind", "score", "is_secret")

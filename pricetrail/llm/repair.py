@@ -35,7 +35,8 @@ ROUNDS = 6
 LEAST_COUNT = 64
 RULES_A_ROUND = 1500
 END_ID = 2
-_SEP = np.int64(-1)
+SLOT_BITS = 20
+_SEP = np.int32(-1)
 
 
 class LibraryBpe(ByteBpe):
@@ -130,30 +131,44 @@ def compress(documents: list[np.ndarray], first: int) -> bytes:
     """The shard file of these documents; symbols from `first` up are nonterminals."""
     counts = np.array([len(d) for d in documents], dtype=np.int64)
     ends = np.cumsum(counts + 1) - 1
-    seq = np.full(int(counts.sum()) + len(documents), _SEP, dtype=np.int64)
+    seq = np.full(int(counts.sum()) + len(documents), _SEP, dtype=np.int32)
     inside = np.ones(len(seq), dtype=bool)
     inside[ends] = False
     seq[inside] = np.concatenate(documents) if documents else 0
     rules: list[np.ndarray] = []
     base = first
     for _ in range(ROUNDS):
-        left, right = seq[:-1], seq[1:]
-        code = np.where((left >= 0) & (right >= 0), left * (1 << 31) + right, -1)
+        # Counts by hash first: only positions whose hash is frequent need their pairs counted exactly.
+        u = seq.view(np.uint32)
+        slot = (u[:-1] * np.uint32(2654435761) + u[1:] * np.uint32(2246822519)) >> np.uint32(32 - SLOT_BITS)
+        hot = np.bincount(slot, minlength=1 << SLOT_BITS) >= LEAST_COUNT
+        at = np.flatnonzero(hot[slot])
+        left, right = seq[at], seq[at + 1]
+        whole = (left >= 0) & (right >= 0)
+        at, code = at[whole], left[whole].astype(np.int64) << 31 | right[whole]
         ordered = np.sort(code)
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
         keys, n = ordered[starts], np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero((n >= LEAST_COUNT) & (keys >= 0))
+        often = np.flatnonzero(n >= LEAST_COUNT)
         if not len(often):
             break
         often = often[np.argsort(-n[often], kind="stable")[:RULES_A_ROUND]]
         chosen = np.sort(keys[often])
-        at = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = np.flatnonzero(chosen[at] == code)
+        # A slot serves its most frequent pair now; another pair of it waits for the next round.
+        by_count = keys[often][::-1]
+        c = by_count.view(np.uint64)
+        home = ((c >> np.uint64(31)).astype(np.uint32) * np.uint32(2654435761) + (c & np.uint64((1 << 31) - 1)).astype(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - SLOT_BITS)
+        rule_of = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        rule_of[home] = np.searchsorted(chosen, by_count)
+        rule = rule_of[slot[at]]
+        good = (rule >= 0) & (chosen[rule] == code)
+        hit, rule = at[good], rule[good]
         # Hits in a row overlap; from the left, every second one is replaced.
         fresh = np.concatenate(([True], np.diff(hit) != 1))
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        seq[hit] = base + at[hit]
+        odd = (np.arange(len(hit)) - run) % 2 == 0
+        hit, rule = hit[odd], rule[odd]
+        seq[hit] = base + rule
         keep = np.ones(len(seq), dtype=bool)
         keep[hit + 1] = False
         seq = seq[keep]
