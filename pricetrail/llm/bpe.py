@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Fixed by the byte-level format: the printable stand-in of each byte, and the split of a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept per worker; beyond it the store starts anew.
-CACHE = 400_000
+#: Pieces kept per worker; beyond it only those in use stay.
+CACHE = 700_000
 
 
 def _byte_names() -> list[str]:
@@ -141,14 +141,13 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Fill the bounded store with the packed ids of pieces, each of which tokenises on its own."""
-        new = pieces - self.known.keys()
+        new = pieces.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            self.uneven.clear()
-            new = pieces
+            # What this batch uses stays; the rest of the store goes.
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.uneven.intersection_update(self.known)
         if not new:
             return
-        self.uneven.update(p for p in new if not self._even(p))
         order = list(new)
         parts = [self.pattern.findall(p) for p in order]
         words = list({w for ws in parts for w in ws})
@@ -175,16 +174,17 @@ class ByteBpe:
         seen: set[str] = set()
         for ps in cut:
             seen.update(ps)
-        uneven = {p for p in seen - self.known.keys() if not self._even(p)} | (seen & self.uneven)
-        if uneven:
-            for i, ps in enumerate(cut):
-                if not uneven.isdisjoint(ps):
-                    cut[i] = self.cut(texts[i])
-            seen = {p for ps in cut for p in ps}
-        for i, text in enumerate(texts):
+        uneven = {p for p in seen.difference(self.known) if not self._even(p)} | (seen & self.uneven)
+        apart: set[str] = set()
+        for i, ps in enumerate(cut):
             if odd[i]:
-                for part in self.split_special.split(text):
-                    seen.update([] if part in self.special else self.cut(part))
+                for part in self.split_special.split(texts[i]):
+                    apart.update([] if part in self.special else self.cut(part))
+            elif uneven and not uneven.isdisjoint(ps):
+                cut[i] = self.cut(texts[i])
+                apart.update(cut[i])
+        seen = seen.difference(uneven) | apart
+        self.uneven.update(p for p in apart if not self._even(p))
         self.learn(seen)
         known = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(known, ps)), dtype="<i4") for ps in cut]

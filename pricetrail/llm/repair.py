@@ -54,17 +54,16 @@ class LibraryBpe(ByteBpe):
     def learn(self, pieces: set[str]) -> None:
         from pricetrail.llm import bpe
 
-        new = pieces - self.known.keys()
+        new = pieces.difference(self.known)
         if len(self.known) + len(new) > bpe.CACHE:
-            self.known.clear()
-            self.uneven.clear()
-            new = pieces
-        self.uneven.update(p for p in new if not self._even(p))
+            # What this batch uses stays; the rest of the store goes.
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.uneven.intersection_update(self.known)
         # Pieces that begin with a blank and end without one tokenise in a row as they do alone.
         rows = [p for p in new if p[:1] == " " and p not in self.uneven]
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, dtype="<i4")
+        parts = [rows[at : at + 1024] for at in range(0, len(rows), 1024)]
+        for part, got in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, dtype="<i4")
             ends = np.cumsum([len(p.encode()) for p in part])
             stops = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * 4
             packed = ids.tobytes()
