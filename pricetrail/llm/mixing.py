@@ -74,7 +74,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
     """Every slot of the mix: (sid, block, pass_no, position, shard)."""
     pieces = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / PIECE))).alias("piece"))
-    pieces = pieces.repartition("sid", "piece")
+    # A number of its own: sizes do not tell how far a row expands, so adaptive merging would put all pieces in one task.
+    pieces = pieces.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "piece")
     o = F.explode(F.sequence(F.col("piece") * PIECE, F.least((F.col("piece") + 1) * PIECE, F.col("slots")) - 1))
     rows = pieces.select("sid", "blocks", "first_slot", "all_slots", o.alias("o"))
     rows = rows.withColumn("pass_no", F.floor(F.col("o") / F.col("blocks")))
