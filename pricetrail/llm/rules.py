@@ -88,7 +88,7 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in RATIOS])
 
 
-def fences(parts: DataFrame, suffix: str) -> list[Column]:
+def fences(suffix: str) -> list[Column]:
     """Upper and lower fence of each ratio: quartile and SPREAD interquartile ranges, or the least distance."""
     out = []
     for r, (up, down) in RATIOS.items():
@@ -104,12 +104,13 @@ def fences(parts: DataFrame, suffix: str) -> list[Column]:
 def thresholds(rows: DataFrame) -> DataFrame:
     """(lang, source) with fences; a group under LEAST_ROWS takes those of its language, a small language those of all."""
     parts = write_out(sketches(rows.where(~base_failed()), ["lang", "source"]), "rules-sketches")
-    own = parts.select("lang", "source", F.col("n").alias("n_own"), *fences(parts, "_own"))
+    own = parts.select("lang", "source", F.col("n").alias("n_own"), *fences("_own"))
     by_lang = merged(parts, ["lang"])
-    by_lang = by_lang.select(F.col("lang").alias("_lang"), F.col("n").alias("n_lang"), *fences(by_lang, "_lang"))
+    by_lang = by_lang.select(F.col("lang").alias("_lang"), F.col("n").alias("n_lang"), *fences("_lang"))
     everything = merged(parts, [])
-    everything = everything.select(*fences(everything, "_all"))
-    joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"])).join(F.broadcast(everything), F.lit(True))
+    # One row of a dozen numbers, whatever the input.
+    everything = everything.select(*fences("_all")).first().asDict()
+    joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"])).withColumns({k: F.lit(v).cast("double") for k, v in everything.items()})
     names = [f"{r}_{side}" for r, (up, down) in RATIOS.items() for side, has in (("high", up), ("low", down)) if has is not None]
     chosen = [
         F.when(F.col("n_own") >= LEAST_ROWS, F.col(f"{x}_own")).when(F.col("n_lang") >= LEAST_ROWS, F.col(f"{x}_lang")).otherwise(F.col(f"{x}_all")).alias(x)
