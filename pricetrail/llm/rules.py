@@ -109,7 +109,10 @@ def thresholds(rows: DataFrame) -> DataFrame:
     by_lang = by_lang.select(F.col("lang").alias("_lang"), F.col("n").alias("n_lang"), *fences("_lang"))
     everything = merged(parts, [])
     # One row of a dozen numbers, whatever the input.
-    everything = everything.select(*fences("_all")).first().asDict()
+    whole = everything.where("n > 0").select(*fences("_all")).first()
+    if whole is None:
+        whole = dict.fromkeys((f"{r}_{side}_all" for r in RATIOS for side in ("high", "low")))
+    everything = whole if isinstance(whole, dict) else whole.asDict()
     joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"])).withColumns({k: F.lit(v).cast("double") for k, v in everything.items()})
     names = [f"{r}_{side}" for r, (up, down) in RATIOS.items() for side, has in (("high", up), ("low", down)) if has is not None]
     chosen = [
