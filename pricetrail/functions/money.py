@@ -36,8 +36,10 @@ def permille(part: Column, whole: Column) -> Column:
 
 
 def mean_minor(x: str) -> Column:
-    """Mean of integers rounded half-up; partial sums combine before the shuffle."""
-    return half_up(F.sum(x).cast("double") / F.count(x))
+    """Mean of integers rounded half-up, in exact decimals; partial sums combine before the shuffle."""
+    twice = F.sum(F.col(x).cast("decimal(20,0)")) * F.lit(2).cast("decimal(1,0)")
+    count = F.count(x).cast("decimal(19,0)")
+    return F.floor((twice + count) / (count * F.lit(2).cast("decimal(1,0)"))).cast("long")
 
 
 def direction(change: Column) -> Column:

@@ -18,18 +18,28 @@ def nfkc(text: Column) -> Column:
     return F.pandas_udf(compose, "string")(text)
 
 
-def normalise_mpn(text: Column, ascii_only: bool = True) -> Column:
-    """Trimmed upper case with punctuation kept.
+# Fixed value: the characters Unicode counts as white space, and the byte-order mark.
+WHITE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
-    ASCII text needs no composition, so the default stays inside the JVM;
-    pass ascii_only=False for columns that may hold other text.
-    """
-    return F.upper(F.trim(text if ascii_only else nfkc(text)))
 
+def composed(text: Column) -> Column:
+    """Composed text; plain ASCII, which composition leaves alone, goes into the Arrow call as null."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x{00}-\x{7F}]"), text)), text)
 
-def normalise_manufacturer(text: Column, ascii_only: bool = True) -> Column:
-    """Lower case letters and digits only."""
-    return F.regexp_replace(F.lower(text if ascii_only else nfkc(text)), "[^a-z0-9]", "")
+
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+
+
+def normalise_mpn(text: Column) -> Column:
+    """Composed, trimmed upper case with punctuation kept."""
+    return F.upper(trimmed(composed(text)))
+
+
+def normalise_manufacturer(text: Column) -> Column:
+    """Lower case letters and digits only, after composition."""
+    return F.regexp_replace(F.lower(composed(text)), "[^a-z0-9]", "")
 
 
 def slug(text: Column) -> Column:

@@ -211,7 +211,10 @@ def bind_evidence(references: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     facts = ["mpn", "total_capacity_gb", "module_count"]
     a = references.select("reference", *[F.col(f).alias(f"claim_{f}") for f in facts], F.lit(True).alias("claimed"))
-    b = manifest.groupBy("reference").agg(*[F.any_value(f).alias(f"fact_{f}") for f in facts], F.count(F.lit(1)).alias("items"))
+    # Of a doubled reference, which is reported as such, the least entry is compared.
+    b = manifest.groupBy("reference").agg(F.min(F.struct(*facts)).alias("fact"), F.count(F.lit(1)).alias("items")).select(
+        "reference", "items", *[F.col(f"fact.{f}").alias(f"fact_{f}") for f in facts]
+    )
     j = a.join(b, "reference", "full")
     differs = F.lit(False)
     for f in facts:

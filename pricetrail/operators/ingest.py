@@ -24,7 +24,7 @@ def _tax_basis(state: Column) -> Column:
     return F.when(state == "included", F.lit(True)).when(state == "excluded", F.lit(False))
 
 
-def normalise_observations(raw: DataFrame, ascii_only: bool = True) -> DataFrame:
+def normalise_observations(raw: DataFrame) -> DataFrame:
     """Both nested shapes as one flat row, with the rules it fails in `reasons`."""
     archive = F.col("price").isNotNull()
     live = ~archive & F.col("item_price").isNotNull()
@@ -53,7 +53,7 @@ def normalise_observations(raw: DataFrame, ascii_only: bool = True) -> DataFrame
     return raw.select(
         "observation_id",
         F.try_to_timestamp("observed_at", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("observed_at"),
-        normalise_mpn(mpn, ascii_only).alias("mpn"),
+        normalise_mpn(mpn).alias("mpn"),
         F.col("seller.display_name").alias("seller_display_name"),
         F.col("seller.legal_name").alias("seller_legal_name"),
         amount.alias("amount_minor"), currency.alias("currency"), vat.alias("vat_included"),
@@ -80,9 +80,10 @@ def observation_facts(raw: DataFrame) -> DataFrame:
 
 def classify_inputs(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Every file classified exactly once and in agreement with its content."""
-    folded = manifest.groupBy("path").agg(
-        F.count(F.lit(1)).alias("entries"),
-        *[F.any_value(c).alias(f"said_{c}") for c in ("sha256", "schema_version", "channel", "capture_kind", "decision", "reason")],
+    said = ("sha256", "schema_version", "channel", "capture_kind", "decision", "reason")
+    # Of a doubled path, which is reported as such, the least entry is compared.
+    folded = manifest.groupBy("path").agg(F.count(F.lit(1)).alias("entries"), F.min(F.struct(*said)).alias("said")).select(
+        "path", "entries", *[F.col(f"said.{c}").alias(f"said_{c}") for c in said]
     )
     j = files.join(folded, "path", "full")
     there = F.col("sha256").isNotNull() & F.col("entries").isNotNull()
@@ -197,8 +198,9 @@ def extract_page_facts(pages: DataFrame, rules: list[SiteRules]) -> DataFrame:
     """Title, number, price, tax label, stock and reason codes of captured pages.
 
     `pages` carries (page_id, site, url, html). Each site's patterns are
-    literals in its own branch, so they compile once and stay in the JVM; the
-    whole page text is searched.
+    literals in its own branch, so they compile once and stay in the JVM. Price
+    and tax label are taken from the block after the anchor where it holds them,
+    else from the first place behind it in the whole rest of the page.
     """
     html = F.col("html")
 
@@ -212,23 +214,34 @@ def extract_page_facts(pages: DataFrame, rules: list[SiteRules]) -> DataFrame:
     def group(pattern: str | None) -> Column:
         return F.lit("") if pattern is None else F.regexp_extract(html, pattern, 1)
 
-    def after_anchor(rule: SiteRules) -> Column:
+    def after_anchor(rule: SiteRules, length: int | None = None) -> Column:
         start = F.regexp_instr(html, F.lit(rule.price))
-        return F.when(start > 0, F.substr(html, start, F.lit(rule.price_window))).otherwise(F.lit(""))
+        reach = F.length(html) if length is None else F.lit(length)
+        return F.when(start > 0, F.substr(html, start, reach)).otherwise(F.lit(""))
+
+    def first_of(text: Column, wanted: str, other: str) -> Column:
+        here, there = F.regexp_instr(text, F.lit(wanted)), F.regexp_instr(text, F.lit(other))
+        return (here > 0) & ((there == 0) | (here < there))
 
     p = pages.withColumns({
         "title": strip_markup(by_site(lambda r: group(r.title))),
         "visible_mpn": F.upper(F.trim(by_site(lambda r: group(r.mpn)))),
         "structured_mpn": F.upper(F.trim(by_site(lambda r: group(r.structured_mpn)))),
         "structured_price": by_site(lambda r: group(r.structured_price)),
-        "price_block": strip_markup(by_site(after_anchor)),
+        "price_block": strip_markup(by_site(lambda r: after_anchor(r, r.price_window))),
+        "price_rest": strip_markup(by_site(after_anchor)),
         "gone": by_site(lambda r: F.lit(False) if r.discontinued is None else html.rlike(r.discontinued)),
         "stock_in": by_site(lambda r: html.rlike(r.in_stock)),
         "stock_out": by_site(lambda r: html.rlike(r.out_of_stock)),
     }).withColumns({
         "inc": by_site(lambda r: F.col("price_block").rlike(r.tax_included)),
         "exc": by_site(lambda r: F.col("price_block").rlike(r.tax_excluded)),
-        "amount_minor": pounds_to_minor(F.col("price_block")),
+        "amount_minor": F.coalesce(pounds_to_minor(F.col("price_block")), pounds_to_minor(F.col("price_rest"))),
+    })
+    unlabelled = ~F.col("inc") & ~F.col("exc")
+    p = p.withColumns({
+        "inc": F.col("inc") | (unlabelled & by_site(lambda r: first_of(F.col("price_rest"), r.tax_included, r.tax_excluded))),
+        "exc": F.col("exc") | (unlabelled & by_site(lambda r: first_of(F.col("price_rest"), r.tax_excluded, r.tax_included))),
     })
     known = F.col("site").isin([r.site for r in rules])
     mpn = F.when(F.col("visible_mpn") != "", F.col("visible_mpn")).when(F.col("structured_mpn") != "", F.col("structured_mpn"))
@@ -379,12 +392,13 @@ def triage_readings(readings: DataFrame, ceiling: int = 999900) -> DataFrame:
 
 
 def drop_already_retained(readings: DataFrame, retained: DataFrame) -> DataFrame:
-    """Code rows an earlier wave holds, and keep one row per id among the rest."""
+    """Code rows an earlier wave holds, and keep the least row of each id among the rest."""
     keys = ["seller_display_name", "mpn", "observed_at"]
     held = retained.select(*keys).distinct().withColumn("held", F.lit(True))
     marked = readings.join(held, keys, "left")
     code = F.coalesce(F.col("rejection"), F.when(F.col("held"), F.lit("ALREADY_RETAINED_BY_EARLIER_WAVE")))
-    return marked.withColumn("rejection", code).drop("held").dropDuplicates(["reading_id"])
+    coded = marked.withColumn("rejection", code).select(*readings.columns)
+    return coded.groupBy(F.col("reading_id").alias("id")).agg(F.min(F.struct(*coded.columns)).alias("r")).select("r.*")
 
 
 def triage_summary(triaged: DataFrame) -> DataFrame:

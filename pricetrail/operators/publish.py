@@ -135,38 +135,91 @@ MONEY_NAME = r"(?i)minor|amount|price|gbp|cost|pence|sterling"
 TWO_DECIMALS = r"[0-9]\.[0-9]{2}($|[^0-9])"
 
 
+def _nested(kind: T.DataType, path: str) -> list[tuple[str, str, T.DataType]]:
+    """(name, path, type) of every field inside a type; element steps add no name."""
+    if isinstance(kind, T.ArrayType):
+        return _nested(kind.elementType, path)
+    if isinstance(kind, T.MapType):
+        return _nested(kind.keyType, path) + _nested(kind.valueType, path)
+    if isinstance(kind, T.StructType):
+        return [t for f in kind.fields for t in [(f.name, f"{path}.{f.name}", f.dataType), *_nested(f.dataType, f"{path}.{f.name}")]]
+    return []
+
+
+def _holds(kind: T.DataType, leaf: tuple[type, ...]) -> bool:
+    """Whether a type is, or holds at any depth, one of the leaf types."""
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, leaf)
+    if isinstance(kind, T.MapType):
+        return _holds(kind.keyType, leaf) or _holds(kind.valueType, leaf)
+    if isinstance(kind, T.StructType):
+        return any(_holds(f.dataType, leaf) for f in kind.fields)
+    return isinstance(kind, leaf)
+
+
+def _leaves(value: Column, kind: T.DataType, leaf: tuple[type, ...]) -> Column:
+    """All leaf values of the named types under a value, as an array of text."""
+    none = F.array().cast("array<string>")
+    if not _holds(kind, leaf):
+        return none
+    if isinstance(kind, T.ArrayType):
+        found = F.flatten(F.transform(value, lambda v: _leaves(v, kind.elementType, leaf)))
+    elif isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        found = F.concat(_leaves(F.map_keys(value), keys, leaf), _leaves(F.map_values(value), values, leaf))
+    elif isinstance(kind, T.StructType):
+        found = F.concat(*[_leaves(value.getField(f.name), f.dataType, leaf) for f in kind.fields])
+    else:
+        found = F.array(value.cast("string"))
+    return F.coalesce(found, none)
+
+
 def assert_public_safe(df: DataFrame, allowed: list[str]) -> DataFrame:
     """Columns against the allow-list and the money rule, values against leaks.
 
+    Structs, arrays and maps are walked to their leaves, map keys included; a
+    nested field is named by its path, and its own name must be allowed too.
     Values fold to one count per rule and column in a single aggregate.
     """
     import re
 
+    text_kinds, broken_kinds = (T.StringType,), (T.FloatType, T.DoubleType, T.DecimalType)
     structural = []
-    for field in df.schema.fields:
-        if field.name not in allowed:
-            structural.append(("not_in_public_schema", field.name))
-        if re.search(MONEY_NAME, field.name):
-            structural.append(("money_bearing_name", field.name))
-        if isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            structural.append(("non_integer_number", field.name))
-    if {"mpn_expected", "mpn_observed"} <= set(df.columns):
-        structural.append(("identity_comparison", "mpn_expected,mpn_observed"))
+    for name, path, kind in _nested(df.schema, "$"):
+        path = path.removeprefix("$.")
+        if name not in allowed:
+            structural.append(("not_in_public_schema", path))
+        if re.search(MONEY_NAME, name):
+            structural.append(("money_bearing_name", path))
+        if not isinstance(kind, T.StructType) and _holds(kind, broken_kinds) and not _nested(kind, ""):
+            structural.append(("non_integer_number", path))
+    for path, kind in [("", df.schema), *[(p.removeprefix("$."), k) for _, p, k in _nested(df.schema, "$")]]:
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        if isinstance(kind, T.StructType) and {"mpn_expected", "mpn_observed"} <= set(kind.names):
+            structural.append(("identity_comparison", f"{path}.mpn_expected,mpn_observed".removeprefix(".")))
 
     checks: list[Column] = []
     names: list[tuple[str, str]] = []
     for field in df.schema.fields:
-        text = F.col(field.name).cast("string")
-        if isinstance(field.dataType, T.StringType):
-            checks.append(F.count_if(F.contains(text, F.lit("£")) | text.rlike(r"\bGBP\b")))
+        value, kind = F.col(f"`{field.name}`"), field.dataType
+        plain = isinstance(kind, (*text_kinds, *broken_kinds))
+
+        def met(leaf: tuple[type, ...], test, value=value, kind=kind, plain=plain) -> Column:
+            return F.count_if(test(value.cast("string")) if plain else F.exists(_leaves(value, kind, leaf), test))
+
+        if _holds(kind, text_kinds):
+            checks.append(met(text_kinds, lambda t: F.contains(t, F.lit("£")) | t.rlike(r"\bGBP\b")))
             names.append(("currency_text", field.name))
-        if isinstance(field.dataType, (T.StringType, T.FloatType, T.DoubleType, T.DecimalType)):
-            checks.append(F.count_if(text.rlike(TWO_DECIMALS)))
+        if _holds(kind, (*text_kinds, *broken_kinds)):
+            checks.append(met((*text_kinds, *broken_kinds), lambda t: t.rlike(TWO_DECIMALS)))
             names.append(("two_decimal_text", field.name))
     found = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("key"), F.lit(1).cast("long").alias("n")) for r, k in structural]) if structural else None
     counted = [F.struct(F.lit(r).alias("rule"), F.lit(k).alias("key"), F.col(f"c{i}").alias("n")) for i, (r, k) in enumerate(names)]
     row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]) if checks else df.agg(F.count(F.lit(1)).alias("c"))
     parts = [p for p in ([found] if found is not None else []) + ([F.array(*counted)] if counted else [])]
+    if not parts:
+        parts = [F.array().cast("array<struct<rule:string,key:string,n:bigint>>")]
     return row.select(F.explode(F.concat(*parts)).alias("v")).where("v.n > 0").select(
         "v.rule", "v.key", F.col("v.n").cast("string").alias("detail")
     )
@@ -256,8 +309,8 @@ def secret_scan(texts: DataFrame) -> DataFrame:
 
 
 def secret_columns(df: DataFrame) -> list[str]:
-    """Columns whose very name says they hold a credential."""
+    """Columns whose very name says they hold a credential, in snake or camel case."""
     import re
 
     shape = r"(?i)(^|[_-])(password|passwd|secret|credential|api[_-]?key|token|auth(entication|orization)?|cookie|headers?|private[_-]?key)($|[_-])"
-    return [c for c in df.columns if re.search(shape, c)]
+    return [c for c in df.columns if re.search(shape, re.sub("([a-z0-9])([A-Z])", r"\1_\2", c))]

@@ -110,12 +110,19 @@ def check_source_url(url: Column, archived: Column, observed_at: Column, host: C
 
 
 def _fact_print(*facts: Column) -> list[Column]:
-    """Two independent 64-bit prints of a row of facts, 128 bits together."""
-    return [F.xxhash64(F.lit(salt), *facts) for salt in ("a", "b")]
+    """Two independent 64-bit prints of a row of facts, 128 bits together.
+
+    Null when any fact is: hashing skips nulls, and an unknown fact agrees with
+    nothing.
+    """
+    known = F.lit(True)
+    for fact in facts:
+        known = known & fact.isNotNull()
+    return [F.when(known, F.xxhash64(F.lit(salt), *facts)) for salt in ("a", "b")]
 
 
 def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(observation_id, entry_count, facts_equal): exactly one entry must agree.
+    """(observation_id, entry_count, facts_equal): exactly one entry must agree, in facts all known.
 
     Archived rows are bound by evidence id; live rows by address, time and
     seller. Each kind is its own equi-join. The ledger is folded to one row per
@@ -150,7 +157,7 @@ def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
         return rows.join(folded, keys, "left").select(
             "observation_id",
             F.coalesce("entries", F.lit(0)).alias("entry_count"),
-            F.when(F.col("entries") == 1, agree).alias("facts_equal"),
+            F.when(F.col("entries") == 1, F.coalesce(agree, F.lit(False))).alias("facts_equal"),
         )
 
     archive = bound(needs.where("archived").select("observation_id", "evidence_id", "want_a", "want_b"), entries, ["evidence_id"])
@@ -164,8 +171,8 @@ def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def restriction_reasons(fields: list[str], flags: list[str]) -> Column:
-    """Restriction wording anywhere in the review fields, or a true authority flag."""
-    text = F.lower(F.to_json(F.struct(*fields)))
+    """Restriction wording anywhere in the review fields' values, or a true authority flag."""
+    text = F.lower(F.concat_ws("\n", *[F.col(f).cast("string") for f in fields]))
     worded = text.rlike("ambigu|restrict|reject|identity_mismatch|mpn_mismatch")
     named = [f for f in flags if any(p in f for p in ("approval", "approved", "allowed", "eligibility", "activation"))]
     raised = F.exists(F.array(*[F.col(f) for f in named]), lambda v: v) if named else F.lit(False)

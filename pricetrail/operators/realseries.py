@@ -59,14 +59,18 @@ def base_coverage(daily: DataFrame, base_date: str) -> DataFrame:
 
 
 def base_coverage_by_date(coverage: DataFrame) -> DataFrame:
-    """Paired share of the base lines per date in basis points, half-up."""
+    """Paired share of the whole base per date in basis points, half-up.
+
+    Every base line is in the grid from its first day to the last, so the base
+    holds as many lines as its fullest date. The window has one row per date.
+    """
     based = F.col("status").isin(
         "eligible_paired_line", "missing_current_observation_no_imputation", "current_observation_ineligible_no_imputation"
     )
     per = coverage.groupBy("date").agg(
         F.count_if(based).alias("baseline_eligible_line_count"),
         F.count_if(F.col("status") == "eligible_paired_line").alias("eligible_paired_line_count"),
-    )
+    ).withColumn("baseline_eligible_line_count", F.max("baseline_eligible_line_count").over(Window.partitionBy()))
     n, d = F.col("eligible_paired_line_count"), F.col("baseline_eligible_line_count")
     bp = F.when(d == 0, F.lit(0)).otherwise(F.floor((n * 20000 + d) / (d * 2)))
     quality = (

@@ -81,8 +81,8 @@ WITH a AS (SELECT o.*, l.* EXCLUDE (evidence_id, seller_display_name, source_url
 b AS (SELECT o.*, l.* EXCLUDE (evidence_id, seller_display_name, source_url), l.evidence_id AS entry FROM v_offer o LEFT JOIN v_ledger l
   ON o.source_url = l.source_url AND o.observed_at = l.retrieved_at AND o.seller_display_name = l.seller_display_name WHERE NOT o.archived)
 SELECT observation_id, count(entry) AS entry_count,
-  CASE WHEN count(entry) = 1 THEN bool_and(http_status = 200 AND response_bytes > 0 AND fact_mpn = mpn AND fact_amount_minor = amount_minor
-    AND fact_currency = currency AND fact_vat_included = (vat_state = 'included') AND retrieved_at = observed_at) END AS facts_equal
+  CASE WHEN count(entry) = 1 THEN coalesce(bool_and(http_status = 200 AND response_bytes > 0 AND fact_mpn = mpn AND fact_amount_minor = amount_minor
+    AND fact_currency = currency AND fact_vat_included = (vat_state = 'included') AND retrieved_at = observed_at), false) END AS facts_equal
 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY observation_id""")
 def _(spark, root):
     return qualify.match_evidence(offer_observations(spark, root), evidence_ledger(spark, root))

@@ -94,16 +94,14 @@ def _(spark, root):
     )
 
 
-@register("base_coverage_by_date", COVERAGE_SQL + """
-SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (WHERE status NOT IN ('no_baseline_observation', 'baseline_ineligible')) AS baseline_eligible_line_count,
-  count(*) FILTER (WHERE status = 'eligible_paired_line') AS eligible_paired_line_count,
-  CASE WHEN count(*) FILTER (WHERE status NOT IN ('no_baseline_observation', 'baseline_ineligible')) = 0 THEN 0 ELSE
-    (2 * 10000 * count(*) FILTER (WHERE status = 'eligible_paired_line') + count(*) FILTER (WHERE status NOT IN ('no_baseline_observation', 'baseline_ineligible')))
-    // (2 * count(*) FILTER (WHERE status NOT IN ('no_baseline_observation', 'baseline_ineligible'))) END AS coverage_basis_points,
-  CASE WHEN count(*) FILTER (WHERE status NOT IN ('no_baseline_observation', 'baseline_ineligible')) > 0
-      AND count(*) FILTER (WHERE status NOT IN ('no_baseline_observation', 'baseline_ineligible')) = count(*) FILTER (WHERE status = 'eligible_paired_line') THEN 'calculable_complete_base_basket_without_imputation'
-    WHEN count(*) FILTER (WHERE status = 'eligible_paired_line') > 0 THEN 'abstain_incomplete_base_basket_coverage' ELSE 'abstain_no_eligible_paired_lines' END AS quality_state
-FROM c GROUP BY date""")
+@register("base_coverage_by_date", COVERAGE_SQL + f"""
+, base AS (SELECT count(*) AS d FROM c WHERE date = DATE '{BASE_DAY}' AND status = 'eligible_paired_line'),
+per AS (SELECT date, d, count(*) FILTER (WHERE status = 'eligible_paired_line') AS n FROM c CROSS JOIN base GROUP BY date, d)
+SELECT strftime(date, '%Y-%m-%d') AS date, d AS baseline_eligible_line_count, n AS eligible_paired_line_count,
+  CASE WHEN d = 0 THEN 0 ELSE (20000 * n + d) // (2 * d) END AS coverage_basis_points,
+  CASE WHEN d > 0 AND n = d THEN 'calculable_complete_base_basket_without_imputation'
+    WHEN n > 0 THEN 'abstain_incomplete_base_basket_coverage' ELSE 'abstain_no_eligible_paired_lines' END AS quality_state
+FROM per""")
 def _(spark, root):
     c = ops.base_coverage(ops.dated_lines(quoted(spark, root)), BASE_DAY)
     return ops.base_coverage_by_date(c).withColumn("date", F.col("date").cast("string"))

@@ -176,7 +176,7 @@ def _(spark, root):
 
 
 @register("matched_links", """
-SELECT year(period) || 'Q' || quarter(period) AS period_id, matched_count, CASE WHEN matched_count >= 300 THEN floor(link * 10000 + 0.5) / 10000 END AS link
+SELECT year(period) || 'Q' || quarter(period) AS period_id, matched_count, floor(link * 10000 + 0.5) / 10000 AS link
 FROM v_links""")
 def _(spark, root):
     from pricetrail.functions.money import round_dp
@@ -185,7 +185,7 @@ def _(spark, root):
     return links.select(
         quarter_label(F.col("period")).alias("period_id"),
         "matched_count",
-        F.when(F.col("matched_count") >= 300, round_dp(F.col("link"), 4)).alias("link"),
+        round_dp(F.col("link"), 4).alias("link"),
     )
 
 

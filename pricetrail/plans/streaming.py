@@ -65,9 +65,13 @@ def through_batches(spark: SparkSession, stream: DataFrame, name: str, make) ->
     return folder
 
 
-@register("stream_late", "SELECT observation_id, 'accepted' AS side FROM v_event_obs")
+@register("stream_late", """
+SELECT observation_id, CASE WHEN observed_at <= max(observed_at) OVER (PARTITION BY mpn, seller ORDER BY delivery RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  THEN 'refused' ELSE 'accepted' END AS side FROM (SELECT *, event_id % 3 AS delivery FROM v_event_obs)""")
 def _(spark, root):
-    folder = through_batches(spark, event_stream(spark, root), "late", lambda f: live.late_splitter(spark, f))
+    # Three deliveries that overlap in time, so rows of the later ones are backdated.
+    s = event_stream(spark, root).withColumn("delivery", F.col("event_id") % 3)
+    folder = through_batches(spark, s, "late", lambda f: live.late_splitter(spark, f, tranche=["delivery"]))
     columns = "observation_id STRING"
     sides = [spark.read.schema(columns).parquet(f"{folder}/{n}/*").withColumn("side", F.lit(n)) for n in ("accepted", "refused")]
     return sides[0].unionByName(sides[1])
@@ -80,7 +84,7 @@ SELECT * FROM (SELECT mpn, seller, lag(observation_id) OVER w AS from_observatio
   CASE WHEN amount_minor > lag(amount_minor) OVER w THEN 'up' WHEN amount_minor < lag(amount_minor) OVER w THEN 'down' ELSE 'flat' END AS direction
   FROM v_event_obs WINDOW w AS (PARTITION BY mpn, seller ORDER BY observed_at, observation_id)) WHERE from_observation_id IS NOT NULL""")
 def _(spark, root):
-    folder = through_batches(spark, event_stream(spark, root), "moves", lambda f: live.line_movement_writer(spark, f))
+    folder = through_batches(spark, event_stream(spark, root), "moves", lambda f: live.line_movement_writer(spark, f, tranche=()))
     return spark.read.parquet(f"{folder}/movements").drop("batch")
 
 

@@ -9,19 +9,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
-    """A table whose rows reach every core even when its file does not split.
-
-    A file written as one row group is read by one task, and everything up to
-    the first shuffle runs there. Where a scan of several splits has fewer of
-    them than there are cores, rows are spread by `key`; a scan with enough
-    splits, as any large table has, is left alone and gains no exchange.
-    """
-    df = table(spark, root, name)
-    splits, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 1 < splits < cores else df
-
-
 def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """A fixed table written in code, planned as a local relation of known size."""
 

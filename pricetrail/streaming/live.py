@@ -8,9 +8,9 @@ repeated after a failure writes the same rows again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -69,7 +69,35 @@ class VersionedTable:
 LINE = ["mpn", "seller"]
 
 
-def late_splitter(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+TRANCHE_ORDER = ("created_at", "tranche_id")
+
+
+def mark_late(batch: DataFrame, seen: DataFrame, tranche: Sequence[str]) -> DataFrame:
+    """`late`: not later than the line's newest row of any earlier tranche.
+
+    Earlier tranches are those stored in `seen` (line, last_seen) and those that
+    come before in the same micro-batch, so the answer does not depend on how
+    many files a micro-batch holds. Tranches are ordered by the named columns;
+    with none, a micro-batch is one tranche. The window runs over one row per
+    line and tranche. Keys meet as structs, which equal themselves with nulls.
+    """
+    line, place = F.struct(*LINE), F.struct(*LINE, *tranche)
+    rows = batch.withColumn("place", place)
+    tops = rows.groupBy("place").agg(F.max("observed_at").alias("top"))
+    if tranche:
+        earlier = Window.partitionBy(*[f"place.{c}" for c in LINE]).orderBy(*[f"place.{c}" for c in tranche])
+        reached = F.max("top").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    else:
+        reached = F.lit(None).cast("timestamp")
+    tops = tops.select("place", F.struct(*[F.col(f"place.{c}") for c in LINE]).alias("line"), reached.alias("reached"))
+    stored = seen.select(line.alias("line"), "last_seen")
+    bounds = tops.join(stored, "line", "left").select("place", F.greatest("reached", "last_seen").alias("bound"))
+    return rows.join(bounds, "place").withColumn("late", F.coalesce(F.col("observed_at") <= F.col("bound"), F.lit(False))).drop("place", "bound")
+
+
+def late_splitter(
+    spark: SparkSession, folder: str, tranche: Sequence[str] = TRANCHE_ORDER
+) -> Callable[[DataFrame, int], None]:
     """Refuse rows not later than what their line already holds; keep both sides.
 
     Accepted rows go to <folder>/accepted, refused ones to <folder>/refused.
@@ -78,9 +106,9 @@ def late_splitter(spark: SparkSession, folder: str) -> Callable[[DataFrame, int]
 
     def handle(batch: DataFrame, number: int) -> None:
         before = seen.before(number)
-        marked = batch.join(before, LINE, "left").withColumn("late", F.coalesce(F.col("observed_at") <= F.col("last_seen"), F.lit(False)))
+        marked = mark_late(batch, before, tranche)
         for late, name in ((False, "accepted"), (True, "refused")):
-            part = marked.where(F.col("late") == late).drop("late", "last_seen")
+            part = marked.where(F.col("late") == late).drop("late")
             part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
         arrived = batch.groupBy(*LINE).agg(F.max("observed_at").alias("last_seen"))
         seen.write(before.unionByName(arrived).groupBy(*LINE).agg(F.max("last_seen").alias("last_seen")), number)
@@ -88,18 +116,24 @@ def late_splitter(spark: SparkSession, folder: str) -> Callable[[DataFrame, int]
     return handle
 
 
-def line_movement_writer(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+def line_movement_writer(
+    spark: SparkSession, folder: str, tranche: Sequence[str] = TRANCHE_ORDER
+) -> Callable[[DataFrame, int], None]:
     """Change of each row against its line's previous price, across batches.
 
     The last price per line enters the batch as one more row, so a single
-    ordered pass, split into monthly chunks, covers old and new alike.
+    ordered pass, split into monthly chunks, covers old and new alike. Rows that
+    come late, by the same rule as in `late_splitter`, have no previous price
+    any more: they go to <folder>/late and move nothing.
     """
     last = VersionedTable(spark, f"{folder}/last", "mpn STRING, seller STRING, observed_at TIMESTAMP, observation_id STRING, amount_minor BIGINT")
 
     def handle(batch: DataFrame, number: int) -> None:
         columns = [*LINE, "observed_at", "observation_id", "amount_minor"]
         before = last.before(number).select(*columns)
-        rows = batch.select(*columns, F.lit(True).alias("is_new")).unionByName(before.withColumn("is_new", F.lit(False)))
+        marked = mark_late(batch, before.withColumnRenamed("observed_at", "last_seen"), tranche)
+        marked.where("late").select(*columns).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        rows = marked.where("NOT late").select(*columns, F.lit(True).alias("is_new")).unionByName(before.withColumn("is_new", F.lit(False)))
         paired = lag_in_chunks(rows, LINE, ["observed_at", "observation_id"], ["observation_id", "amount_minor"], F.trunc("observed_at", "month"))
         change = F.col("amount_minor") - F.col("prior.amount_minor")
         moves = paired.where("is_new AND prior IS NOT NULL").select(

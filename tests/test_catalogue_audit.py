@@ -171,3 +171,47 @@ def test_month_needs_every_date(spark):
     assert [(r["value"], r["unavailable_reason"]) for r in realseries.constant_price(months, deflator, "2026-01").orderBy("month").collect()] == [
         (15.0, None), (None, "monthly_nominal_unavailable")
     ]
+
+
+def test_unknown_facts_agree_with_nothing(spark):
+    """Unknown tax on both sides, or values that change columns around a null, are no agreement."""
+    from pricetrail.operators.qualify import match_evidence
+
+    o = spark.sql("""SELECT * FROM VALUES ('o1', true, 'e1', 'u', TIMESTAMP'2026-01-01', 's', 'A', 5L, 'GBP', CAST(NULL AS STRING)),
+      ('o2', true, 'e2', 'u', TIMESTAMP'2026-01-01', 's', 'A', 5L, 'GBP', 'included') AS
+      t(observation_id, archived, evidence_id, source_url, observed_at, seller_display_name, mpn, amount_minor, currency, vat_state)""")
+    ledger = spark.sql("""SELECT *, 200 AS http_status, repeat('a', 64) AS response_sha256, 9L AS response_bytes FROM VALUES
+      ('e1', 's', 'u', TIMESTAMP'2026-01-01', 'A', 5L, 'GBP', CAST(NULL AS BOOLEAN)), ('e2', 's', 'u', TIMESTAMP'2026-01-01', 'A', 5L, 'GBP', true) AS
+      t(evidence_id, seller_display_name, source_url, retrieved_at, fact_mpn, fact_amount_minor, fact_currency, fact_vat_included)""")
+    got = {r["observation_id"]: r["facts_equal"] for r in match_evidence(o, ledger).collect()}
+    assert got == {"o1": False, "o2": True}
+
+
+def test_restrictions_are_read_in_values_not_names(spark):
+    from pricetrail.operators.qualify import restriction_reasons
+
+    df = spark.sql("SELECT * FROM VALUES ('none', 'x'), ('Rejected by review', NULL), (NULL, NULL) AS t(rejection, note)")
+    assert [len(r[0]) for r in df.select(restriction_reasons(["rejection", "note"], [])).collect()] == [0, 1, 0]
+
+
+def test_coverage_divides_by_the_whole_base(spark):
+    from pricetrail.operators.realseries import base_coverage, base_coverage_by_date
+
+    daily = spark.sql("""SELECT mpn, 's' AS seller, CAST(d AS DATE) AS date, true AS eligible FROM VALUES
+      ('A', '2026-01-01'), ('A', '2026-01-02'), ('B', '2026-01-02'), ('A', '2026-01-03') AS t(mpn, d)""")
+    got = {str(r["date"])[-1]: (r["baseline_eligible_line_count"], r["coverage_basis_points"]) for r in base_coverage_by_date(base_coverage(daily, "2026-01-02")).collect()}
+    assert got == {"1": (2, 5000), "2": (2, 10000), "3": (2, 5000)}
+
+
+def test_nested_values_are_searched_for_leaks(spark):
+    from pricetrail.operators.publish import assert_public_safe, secret_columns
+
+    df = spark.sql("""SELECT named_struct('price', 1L, 'note', 'ok') AS a, array('fine', 'GBP 1.23', NULL) AS b,
+      map('k', array(named_struct('v', 2.5D))) AS c, CAST(NULL AS ARRAY<STRING>) AS d, 1L AS n""")
+    found = {(r["rule"], r["key"]) for r in assert_public_safe(df, ["a", "b", "c", "d", "n", "note", "v"]).collect()}
+    assert found == {
+        ("not_in_public_schema", "a.price"), ("money_bearing_name", "a.price"), ("non_integer_number", "c.v"),
+        ("currency_text", "b"), ("two_decimal_text", "b"),
+    }
+    assert assert_public_safe(df.select("n", "d"), ["n", "d"]).count() == 0
+    assert secret_columns(spark.sql("SELECT 1 AS accessToken, 2 AS clientSecret, 3 AS tokenise, 4 AS plain")) == ["accessToken", "clientSecret"]

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.exact import ratio_micros
 from pricetrail.functions.money import (
-    basis_points, format_gbp, format_index, format_signed_percent, grouped_median, half_up, permille, round_dp,
+    basis_points, format_gbp, format_index, format_signed_percent, grouped_median, half_up, mean_minor, permille, round_dp,
 )
 from pricetrail.functions.periods import london_date, month_offset, month_span, quarter_label, valid_instant
-from pricetrail.functions.text import canonical_json, nfkc, normalise_manufacturer, pounds_to_minor, slug, strip_markup
+from pricetrail.functions.text import canonical_json, nfkc, normalise_manufacturer, normalise_mpn, pounds_to_minor, slug, strip_markup
 from pricetrail.functions.windows import lag_in_chunks
 from tests.helpers import rows
 
@@ -94,3 +94,22 @@ def test_lag_in_chunks_equals_lag(spark):
         for at, v in ordered:
             assert got[(key, at)] == previous
             previous = v
+
+
+def test_lag_in_chunks_keeps_rows_with_null_keys_and_order(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 12, 2), ("a", None, 3), ("a", 5, 4)], "k string, at long, v long")
+    out = lag_in_chunks(df, ["k"], ["at"], ["v"], F.floor(F.col("at") / 10))
+    assert sorted((r["v"], r["prior"]["v"] if r["prior"] else None) for r in out.collect()) == [(1, None), (2, 1), (3, None), (4, 3)]
+
+
+def test_part_numbers_are_composed_and_trimmed_of_all_white_space(spark):
+    df = spark.createDataFrame([("\t ab-1\u00a0\n",), ("\uff21\uff22\uff0d\uff11",), ("\ufeffx y\u3000",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(normalise_mpn(F.col("t"))).collect()]
+    assert got == ["AB-1", "AB-1", "X Y", None, ""]
+    assert [r[0] for r in df.select(normalise_manufacturer(F.col("t"))).collect()] == ["ab1", "ab1", "xy", None, ""]
+
+
+def test_mean_of_large_amounts_is_exact(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740993,)], "x long")
+    assert df.agg(mean_minor("x")).first()[0] == 9007199254740993
+    assert spark.createDataFrame([(None,)], "x long").agg(mean_minor("x")).first()[0] is None

@@ -29,7 +29,7 @@ def stream(spark, folder):
 
 def test_movements_agree_with_one_batch(spark, parts):
     df, folder = parts
-    live.run_to_end(live.write_batches(stream(spark, folder), live.line_movement_writer(spark, f"{folder}/m")), f"{folder}/c1")
+    live.run_to_end(live.write_batches(stream(spark, folder), live.line_movement_writer(spark, f"{folder}/m", tranche=())), f"{folder}/c1")
     got = spark.read.parquet(f"{folder}/m/movements")
     from pyspark.sql import Window
 
@@ -49,7 +49,7 @@ def test_backdated_rows_are_refused(spark, tmp_path):
     folder = str(tmp_path)
     first = obs(spark, [("A", "s", "2026-01-05", 1, True), ("B", "s", "2026-01-05", 1, True)])
     second = obs(spark, [("A", "s", "2026-01-04", 2, True), ("A", "s", "2026-01-06", 3, True), ("C", "s", "2026-01-01", 4, True)]).withColumn("observation_id", F.concat(F.lit("n"), "observation_id"))
-    handle = live.late_splitter(spark, folder)
+    handle = live.late_splitter(spark, folder, tranche=())
     handle(first, 0)
     for _ in range(2):  # a repeated batch writes the same again
         handle(second, 1)
@@ -83,3 +83,23 @@ def test_missed_slots_across_batches(spark, tmp_path):
     for n, day in enumerate(["2026-01-01", "2026-01-04", "2026-01-06"]):
         handle(spark.sql(f"SELECT 'r{n}' AS run_id, TIMESTAMP'{day} 12:00:00' AS started_at"), n)
     assert rows(spark.read.parquet(f"{folder}/missed"), "scheduled_for") == [("2026-01-02T11:30:00",), ("2026-01-03T11:30:00",), ("2026-01-05T11:30:00",)]
+
+
+@pytest.mark.parametrize("cut", [1, 2])
+def test_lateness_does_not_depend_on_the_batch_cut(spark, tmp_path, cut):
+    folder = str(tmp_path)
+    first = obs(spark, [("A", "s", "2026-01-05", 1, True), ("A", None, "2026-01-05", 1, True)]).withColumn("tranche_id", F.lit("t1"))
+    second = obs(spark, [("A", "s", "2026-01-04", 2, True), ("A", "s", "2026-01-06", 3, True), ("A", None, "2026-01-05", 4, True)]).withColumns(
+        {"tranche_id": F.lit("t2"), "observation_id": F.concat(F.lit("n"), "observation_id")}
+    )
+    parts = [first.unionByName(second)] if cut == 1 else [first, second]
+    split = live.late_splitter(spark, f"{folder}/s", tranche=["tranche_id"])
+    moves = live.line_movement_writer(spark, f"{folder}/m", tranche=["tranche_id"])
+    for number, part in enumerate(parts):
+        split(part, number)
+        moves(part, number)
+    columns = "observation_id STRING, amount_minor BIGINT"
+    read = spark.read.schema(columns)
+    assert rows(read.parquet(f"{folder}/s/refused/*"), "amount_minor") == [(2,), (4,)]
+    assert rows(read.parquet(f"{folder}/m/late/*"), "amount_minor") == [(2,), (4,)]
+    assert rows(spark.read.parquet(f"{folder}/m/movements"), "from_minor", "to_minor") == [(1, 3)]
