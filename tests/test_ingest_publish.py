@@ -157,3 +157,13 @@ def test_tokens(spark):
     assert rows(publish.private_tokens(df, "amount")) == [("123.45",), ("GBP 123.45",), ("o-1",), ("o-2",), ("£123.45",)]
     codes = spark.sql("SELECT array('HTTP_404', 'lower', 'SHORT') AS reasons, 'PRICE_NOT_VISIBLE' AS code")
     assert rows(publish.reason_tokens(codes, ["reasons", "code"])) == [("HTTP_404",), ("PRICE_NOT_VISIBLE",)]
+
+
+def test_price_far_behind_its_anchor_is_found(spark):
+    from pricetrail.operators.ingest import SiteRules, extract_page_facts
+
+    rule = SiteRules("s", r"<h1>(.*?)</h1>", r"MPN: (\S+)", r"class=.price", r"(?i)inc\.? vat", r"(?i)ex\.? vat", "In stock", "Out of stock")
+    far = "<h1>32GB (2x16GB) DDR5</h1> MPN: AB-1 <p class='price'>" + "<i></i>" * 400 + "£12.34 ex VAT</p> <footer>inc VAT</footer>"
+    pages = spark.createDataFrame([("p", "s", "u", far)], "page_id string, site string, url string, html string")
+    got = extract_page_facts(pages, [rule]).first()
+    assert (got["amount_minor"], got["vat_included"], got["reasons"]) == (1234, False, [])
