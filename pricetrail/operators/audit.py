@@ -160,10 +160,12 @@ def with_prior_revision(log: DataFrame, key: str, carry: list[str]) -> DataFrame
     """Each revision next to its predecessor, met on (key, revision - 1).
 
     An equi-join on the numbered pair, so one much-revised record spreads over
-    all tasks. The predecessor columns carry the prefix `prior_`.
+    all tasks. The predecessor columns carry the prefix `prior_`. Of a doubled
+    revision, the row of least carried values is the predecessor.
     """
-    prior = log.select(key, (F.col("revision") + 1).alias("revision"), *[F.col(c).alias(f"prior_{c}") for c in carry], F.lit(True).alias("has_prior"))
-    return log.join(prior.dropDuplicates([key, "revision"]), [key, "revision"], "left")
+    prior = log.groupBy(key, (F.col("revision") + 1).alias("revision")).agg(F.min(F.struct(*carry)).alias("_prior"))
+    prior = prior.select(key, "revision", *[F.col("_prior")[c].alias(f"prior_{c}") for c in carry], F.lit(True).alias("has_prior"))
+    return log.join(prior, [key, "revision"], "left")
 
 
 def check_revision_chain(log: DataFrame, key: str) -> DataFrame:

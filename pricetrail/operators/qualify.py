@@ -218,7 +218,9 @@ def check_seller_resolution(obs: DataFrame, roster: DataFrame, aliases: DataFram
     )
     # Distinct names are few next to rows, so they are reduced before the join.
     seen = obs.groupBy(F.col(observed).alias("observed_name")).agg(F.count(F.lit(1)).alias("n"))
-    resolved = seen.join(aliases.dropDuplicates(["observed_name"]), "observed_name", "left").withColumn(
+    # A doubled alias is reported below; the least of its targets by code point stands for it here.
+    single = aliases.groupBy("observed_name").agg(F.min("canonical_name").alias("canonical_name"))
+    resolved = seen.join(single, "observed_name", "left").withColumn(
         "name", F.coalesce("canonical_name", "observed_name")
     )
     unrostered = resolved.join(names, "name", "left_anti").select(

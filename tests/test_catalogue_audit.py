@@ -92,6 +92,8 @@ def test_revision_chain(spark):
         ("first_revision_has_parent", "b@1"), ("parent_hash_differs", "d@2"), ("revision_gap", "c@2"), ("revision_hash_not_unique", "h6")
     ]
     assert rows(audit.current_revisions(log, "id"), "id", "revision") == [("a", 2), ("b", 1), ("c", 2), ("d", 2), ("e", 1)]
+    doubled = literal_table(spark, "id string, revision bigint, revision_hash string", [("a", 1, "h2"), ("a", 1, "h1"), ("a", 2, "h3")])
+    assert rows(audit.with_prior_revision(doubled, "id", ["revision_hash"]).where("has_prior"), "id", "prior_revision_hash") == [("a", "h1")]
 
 
 def test_missed_slots(spark):
