@@ -188,6 +188,22 @@ def test_forest(spark, messy, empty, width):
     assert once.columns == messy.columns and once.where("doc_id = 0").count() == 1 and once.where("doc_id = 1").count() == 0
 
 
+def test_forest_regions_that_are_split(spark, monkeypatch):
+    """Pairs at 0.8 exactly, among many texts at 0.73, in regions that pass REGION_PAIRS at every depth."""
+    monkeypatch.setattr(lshforest, "REGION_PAIRS", 20)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(200):
+        for side in "xy":
+            words = [f"b{i}" for i in range(76)] + [f"p{g}-{i}" for i in range(4)] + [f"{side}{g}-{i}" for i in range(10)]
+            rows.append((len(rows), " ".join(rng.permutation(words))))
+    sets = [frozenset(t.split()) for _, t in rows]
+    want = {i: min(j for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in lshforest.near_duplicates(docs, 1).collect()}
+    assert want == {i: i - i % 2 for i in range(400)} and got == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2))]
