@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long tokens that mix letters and digits, or stand after a name
-that announces a secret. The forest sees a candidate's length, its character
+Candidates are all long tokens, in every part of a word, that hold a digit or
+stand after a name that announces a secret, dotted web tokens whole, and
+passwords inside addresses. The forest sees a candidate's length, its character
 transitions, how much of it dictionary words cover, whether it is part of a
 path or address, and its neighbouring words. It learns from labelled findings.
 """
@@ -30,24 +31,64 @@ FEATURES = [
 #: Documented bound of the labelled sample: findings per label, chosen by hash.
 PER_LABEL = 10_000
 CUT = 0.5
+#: Characters of context kept on each side of a value, and of each neighbouring word.
+AROUND = 60
+_TOKEN = rf"[A-Za-z0-9_+/\-]{{{LEAST_LENGTH},}}={{0,2}}"
+_DOTTED = r"eyJ[A-Za-z0-9_\-]{8,}(?:\.{1,2}[A-Za-z0-9_\-]+){1,4}"
+_QUOTES = r"[\"'`\\\]\[(){}<$]*"
+#: Groups: what lies between the values, name, separator, user part of an address, value; what follows is looked at only.
+#: A match starts where the last one ends, so that what follows the last value is read once.
+FINDING = (
+    rf"(?s)\G(.*?)(?:([A-Za-z_][A-Za-z0-9_.\-]{{0,{AROUND}}})({_QUOTES}(?:[=:]{{1,3}}>?|>){_QUOTES})|(://[^\s/:@]{{0,{AROUND}}}:)(?=[^\s/:@]{{{LEAST_LENGTH},}}@))?"
+    rf"({_DOTTED}|{_TOKEN})(?=(.{{0,{AROUND}}}))"
+)
+#: What ends the piece of a word that a value belongs to.
+_EDGE = r"=?&\"'`<>;,(){}\[\]|"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, value, inside, near): each candidate with its word's place and surroundings.
+    """(doc_id, place, word, value, inside, near): each candidate with its word's place and surroundings.
 
     A null or empty text has none. Words are cut at white space, so a text of any
-    length is one pass over its words; only long ones with a digit go on.
+    length is one pass over its words; only long ones that may hold a candidate
+    go on, and each gives all its values. `word` is the piece around the value up
+    to the next separators, `inside` the name before it in its word. Every
+    neighbouring word is cut on its own, at the end that faces the value.
     """
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
     rows = docs.select("doc_id", words.alias("w"))
-    long_word = lambda x: (F.length(x) >= LEAST_LENGTH) & x.rlike(r"[0-9]") & x.rlike(rf"[A-Za-z0-9_+/\-]{{{LEAST_LENGTH},}}")
-    rows = rows.select("doc_id", "w", F.filter(F.transform("w", lambda x, i: F.when(long_word(x), i)), lambda i: i.isNotNull()).alias("at"))
+    names = rf"(?i)({ANNOUNCING})"
+    closing = F.lit(rf"{names}[A-Za-z0-9_.\-]*{_QUOTES}[=:]{{1,3}}>?{_QUOTES}$")
+    before = lambda i, k: F.when(i >= k, F.get("w", i - k))
+
+    def led(i: Column) -> Column:
+        """Whether the words before announce a value: `name:`, or `name =`."""
+        apart = before(i, 1).rlike(r"^(:|=|:=|=>|==)$") & F.rlike(F.substring(before(i, 2), -AROUND, AROUND), F.lit(rf"{names}[A-Za-z0-9_.\-]*{_QUOTES}$"))
+        return F.coalesce(F.rlike(F.substring(before(i, 1), -AROUND, AROUND), closing) | apart, F.lit(False))
+
+    def long_word(x: Column, i: Column) -> Column:
+        shaped = (F.length(x) >= LEAST_LENGTH) & x.rlike(rf"[A-Za-z0-9_+/\-]{{{LEAST_LENGTH},}}|://")
+        return shaped & (x.rlike(r"[0-9]|://") | x.rlike(rf"{names}[A-Za-z0-9_.\-]{{0,{AROUND}}}{_QUOTES}[=:>]") | led(i))
+
+    rows = rows.select("doc_id", "w", F.filter(F.transform("w", lambda x, i: F.when(long_word(x, i), i)), lambda i: i.isNotNull()).alias("at"))
     rows = rows.select("doc_id", "w", F.explode("at").alias("place"))
-    near = F.lower(F.array_join(F.filter(F.array(*[F.get("w", F.col("place") + k) for k in (-3, -2, -1, 1)]), lambda x: x.isNotNull()), " "))
-    rows = rows.select("doc_id", "place", F.get("w", F.col("place")).alias("word"), F.substring(near, 1, 400).alias("near"))
-    value = F.regexp_extract("word", rf"^(?:[A-Za-z_\-]*[=:])?[\"'(\[]*([A-Za-z0-9_+/\-]{{{LEAST_LENGTH},}}={{0,2}})", 1)
-    inside = F.lower(F.regexp_extract("word", r"^([A-Za-z_\-]+)[=:]", 1))
-    return rows.select("doc_id", "place", "word", value.alias("value"), inside.alias("inside"), "near").where("value <> ''")
+    place = F.col("place")
+    ends = [F.substring(before(place, k), -100, 100) for k in (3, 2, 1)] + [F.substring(F.get("w", place + 1), 1, 100)]
+    near = F.lower(F.array_join(F.filter(F.array(*ends), lambda x: x.isNotNull()), " "))
+    rows = rows.select("doc_id", "place", F.get("w", place).alias("w"), near.alias("near"), led(place).alias("led"))
+    # The groups of a match stand at one index of six lists.
+    groups = [F.regexp_extract_all("w", F.lit(FINDING), F.lit(k)) for k in range(1, 7)]
+    rows = rows.select("doc_id", "place", "near", "led", F.posexplode(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups, 1)])).alias("nth", "g"))
+    g = {k: F.col(f"g.g{k}") for k in range(1, 7)}
+    address = g[4] != ""
+    head = F.concat(F.substring(g[1], -AROUND, AROUND), g[2], g[3])
+    piece = F.concat(F.regexp_extract(head, rf"([^{_EDGE}]*)$", 1), g[5], F.regexp_extract(g[6], rf"^([^{_EDGE}]*)", 1))
+    quote = F.concat(F.substring(F.concat(g[1], g[3]), -1, 1), F.substring(g[6], 1, 1)).rlike("[\"'`]")
+    rows = rows.select(
+        "doc_id", "place", F.when(address, g[5]).otherwise(piece).alias("word"), g[5].alias("value"),
+        F.when(address, F.lit("password")).otherwise(F.lower(g[2])).alias("inside"), "near", quote.alias("quote"), ((F.col("nth") == 0) & F.col("led")).alias("led"),
+    )
+    return rows.where(F.col("value").rlike("[0-9]") | F.col("inside").rlike(ANNOUNCING) | F.col("led")).drop("led")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -68,7 +109,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "announced_inside": flag(F.col("inside").rlike(ANNOUNCING)),
         "announced_near": flag(F.col("near").rlike(ANNOUNCING)),
         "harmless_near": flag(F.col("near").rlike(HARMLESS) | F.col("inside").rlike(HARMLESS)),
-        "quoted": flag(F.col("word").rlike("[\"']")),
+        "quoted": flag(F.col("quote")),
         "issued": flag(v.rlike(ISSUED)),
     })
 
@@ -122,7 +163,9 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
 
     n_chars, where there is such a column, follows the text.
     """
-    hits = scan(docs).where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_found"))
+    # Longer values first, so that one inside another leaves no rest.
+    by_length = lambda x, y: F.length(y) - F.length(x)
+    hits = scan(docs).where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("value"), by_length).alias("_found"))
     held = docs.join(write_out(hits, "secrets-hits"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
     clean = F.aggregate("_found", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
     held = held.withColumn("text", F.when(F.col("_found").isNotNull(), clean).otherwise(F.col("text")))
