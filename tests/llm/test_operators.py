@@ -122,6 +122,22 @@ def test_brown_base_score(spark, messy):
     assert all(r["n_known"] == r["n_tokens"] and r["train_tokens"] == n for r in got)
 
 
+def test_brown_rare_words_have_their_own_class(spark, monkeypatch):
+    """Two rare words of one ending and count follow their neighbours, inside the head and outside of it."""
+    texts = ["a b a b a b", "c d c d c d"] * 40 + ["a xxing a xxing a xxing a b"] * 4 + ["c yying c yying c yying c d"] * 4
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = spark.createDataFrame([(0, "a xxing a"), (1, "a yying a"), (2, "c yying c"), (3, "c xxing c")], "doc_id long, text string")
+    monkeypatch.setattr(brown, "KEY_WORDS", 4)
+    scores = []
+    for words in (brown.HEAD_WORDS, 4):
+        monkeypatch.setattr(brown, "HEAD_WORDS", words)
+        model, counts = brown.fit(train)
+        got = {r["doc_id"]: r["score"] for r in brown.score(held, model, counts, []).collect()}
+        assert got[0] > got[1] and got[2] > got[3]
+        scores.append([round(got[i], 9) for i in range(4)])
+    assert scores[0] == scores[1]
+
+
 def test_cross_polytope(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 24))
