@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import bpe, brown, crosspolytope, langid, lshforest, mixing, quality, repair, rules, secretscan
+from pricetrail.llm import blockrank, bpe, brown, crosspolytope, langid, lshforest, mixing, quality, repair, rules, secretscan
 from pricetrail.llm.common import learned_from, ship_code, split_is
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,29 @@ def brown_bigram(spark: SparkSession, root: str) -> DataFrame:
 def secret_forest(spark: SparkSession, root: str) -> DataFrame:
     found = secretscan.scan(read(spark, root, "documents"))
     return found.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), "kind", "score", "is_secret")
+
+
+@register("op11_block_rank", sql=r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+        FROM documents WHERE text IS NOT NULL
+    ), sizes AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+    total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+    weight AS (
+        SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(nd) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w
+        FROM tf, total GROUP BY term
+    ), entry AS (
+        SELECT item_id, term, count(*) AS c FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL
+        ) GROUP BY ALL
+    ), scored AS (
+        SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+        FROM entry JOIN weight USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20
+""")
+def block_rank(spark: SparkSession, root: str) -> DataFrame:
+    return blockrank.search(spark, read(spark, root, "documents"), read(spark, root, "benchmark"))
