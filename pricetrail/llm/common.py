@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -67,6 +68,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs, which it does once the driver has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def split_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32(doc_id as text) mod `modulus` = `remainder`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

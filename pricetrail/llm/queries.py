@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import blockrank, bpe, brown, crosspolytope, langid, lshforest, mixing, quality, repair, rules, secretscan
+from pricetrail.llm import blockrank, bpe, brown, bucketrefine, crosspolytope, langid, lshforest, mixing, quality, repair, rules, secretscan
 from pricetrail.llm.common import learned_from, ship_code, split_is
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,32 @@ def secret_forest(spark: SparkSession, root: str) -> DataFrame:
 """)
 def block_rank(spark: SparkSession, root: str) -> DataFrame:
     return blockrank.search(spark, read(spark, root, "documents"), read(spark, root, "benchmark"))
+
+
+@register("op12_bucket_refine", sql="""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, CAST(strlen(coalesce(text, '')) AS BIGINT) AS nb FROM documents),
+    w AS (SELECT doc_id, p, substr(hx, 2 * p + 1, 100) AS s FROM (SELECT doc_id, hx, unnest(range(nb - 49)) AS p FROM d WHERE nb >= 50)),
+    hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+    run AS (
+        SELECT doc_id, p, sum(CASE WHEN prev IS NULL OR p > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r
+        FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM hit)
+    ),
+    span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, r),
+    piece AS (
+        SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s, a AS e FROM span
+        UNION ALL
+        SELECT doc_id, max(b), any_value(nb) FROM span JOIN d USING (doc_id) GROUP BY doc_id
+    ),
+    kept AS (SELECT doc_id, string_agg(substr(hx, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS hx FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+    cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM span GROUP BY doc_id)
+    SELECT doc_id, nb AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(coalesce(kept.hx, d.hx))) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def bucket_refine(spark: SparkSession, root: str) -> DataFrame:
+    out = bucketrefine.without_repeats(read(spark, root, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select(
+        "doc.doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
