@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import blockrank, bpe, brown, bucketrefine, crosspolytope, langid, lshforest, mixing, quality, repair, rules, secretscan
+from pricetrail.llm import blockrank, bpe, brown, bucketrefine, crosspolytope, gramgroups, langid, lshforest, mixing, quality, repair, rules, secretscan
 from pricetrail.llm.common import learned_from, ship_code, split_is
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,8 @@ def bucket_refine(spark: SparkSession, root: str) -> DataFrame:
         "doc.doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@register("op13_gram_groups")
+def gram_groups(spark: SparkSession, root: str) -> DataFrame:
+    return gramgroups.variants(read(spark, root, "documents"))
