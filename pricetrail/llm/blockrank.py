@@ -47,7 +47,7 @@ def entries_of(items: DataFrame) -> DataFrame:
         for pdf in batches:
             for item, text in zip(pdf["item"], pdf["text"], strict=True):
                 if held := Counter(terms_of(text)):
-                    yield pd.DataFrame({"item": item, "term": [t.decode() for t in held], "slot": [zlib.crc32(t) % SIEVE_BITS for t in held], "c": list(held.values())})
+                    yield pd.DataFrame({"item": item, "term": pd.Series([t.decode() for t in held], dtype=object), "slot": [zlib.crc32(t) % SIEVE_BITS for t in held], "c": list(held.values())})
 
     rows = items.select("item", F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, "item long, term string, slot long, c long")
@@ -81,7 +81,7 @@ def documents_of(docs: DataFrame, sieve: bytes, kind: str) -> DataFrame:
                 sizes.append(len(found))
                 terms.append(b" ".join(t for t, _ in held).decode())
                 tfs.append(np.array([k for _, k in held], dtype=np.int64).tobytes())
-            yield pdf[["doc_id", "no_id"]].assign(n=sizes, terms=terms, tfs=tfs)
+            yield pdf[["doc_id", "no_id"]].assign(n=sizes, terms=pd.Series(terms, dtype=object), tfs=tfs)
 
     # Ids stay whole in pandas: none is null, and a flag tells which were.
     rows = docs.select(F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("text"))
