@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pricetrail.llm.common import write_out
 
 LEAST_LENGTH, LEAST_COUNT, FORM_TIMES = 7, 2, 10
-TILE = 256
+TILE = 128
+#: Pairs within a squared distance of two that are held before they are verified.
+PAIRS = 500_000
 #: A block with more words is dealt out as pairs of pieces of half as many.
 SPLIT = 8192
 #: Words up to which the alphabet is cut into four groups; sixteen times as many take two more.
@@ -59,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             held: Counter = Counter()
             for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
                 held.update(damaged_counts(doc, text))
-            yield pd.DataFrame({"word": list(held), "n": np.fromiter(held.values(), dtype=np.int64, count=len(held))})
+            yield pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": np.fromiter(held.values(), dtype=np.int64, count=len(held))})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -87,13 +89,13 @@ class Blocks:
     """The names of the blocks a word is in, and which of them compares a pair."""
 
     def __init__(self, group: np.ndarray, groups: int) -> None:
-        self.onehot = (group[:, None] == np.arange(groups)).astype(np.int64)
+        self.onehot = (group[:, None] == np.arange(groups)).astype(np.uint64)
         self.left_out = list(itertools.combinations(range(groups), 2))
         #: For adjacent lengths each group is left out once.
         self.across = [k for k, (a, b) in enumerate(self.left_out) if a % 2 == 0 and b == a + 1]
-        value = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
+        self.letter = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
         keeps = np.array([[g not in pair for pair in self.left_out] for g in group], dtype=np.uint64)
-        self.value = value[:, None] * keeps
+        self.value = self.letter[:, None] * keeps
         #: By the bits of the groups in which a pair differs: the first block of equal lengths that has it.
         self.first = np.full(1 << groups, -1)
         for bits in range(1 << groups):
@@ -120,10 +122,12 @@ class Blocks:
         out = np.concatenate([same, longer, shorter], axis=1)
         return np.repeat(np.arange(len(words)), out.shape[1]), out.ravel().view(np.int64)
 
-    def compared_here(self, diff: np.ndarray, block: np.ndarray, across: np.ndarray) -> np.ndarray:
-        """Whether a pair with this difference of counts is this block's to report."""
-        bits = ((np.abs(diff) @ self.onehot > 0) << np.arange(self.onehot.shape[1])).sum(axis=1)
-        code = block & 255
+    def prints(self, counts: np.ndarray) -> np.ndarray:
+        """(words, groups): a print of a word's counts in each group."""
+        return counts.astype(np.uint64) @ (self.letter[:, None] * self.onehot)
+
+    def compared_here(self, bits: np.ndarray, code: np.ndarray, across: np.ndarray) -> np.ndarray:
+        """Whether a pair that differs in the groups of `bits` is for a block of this code to report."""
         outside = np.array([~sum(1 << g for g in pair) for pair in self.left_out])
         return np.where(across, (code >= 128) & (bits & outside[code % 128] == 0), code == self.first[bits])
 
@@ -136,24 +140,27 @@ def one_edit(a: str, b: str) -> bool:
     return len(b) - len(a) <= 1 and a != b and a[at + (len(a) == len(b)):] == b[at + 1:]
 
 
-def verified(words: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def letter_rows(words: list[str], size: np.ndarray) -> np.ndarray:
+    """(words, MATRIX_LENGTH + 2) latin-1 codes of the words, 0 behind their ends."""
+    cut = [w[:MATRIX_LENGTH] for w in words]
+    size = np.minimum(size, MATRIX_LENGTH)
+    out = np.zeros((len(words), MATRIX_LENGTH + 2), dtype=np.uint8)
+    row = np.repeat(np.arange(len(words)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer("".join(cut).encode("latin-1"), dtype=np.uint8)
+    return out
+
+
+def verified(words: list[str], size: np.ndarray, letters: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """one_edit for each pair of word numbers."""
-    size = np.array([len(w) for w in words])
     out = np.zeros(len(i), dtype=bool)
     long = np.maximum(size[i], size[j]) > MATRIX_LENGTH
     out[long] = [one_edit(words[a], words[b]) for a, b in zip(i[long], j[long], strict=True)]
     at = np.flatnonzero(~long)
-    if not len(at):
-        return out
     swap = size[i[at]] > size[j[at]]
     a, b = np.where(swap, j[at], i[at]), np.where(swap, i[at], j[at])
-    letters = np.zeros((len(words), MATRIX_LENGTH + 2), dtype=np.uint8)
-    for k, w in enumerate(words):
-        letters[k, :min(len(w), MATRIX_LENGTH)] = np.frombuffer(w[:MATRIX_LENGTH].encode("latin-1"), dtype=np.uint8)
-    x, y = letters[a, :-1], letters[b]
     same = size[a] == size[b]
-    out[at[same]] = (x[same] != y[same, :-1]).sum(axis=1) == 1
-    x, y = x[~same], y[~same]
+    out[at[same]] = (letters[a[same]] != letters[b[same]]).sum(axis=1) == 1
+    x, y = letters[a[~same], :-1], letters[b[~same]]
     # The shorter word is a prefix of the longer, and from there on the longer moved by one.
     head = np.logical_and.accumulate(x == y[:, :-1], axis=1).sum(axis=1)
     tail = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1).sum(axis=1)
@@ -161,36 +168,64 @@ def verified(words: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_in(words: list[str], n: np.ndarray, block: np.ndarray, part: np.ndarray, blocks: Blocks) -> pd.DataFrame:
-    """Near pairs, both ways, among rows whose blocks are whole: (word, other, other_n)."""
-    one, two = [], []
+def close_rows(counts: np.ndarray, starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows at a squared distance of two at most, tile by tile.
+
+    Every pair of one block is looked at; `starts` are the blocks' first rows.
+    Blocks below TILE rows share a tile, larger ones are cut into pairs of tiles.
+    """
+    x = counts.astype(np.float32 if len(counts) and counts.sum(axis=1).max() < 2048 else np.float64)
+    norm, one = (x * x).sum(axis=1, keepdims=True), np.ones((n, 1), dtype=x.dtype)
+    # One product gives |x|^2 + |y|^2 - 2 x.y.
+    left, right = np.hstack([x, norm, one]), np.hstack([-2 * x, one, norm]).T
+    ends = np.append(starts[1:], n)
+    lo = 0
+    while lo < n:
+        hi = ends[max(np.searchsorted(ends, lo + TILE, side="right") - 1, np.searchsorted(ends, lo, side="right"))]
+        for a in range(lo, hi, TILE):
+            for b in range(a, hi, TILE):
+                i, j = np.divmod(np.flatnonzero(left[a:min(a + TILE, hi)] @ right[:, b:min(b + TILE, hi)] <= 2), min(b + TILE, hi) - b)
+                good = i + a < j + b
+                yield i[good] + a, j[good] + b
+        lo = hi
+
+
+def near_in(rows: pd.DataFrame, starts: np.ndarray, blocks: Blocks) -> pd.DataFrame:
+    """Near pairs, both ways, among the rows of whole blocks: (word, other, other_n)."""
+    words, n = rows["word"].tolist(), rows["n"].to_numpy()
+    block, part = rows["block"].to_numpy(), rows["part"].to_numpy()
     counts = letter_counts(words)
-    counts = counts[:, used := counts.any(axis=0)]
-    exact = np.float32 if counts.sum(axis=1).max() < 4096 else np.float64
-    x = counts.astype(exact)
-    norm = (x * x).sum(axis=1)
-    size = counts.sum(axis=1)
-    for lo in range(0, len(words), TILE):
-        for at in range(lo, len(words), TILE):
-            if block[at] != block[min(lo + TILE, len(words)) - 1] and at > lo:
-                break
-            square = norm[lo:lo + TILE, None] + norm[None, at:at + TILE] - 2 * (x[lo:lo + TILE] @ x[at:at + TILE].T)
-            i, j = np.nonzero(square <= 2)
-            i, j = i + lo, j + at
-            # One block, one piece of it, and each pair once.
-            piece, whole = part & 0xFFFFF, part >> 20
-            least, most = np.minimum(piece[i], piece[j]), np.maximum(piece[i], piece[j])
-            good = (i < j) & (block[i] == block[j]) & (whole[i] == whole[j]) & (whole[i] == (least << 20 | most))
-            good &= np.abs(size[i] - size[j]) <= 1
-            i, j = i[good], j[good]
-            diff = np.zeros((len(i), 256), dtype=np.int64)
-            diff[:, used] = counts[i] - counts[j]
-            good = blocks.compared_here(diff, block[i], size[i] != size[j])
-            i, j = i[good], j[good]
-            good = verified(words, i, j)
-            one += [i[good], j[good]]
-            two += [j[good], i[good]]
-    a, b = np.concatenate(one), np.concatenate(two)
+    size, prints, letters = counts.sum(axis=1), blocks.prints(counts), letter_rows(words, counts.sum(axis=1))
+    number = np.zeros(len(rows), dtype=np.int64)
+    number[starts[1:]] = 1
+    number = np.cumsum(number)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        bits = ((prints[i] != prints[j]) << np.arange(prints.shape[1])).sum(axis=1)
+        good = blocks.compared_here(bits, block[i] & 255, size[i] != size[j])
+        # Of a block in pieces, each pair of words is compared where their two pieces meet.
+        piece = part & 0xFFFFF
+        good &= part[i] >> 20 == (np.minimum(piece[i], piece[j]) << 20 | np.maximum(piece[i], piece[j]))
+        i, j = i[good], j[good]
+        good = verified(words, size, letters, i, j)
+        found.append((i[good], j[good]))
+
+    held = 0
+    for i, j in close_rows(counts[:, counts.any(axis=0)], starts, len(rows)):
+        good = (number[i] == number[j]) & (np.abs(size[i] - size[j]) <= 1)
+        waiting.append((i[good], j[good]))
+        held += len(waiting[-1][0])
+        if held > PAIRS:
+            settle()
+            held = 0
+    if waiting:
+        settle()
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
     name = np.array(words, dtype=object)
     return pd.DataFrame({"word": pd.Series(name[a], dtype=object), "other": pd.Series(name[b], dtype=object), "other_n": n[b]})
 
@@ -218,13 +253,8 @@ def near_pairs(words: DataFrame, groups: int, split: int = SPLIT) -> DataFrame:
             if pdf is not None:
                 # The last block may go on in the next batch.
                 held, ends = rows.iloc[start[-1]:], ends[:-1]
-            lo = 0
-            while lo < (ends[-1] if len(ends) else 0):
-                hi = ends[max(np.searchsorted(ends, lo + TILE, side="right") - 1, np.searchsorted(ends, lo, side="right"))]
-                part = rows.iloc[lo:hi]
-                if hi - lo > 1:
-                    yield near_in(part["word"].tolist(), part["n"].to_numpy(), part["block"].to_numpy(), part["part"].to_numpy(), blocks)
-                lo = hi
+            if len(ends):
+                yield near_in(rows.iloc[:ends[-1]], start[:len(ends)], blocks)
 
     rows = words.mapInPandas(named, "block long, word string, n long")
     hot = write_out(rows.groupBy("block").count().where(F.col("count") > split).select(F.col("block").alias("hot"), F.expr(f"CAST(ceil(count / {split // 2}) AS BIGINT)").alias("pieces")), "gram-hot")
