@@ -1,4 +1,4 @@
-"""Reading batch files: observations, ledgers, manifests and raw bytes."""
+"""Writing and reading batch files: observations, ledgers, manifests and raw bytes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from pricetrail import schemas
 
 
+#: Columns of a tranche besides its observations.
+TRANCHE_HEADER = ("schema_version", "tranche_id", "status", "scope", "region", "channel", "created_at", "evidence_ledger")
+
+
+def write_tranches(rows: DataFrame, path: str) -> None:
+    """Append one JSON file per tranche: rows of its header columns and an observation struct `o`.
+
+    A tranche is one document, held by one task; fields an observation does not
+    use are left out. Files already there stay as they are.
+    """
+    header = [c for c in TRANCHE_HEADER if c in rows.columns]
+    held = F.array_sort(F.collect_list(F.struct(F.col("o.observation_id").alias("id"), "o")))
+    out = rows.groupBy(*header).agg(F.transform(held, lambda x: x["o"]).alias("observations"))
+    out.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+
+
 def read_tranches(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per observation of every batch file, with its batch columns and file."""
     raw = spark.read.schema(schemas.TRANCHE).option("multiLine", True).json(paths)

@@ -1,22 +1,25 @@
 """Batch rules as streams over appended batch files.
 
 Stateless and windowed rules use Structured Streaming's own operators. Rules
-that compare with what was stored before run per micro-batch against a
-versioned table: batch n reads version n-1 and writes version n, so a batch
-repeated after a failure writes the same rows again.
+that compare a line with its own past keep one value per line in keyed state.
+The others run per micro-batch against a versioned table: batch n reads version
+n-1 and writes version n, so a batch repeated after a failure writes the same
+rows again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pricetrail import schemas
 from pricetrail.functions.money import basis_points, direction
-from pricetrail.functions.windows import lag_in_chunks
 from pricetrail.operators.audit import unserved_slots
 from pricetrail.operators.series import monthly_medians
 
@@ -71,81 +74,77 @@ LINE = ["mpn", "seller"]
 
 TRANCHE_ORDER = ("created_at", "tranche_id")
 
+#: What a line keeps between micro-batches: its newest row.
+LINE_STATE = "at LONG, observation_id STRING, amount_minor LONG"
+FOLLOWED = "mpn STRING, seller STRING, observation_id STRING, at LONG, amount_minor LONG, side STRING, from_observation_id STRING, from_minor LONG"
 
-def mark_late(batch: DataFrame, seen: DataFrame, tranche: Sequence[str]) -> DataFrame:
-    """`late`: not later than the line's newest row of any earlier tranche.
-
-    Earlier tranches are those stored in `seen` (line, last_seen) and those that
-    come before in the same micro-batch, so the answer does not depend on how
-    many files a micro-batch holds. Tranches are ordered by the named columns;
-    with none, a micro-batch is one tranche. The window runs over one row per
-    line and tranche. Keys meet as structs, which equal themselves with nulls.
-    """
-    line, place = F.struct(*LINE), F.struct(*LINE, *tranche)
-    rows = batch.withColumn("place", place)
-    tops = rows.groupBy("place").agg(F.max("observed_at").alias("top"))
-    if tranche:
-        earlier = Window.partitionBy(*[f"place.{c}" for c in LINE]).orderBy(*[f"place.{c}" for c in tranche])
-        reached = F.max("top").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        reached = F.lit(None).cast("timestamp")
-    tops = tops.select("place", F.struct(*[F.col(f"place.{c}") for c in LINE]).alias("line"), reached.alias("reached"))
-    stored = seen.select(line.alias("line"), "last_seen")
-    bounds = tops.join(stored, "line", "left").select("place", F.greatest("reached", "last_seen").alias("bound"))
-    return rows.join(bounds, "place").withColumn("late", F.coalesce(F.col("observed_at") <= F.col("bound"), F.lit(False))).drop("place", "bound")
-
-
-def late_splitter(
-    spark: SparkSession, folder: str, tranche: Sequence[str] = TRANCHE_ORDER
-) -> Callable[[DataFrame, int], None]:
-    """Refuse rows not later than what their line already holds; keep both sides.
-
-    Accepted rows go to <folder>/accepted, refused ones to <folder>/refused.
-    """
-    seen = VersionedTable(spark, f"{folder}/seen", "mpn STRING, seller STRING, last_seen TIMESTAMP")
-
-    def handle(batch: DataFrame, number: int) -> None:
-        before = seen.before(number)
-        marked = mark_late(batch, before, tranche)
-        for late, name in ((False, "accepted"), (True, "refused")):
-            part = marked.where(F.col("late") == late).drop("late")
-            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        arrived = batch.groupBy(*LINE).agg(F.max("observed_at").alias("last_seen"))
-        seen.write(before.unionByName(arrived).groupBy(*LINE).agg(F.max("last_seen").alias("last_seen")), number)
-
-    return handle
 
+def line_follower(tranche: Sequence[str]) -> StatefulProcessor:
+    """Keyed state of one line: every row's side, and the row it follows.
 
-def line_movement_writer(
-    spark: SparkSession, folder: str, tranche: Sequence[str] = TRANCHE_ORDER
-) -> Callable[[DataFrame, int], None]:
-    """Change of each row against its line's previous price, across batches.
-
-    The last price per line enters the batch as one more row, so a single
-    ordered pass, split into monthly chunks, covers old and new alike. Rows that
-    come late, by the same rule as in `late_splitter`, have no previous price
-    any more: they go to <folder>/late and move nothing.
+    Rows are taken tranche by tranche, and inside one in time order. A row not
+    later than all rows of earlier tranches is refused and moves nothing; an
+    accepted row follows the newest accepted one, wherever that arrived.
     """
-    last = VersionedTable(spark, f"{folder}/last", "mpn STRING, seller STRING, observed_at TIMESTAMP, observation_id STRING, amount_minor BIGINT")
-
-    def handle(batch: DataFrame, number: int) -> None:
-        columns = [*LINE, "observed_at", "observation_id", "amount_minor"]
-        before = last.before(number).select(*columns)
-        marked = mark_late(batch, before.withColumnRenamed("observed_at", "last_seen"), tranche)
-        marked.where("late").select(*columns).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
-        rows = marked.where("NOT late").select(*columns, F.lit(True).alias("is_new")).unionByName(before.withColumn("is_new", F.lit(False)))
-        paired = lag_in_chunks(rows, LINE, ["observed_at", "observation_id"], ["observation_id", "amount_minor"], F.trunc("observed_at", "month"))
-        change = F.col("amount_minor") - F.col("prior.amount_minor")
-        moves = paired.where("is_new AND prior IS NOT NULL").select(
-            *LINE, F.col("prior.observation_id").alias("from_observation_id"), F.col("observation_id").alias("to_observation_id"),
-            F.col("prior.amount_minor").alias("from_minor"), F.col("amount_minor").alias("to_minor"), change.alias("change_minor"),
-            basis_points(change, F.col("prior.amount_minor")).alias("change_basis_points"), direction(change).alias("direction"),
-        )
-        moves.write.mode("overwrite").parquet(f"{folder}/movements/batch={number}")
-        newest = F.max(F.struct("observed_at", "observation_id", "amount_minor")).alias("r")
-        last.write(rows.groupBy(*LINE).agg(newest).select(*LINE, "r.*"), number)
 
-    return handle
+    class Follower(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.newest = handle.getValueState("newest", LINE_STATE)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+            batch = pd.concat(list(rows), ignore_index=True)
+            batch = batch.sort_values([*tranche, "at", "observation_id"], ignore_index=True, na_position="first")
+            old = self.newest.get() if self.newest.exists() else None
+            at = batch["at"].to_numpy(dtype="float64", na_value=np.nan)
+            # The newest time of all tranches before a row's own.
+            marks = batch[list(tranche)].astype("string").fillna("")
+            opens = np.append(True, (marks.iloc[1:].to_numpy() != marks.iloc[:-1].to_numpy()).any(axis=1)) if tranche else np.arange(len(batch)) == 0
+            top = np.fmax.accumulate(np.fmax.reduceat(at, np.flatnonzero(opens)))
+            reached = np.append(np.nan, top[:-1]) if old is None else np.fmax(np.append(np.nan, top[:-1]), old[0])
+            accepted = ~(at <= reached[np.cumsum(opens) - 1]) & ~np.isnan(at)
+            out = batch[["mpn", "seller", "observation_id", "at", "amount_minor"]].astype({"at": "Int64", "amount_minor": "Int64"})
+            out["side"] = np.where(accepted, "accepted", "refused")
+            kept = out[accepted]
+            first = (None, None) if old is None else (old[1], old[2])
+            out["from_observation_id"] = kept["observation_id"].shift(1).where(np.arange(len(kept)) > 0, first[0])
+            out["from_minor"] = kept["amount_minor"].shift(1)
+            if len(kept):
+                out.loc[kept.index[0], "from_minor"] = pd.NA if first[1] is None else first[1]
+                last = kept.iloc[-1]
+                self.newest.update((int(last["at"]), last["observation_id"], None if pd.isna(last["amount_minor"]) else int(last["amount_minor"])))
+            yield out.astype({"observation_id": object, "side": object, "from_observation_id": object})
+
+        def close(self) -> None:
+            pass
+
+    return Follower()
+
+
+def follow_lines(obs: DataFrame, tranche: Sequence[str] = TRANCHE_ORDER) -> DataFrame:
+    """Each row of a stream with its side and, if accepted, the row of its line that it follows.
+
+    State is one value per line in the RocksDB store: a micro-batch reads and
+    writes the lines it touches and no others, old versions go with the store's
+    own snapshots, and a repeated micro-batch starts from the same version.
+    With `tranche` the answer does not depend on how many files a micro-batch
+    holds, as long as files come in the tranches' order; with none, a micro-batch
+    is one tranche. A task holds the rows of one line and micro-batch. Rows
+    without a time are refused; lines may have null keys.
+    """
+    spark = obs.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = obs.select(*LINE, "observation_id", F.unix_micros("observed_at").alias("at"), "amount_minor", *[F.col(c).cast("string") if i else F.col(c) for i, c in enumerate(tranche)])
+    followed = rows.groupBy(*LINE).transformWithStateInPandas(line_follower(tranche), FOLLOWED, "Append", "None")
+    return followed.select(*LINE, "observation_id", F.timestamp_micros("at").alias("observed_at"), "amount_minor", "side", "from_observation_id", "from_minor")
+
+
+def line_movements(followed: DataFrame) -> DataFrame:
+    """Change of each accepted row against the row it follows."""
+    change = F.col("amount_minor") - F.col("from_minor")
+    return followed.where("side = 'accepted' AND from_observation_id IS NOT NULL").select(
+        *LINE, "from_observation_id", F.col("observation_id").alias("to_observation_id"), "from_minor", F.col("amount_minor").alias("to_minor"),
+        change.alias("change_minor"), basis_points(change, F.col("from_minor")).alias("change_basis_points"), direction(change).alias("direction"),
+    )
 
 
 def missed_slot_writer(spark: SparkSession, folder: str, hour: int, minute: int) -> Callable[[DataFrame, int], None]:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pricetrail.operators.series import monthly_medians
+from pricetrail.sources import tranches
 from pricetrail.streaming import live
 from tests.helpers import obs, rows
 
@@ -27,15 +29,19 @@ def stream(spark, folder):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/in/*")
 
 
+def followed(spark, stream, folder, tranche):
+    out = live.follow_lines(stream, tranche)
+    live.run_to_end(out.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def test_movements_agree_with_one_batch(spark, parts):
     df, folder = parts
-    live.run_to_end(live.write_batches(stream(spark, folder), live.line_movement_writer(spark, f"{folder}/m", tranche=())), f"{folder}/c1")
-    got = spark.read.parquet(f"{folder}/m/movements")
+    got = live.line_movements(followed(spark, stream(spark, folder), f"{folder}/m", ()))
     from pyspark.sql import Window
 
     w = Window.partitionBy("mpn", "seller").orderBy("observed_at")
     want = df.select("mpn", "seller", F.lag("amount_minor").over(w).alias("from_minor"), F.col("amount_minor").alias("to_minor")).where("from_minor IS NOT NULL")
-    assert got.select("batch").distinct().count() > 1
     assert rows(got, "mpn", "seller", "from_minor", "to_minor") == rows(want)
 
 
@@ -45,17 +51,21 @@ def test_medians_agree_with_one_batch(spark, parts):
     assert rows(live.current_medians(spark, f"{folder}/med")) == rows(monthly_medians(df))
 
 
+def arrive(spark, folder, parts):
+    """One parquet file per part, in order, and the stream over them."""
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/arrived/part{n}")
+    return spark.readStream.schema(parts[0].schema)
+
+
 def test_backdated_rows_are_refused(spark, tmp_path):
     folder = str(tmp_path)
     first = obs(spark, [("A", "s", "2026-01-05", 1, True), ("B", "s", "2026-01-05", 1, True)])
     second = obs(spark, [("A", "s", "2026-01-04", 2, True), ("A", "s", "2026-01-06", 3, True), ("C", "s", "2026-01-01", 4, True)]).withColumn("observation_id", F.concat(F.lit("n"), "observation_id"))
-    handle = live.late_splitter(spark, folder, tranche=())
-    handle(first, 0)
-    for _ in range(2):  # a repeated batch writes the same again
-        handle(second, 1)
-    columns = "observation_id STRING, amount_minor BIGINT"
-    assert rows(spark.read.schema(columns).parquet(f"{folder}/refused/*"), "amount_minor") == [(2,)]
-    assert rows(spark.read.schema(columns).parquet(f"{folder}/accepted/*"), "amount_minor") == [(1,), (1,), (3,), (4,)]
+    s = arrive(spark, folder, [first, second]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived/*")
+    got = followed(spark, s, folder, ())
+    assert rows(got.where("side = 'refused'"), "amount_minor") == [(2,)]
+    assert rows(got.where("side = 'accepted'"), "amount_minor") == [(1,), (1,), (3,), (4,)]
 
 
 def test_tranche_files_dedup_and_days(spark, tmp_path):
@@ -93,13 +103,47 @@ def test_lateness_does_not_depend_on_the_batch_cut(spark, tmp_path, cut):
         {"tranche_id": F.lit("t2"), "observation_id": F.concat(F.lit("n"), "observation_id")}
     )
     parts = [first.unionByName(second)] if cut == 1 else [first, second]
-    split = live.late_splitter(spark, f"{folder}/s", tranche=["tranche_id"])
-    moves = live.line_movement_writer(spark, f"{folder}/m", tranche=["tranche_id"])
-    for number, part in enumerate(parts):
-        split(part, number)
-        moves(part, number)
-    columns = "observation_id STRING, amount_minor BIGINT"
-    read = spark.read.schema(columns)
-    assert rows(read.parquet(f"{folder}/s/refused/*"), "amount_minor") == [(2,), (4,)]
-    assert rows(read.parquet(f"{folder}/m/late/*"), "amount_minor") == [(2,), (4,)]
-    assert rows(spark.read.parquet(f"{folder}/m/movements"), "from_minor", "to_minor") == [(1, 3)]
+    got = followed(spark, arrive(spark, folder, parts).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived/*"), folder, ["tranche_id"])
+    assert rows(got.where("side = 'refused'"), "amount_minor") == [(2,), (4,)]
+    assert rows(live.line_movements(got), "from_minor", "to_minor") == [(1, 3)]
+
+
+@pytest.mark.parametrize("files", [1, 2, 10])
+def test_lines_are_followed_alike_at_every_batch_size(spark, tmp_path, files):
+    folder = str(tmp_path)
+    rng = random.Random(4)
+    data = [(t, f"o{t}-{i}", rng.choice(["A", None]), rng.choice(["s", "t"]), rng.choice([1, 2, 3, 4, 5, None]), rng.choice([10, 20, None])) for t in range(4) for i in range(12)]
+    # By hand: tranche by tranche, rows of a line in order of time and id.
+    newest, reached, want = {}, {}, []
+    for t in range(4):
+        held = sorted((r for r in data if r[0] == t), key=lambda r: (r[4] is not None, r[4], r[1]))
+        for _, o, m, s, day, amount in held:
+            good = day is not None and day > reached.get((m, s), 0)
+            want.append((o, m, s, amount, "accepted" if good else "refused", *(newest.get((m, s), (None, None)) if good else (None, None))))
+            if good:
+                newest[m, s] = (o, amount)
+        for _, _, m, s, day, _ in held:
+            reached[m, s] = max(reached.get((m, s), 0), day or 0)
+    schema = "tranche_id INT, observation_id STRING, mpn STRING, seller STRING, day INT, amount_minor LONG"
+    parts = [spark.createDataFrame([r for r in data if r[0] == t], schema).withColumn("observed_at", F.timestamp_seconds(F.col("day") * 86400)) for t in range(4)]
+    s = arrive(spark, folder, parts).option("maxFilesPerTrigger", files).parquet(f"{folder}/arrived/*")
+    got = followed(spark, s, folder, ["tranche_id"]).select("observation_id", "mpn", "seller", "amount_minor", "side", "from_observation_id", "from_minor")
+    assert rows(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_tranches_come_back_as_written(spark, tmp_path):
+    folder = str(tmp_path / "tranches")
+    written = spark.sql("""SELECT * FROM VALUES ('t1', 1), ('t1', 2), ('t2', 3) AS t(tranche_id, n)""").select(
+        F.lit(1).alias("schema_version"), "tranche_id", F.lit("candidate_only").alias("scope"), F.concat("tranche_id", F.lit("-at")).alias("created_at"),
+        F.struct(F.concat(F.lit("o"), F.col("n").cast("string")).alias("observation_id"), F.when(F.col("n") < 3, F.struct(F.col("n").cast("long").alias("amount_minor"))).alias("item_price"),
+                 F.when(F.col("n") == 3, F.struct(F.lit(7).alias("item_price_minor"), F.lit(None).cast("boolean").alias("vat_included"))).alias("price")).alias("o"),
+    )
+    tranches.write_tranches(written, folder)
+    tranches.write_tranches(written.where("tranche_id = 't2'").withColumn("tranche_id", F.lit("t3")), folder)
+    got = tranches.read_tranches(spark, folder)
+    assert rows(got, "tranche_id", "created_at", "observation_id", "item_price.amount_minor", "price.item_price_minor") == [
+        ("t1", "t1-at", "o1", 1, None), ("t1", "t1-at", "o2", 2, None), ("t2", "t2-at", "o3", None, 7), ("t3", "t2-at", "o3", None, 7)]
+    assert got.select("source_file").distinct().count() == 3
+    s = live.stream_tranches(spark, folder, files_per_batch=1)
+    live.run_to_end(s.select("tranche_id", "observation_id").writeStream.format("parquet").option("path", f"{tmp_path}/o"), f"{tmp_path}/c")
+    assert rows(spark.read.parquet(f"{tmp_path}/o")) == [("t1", "o1"), ("t1", "o2"), ("t2", "o3"), ("t3", "o3")]
