@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -70,8 +71,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs, which it does once the driver has collected their plans."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def split_is(doc_id: Column, modulus: int, remainder: int) -> Column:
