@@ -36,10 +36,15 @@ def permille(part: Column, whole: Column) -> Column:
 
 
 def mean_minor(x: str) -> Column:
-    """Mean of integers rounded half-up, in exact decimals; partial sums combine before the shuffle."""
-    twice = F.sum(F.col(x).cast("decimal(20,0)")) * F.lit(2).cast("decimal(1,0)")
+    """Mean of integers rounded half-up, exact at any count; partial sums combine before the shuffle.
+
+    (2 sum + n) div 2n: what does not divide is taken off first, so that the
+    decimal quotient is a whole number and loses no digit.
+    """
     count = F.count(x).cast("decimal(19,0)")
-    return F.floor((twice + count) / (count * F.lit(2).cast("decimal(1,0)"))).cast("long")
+    twice = (count * F.lit(2).cast("decimal(1,0)")).cast("decimal(20,0)")
+    total = F.sum(F.col(x).cast("decimal(20,0)")) * F.lit(2).cast("decimal(1,0)") + count
+    return ((total - F.pmod(total, twice)) / twice).cast("long")
 
 
 def direction(change: Column) -> Column:

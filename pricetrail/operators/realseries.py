@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrail.functions.exact import exact_mean, ratio_micros
+from pricetrail.functions.exact import exact_mean, fraction, inverse, lowest_terms, mean_micros, ratio_micros, rounded, sum_of, times
 from pricetrail.functions.reasons import duplicated, failed, stacked, violations
 
 LINE = ["mpn", "seller"]
@@ -23,54 +23,107 @@ def dated_lines(qualified: DataFrame) -> DataFrame:
     )
 
 
-def base_coverage(daily: DataFrame, base_date: str) -> DataFrame:
-    """Status of every line on every observed date from its first appearance on.
+#: Statuses of a line on a date, by whether it has an eligible price on the base date.
+UNBASED = ("no_baseline_observation", "baseline_ineligible")
+BASED = ("eligible_paired_line", "missing_current_observation_no_imputation", "current_observation_ineligible_no_imputation")
+
+
+def coverage_runs(daily: DataFrame, base_date: str) -> DataFrame:
+    """Status of every line from its first appearance to the last date, as runs of days.
 
-    The grid comes from each line's own span of days met with the observed
-    dates on equality; the last eligible date is a running value of the line,
-    whose rows are bounded by the calendar.
+    (line, start_date, end_date, status, reasons, last_eligible_date,
+    base_observation_id, current_observation_id). A line without an eligible base
+    price is one run; of any other line each dated row is a run of one day, and
+    the days up to the next row are a run without an observation. Rows grow with
+    the observations, not with lines x dates. The window's rows are a line's own,
+    bounded by the calendar.
     """
     base = F.lit(base_date).cast("date")
-    dates = daily.select("date").distinct()
-    span = daily.groupBy(*LINE).agg(
-        F.min("date").alias("first_seen"),
-        F.max(F.when(F.col("date") == base, F.when(F.col("eligible"), F.lit("ok")).otherwise(F.lit("bad")))).alias("base_state"),
-    )
     last = daily.agg(F.max("date")).scalar()
-    grid = span.select(
-        *LINE, "base_state", F.explode(F.sequence("first_seen", last, F.expr("INTERVAL 1 DAY"))).alias("date")
-    ).join(dates, "date")
-    full = grid.join(daily, [*LINE, "date"], "left")
-    before = Window.partitionBy(*LINE).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("eligible"), F.col("date")), ignorenulls=True).over(before)
-    status = (
-        F.when(F.col("base_state") == "bad", F.lit("baseline_ineligible"))
-        .when(F.col("base_state").isNull(), F.lit("no_baseline_observation"))
-        .when(F.col("eligible").isNull(), F.lit("missing_current_observation_no_imputation"))
-        .when(~F.col("eligible"), F.lit("current_observation_ineligible_no_imputation"))
-        .otherwise(F.lit("eligible_paired_line"))
-    )
-    missing = F.col("status") == "missing_current_observation_no_imputation"
-    return full.withColumns({"status": status, "prior_date": prior}).select(
-        *LINE, "date", "status",
-        F.when(missing, F.col("prior_date")).alias("last_eligible_date"),
-        F.when(missing, F.date_diff("date", "prior_date").cast("long")).alias("stale_days"),
+    line = Window.partitionBy(*LINE)
+    running = line.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    at_base = F.max(F.when(F.col("date") == base, F.struct("eligible", "observation_id", "reasons"))).over(line)
+    rows = daily.withColumns({
+        "at_base": at_base, "first_seen": F.min("date").over(line), "next_date": F.lead("date").over(line.orderBy("date")),
+        "upto": F.last(F.when(F.col("eligible"), F.col("date")), ignorenulls=True).over(running),
+    })
+    none = F.lit(None).cast("date"), F.lit(None).cast("string")
+    run = lambda start, end, status, reasons, prior, now: F.struct(
+        start.alias("start_date"), end.alias("end_date"), F.lit(status).alias("status"), reasons.alias("reasons"),
+        prior.alias("last_eligible_date"), now.alias("current_observation_id"),
     )
+    texts = lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
+    own = F.when(F.col("eligible"), run(F.col("date"), F.col("date"), BASED[0], texts(), none[0], F.col("observation_id"))).otherwise(
+        run(F.col("date"), F.col("date"), BASED[2], F.col("reasons"), none[0], F.col("observation_id"))
+    )
+    until = F.coalesce(F.date_sub("next_date", 1), last)
+    gap = F.when(until > F.col("date"), run(F.date_add("date", 1), until, BASED[1], texts("no_same_date_observation"), F.col("upto"), none[1]))
+    unbased = F.when(F.col("date") == F.col("first_seen"), F.when(
+        F.col("at_base").isNull(), run(F.col("date"), last, UNBASED[0], texts("no_observation_on_immutable_base_date"), *none)
+    ).otherwise(run(F.col("date"), last, UNBASED[1], F.col("at_base.reasons"), *none)))
+    based = F.coalesce(F.col("at_base.eligible"), F.lit(False))
+    held = F.array_compact(F.when(based, F.array(own, gap)).otherwise(F.array(unbased)))
+    out = rows.select(*LINE, F.when(based, F.col("at_base.observation_id")).alias("base_observation_id"), F.explode(held).alias("run"))
+    return out.select(*LINE, "run.start_date", "run.end_date", "run.status", "run.reasons", "run.last_eligible_date", "base_observation_id", "run.current_observation_id")
+
+
+def observed_days(daily: DataFrame) -> DataFrame:
+    """(day, seen, seen_sum) for every day from before the first date on: dates observed up to it, and the sum of their day numbers."""
+    number = F.unix_date("date")
+    dates = daily.select("date").distinct()
+    span = dates.agg(F.date_sub(F.min("date"), 1).alias("a"), F.max("date").alias("z")).where("a IS NOT NULL")
+    days = span.select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    j = days.join(dates, F.col("day") == F.col("date"), "left")
+    return j.select("day", F.count("date").over(upto).alias("seen"), F.coalesce(F.sum(number).over(upto), F.lit(0)).alias("seen_sum"))
 
 
-def base_coverage_by_date(coverage: DataFrame) -> DataFrame:
-    """Paired share of the whole base per date in basis points, half-up.
+def run_dates(runs: DataFrame, days: DataFrame) -> DataFrame:
+    """Runs with the number of observed dates in them, and the days since the last eligible price, summed over those dates."""
+    at = lambda name: days.select(F.col("day").alias(f"{name}_day"), F.col("seen").alias(f"{name}_seen"), F.col("seen_sum").alias(f"{name}_sum"))
+    j = runs.join(at("before"), F.date_sub("start_date", 1) == F.col("before_day")).join(at("upto"), F.col("end_date") == F.col("upto_day"))
+    n = F.col("upto_seen") - F.col("before_seen")
+    stale = F.col("upto_sum") - F.col("before_sum") - n * F.unix_date("last_eligible_date")
+    return j.select(*runs.columns, n.alias("date_count"), stale.alias("stale_days"))
+
+
+def coverage_by_date(runs: DataFrame, daily: DataFrame) -> DataFrame:
+    """Lines in each status per observed date, and the paired share of the whole base.
 
-    Every base line is in the grid from its first day to the last, so the base
-    holds as many lines as its fullest date. The window has one row per date.
+    Runs fold to one count per first and one per day after the last before they
+    are summed along the dates. The windows have one row per date.
     """
-    based = F.col("status").isin(
-        "eligible_paired_line", "missing_current_observation_no_imputation", "current_observation_ineligible_no_imputation"
-    )
-    per = coverage.groupBy("date").agg(
-        F.count_if(based).alias("baseline_eligible_line_count"),
-        F.count_if(F.col("status") == "eligible_paired_line").alias("eligible_paired_line_count"),
-    ).withColumn("baseline_eligible_line_count", F.max("baseline_eligible_line_count").over(Window.partitionBy()))
+    names = [*BASED, *UNBASED]
+    change = F.explode(F.array(F.struct(F.col("start_date").alias("date"), F.lit(1).alias("n")), F.struct(F.date_add("end_date", 1).alias("date"), F.lit(-1).alias("n"))))
+    moves = runs.select("status", change.alias("c")).groupBy("c.date").agg(*[F.sum(F.when(F.col("status") == s, F.col("c.n")).otherwise(0)).alias(s) for s in names])
+    dates = daily.select(F.col("date").alias("observed")).distinct()
+    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    j = moves.join(dates, F.col("date") == F.col("observed"), "full").withColumn("at", F.coalesce("date", "observed"))
+    per = j.select("at", "observed", *[F.sum(s).over(upto).alias(s) for s in names]).where("observed IS NOT NULL")
+    per = per.select(F.col("observed").alias("date"), *[F.coalesce(F.col(s), F.lit(0)).alias(f"{s}_count") for s in names])
+    lines = sum((F.col(f"{s}_count") for s in BASED[1:]), F.col(f"{BASED[0]}_count"))
+    return with_quality(per.withColumn("baseline_eligible_line_count", lines))
+
+
+def base_coverage(daily: DataFrame, base_date: str) -> DataFrame:
+    """The runs laid out: status of every line on every observed date from its first appearance on.
+
+    Ids and reasons are not carried, so `daily` need not have them.
+    """
+    plain = daily.select(*LINE, "date", "eligible", F.lit(None).cast("string").alias("observation_id"), F.lit(None).cast("array<string>").alias("reasons"))
+    runs = coverage_runs(plain, base_date)
+    dates = daily.select("date").distinct()
+    full = runs.withColumn("date", F.explode(F.sequence("start_date", "end_date", F.expr("INTERVAL 1 DAY")))).join(dates, "date")
+    return full.select(*LINE, "date", "status", "last_eligible_date", F.date_diff("date", "last_eligible_date").cast("long").alias("stale_days"))
+
+
+def with_quality(per: DataFrame) -> DataFrame:
+    """Paired share of the whole base in basis points, half-up, and the state of the date.
+
+    Every base line is counted from its first day to the last, so the base holds
+    as many lines as its fullest date. The window has one row per date.
+    """
+    per = per.withColumn("baseline_eligible_line_count", F.max("baseline_eligible_line_count").over(Window.partitionBy()))
     n, d = F.col("eligible_paired_line_count"), F.col("baseline_eligible_line_count")
     bp = F.when(d == 0, F.lit(0)).otherwise(F.floor((n * 20000 + d) / (d * 2)))
     quality = (
@@ -81,45 +134,73 @@ def base_coverage_by_date(coverage: DataFrame) -> DataFrame:
     return per.withColumns({"coverage_basis_points": bp.cast("long"), "quality_state": quality})
 
 
-def fixed_base_relative(daily: DataFrame, base_date: str) -> DataFrame:
-    """Mean price relative to the base date; a date counts only with every base line.
+def base_coverage_by_date(coverage: DataFrame) -> DataFrame:
+    """The share per date of a coverage that is laid out."""
+    return with_quality(coverage.groupBy("date").agg(
+        F.count_if(F.col("status").isin(*BASED)).alias("baseline_eligible_line_count"),
+        F.count_if(F.col("status") == BASED[0]).alias("eligible_paired_line_count"),
+    ))
+
+
+def complete_relatives(daily: DataFrame, base_date: str) -> DataFrame:
+    """(date, amount_minor, base_minor, n) of the dates on which every base line is present.
 
     Presence is counted, not enumerated: a date is complete when as many base
     lines met on it as the base holds. Relatives fold to (numerator,
-    denominator, count) before any exact addition.
+    denominator, count).
     """
     eligible = daily.where("eligible")
     base = eligible.where(F.col("date") == F.lit(base_date).cast("date")).select(*LINE, F.col("amount_minor").alias("base_minor"))
     size = base.agg(F.count(F.lit(1))).scalar()
     paired = eligible.join(base, LINE).groupBy("date", "amount_minor", "base_minor").agg(F.count(F.lit(1)).alias("n"))
     complete = paired.groupBy("date").agg(F.sum("n").alias("line_count")).where(F.col("line_count") == size)
-    means = exact_mean(paired.join(complete.select("date"), "date", "left_semi"), "date", "amount_minor", "base_minor", "n")
-    return means.select(
-        "date", F.col("count").alias("eligible_line_count"),
-        F.col("level_num"), F.col("level_den"), "level_micros",
-    )
+    return paired.join(complete.select("date"), "date", "left_semi")
+
+
+def fixed_base_levels(daily: DataFrame, base_date: str) -> DataFrame:
+    """Mean price relative to the base date in micros, exact before its one rounding."""
+    levels = mean_micros(complete_relatives(daily, base_date), "date", "amount_minor", "base_minor", "n")
+    return levels.select("date", F.col("count").alias("eligible_line_count"), "level_micros")
+
+
+def fixed_base_terms(daily: DataFrame, base_date: str) -> DataFrame:
+    """The exact sum of a date's relatives: fractions in lowest terms, one per denominator."""
+    return lowest_terms(complete_relatives(daily, base_date), "date", "amount_minor", "base_minor", "n")
+
+
+def fixed_base_relative(daily: DataFrame, base_date: str) -> DataFrame:
+    """The levels with their exact value written out as one fraction."""
+    means = exact_mean(complete_relatives(daily, base_date), "date", "amount_minor", "base_minor", "n")
+    return means.select("date", F.col("count").alias("eligible_line_count"), "level_num", "level_den", "level_micros")
 
 
 def monthly_complete_mean(daily: DataFrame, contracts: DataFrame) -> DataFrame:
     """Month value only where every required date is present.
 
     `daily` is (date, value decimal), `contracts` (month, required_date) as
-    rows. Absent dates are counted here and listed by `missing_contract_dates`.
+    rows. `exact` is the mean as a fraction, `value` the same to ten decimals.
+    Absent dates are counted here and listed by `missing_contract_dates`.
     """
     j = contracts.join(daily.withColumnRenamed("date", "required_date"), "required_date", "left")
     per = j.groupBy("month").agg(
         F.count(F.lit(1)).alias("required"), F.count("value").alias("present"), F.sum("value").alias("total")
     )
     complete = F.col("required") == F.col("present")
-    mean = F.col("total").cast("decimal(38,10)") / F.col("present").cast("decimal(10,0)")
+    exact = fraction(in_units(F.col("total"), 10), F.col("present") * 10**10)
     return per.select(
         "month",
         F.when(complete, F.lit("AVAILABLE")).otherwise(F.lit("UNAVAILABLE_MONTH_INCOMPLETE")).alias("quality_state"),
-        F.when(complete, mean.cast("decimal(38,10)")).alias("value"),
+        F.when(complete, (rounded(exact, 10) * F.lit("1e-10").cast("decimal(10,10)")).cast("decimal(38,10)")).alias("value"),
         (F.col("required") - F.col("present")).alias("missing_date_count"),
+        F.when(complete, exact).alias("exact"),
     )
 
 
+def in_units(value: Column, places: int) -> Column:
+    """A decimal as an integer in units of its last place."""
+    return (value.cast(f"decimal(38,{places})") * F.lit(10**places).cast("decimal(11,0)")).cast("decimal(38,0)")
+
+
 def missing_contract_dates(daily: DataFrame, contracts: DataFrame) -> DataFrame:
     return contracts.join(daily, contracts["required_date"] == daily["date"], "left_anti")
 
@@ -135,25 +216,33 @@ def check_contracts(contracts: DataFrame) -> DataFrame:
 
 
 def reference_level(months: DataFrame, reference_months: DataFrame) -> DataFrame:
-    """Mean over the reference months, one row; unavailable if any of them is."""
-    j = reference_months.join(months.select("month", "value"), "month", "left")
-    n, have = F.count(F.lit(1)), F.count("value")
-    mean = (F.sum("value").cast("decimal(38,10)") / n.cast("decimal(10,0)")).cast("decimal(38,10)")
-    return j.agg(
+    """Mean over the reference months, one row, `exact` as a fraction; unavailable if any of them is.
+
+    The months of a reference are a stated list; their values meet in one row.
+    """
+    j = reference_months.join(months.select("month", "exact"), "month", "left")
+    n, have = F.col("n"), F.col("have")
+    row = j.agg(F.count(F.lit(1)).alias("n"), F.count("exact").alias("have"), F.collect_list("exact").alias("values"))
+    mean = times(sum_of(F.col("values")), F.struct(F.lit(1).cast("decimal(38,0)").alias("num"), n.cast("decimal(38,0)").alias("den")))
+    full = (n == have) & (n > 0)
+    out = row.select("n", "have", F.when(full, mean).alias("exact"))
+    return out.select(
         F.when(n == have, F.lit("AVAILABLE")).otherwise(F.lit("UNAVAILABLE_HISTORICAL_REFERENCE_INPUT")).alias("quality_state"),
-        F.when(n == have, mean).alias("value"),
-        (n - have).alias("missing_month_count"),
+        (rounded(F.col("exact"), 10) * F.lit("1e-10").cast("decimal(10,10)")).cast("decimal(38,10)").alias("value"),
+        (n - have).alias("missing_month_count"), "exact",
     )
 
 
 def rebase_100(months: DataFrame, level: DataFrame) -> DataFrame:
-    """100 x month / reference, six decimals."""
-    reference = level.select("value").scalar()
-    value = (F.col("value").cast("double") * 100 / reference.cast("double"))
-    return months.select(
+    """100 x month / reference: `exact` as a fraction, `value` to six decimals, half-up of the exact value."""
+    hundred = F.struct(F.lit(100).cast("decimal(38,0)").alias("num"), F.lit(1).cast("decimal(38,0)").alias("den"))
+    known = F.col("exact").isNotNull() & F.col("reference").isNotNull() & (F.col("reference.num") > 0)
+    j = months.select("month", "exact").withColumn("reference", level.select("exact").scalar())
+    j = j.select("month", F.when(known, times(times(hundred, F.col("exact")), inverse(F.col("reference")))).alias("exact"))
+    return j.select(
         "month",
-        F.when(value.isNotNull(), F.lit("AVAILABLE")).otherwise(F.lit("UNAVAILABLE_HISTORICAL_REFERENCE_INPUT")).alias("quality_state"),
-        (F.floor(value * 1000000 + 0.5) / 1000000).alias("value"),
+        F.when(F.col("exact").isNotNull(), F.lit("AVAILABLE")).otherwise(F.lit("UNAVAILABLE_HISTORICAL_REFERENCE_INPUT")).alias("quality_state"),
+        (rounded(F.col("exact"), 6).cast("double") / 1000000).alias("value"), "exact",
     )
 
 
@@ -171,17 +260,27 @@ def check_deflator(release: DataFrame, release_vintage_id: str) -> DataFrame:
 
 
 def constant_price(months: DataFrame, deflator: DataFrame, reference_month: str) -> DataFrame:
-    """Nominal x deflator(reference) / deflator(month), with why a month is missing."""
-    reference = deflator.where(F.col("month") == reference_month).agg(F.max("value")).scalar()
-    d = deflator.select("month", F.col("value").alias("deflator"))
-    j = months.join(d, "month", "left").withColumn("reference_deflator", reference)
-    real = F.col("value").cast("double") * F.col("reference_deflator").cast("double") / F.col("deflator").cast("double")
+    """Nominal x deflator(reference) / deflator(month), with why a month is missing.
+
+    `exact` is a fraction, `value` the same to four decimals, half-up of the
+    exact value. Deflators are read as decimals of six places. A month the
+    release states more than once has no deflator, as the reference month too.
+    """
+    per = deflator.groupBy("month").agg(F.count(F.lit(1)).alias("times"), F.max("value").alias("value"))
+    usable = (F.col("times") == 1) & (F.col("value") > 0)
+    per = per.select(F.col("month").alias("of"), "times", F.when(usable, fraction(in_units(F.col("value"), 6), F.lit(10**6))).alias("deflator"))
+    reference = per.where(F.col("of") == reference_month).select("deflator").scalar()
+    j = months.select("month", F.col("exact").alias("nominal")).join(per, F.col("month") == F.col("of"), "left").withColumn("reference", reference)
     reason = (
-        F.when(F.col("value").isNull(), F.lit("monthly_nominal_unavailable"))
-        .when(F.col("reference_deflator").isNull(), F.lit("constant_price_reference_month_missing"))
+        F.when(F.col("nominal").isNull(), F.lit("monthly_nominal_unavailable"))
+        .when(F.col("times") > 1, F.lit("duplicate_observation_month"))
+        .when(F.col("reference").isNull(), F.lit("constant_price_reference_month_missing"))
         .when(F.col("deflator").isNull(), F.lit("observation_month_missing"))
     )
-    return j.select("month", (F.floor(real * 10000 + 0.5) / 10000).alias("value"), reason.alias("unavailable_reason"))
+    j = j.withColumn("unavailable_reason", reason)
+    real = times(times(F.col("nominal"), F.col("reference")), inverse(F.col("deflator")))
+    j = j.select("month", "unavailable_reason", F.when(F.col("unavailable_reason").isNull(), real).alias("exact"))
+    return j.select("month", (rounded(F.col("exact"), 4).cast("double") / 10000).alias("value"), "unavailable_reason", "exact")
 
 
 def revision_impact(earlier: DataFrame, later: DataFrame) -> DataFrame:

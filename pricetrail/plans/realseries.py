@@ -75,9 +75,10 @@ c AS (SELECT g.mpn, g.seller, g.date, CASE WHEN base_state = 'bad' THEN 'baselin
 SELECT status, count(*) AS row_count, count(DISTINCT (mpn, seller)) AS line_count, count(CASE WHEN status LIKE 'missing%' THEN prior END) AS with_prior,
   CAST(sum(CASE WHEN status LIKE 'missing%' THEN date_diff('day', prior, date) END) AS BIGINT) AS stale_days FROM c GROUP BY status""")
 def _(spark, root):
-    c = ops.base_coverage(ops.dated_lines(quoted(spark, root)), BASE_DAY)
-    per_line = c.groupBy("status", "mpn", "seller").agg(
-        F.count(F.lit(1)).alias("n"), F.count("last_eligible_date").alias("p"), F.sum("stale_days").alias("s")
+    daily = ops.dated_lines(quoted(spark, root))
+    runs = ops.run_dates(ops.coverage_runs(daily, BASE_DAY), ops.observed_days(daily)).where("date_count > 0")
+    per_line = runs.groupBy("status", "mpn", "seller").agg(
+        F.sum("date_count").alias("n"), F.sum(F.when(F.col("last_eligible_date").isNotNull(), F.col("date_count")).otherwise(0)).alias("p"), F.sum("stale_days").alias("s")
     )
     return per_line.groupBy("status").agg(
         F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("line_count"), F.sum("p").alias("with_prior"), F.sum("s").alias("stale_days")
@@ -103,8 +104,40 @@ SELECT strftime(date, '%Y-%m-%d') AS date, d AS baseline_eligible_line_count, n
     WHEN n > 0 THEN 'abstain_incomplete_base_basket_coverage' ELSE 'abstain_no_eligible_paired_lines' END AS quality_state
 FROM per""")
 def _(spark, root):
-    c = ops.base_coverage(ops.dated_lines(quoted(spark, root)), BASE_DAY)
-    return ops.base_coverage_by_date(c).withColumn("date", F.col("date").cast("string"))
+    daily = ops.dated_lines(quoted(spark, root))
+    per = ops.coverage_by_date(ops.coverage_runs(daily, BASE_DAY), daily)
+    return per.select(F.col("date").cast("string").alias("date"), "baseline_eligible_line_count", "eligible_paired_line_count", "coverage_basis_points", "quality_state")
+
+
+@register("base_coverage_counts", COVERAGE_SQL + """
+SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (WHERE status = 'eligible_paired_line') AS eligible_paired_line_count,
+  count(*) FILTER (WHERE status LIKE 'missing%') AS missing_current_observation_no_imputation_count, count(*) FILTER (WHERE status LIKE 'current%') AS current_observation_ineligible_no_imputation_count,
+  count(*) FILTER (WHERE status LIKE 'no_base%') AS no_baseline_observation_count, count(*) FILTER (WHERE status = 'baseline_ineligible') AS baseline_ineligible_count
+FROM c GROUP BY date""")
+def _(spark, root):
+    daily = ops.dated_lines(quoted(spark, root))
+    per = ops.coverage_by_date(ops.coverage_runs(daily, BASE_DAY), daily)
+    return per.select(F.col("date").cast("string").alias("date"), *[f"{s}_count" for s in [*ops.BASED, *ops.UNBASED]])
+
+
+@register("base_coverage_runs", f"""
+WITH q AS (SELECT mpn, seller, CAST(observed_at AS DATE) AS date, bool_or(status = 'eligible') AS eligible,
+    coalesce(min(observation_id) FILTER (WHERE status = 'eligible'), min(observation_id)) AS id, coalesce(arg_min(reasons, observation_id) FILTER (WHERE status = 'eligible'), arg_min(reasons, observation_id)) AS reasons
+  FROM v_quoted GROUP BY ALL),
+b AS (SELECT mpn, seller, eligible AS base_eligible, id AS base_id, reasons AS base_reasons FROM q WHERE date = DATE '{BASE_DAY}'),
+z AS (SELECT max(date) AS last_day FROM q),
+r AS (SELECT q.*, base_eligible, base_id, base_reasons, last_day, row_number() OVER w AS nth, lead(date) OVER w AS next_date, max(CASE WHEN eligible THEN date END) OVER w AS upto
+  FROM q LEFT JOIN b ON b.mpn = q.mpn AND b.seller = q.seller CROSS JOIN z WINDOW w AS (PARTITION BY q.mpn, q.seller ORDER BY date)),
+o AS (
+  SELECT mpn, seller, date AS s, last_day AS e, CASE WHEN base_eligible IS NULL THEN 'no_baseline_observation' ELSE 'baseline_ineligible' END AS status,
+    coalesce(base_reasons, 'no_observation_on_immutable_base_date') AS reasons, NULL AS prior, NULL AS base_id, NULL AS now_id FROM r WHERE nth = 1 AND base_eligible IS DISTINCT FROM true
+  UNION ALL SELECT mpn, seller, date, date, CASE WHEN eligible THEN 'eligible_paired_line' ELSE 'current_observation_ineligible_no_imputation' END, CASE WHEN eligible THEN '' ELSE reasons END, NULL, base_id, id FROM r WHERE base_eligible
+  UNION ALL SELECT mpn, seller, date + 1, coalesce(next_date - 1, last_day), 'missing_current_observation_no_imputation', 'no_same_date_observation', upto, base_id, NULL FROM r WHERE base_eligible AND coalesce(next_date - 1, last_day) > date)
+SELECT mpn, seller, strftime(s, '%Y-%m-%d') AS start_date, strftime(e, '%Y-%m-%d') AS end_date, status, reasons, strftime(prior, '%Y-%m-%d') AS last_eligible_date, base_id AS base_observation_id, now_id AS current_observation_id FROM o""")
+def _(spark, root):
+    runs = ops.coverage_runs(ops.dated_lines(quoted(spark, root)), BASE_DAY)
+    text = {c: F.col(c).cast("string") for c in ("start_date", "end_date", "last_eligible_date")}
+    return runs.withColumns(text | {"reasons": F.array_join("reasons", ",")})
 
 
 @register("fixed_base_relative", f"""
@@ -113,9 +146,17 @@ SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS eligible_line_count,
   CAST(floor(sum(CAST(amount_minor AS DOUBLE) / base_minor) / count(*) * 100000000 + 0.5) AS BIGINT) AS level_micros
 FROM v_coarse JOIN b USING (mpn, seller) GROUP BY date HAVING count(*) = (SELECT count(*) FROM b)""")
 def _(spark, root):
-    return ops.fixed_base_relative(coarse(spark, root), BASE_DAY).select(
-        F.col("date").cast("string").alias("date"), "eligible_line_count", "level_micros"
-    )
+    return ops.fixed_base_levels(coarse(spark, root), BASE_DAY).withColumn("date", F.col("date").cast("string"))
+
+
+@register("fixed_base_terms", f"""
+WITH b AS (SELECT mpn, seller, amount_minor AS base_minor FROM v_coarse WHERE date = DATE '{BASE_DAY}'),
+p AS (SELECT date, base_minor, CAST(sum(amount_minor) AS BIGINT) AS num, count(*) AS n FROM v_coarse JOIN b USING (mpn, seller) GROUP BY ALL),
+t AS (SELECT date, base_minor // gcd(num, base_minor) AS den, num // gcd(num, base_minor) AS num FROM p WHERE date IN (SELECT date FROM p GROUP BY date HAVING sum(n) = (SELECT count(*) FROM b)))
+SELECT strftime(date, '%Y-%m-%d') AS date, den AS denominator, CAST(sum(num) AS BIGINT) AS numerator FROM t GROUP BY ALL""")
+def _(spark, root):
+    terms = ops.fixed_base_terms(coarse(spark, root), BASE_DAY)
+    return terms.select(F.col("date").cast("string").alias("date"), F.col("denominator").cast("long").alias("denominator"), F.col("numerator").cast("long").alias("numerator"))
 
 
 @register("fixed_base_fractions")
@@ -143,7 +184,21 @@ SELECT month, CASE WHEN required = present THEN 'AVAILABLE' ELSE 'UNAVAILABLE_MO
   required - present AS missing_date_count FROM v_monthly""")
 def _(spark, root):
     v = F.col("value").cast("double")
-    return months(spark, root).withColumn("value", F.floor(v * 10000 + 0.5) / 10000)
+    return months(spark, root).withColumn("value", F.floor(v * 10000 + 0.5) / 10000).drop("exact")
+
+
+def both_parts(df: DataFrame) -> DataFrame:
+    """The exact fraction as two whole numbers."""
+    return df.select("*", F.col("exact.num").cast("long").alias("numerator"), F.col("exact.den").cast("long").alias("denominator")).drop("exact", "value")
+
+
+@register("monthly_mean_exact", """
+SELECT month, quality_state, total // gcd(total, n) AS numerator, n // gcd(total, n) AS denominator, required - present AS missing_date_count FROM (
+  SELECT c.month, count(*) AS required, count(typical_minor) AS present, CASE WHEN count(*) = count(typical_minor) THEN 'AVAILABLE' ELSE 'UNAVAILABLE_MONTH_INCOMPLETE' END AS quality_state,
+    CASE WHEN count(*) = count(typical_minor) THEN CAST(sum(typical_minor) AS BIGINT) END AS total, CASE WHEN count(*) = count(typical_minor) THEN count(*) END AS n
+  FROM v_contract c LEFT JOIN v_day d ON d.date = c.required_date GROUP BY c.month)""")
+def _(spark, root):
+    return both_parts(months(spark, root))
 
 
 @register("missing_contract_dates", "SELECT month, strftime(required_date, '%Y-%m-%d') AS required_date FROM v_contract WHERE required_date NOT IN (SELECT date FROM v_day)")
@@ -170,7 +225,7 @@ SELECT 'AVAILABLE' AS quality_state, floor(avg(value) * 10000 + 0.5) / 10000 AS
 def _(spark, root):
     m = months(spark, root)
     level = ops.reference_level(m, reference_months(m, 1998))
-    return level.withColumn("value", F.floor(F.col("value").cast("double") * 10000 + 0.5) / 10000)
+    return level.withColumn("value", F.floor(F.col("value").cast("double") * 10000 + 0.5) / 10000).drop("exact")
 
 
 @register("reference_level_missing", """
@@ -179,7 +234,7 @@ SELECT CASE WHEN count(*) = count(value) THEN 'AVAILABLE' ELSE 'UNAVAILABLE_HIST
 def _(spark, root):
     m = months(spark, root)
     level = ops.reference_level(m, m.select("month"))
-    return level.withColumn("value", F.floor(F.col("value").cast("double") * 10000 + 0.5) / 10000)
+    return level.withColumn("value", F.floor(F.col("value").cast("double") * 10000 + 0.5) / 10000).drop("exact")
 
 
 @register("rebase_100", """
@@ -189,7 +244,28 @@ SELECT month, CASE WHEN value IS NULL OR reference IS NULL THEN 'UNAVAILABLE_HIS
 def _(spark, root):
     m = months(spark, root)
     based = ops.rebase_100(m, ops.reference_level(m, reference_months(m, 1998)))
-    return based.withColumn("value", F.floor(F.col("value") * 1000 + 0.5) / 1000)
+    return based.withColumn("value", F.floor(F.col("value") * 1000 + 0.5) / 1000).drop("exact")
+
+
+#: Months with their mean as total over count, and the reference of a year as total over count: all contracts have as many dates.
+EXACT_MONTHS = """e AS (SELECT c.month, CASE WHEN count(*) = count(typical_minor) THEN CAST(sum(typical_minor) AS HUGEINT) END AS total, count(*) AS n FROM v_contract c LEFT JOIN v_day d ON d.date = c.required_date GROUP BY c.month),
+ref AS (SELECT sum(total * (6 // n)) AS rn, 6 * count(*) AS rd FROM e WHERE month LIKE '1998%' AND total IS NOT NULL)"""
+
+
+@register("reference_level_exact", f"WITH {EXACT_MONTHS} SELECT 'AVAILABLE' AS quality_state, CAST(rn // gcd(CAST(rn AS HUGEINT), CAST(rd AS HUGEINT)) AS BIGINT) AS numerator, CAST(rd // gcd(CAST(rn AS HUGEINT), CAST(rd AS HUGEINT)) AS BIGINT) AS denominator, 0 AS missing_month_count FROM ref")
+def _(spark, root):
+    m = months(spark, root)
+    return both_parts(ops.reference_level(m, reference_months(m, 1998)))
+
+
+@register("rebase_100_exact", f"""
+WITH {EXACT_MONTHS}, f AS (SELECT month, CAST(100 * total * rd AS HUGEINT) AS a, CAST(n * rn AS HUGEINT) AS b FROM e, ref)
+SELECT month, CASE WHEN a IS NULL THEN 'UNAVAILABLE_HISTORICAL_REFERENCE_INPUT' ELSE 'AVAILABLE' END AS quality_state, CAST(a // gcd(a, b) AS BIGINT) AS numerator,
+  CASE WHEN a IS NOT NULL THEN CAST(b // gcd(a, b) AS BIGINT) END AS denominator, CAST((a * 2000000 + b) // (2 * b) AS BIGINT) AS micros FROM f""")
+def _(spark, root):
+    m = months(spark, root)
+    based = ops.rebase_100(m, ops.reference_level(m, reference_months(m, 1998)))
+    return both_parts(based.withColumn("micros", F.round(F.col("value") * 1000000).cast("long")))
 
 
 DEFLATOR = [(f"{y}-{m:02d}", "rel-1", "final", 100 + (y - 1995) * 3 + m / 4) for y in range(1995, 2001) for m in range(1, 13)]
@@ -223,7 +299,19 @@ SELECT m.month, floor(m.value * (SELECT value FROM {DEFLATOR_SQL} WHERE month =
 FROM v_monthly m LEFT JOIN {DEFLATOR_SQL} d ON d.month = m.month""")
 def _(spark, root):
     real = ops.constant_price(months(spark, root), deflator(spark), "1998-01")
-    return real.withColumn("value", F.floor(F.col("value") * 100 + 0.5) / 100)
+    return real.withColumn("value", F.floor(F.col("value") * 100 + 0.5) / 100).drop("exact")
+
+
+@register("constant_price_exact", f"""
+WITH {EXACT_MONTHS}, d AS (SELECT month, CAST(value * 4 AS HUGEINT) AS q, month LIKE '%-05' AS doubled FROM {DEFLATOR_SQL}),
+f AS (SELECT e.month, total, CASE WHEN NOT doubled THEN CAST(total * (SELECT q FROM d WHERE month = '1998-01') AS HUGEINT) END AS a, CASE WHEN NOT doubled THEN CAST(n * q AS HUGEINT) END AS b, q, doubled
+  FROM e LEFT JOIN d ON d.month = e.month)
+SELECT month, CAST(a // gcd(a, b) AS BIGINT) AS numerator, CASE WHEN a IS NOT NULL THEN CAST(b // gcd(a, b) AS BIGINT) END AS denominator, CAST((a * 20000 + b) // (2 * b) AS BIGINT) AS ten_thousandths,
+  CASE WHEN total IS NULL THEN 'monthly_nominal_unavailable' WHEN doubled THEN 'duplicate_observation_month' WHEN q IS NULL THEN 'observation_month_missing' END AS unavailable_reason FROM f""")
+def _(spark, root):
+    d = deflator(spark)
+    real = ops.constant_price(months(spark, root), stacked(d, d.where("month LIKE '%-05'")), "1998-01")
+    return both_parts(real.withColumn("ten_thousandths", F.round(F.col("value") * 10000).cast("long")))
 
 
 @register("revision_impact", """
