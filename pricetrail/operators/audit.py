@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetrail.functions.nested import json_leaves
 from pricetrail.functions.reasons import duplicated, failed, stacked, violations
 
 
@@ -320,11 +321,14 @@ NUMERIC_KEYS = ["amount_minor", "price", "weight", "link_factor", "deflator", "r
 
 
 def check_numeric_coupling(rows: DataFrame, key: str, json_column: str, banned: list[str] = NUMERIC_KEYS) -> DataFrame:
-    """Banned keys at any depth of a free-form JSON column."""
-    names = F.regexp_extract_all(F.col(json_column), F.lit('"((?:[^"\\\\]|\\\\.)*)"\\s*:'), F.lit(1))
-    hit = F.array_intersect(F.array_distinct(names), F.array(*[F.lit(b) for b in banned]))
-    return rows.select(
-        F.lit("numeric_key_present").alias("rule"), F.col(key).cast("string").alias("key"), F.explode(hit).alias("detail")
+    """Banned keys at any depth of a free-form JSON column; texts that are no JSON are reported, nulls have no keys."""
+    leaves = json_leaves(rows.select(key, json_column), json_column)
+    who = F.col(f"row.{key}").cast("string").alias("key")
+    met = leaves.select(who, F.explode(F.array_intersect("names", F.array(*[F.lit(b) for b in banned]))).alias("detail")).distinct()
+    broken = leaves.where(F.col("leaf").isNull() & (F.size("names") == 0) & F.col(f"row.{json_column}").isNotNull())
+    return stacked(
+        met.select(F.lit("numeric_key_present").alias("rule"), "key", "detail"),
+        broken.select(F.lit("json_malformed").alias("rule"), who, F.lit("").alias("detail")),
     )
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetrail.functions.money import half_up, permille
+from pricetrail.functions.nested import json_leaves, typed_leaves
 from pricetrail.functions.periods import month_label
 from pricetrail.functions.reasons import duplicated, failed, reason_codes, stacked, violations
 
@@ -174,9 +179,11 @@ def _leaves(value: Column, kind: T.DataType, leaf: tuple[type, ...]) -> Column:
     return F.coalesce(found, none)
 
 
-def assert_public_safe(df: DataFrame, allowed: list[str]) -> DataFrame:
+def assert_public_safe(df: DataFrame, allowed: list[str], private: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
     """Columns against the allow-list and the money rule, values against leaks.
 
+    `private` and `codes` hold tokens that no serialised row may contain.
+
     Structs, arrays and maps are walked to their leaves, map keys included; a
     nested field is named by its path, and its own name must be allowed too.
     Values fold to one count per rule and column in a single aggregate.
@@ -220,9 +227,18 @@ def assert_public_safe(df: DataFrame, allowed: list[str]) -> DataFrame:
     parts = [p for p in ([found] if found is not None else []) + ([F.array(*counted)] if counted else [])]
     if not parts:
         parts = [F.array().cast("array<struct<rule:string,key:string,n:bigint>>")]
-    return row.select(F.explode(F.concat(*parts)).alias("v")).where("v.n > 0").select(
+    rules = row.select(F.explode(F.concat(*parts)).alias("v")).where("v.n > 0").select(
         "v.rule", "v.key", F.col("v.n").cast("string").alias("detail")
     )
+    given = [(rule, tokens) for rule, tokens in (("private_token", private), ("reason_code", codes)) if tokens is not None]
+    return stacked(rules, *[_serialised_leaks(df, rule, tokens) for rule, tokens in given]) if given else rules
+
+
+def _serialised_leaks(df: DataFrame, rule: str, tokens: DataFrame) -> DataFrame:
+    """Tokens found in rows as JSON, with the number of rows."""
+    rows = df.select(F.lit(0).alias("text_id"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("text"))
+    found = leak_scan(rows, tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.lit(rule).alias("rule"), F.col("token").alias("key"), F.col("n").cast("string").alias("detail"))
 
 
 # Columns whose values must never be published.
@@ -232,59 +248,157 @@ PRIVATE_COLUMNS = [
 ]
 
 
+# Keys that hold reason codes, and how a code looks.
+REASON_KEYS = ["reason_codes", "reasons", "reason_code", "exclusion_reason", "abstention_reasons", "rejection_reasons", "code"]
+REASON_SHAPE = "^[A-Z][A-Z0-9_]{5,}$"
+
+
+def _rendered(minor: Column) -> list[Column]:
+    """A price above a pound in the three ways it is written."""
+    figure = F.format_string("%d.%02d", F.floor(minor / 100), minor % 100)
+    return [F.when(minor > 100, F.concat(F.lit(p), figure)) for p in ("£", "", "GBP ")]
+
+
 def private_tokens(rows: DataFrame, amount: str | None = None) -> DataFrame:
-    """Values under private columns, and prices in their three renderings."""
+    """Values under private names at any depth, and prices in their three renderings.
+
+    Plain columns give their values as text; columns of structs, arrays and maps
+    are walked, where only text counts, as it does in free-form JSON.
+    """
     named = [F.col(c).cast("string") for c in rows.columns if c in PRIVATE_COLUMNS]
-    rendered = []
-    if amount is not None:
-        figure = F.format_string("%d.%02d", F.floor(F.col(amount) / 100), F.col(amount) % 100)
-        shown = F.col(amount) > 100
-        rendered = [F.when(shown, F.concat(F.lit(p), figure)) for p in ("£", "", "GBP ")]
-    return rows.select(F.explode(F.array_compact(F.array(*named, *rendered))).alias("token")).distinct()
+    shown = _rendered(F.col(amount)) if amount is not None else []
+    top = rows.select(F.explode(F.array_compact(F.array(*named, *shown))).alias("token")) if named or shown else None
+    nested = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    deep = _private_leaves(typed_leaves(rows, nested)) if nested else None
+    parts = [p for p in (top, deep) if p is not None]
+    return stacked(*parts).distinct() if parts else rows.sparkSession.createDataFrame([], "token string")
+
+
+def private_json_tokens(texts: DataFrame, json_column: str) -> DataFrame:
+    """The same for documents of free-form JSON."""
+    return _private_leaves(json_leaves(texts, json_column)).distinct()
+
+
+def _private_leaves(leaves: DataFrame) -> DataFrame:
+    kind = F.schema_of_variant("leaf")
+    last, above = F.try_element_at("names", F.lit(-1)), F.try_element_at("names", F.lit(-2))
+    minor = F.when((kind == "BIGINT") & (last == "amount_minor") & (above == "item_price"), F.try_variant_get("leaf", "$", "bigint"))
+    text = F.when((kind == "STRING") & last.isin(*PRIVATE_COLUMNS), F.try_variant_get("leaf", "$", "string"))
+    return leaves.select(F.explode(F.array_compact(F.array(text, *_rendered(minor)))).alias("token"))
 
 
 def reason_tokens(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Code-shaped reasons found in array or text columns."""
+    """Code-shaped reasons in columns of text or arrays, and in nested columns under the keys that hold reasons."""
     types = dict(rows.dtypes)
-    parts = [F.col(c) if types[c].startswith("array") else F.array(c) for c in columns]
-    return rows.select(F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])).alias("token")).where(
-        F.col("token").rlike("^[A-Z][A-Z0-9_]{5,}$")
-    ).distinct()
+    flat = [c for c in columns if types[c] in ("string", "array<string>")]
+    nested = [c for c in columns if c not in flat]
+    parts = []
+    if flat:
+        arrays = [F.col(c) if types[c].startswith("array") else F.array(c) for c in flat]
+        parts.append(rows.select(F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in arrays])).alias("token")).where(F.col("token").rlike(REASON_SHAPE)))
+    if nested:
+        parts.append(_reason_leaves(typed_leaves(rows, nested)))
+    return stacked(*parts).distinct()
+
+
+def reason_json_tokens(texts: DataFrame, json_column: str) -> DataFrame:
+    """The same for documents of free-form JSON, `{CODE: count}` maps included."""
+    return _reason_leaves(json_leaves(texts, json_column)).distinct()
+
+
+def _reason_leaves(leaves: DataFrame) -> DataFrame:
+    last, above = F.try_element_at("names", F.lit(-1)), F.try_element_at("names", F.lit(-2))
+    # A text under the key itself, or in an array under it; a null name is a place in an array.
+    under = F.coalesce(last.isin(*REASON_KEYS), F.lit(False)) | (last.isNull() & F.coalesce(above.isin(*REASON_KEYS), F.lit(False)))
+    own = F.when(under & (F.schema_of_variant("leaf") == "STRING"), F.try_variant_get("leaf", "$", "string"))
+    # The names of a map under the key.
+    pairs = F.arrays_zip(F.col("names").alias("key"), F.slice("names", 2, F.greatest(F.size("names"), F.lit(1))).alias("below"))
+    maps = F.transform(F.filter(pairs, lambda p: p["key"].isin(*REASON_KEYS)), lambda p: p["below"])
+    found = leaves.select(F.explode(F.array_compact(F.array_append(F.coalesce(maps, F.array().cast("array<string>")), own))).alias("token"))
+    return found.where(F.col("token").rlike(REASON_SHAPE))
 
 
 ANCHOR = 8
-
-
-def _grams(text: Column, n: int) -> Column:
-    """Distinct overlapping n-character pieces, in one linear pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+#: The sieve of anchors: so many pieces of 32768 bits, whatever the number of tokens.
+SIEVE_PIECES = 128
+
+
+def _byte_grams(text: bytes, size: int) -> np.ndarray:
+    """All pieces of `size` bytes, as big-endian numbers."""
+    b = np.frombuffer(text, dtype=np.uint8)
+    if len(b) < size:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(len(b) - size + 1, dtype=np.uint64)
+    for i in range(size):
+        out = out << np.uint64(8) | b[i:i + len(out)]
+    return out
+
+
+def _slots(grams: np.ndarray, size: int) -> np.ndarray:
+    """The sieve's slot of each piece."""
+    mixed = (grams + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(24)).astype(np.int64) % (SIEVE_PIECES * 32768)
+
+
+def _anchors(tokens: DataFrame) -> DataFrame:
+    """(token, size, gram, slot): of each token the piece that fewest tokens hold; a shorter token is its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for token in pdf["token"]:
+                text = token.encode()
+                size = min(len(text), ANCHOR)
+                grams = np.unique(_byte_grams(text, size))
+                yield pd.DataFrame({"token": pd.Series([token] * len(grams), dtype=object), "size": size, "gram": grams.view(np.int64), "slot": _slots(grams, size)})
+
+    every = tokens.where("length(token) > 0").select("token").distinct().mapInPandas(run, "token string, size int, gram long, slot long")
+    rarity = every.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("seen"))
+    best = F.min(F.struct("seen", "gram", "slot")).alias("a")
+    return every.join(rarity, ["size", "gram"]).groupBy("token", "size").agg(best).select("token", "size", "a.gram", "a.slot")
+
+
+def _sieve(anchors: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """One byte per slot, set where an anchor hashes to it, and the anchors' sizes."""
+    at = F.col("slot")
+    pieces = anchors.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), F.collect_set("size").alias("sizes")
+    ).collect()
+    sieve = np.zeros(SIEVE_PIECES * 32768 + 1, dtype=bool)
+    for r in pieces:
+        # Bucket b starts at 32768 * (b - 1) + 1; bucket 0 holds 0 alone.
+        held = np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")) + 32768 * (r["piece"] - 1) + 1
+        sieve[held if r["piece"] else 0] = True
+    return sieve, sorted({n for r in pieces for n in r["sizes"]})
 
 
 def leak_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(text_id, token) for every private token that occurs in a public text.
 
     A token is looked up by one of its own short pieces, the one rarest among
-    the tokens, so shared beginnings such as an address prefix do not pair
-    every token with every text. Pieces meet on equality and the full token is
-    then verified; tokens shorter than a piece are their own piece.
+    the tokens. Texts are read once: their pieces pass through a sieve of fixed
+    size before anything is shuffled, so a text in which no piece could be an
+    anchor ends there. What is left meets the anchors on equality, with its text,
+    and the full token is verified; a sieve that many tokens fill lets more
+    pieces through and changes no row. Null texts hold nothing.
     """
-    spark_tokens = tokens.where("length(token) > 0").distinct().withColumn("n", F.least(F.length("token"), F.lit(ANCHOR)))
-    # At most ANCHOR small integers.
-    sizes = sorted(r["n"] for r in spark_tokens.select("n").distinct().collect())
-    if not sizes:
-        return texts.select("text_id", F.lit("").alias("token")).limit(0)
-
-    def pieces(df: DataFrame, column: str, size: int) -> DataFrame:
-        return df.withColumn("gram", F.explode(_grams(F.col(column), size)))
-
-    token_grams = stacked(*[pieces(spark_tokens.where(F.col("n") == n), "token", n) for n in sizes])
-    rarity = token_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    anchors = token_grams.join(rarity, "gram").groupBy("token").agg(F.min(F.struct("seen", "gram")).alias("a")).select(
-        "token", F.col("a.gram").alias("gram")
-    )
-    text_grams = stacked(*[pieces(texts.select("text_id", "text"), "text", n).select("text_id", "gram") for n in sizes])
-    met = text_grams.join(anchors, "gram").select("text_id", "token").distinct()
-    return met.join(texts.select("text_id", "text"), "text_id").where(F.contains("text", "token")).select("text_id", "token")
+    anchors = _anchors(tokens)
+    sieve, sizes = _sieve(anchors)
+    kind = dict(texts.dtypes)["text_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, text in enumerate(pdf["text"]):
+                data = text.encode()
+                for size in sizes:
+                    grams = _byte_grams(data, size)
+                    grams = np.unique(grams[sieve[_slots(grams, size)]])
+                    if len(grams):
+                        at = np.full(len(grams), i)
+                        yield pdf.iloc[at].assign(size=size, gram=grams.view(np.int64))
+
+    held = texts.where("text IS NOT NULL").select("text_id", "text").mapInPandas(run, f"text_id {kind}, text string, size int, gram long")
+    met = held.join(anchors.select("token", "size", "gram"), ["size", "gram"])
+    return met.where(F.contains("text", "token")).select("text_id", "token")
 
 
 # Shapes of credentials.
@@ -308,9 +422,22 @@ def secret_scan(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", F.explode(F.filter(hits, lambda h: h["hits"] > 0)).alias("h")).select("text_id", "h.kind", "h.hits")
 
 
+#: Words that name a credential, as parts of a column's name.
+SECRET_WORDS = ("password", "passwd", "secret", "credential", "token", "cookie", "apikey", "privatekey", "authorization", "authentication")
+SECRET_PARTS = {*SECRET_WORDS, "auth", "header", "headers"}
+
+
 def secret_columns(df: DataFrame) -> list[str]:
-    """Columns whose very name says they hold a credential, in snake or camel case."""
+    """Columns whose very name says they hold a credential.
+
+    A name is cut at separators and humps; one part, or two neighbours together,
+    must be such a word. A name without separators tells by its end.
+    """
     import re
 
-    shape = r"(?i)(^|[_-])(password|passwd|secret|credential|api[_-]?key|token|auth(entication|orization)?|cookie|headers?|private[_-]?key)($|[_-])"
-    return [c for c in df.columns if re.search(shape, re.sub("([a-z0-9])([A-Z])", r"\1_\2", c))]
+    def tells(name: str) -> bool:
+        parts = [p.lower() for p in re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name)]
+        joined = {a + b for a, b in zip(parts, parts[1:], strict=False)}
+        return bool(SECRET_PARTS & {*parts, *joined}) or any(p.endswith(SECRET_WORDS) for p in parts)
+
+    return [c for c in df.columns if tells(c)]

@@ -159,6 +159,47 @@ def _(spark, root):
     return publish.reason_tokens(triage_readings(readings(spark, root)), ["reasons", "rejection"])
 
 
+@register("private_json_tokens", """
+SELECT DISTINCT token FROM (SELECT unnest([observation_id, source_url, CASE WHEN amount_minor > 100 THEN '£' || f END, CASE WHEN amount_minor > 100 THEN f END, CASE WHEN amount_minor > 100 THEN 'GBP ' || f END]) AS token
+  FROM (SELECT *, (amount_minor // 100) || '.' || lpad(CAST(amount_minor % 100 AS VARCHAR), 2, '0') AS f FROM v_offer)) WHERE token IS NOT NULL""")
+def _(spark, root):
+    from pricetrail.sources.adapter import offer_observations
+
+    price = F.struct("amount_minor", F.lit("GBP").alias("currency"))
+    held = F.struct("observation_id", "mpn", price.alias("item_price"), F.array(F.col("mpn")).alias("legal_name"), F.struct("amount_minor").alias("delivery"))
+    document = F.to_json(F.struct(F.array(F.array(held)).alias("parts"), F.struct(F.struct("source_url").alias("page")).alias("seen"), F.lit(7).alias("review_id")))
+    return publish.private_json_tokens(offer_observations(spark, root).select(document.alias("body")), "body")
+
+
+@register("reason_json_tokens", "SELECT DISTINCT token FROM (SELECT unnest([rejection, reason]) AS token FROM v_triaged) WHERE regexp_matches(token, '^[A-Z][A-Z0-9_]{5,}$')")
+def _(spark, root):
+    from pricetrail.operators.ingest import triage_readings
+
+    counts = F.map_from_arrays(F.array(F.col("rejection")), F.array(F.lit(1)))
+    deep = F.struct(F.when(F.col("rejection").isNotNull(), counts).alias("abstention_reasons"), F.lit("NOT_A_REASON").alias("note"))
+    document = F.to_json(F.struct(F.array(F.struct("reasons")).alias("rows"), deep.alias("run")))
+    return publish.reason_json_tokens(triage_readings(readings(spark, root)).select(document.alias("body")), "body")
+
+
+@register("assert_public_safe_tokens", """
+WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split(text, '. ')) AS token FROM benchmark) WHERE length(token) > 12 AND NOT contains(token, chr(10)) AND NOT contains(token, '"') AND NOT contains(token, chr(92))),
+h AS (SELECT token, count(*) AS n FROM documents JOIN t ON contains(text, token) GROUP BY token), c AS (SELECT DISTINCT upper(lang) || '_DOCUMENT' AS code FROM documents WHERE lang IS NOT NULL)
+SELECT 'private_token' AS rule, token AS key, CAST(n AS VARCHAR) AS detail FROM h
+UNION ALL SELECT 'reason_code', code, (SELECT CAST(count(*) AS VARCHAR) FROM documents WHERE upper(lang) || '_DOCUMENT' = code AND doc_id % 3 = 0) FROM c
+UNION ALL SELECT 'not_in_public_schema', 'note', '1'""")
+def _(spark, root):
+    docs = table(spark, root, "documents")
+    code = F.concat(F.upper("lang"), F.lit("_DOCUMENT"))
+    plain = F.length("token") > 12
+    for sign in ("\n", '"', "\\"):
+        plain = plain & ~F.contains("token", F.lit(sign))
+    tokens = table(spark, root, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("token")).where(plain)
+    rows = docs.select(F.struct(F.col("text").alias("headline")).alias("item"), F.when(F.col("doc_id") % 3 == 0, code).alias("note"))
+    codes = docs.where("lang IS NOT NULL").select(code.alias("token")).distinct()
+    found = publish.assert_public_safe(rows, ["item", "headline"], tokens, codes)
+    return found.where("rule NOT IN ('currency_text', 'two_decimal_text')")
+
+
 @register("leak_scan", """
 WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split(text, '. ')) AS token FROM benchmark) WHERE length(token) > 0)
 SELECT doc_id AS text_id, token FROM documents JOIN t ON contains(text, token)""")

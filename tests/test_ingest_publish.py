@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,43 @@ def test_price_far_behind_its_anchor_is_found(spark):
     pages = spark.createDataFrame([("p", "s", "u", far)], "page_id string, site string, url string, html string")
     got = extract_page_facts(pages, [rule]).first()
     assert (got["amount_minor"], got["vat_included"], got["reasons"]) == (1234, False, [])
+
+
+def test_json_is_walked_at_any_depth(spark):
+    from pricetrail.operators import audit
+
+    body = ('{"a": {"reasons": ["ABSENT_THING", "x"], "abstention_reasons": {"HTTP_404": 3, "LOW": {"z": 1}}}, "item_price": {"amount_minor": 12345}, '
+            '"w": [{"weight": null, "source_url": "https://u"}], "s": "{[\\"", "source_url": ["https://in-array"], "tranche_id": 7, "code": "TOP_LEVEL", "note": "NOT_A_REASON"}')
+    deep = "[" * 30 + '{"observation_id": "deep", "gap_fill": 1}' + "]" * 30
+    docs = spark.createDataFrame([(1, body), (2, "nope{"), (3, None), (4, "5"), (5, "{}"), (6, deep)], "id int, body string")
+    assert rows(publish.private_json_tokens(docs, "body")) == [("123.45",), ("GBP 123.45",), ("deep",), ("https://u",), ("£123.45",)]
+    assert rows(publish.reason_json_tokens(docs, "body")) == [("ABSENT_THING",), ("HTTP_404",), ("TOP_LEVEL",)]
+    assert rows(audit.check_numeric_coupling(docs, "id", "body")) == [
+        ("json_malformed", "2", ""), ("numeric_key_present", "1", "amount_minor"), ("numeric_key_present", "1", "weight"), ("numeric_key_present", "6", "gap_fill")]
+    assert rows(audit.check_numeric_coupling(docs.limit(0), "id", "body")) == []
+    typed = spark.sql("""SELECT 'o-9' AS observation_id, named_struct('page', array(named_struct('source_url', 'https://n', 'x', 'y'))) AS nested, map('review_id', 'r-1', 'k', 'v') AS m""")
+    assert rows(publish.private_tokens(typed)) == [("https://n",), ("o-9",), ("r-1",)]
+    counts = spark.sql("SELECT named_struct('abstention_reasons', map('PRICE_GONE', 2, 'low', 1)) AS run")
+    assert rows(publish.reason_tokens(counts, ["run"])) == [("PRICE_GONE",)]
+
+
+def test_public_rows_hold_no_private_token(spark):
+    df = spark.sql("SELECT named_struct('label', 'see o-771-x') AS item UNION ALL SELECT named_struct('label', 'fine')")
+    token = lambda *t: spark.createDataFrame([(x,) for x in t], "token string")
+    assert rows(publish.assert_public_safe(df, ["item", "label"], token("o-771", "o-772"), token("FINE_CODE"))) == [("private_token", "o-771", "1")]
+    assert rows(publish.assert_public_safe(df, ["item", "label"], token(), token())) == []
+
+
+def test_leaks_in_many_scripts_and_short_tokens(spark):
+    rng = random.Random(9)
+    letters = "abé漢\U0001f600 \n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, ""]
+    tokens = list({"".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 3, 4, 6, 9, 12) for _ in range(12)}) + [""]
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    k = spark.createDataFrame([(x,) for x in tokens], "token string")
+    assert set(rows(publish.leak_scan(t, k))) == {(i, x) for i, text in enumerate(texts) if text for x in tokens if x and x in text}
+
+
+def test_names_without_separators_tell(spark):
+    df = spark.createDataFrame([], "usertoken int, DBPassword int, tokens int, secretary int, privateKey int, private_key int, key int, authToken int, x_auth int, author int, myapikey int")
+    assert publish.secret_columns(df) == ["usertoken", "DBPassword", "privateKey", "private_key", "authToken", "x_auth", "myapikey"]
