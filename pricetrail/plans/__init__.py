@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-SECTIONS = ["series", "qualify", "market", "catalogue", "audit", "realseries", "ingest", "publish", "streaming"]
+SECTIONS = ["series", "qualify", "market", "catalogue", "audit", "realseries", "ingest", "publish", "streaming", "files"]
 
 
 def load_all() -> ModuleType:

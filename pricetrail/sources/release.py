@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetrail.functions.reasons import stacked
 from pricetrail.functions.text import canonical_json
@@ -17,6 +18,34 @@ def write_release(df: DataFrame, path: str, order: list[str], fmt: str = "parque
     out.sortWithinPartitions(*order, *[c for c in columns if c not in order]).write.mode("overwrite").format(fmt).save(path)
 
 
+def release_files(spark: SparkSession, path: str, schema: T.StructType, key: str, fmt: str = "parquet") -> DataFrame:
+    """(path, row_count, first_key, last_key, sha256) of every file of a release.
+
+    The digest is over the rows a file holds, not its bytes, so equal rows have
+    equal digests whatever the writer's version. It is a sum of row hashes and
+    folds map-side.
+    """
+    rows = spark.read.schema(schema).format(fmt).load(path)
+    names = sorted(schema.names)
+    parts = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), *row_hash_sums(canonical_json(*names))
+    )
+    return parts.select("path", "row_count", "first_key", "last_key", folded_digest().alias("sha256"))
+
+
+def row_hash_sums(text: Column) -> list[Column]:
+    """The four 64-bit words of the rows' hashes, summed."""
+    digest = F.sha2(text, 256)
+    return [
+        F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"w{i}")
+        for i in range(4)
+    ]
+
+
+def folded_digest() -> Column:
+    return F.sha2(F.concat_ws(":", "w0", "w1", "w2", "w3"), 256)
+
+
 def release_difference(recorded: DataFrame, derived: DataFrame) -> DataFrame:
     """Rows only recorded and rows only derived, with how often they differ.
 
@@ -46,14 +75,9 @@ def release_manifest(datasets: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in datasets.items():
         text = canonical_json(*df.columns)
-        digest = F.sha2(text, 256)
-        words = [
-            F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"w{i}")
-            for i in range(4)
-        ]
         parts.append(df.agg(
-            F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("byte_count"), *words
+            F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("byte_count"), *row_hash_sums(text)
         ).select(
-            F.lit(name).alias("dataset"), "row_count", "byte_count", F.sha2(F.concat_ws(":", "w0", "w1", "w2", "w3"), 256).alias("sha256")
+            F.lit(name).alias("dataset"), "row_count", "byte_count", folded_digest().alias("sha256")
         ))
     return stacked(*parts)

@@ -57,7 +57,7 @@ def input_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     classes = F.coalesce(F.col("h.observations.source.source_class"), F.array().cast("array<string>"))
     some = F.size(classes) > 0
     return files.select("path", F.sha2("content", 256).alias("sha256"), header.alias("h")).select(
-        "path", "sha256", F.col("h.schema_version").alias("file_schema_version"), F.col("h.scope").alias("file_scope"),
+        "path", "sha256", F.col("h.tranche_id").alias("name"), F.coalesce(F.size("h.observations"), F.lit(0)).cast("long").alias("observations"), F.col("h.schema_version").alias("file_schema_version"), F.col("h.scope").alias("file_scope"),
         F.col("h.channel").alias("file_channel"), F.col("h.status").alias("file_status"),
         (some & F.forall(classes, lambda c: c.eqNullSafe(F.lit("archived_primary_retail_storefront")))).alias("all_archived_primary_retail"),
         (some & F.forall(classes, lambda c: F.coalesce(c.startswith("archived_"), F.lit(False)))).alias("all_archived"),
