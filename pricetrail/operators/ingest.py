@@ -175,7 +175,11 @@ def reissue_schema(archive: DataFrame, ledger: DataFrame, legal_names: DataFrame
 
 @dataclass(frozen=True)
 class SiteRules:
-    """Where one site states its facts. Patterns capture the fact in group 1."""
+    """Where one site states its facts. Patterns capture the fact in group 1.
+
+    `price` is met inside the start tag of the element that holds the price, and
+    captures nothing.
+    """
 
     site: str
     title: str
@@ -188,19 +192,36 @@ class SiteRules:
     structured_mpn: str | None = None
     structured_price: str | None = None
     discontinued: str | None = None
-    price_window: int = 1400
 
 
 KIT = r"(?i)\b32\s*GB\b[^()\d]{0,12}\(?\s*(?:2\s*x\s*16\s*GB|16\s*GB\s*x\s*2)\s*\)?"
 
 
+def inside_element(rest: Column, tag: Column) -> Column:
+    """What stands between a start tag and its own end tag, elements of the same name inside included.
+
+    `rest` is the page behind the start tag. An element that never ends is empty.
+    """
+    pieces = F.split(rest, F.concat(F.lit("(?i)</"), tag, F.lit(r"\s*>")))
+    ended = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    start = F.struct(F.lit(1).alias("open"), F.lit("").alias("text"))
+
+    def step(s: Column, piece: Column) -> Column:
+        here = s["open"] + F.regexp_count(piece, F.concat(F.lit("(?i)<"), tag, F.lit(r"\b"))) - 1
+        return F.when(s["open"] == 0, s).otherwise(F.struct(here.alias("open"), F.concat(s["text"], F.lit(" "), piece).alias("text")))
+
+    done = F.aggregate(ended, start, step)
+    return F.when(done["open"] == 0, done["text"]).otherwise(F.lit(""))
+
+
 def extract_page_facts(pages: DataFrame, rules: list[SiteRules]) -> DataFrame:
     """Title, number, price, tax label, stock and reason codes of captured pages.
 
     `pages` carries (page_id, site, url, html). Each site's patterns are
     literals in its own branch, so they compile once and stay in the JVM. Price
-    and tax label are taken from the block after the anchor where it holds them,
-    else from the first place behind it in the whole rest of the page.
+    and tax label are read inside the element the site's rule names, however
+    long it is, and nowhere else: a delivery charge or another product's price
+    elsewhere on the page is never taken for it.
     """
     html = F.col("html")
 
@@ -214,34 +235,23 @@ def extract_page_facts(pages: DataFrame, rules: list[SiteRules]) -> DataFrame:
     def group(pattern: str | None) -> Column:
         return F.lit("") if pattern is None else F.regexp_extract(html, pattern, 1)
 
-    def after_anchor(rule: SiteRules, length: int | None = None) -> Column:
-        start = F.regexp_instr(html, F.lit(rule.price))
-        reach = F.length(html) if length is None else F.lit(length)
-        return F.when(start > 0, F.substr(html, start, reach)).otherwise(F.lit(""))
-
-    def first_of(text: Column, wanted: str, other: str) -> Column:
-        here, there = F.regexp_instr(text, F.lit(wanted)), F.regexp_instr(text, F.lit(other))
-        return (here > 0) & ((there == 0) | (here < there))
+    def element(rule: SiteRules, part: int) -> Column:
+        return F.regexp_extract(html, rf"(?s)<([A-Za-z][A-Za-z0-9]*)\b[^<>]*?(?:{rule.price})[^<>]*>(.*)", part)
 
     p = pages.withColumns({
         "title": strip_markup(by_site(lambda r: group(r.title))),
         "visible_mpn": F.upper(F.trim(by_site(lambda r: group(r.mpn)))),
         "structured_mpn": F.upper(F.trim(by_site(lambda r: group(r.structured_mpn)))),
         "structured_price": by_site(lambda r: group(r.structured_price)),
-        "price_block": strip_markup(by_site(lambda r: after_anchor(r, r.price_window))),
-        "price_rest": strip_markup(by_site(after_anchor)),
+        "price_tag": by_site(lambda r: element(r, 1)),
+        "price_rest": by_site(lambda r: element(r, 2)),
         "gone": by_site(lambda r: F.lit(False) if r.discontinued is None else html.rlike(r.discontinued)),
         "stock_in": by_site(lambda r: html.rlike(r.in_stock)),
         "stock_out": by_site(lambda r: html.rlike(r.out_of_stock)),
-    }).withColumns({
+    }).withColumn("price_block", strip_markup(inside_element(F.col("price_rest"), F.col("price_tag")))).withColumns({
         "inc": by_site(lambda r: F.col("price_block").rlike(r.tax_included)),
         "exc": by_site(lambda r: F.col("price_block").rlike(r.tax_excluded)),
-        "amount_minor": F.coalesce(pounds_to_minor(F.col("price_block")), pounds_to_minor(F.col("price_rest"))),
-    })
-    unlabelled = ~F.col("inc") & ~F.col("exc")
-    p = p.withColumns({
-        "inc": F.col("inc") | (unlabelled & by_site(lambda r: first_of(F.col("price_rest"), r.tax_included, r.tax_excluded))),
-        "exc": F.col("exc") | (unlabelled & by_site(lambda r: first_of(F.col("price_rest"), r.tax_excluded, r.tax_included))),
+        "amount_minor": pounds_to_minor(F.col("price_block")),
     })
     known = F.col("site").isin([r.site for r in rules])
     mpn = F.when(F.col("visible_mpn") != "", F.col("visible_mpn")).when(F.col("structured_mpn") != "", F.col("structured_mpn"))
@@ -392,13 +402,14 @@ def triage_readings(readings: DataFrame, ceiling: int = 999900) -> DataFrame:
 
 
 def drop_already_retained(readings: DataFrame, retained: DataFrame) -> DataFrame:
-    """Code rows an earlier wave holds, and keep the least row of each id among the rest."""
+    """Code rows an earlier wave holds, and keep the least row of each id. Rows without id are all kept."""
     keys = ["seller_display_name", "mpn", "observed_at"]
     held = retained.select(*keys).distinct().withColumn("held", F.lit(True))
     marked = readings.join(held, keys, "left")
     code = F.coalesce(F.col("rejection"), F.when(F.col("held"), F.lit("ALREADY_RETAINED_BY_EARLIER_WAVE")))
     coded = marked.withColumn("rejection", code).select(*readings.columns)
-    return coded.groupBy(F.col("reading_id").alias("id")).agg(F.min(F.struct(*coded.columns)).alias("r")).select("r.*")
+    apart = coded.select(F.struct(*coded.columns).alias("r"), F.when(F.col("reading_id").isNull(), F.monotonically_increasing_id()).alias("nameless"))
+    return apart.groupBy("r.reading_id", "nameless").agg(F.min("r").alias("r")).select("r.*")
 
 
 def triage_summary(triaged: DataFrame) -> DataFrame:

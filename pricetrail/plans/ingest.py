@@ -195,7 +195,9 @@ SELECT lower(replace(seller_display_name, '_', '-')) || '-' || lower(mpn) || '-'
 FROM v_offer o LEFT JOIN l ON l.evidence_id = o.evidence_id WHERE archived""")
 def _(spark, root):
     archive = offer_observations(spark, root).where("archived")
-    ledger = evidence_ledger(spark, root).dropDuplicates(["evidence_id"])
+    entries = evidence_ledger(spark, root)
+    # Of a doubled entry the least decides.
+    ledger = entries.groupBy("evidence_id").agg(F.min(F.struct(*[c for c in entries.columns if c != "evidence_id"])).alias("e")).select("evidence_id", "e.*")
     return ingest.reissue_schema(archive, ledger, legal_names(spark, root)).select(
         "observation_id", "source.supplied_url_status", "source.source_url", "evidence.response_sha256",
         F.col("availability.normalised").alias("availability"), F.array_join("qualification.reasons", ",").alias("reasons"), "missing_evidence",
@@ -378,14 +380,18 @@ def site(name: str, heading: str, number: str) -> ingest.SiteRules:
 SITES = [
     site("AFRICA", r"(?s)<h1[^>]*>(.*?)</h1>", r'id="number"[^>]*>\s*([A-Z0-9][A-Z0-9._/-]{4,})\s*<'),
     site("AMERICA", r"(?s)<h1[^>]*>(.*?)</h1>", r'id="number"[^>]*>\s*([A-Z0-9][A-Z0-9._/-]{4,})\s*<'),
-    site("ASIA", r'(?s)<div class="name">(.*?)</div>', r"Model:\s*<[^>]*>\s*([A-Z0-9][A-Z0-9._/-]{4,})\s*<"),
-    site("EUROPE", r'(?s)<div class="name">(.*?)</div>', r"Model:\s*<[^>]*>\s*([A-Z0-9][A-Z0-9._/-]{4,})\s*<"),
+    site("ASIA", r'(?s)<div class="name">(.*?)</div>', r'<dd class="part">([^<]+)</dd>'),
+    site("EUROPE", r'(?s)<div class="name">(.*?)</div>', r'<dd class="part">([^<]+)</dd>'),
 ]
 
 
 def product_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Observations written out as product pages of two layouts."""
-    o = observations(spark, root)
+    """Observations written out as product pages of two layouts.
+
+    The narrow rows are spread first: a table of one file would otherwise be
+    parsed by one task.
+    """
+    o = observations(spark, root).repartition("observation_id")
     k, ln, q, a = F.col("k_part"), F.col("k_line"), F.col("k_qty"), F.col("amount_minor")
     kit = F.when(q >= 20, F.lit("32GB (2x16GB)")).when(q >= 10, F.lit("32 GB Kit (16GB x 2)")).otherwise(F.lit("32GB"))
     name = F.concat(F.when(q == 13, F.lit("Fast ")).otherwise(F.lit("DDR5 ")), kit, F.lit(" <b>Red &amp; Blue</b>\n kit"))
@@ -395,14 +401,14 @@ def product_pages(spark: SparkSession, root: str) -> DataFrame:
     label = F.when(F.col("vat_included"), F.lit("inc. VAT")).when(~F.col("vat_included"), F.lit("ex VAT")).otherwise(F.lit(""))
     stock = F.when(ln == 5, F.lit("OutOfStock")).otherwise(F.lit("InStock"))
     late = F.col("seller").isin("ASIA", "EUROPE")
-    head = F.when(late, F.concat(F.lit('<div class="name">'), name, F.lit("</div><p>Model: <b>"), number, F.lit("</b></p>"))).otherwise(
+    head = F.when(late, F.concat(F.lit('<div class="name">'), name, F.lit('</div><dl><dt>Part</dt><dd class="part">'), number, F.lit("</dd></dl>"))).otherwise(
         F.concat(F.lit('<h1 class="t">'), name, F.lit('</h1><span id="number">'), number, F.lit("</span>"))
     )
     structured = F.when(k % 41 == 0, F.lit("")).otherwise(F.concat(F.lit('{"mpn": "'), F.lower("mpn"), F.lit('", "price": '), F.format_string("%d.%02d", F.floor(a / 100), a % 100), F.lit("}")))
     html = F.concat(
-        F.lit("<html><body><p>Delivery £4.99</p>"), head, F.lit('<div id="price-box" class="p">'), shown, F.lit(" <span>"), label, F.lit("</span></div>"),
+        F.lit("<html><body><p>Delivery £4.99 inc. VAT</p>"), head, F.lit('<div id="price-box" class="p">'), shown, F.lit(" <span>"), label, F.lit("</span></div>"),
         F.lit('<link href="https://schema.org/'), stock, F.lit('"/><script>'), structured, F.lit("</script>"),
-        F.when(q == 14, F.lit("<p>Discontinued - Contact Us</p>")).otherwise(F.lit("")), F.lit("</body></html>"),
+        F.when(q == 14, F.lit("<p>Discontinued - Contact Us</p>")).otherwise(F.lit("")), F.lit("<div>Also bought £19.99 ex VAT</div></body></html>"),
     )
     return o.select(F.col("observation_id").alias("page_id"), F.col("seller").alias("site"), F.lit("https://x.example/").alias("url"), html.alias("html"))
 
@@ -423,6 +429,35 @@ def _(spark, root):
     )
 
 
+PAGE_RULES = [
+    ingest.SiteRules(
+        site="web", title=r"(?s)<h1[^>]*>(.*?)</h1>", mpn=r'data-part="([^"]+)"', price='class="ad"', tax_included=r"(?i)inc\.?\s*VAT", tax_excluded=r"(?i)ex\.?\s*VAT",
+        in_stock="schema.org/InStock", out_of_stock="schema.org/OutOfStock",
+    ),
+]
+
+
+@register("extract_web_pages", """
+SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&pound;', '£'), '&amp;', '&'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title,
+  CASE WHEN page_id % 4 = 0 THEN 100 * page_id + 99 END AS amount_minor, CASE WHEN page_id % 8 = 0 THEN true WHEN page_id % 4 = 0 THEN false END AS vat_included,
+  concat_ws(',', 'CAPACITY_NOT_VISIBLE', CASE WHEN NOT regexp_matches(html, '(?i)<h1[^>]*>[^<]*DDR5') THEN 'DDR5_NOT_CONFIRMED' END, 'MPN_NOT_VISIBLE',
+    CASE WHEN page_id % 4 <> 0 THEN 'PRICE_NOT_VISIBLE' END, CASE WHEN page_id % 4 <> 0 THEN 'VAT_DISPLAY_MODE_NOT_VISIBLE' END) AS reasons FROM pages""")
+def _(spark, root):
+    # Prices set into the marked box of some pages, behind it or into a box that never ends in others.
+    i = F.col("page_id")
+    figure = F.concat(F.lit("<div><b>£"), i.cast("string"), F.lit(".99</b></div> "), F.when(i % 8 == 0, F.lit("inc VAT")).otherwise(F.lit("ex VAT")))
+    box = '<div class="ad">'
+    html = (
+        F.when(i % 4 == 0, F.replace("html", F.lit(box), F.concat(F.lit(f"{box}<div>from</div>"), figure)))
+        .when(i % 4 == 1, F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), figure)))
+        .when(i % 4 == 2, F.concat(F.split_part("html", F.lit(box), F.lit(1)), F.lit(box), figure, F.lit("<div>"), F.regexp_extract("html", "(?s)<h1.*?</h1>", 0)))
+        .otherwise(F.col("html"))
+    )
+    pages = table(spark, root, "pages").select("page_id", F.lit("web").alias("site"), "url", html.alias("html"))
+    facts = ingest.extract_page_facts(pages, PAGE_RULES)
+    return facts.select("page_id", "title", "amount_minor", "vat_included", F.array_join("reasons", ",").alias("reasons"))
+
+
 @register("release_difference", """
 SELECT mpn, n, CASE WHEN n % 3 = 0 THEN 'only_derived' END AS side, 1 AS surplus FROM (SELECT mpn, count(*) AS n FROM v_lines GROUP BY 1) WHERE n % 3 = 0
 UNION ALL SELECT mpn, n + 1, 'only_recorded', 1 FROM (SELECT mpn, count(*) AS n FROM v_lines GROUP BY 1) WHERE n % 3 = 0""")

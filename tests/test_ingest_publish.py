@@ -170,6 +170,30 @@ def test_price_far_behind_its_anchor_is_found(spark):
     assert (got["amount_minor"], got["vat_included"], got["reasons"]) == (1234, False, [])
 
 
+def test_price_is_read_inside_its_element_only(spark):
+    from pricetrail.operators.ingest import SiteRules, extract_page_facts
+
+    rule = SiteRules("s", r"<h1>(.*?)</h1>", r"MPN: (\S+)", 'id="box"', r"(?i)inc\.? vat", r"(?i)ex\.? vat", "In stock", "Out of stock")
+    bodies = {
+        "delivery": '<div id="box">call</div><p>Delivery £4.99 inc VAT</p>', "other": '<div id="box">call</div><div>Also bought £19.99 ex VAT</div>',
+        "before": '<p>£1.00</p><div id="box"></div>', "nested": '<DIV class="a" id="box"><div>was</div><div><div>£1,234.50</div> ex VAT</div></DIV><div>£9.99 inc VAT</div>',
+        "open": '<div id="box">£5.00 inc VAT', "inner": '<div id="box"><div>£5.00 inc VAT</div><p>£6.00</p>', "far": '<div id="box">' + "<i></i>" * 2000 + "£7.00 inc VAT</div>",
+        "none": "<p>£3.00 inc VAT</p>", "void": '<input id="box" value="£2.00"><p>£8.00</p>',
+    }
+    pages = spark.createDataFrame([(k, "s", "u", f"<h1>32GB (2x16GB) DDR5</h1> MPN: AB-1 {v}") for k, v in bodies.items()], "page_id string, site string, url string, html string")
+    got = {r["page_id"]: (r["amount_minor"], r["vat_included"]) for r in extract_page_facts(pages, [rule]).collect()}
+    assert got == {"nested": (123450, False), "far": (700, True), **{k: (None, None) for k in ("delivery", "other", "before", "open", "inner", "none", "void")}}
+    reasons = {r["page_id"]: r["reasons"] for r in extract_page_facts(pages, [rule]).collect()}
+    assert reasons["delivery"] == reasons["other"] == ["PRICE_NOT_VISIBLE", "VAT_DISPLAY_MODE_NOT_VISIBLE"]
+
+
+def test_readings_without_id_stay_apart(spark):
+    readings = spark.sql("""SELECT *, 's' AS seller_display_name, 'm' AS mpn, TIMESTAMP'2026-01-01' AS observed_at, CAST(NULL AS STRING) AS rejection FROM VALUES
+      (CAST(NULL AS STRING), 1), (NULL, 1), (NULL, 2), ('r', 4), ('r', 3) AS t(reading_id, amount_minor)""")
+    held = readings.select("seller_display_name", "mpn", "observed_at").where("false")
+    assert rows(ingest.drop_already_retained(readings, held), "reading_id", "amount_minor") == [("r", 3), (None, 1), (None, 1), (None, 2)]
+
+
 def test_json_is_walked_at_any_depth(spark):
     from pricetrail.operators import audit
 
