@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetrail.functions.money import grouped_median, half_up, mean_minor, median_by_rank
 from pricetrail.functions.periods import london_date, month_label, month_of
 from pricetrail.functions.reasons import duplicated, failed, reason_codes, stacked, violations
-from pricetrail.operators.qualify import check_source_url, classify_availability, match_evidence, restriction_reasons
+from pricetrail.operators.qualify import check_source_url, classify_availability, hosts_of, match_evidence, restriction_reasons
 from pricetrail.operators.series import contiguous_segments
 
 OFFER_KEY = ["mpn", "retailer_id", "observed_at"]
@@ -64,7 +64,12 @@ def check_approvals(catalogue: DataFrame, policy: DataFrame, reviews: DataFrame)
 def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retailers: DataFrame) -> DataFrame:
     """Publication predicates of rows whose product is approved.
 
-    The product filter comes first and shrinks every join after it.
+    The product filter comes first and shrinks every join after it. Where `obs`
+    has them, `created_at` (of the row's tranche) bounds its time, `product_mpn`
+    is held against the number of an archived row, `mpn_observed` against that of
+    a direct one, and `source_class` tells whether a row without a seller
+    relationship comes from a primary retailer. `retailers` has a row per
+    accepted name, with `https_hosts` or one `https_host`.
     """
     mine = obs.join(products.select("mpn"), "mpn", "left_semi")
     named = mine.join(retailers, F.col("seller_display_name") == F.col("accepted_name"), "left").drop("accepted_name")
@@ -72,18 +77,34 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     availability = classify_availability(F.col("stock_state"), F.col("stock_text"), F.col("stock_semantics"))
     archived = F.col("archived")
     known_retailer = F.col("retailer_id").isNotNull()
-    url_ok = check_source_url(F.col("source_url"), archived, F.col("observed_at"), F.col("https_host"))
+    url_ok = check_source_url(F.col("source_url"), archived, F.col("observed_at"), hosts_of(retailers))
+    has = set(obs.columns)
+    archived_bad = failed(~F.col("identity_exact"))
+    if "product_mpn" in has:
+        archived_bad = archived_bad | failed(F.col("product_mpn") != F.col("mpn"))
+    direct_bad = failed((F.col("match_basis") != "exact_mpn") | (F.col("mpn_expected") != F.col("mpn")))
+    if "mpn_observed" in has:
+        direct_bad = direct_bad | failed(F.col("mpn_observed") != F.col("mpn"))
+    untimely = F.col("observed_at").isNull()
+    if "created_at" in has:
+        untimely = untimely | failed(F.col("observed_at") > F.col("created_at"))
+    relationship = F.col("seller_relationship")
+    if "source_class" in has:
+        foreign = relationship.isNotNull() & (relationship != "retailer_owned")
+        unproven = relationship.isNull() & failed(F.col("source_class") != "archived_primary_retail_storefront")
+    else:
+        foreign, unproven = failed(relationship != "retailer_owned"), F.lit(False)
     rules = reason_codes([
-        ("archived_identity_not_exact", archived & failed(~F.col("identity_exact"))),
-        ("direct_identity_not_exact_mpn",
-         ~archived & failed((F.col("match_basis") != "exact_mpn") | (F.col("mpn_expected") != F.col("mpn")))),
-        ("invalid_or_future_observed_at", F.col("observed_at").isNull()),
+        ("archived_identity_not_exact", archived & archived_bad),
+        ("direct_identity_not_exact_mpn", ~archived & direct_bad),
+        ("invalid_or_future_observed_at", untimely),
         ("invalid_item_price", failed(F.col("amount_minor") <= 0)),
         ("currency_not_gbp", failed(F.col("currency") != "GBP")),
         ("vat_not_explicitly_included", failed(F.col("vat_state") != "included")),
         ("availability_not_explicitly_orderable", F.col("stock").isNull()),
         ("retailer_not_recognised", ~known_retailer),
-        ("seller_not_retailer_owned", failed(F.col("seller_relationship") != "retailer_owned")),
+        ("seller_not_retailer_owned", foreign),
+        ("primary_retail_relationship_not_established", unproven),
         ("missing_evidence_ledger_entry", F.col("entry_count") == 0),
         ("ambiguous_evidence_ledger_entry", F.col("entry_count") > 1),
         ("evidence_facts_mismatch", F.coalesce(~F.col("facts_equal"), F.lit(False))),
@@ -153,12 +174,13 @@ def offer_exceptions(qualified: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def assert_public_offers(offers: DataFrame, products: DataFrame, retailers: DataFrame) -> DataFrame:
     """Closed contract of the published table, integrity in both directions."""
-    roster = retailers.select("retailer_id", F.col("retailer_name").alias("roster_name"), "https_host")
+    # One row per retailer, whatever the number of names it is accepted under.
+    roster = retailers.select("retailer_id", F.col("retailer_name").alias("roster_name"), hosts_of(retailers).alias("hosts")).distinct()
     o = offers.join(roster, "retailer_id", "left").join(
         products.select("mpn", F.lit(True).alias("known_product")), "mpn", "left"
     )
     archived = F.col("observation_kind") == "archived_retail_observation"
-    url_ok = check_source_url(F.col("source_url"), archived, F.col("observed_at"), F.col("https_host"))
+    url_ok = check_source_url(F.col("source_url"), archived, F.col("observed_at"), F.col("hosts"))
     rows = violations(o, F.col("public_observation_id"), [
         ("id_shape", failed(~F.col("public_observation_id").rlike("^offer-[0-9a-f]{24}$"))),
         ("product_unknown", F.col("known_product").isNull()),
@@ -173,7 +195,7 @@ def assert_public_offers(offers: DataFrame, products: DataFrame, retailers: Data
     unused = products.join(offers, "mpn", "left_anti").select(
         F.lit("product_without_offer").alias("rule"), F.col("mpn").alias("key"), F.lit("").alias("detail")
     )
-    silent = retailers.join(offers, "retailer_id", "left_anti").select(
+    silent = retailers.select("retailer_id").distinct().join(offers, "retailer_id", "left_anti").select(
         F.lit("retailer_without_offer").alias("rule"), F.col("retailer_id").alias("key"), F.lit("").alias("detail")
     )
     return stacked(

@@ -89,24 +89,30 @@ def classify_availability(state: Column, text: Column, semantics: Column) -> Col
     )
 
 
-def check_source_url(url: Column, archived: Column, observed_at: Column, host: Column) -> Column:
-    """HTTPS without credentials, port, query or fragment, on the retailer's host.
+#: An address with HTTPS and a host, without credentials, query or fragment; the port may be empty or the scheme's own, which a parser drops.
+HTTPS = r"(?i:https)://([^/:@?#\\\s]+)(?::(?:443)?)?(/[^?#\s]*)?"
+
+
+def hosts_of(roster: DataFrame) -> Column:
+    """A retailer's hosts: the list it has, or its one host."""
+    return F.col("https_hosts") if "https_hosts" in roster.columns else F.array("https_host")
+
+
+def check_source_url(url: Column, archived: Column, observed_at: Column, hosts: Column) -> Column:
+    """HTTPS without credentials, foreign port, query or fragment, on one of the retailer's hosts (an array).
 
     An archive address must embed the capture time and such an address.
     """
 
-    def clean(text: Column) -> Column:
-        return F.coalesce(text.rlike(r"^https://[^/:@?#]+(/[^?#]*)?$"), F.lit(False))
-
-    def host_of(text: Column) -> Column:
-        return F.lower(F.regexp_extract(text, r"^https://([^/:@?#]+)", 1))
+    def on(text: Column, held: Column) -> Column:
+        host = F.lower(F.regexp_extract(text, f"^{HTTPS}[?]?#?$", 1))
+        return (host != "") & F.array_contains(held, host)
 
-    shape = r"^https://web\.archive\.org/web/([0-9]{14})id_/(https://.*)$"
-    inner = F.regexp_extract(url, shape, 2)
-    stamp = F.regexp_extract(url, shape, 1)
-    archive_ok = clean(url) & clean(inner) & (host_of(inner) == host) & (stamp == F.date_format(observed_at, "yyyyMMddHHmmss"))
-    direct_ok = clean(url) & (host_of(url) == host)
-    return F.coalesce(F.when(archived, archive_ok).otherwise(direct_ok), F.lit(False))
+    path = F.regexp_extract(url, f"^{HTTPS}[?]?#?$", 2)
+    shape = r"^/web/([0-9]{14})id_/(https://.*)$"
+    inner, stamp = F.regexp_extract(path, shape, 2), F.regexp_extract(path, shape, 1)
+    archive_ok = on(url, F.array(F.lit("web.archive.org"))) & on(inner, hosts) & (stamp == F.date_format(observed_at, "yyyyMMddHHmmss"))
+    return F.coalesce(F.when(archived, archive_ok).otherwise(on(url, hosts)), F.lit(False))
 
 
 def _fact_print(*facts: Column) -> list[Column]:
@@ -128,44 +134,64 @@ def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
     seller. Each kind is its own equi-join. The ledger is folded to one row per
     binding key beforehand, as a count and a fixed-width print of its facts, so
     copies of an entry never multiply rows and the fold hashes instead of sorts.
+    Where the tables have them, the kit's shape (32 GB, two modules, DDR5) must
+    be stated on both sides, an archived row is held against the entry's capture
+    time, and a digest, byte count or archive address that the row states must be
+    the entry's.
     """
     sound = (F.col("http_status") == 200) & F.col("response_sha256").rlike("^[0-9a-f]{64}$") & (F.col("response_bytes") > 0)
-    stated = _fact_print(
-        F.coalesce(sound, F.lit(False)), F.col("fact_mpn"), F.col("fact_amount_minor"), F.col("fact_currency"), F.col("fact_vat_included"), F.col("retrieved_at")
-    )
-    expected = _fact_print(
+    for name, value in (("fact_capacity_gb", 32), ("fact_module_count", 2)):
+        if name in ledger.columns:
+            sound = sound & (F.col(name) == value)
+    shape = F.lit(True)
+    for name, value in (("capacity_gb", 32), ("module_count", 2), ("memory_type", "DDR5")):
+        if name in obs.columns:
+            shape = shape & (F.col(name) == value)
+    captured = F.col("archive_captured_at" if "archive_captured_at" in ledger.columns else "retrieved_at")
+    facts = [F.coalesce(sound, F.lit(False)), F.col("fact_mpn"), F.col("fact_amount_minor"), F.col("fact_currency"), F.col("fact_vat_included")]
+    by_capture, by_retrieval = _fact_print(*facts, captured), _fact_print(*facts, F.col("retrieved_at"))
+    expected = [F.when(shape, p) for p in _fact_print(
         F.lit(True), F.col("mpn"), F.col("amount_minor"), F.col("currency"), F.col("vat_state") == "included", F.col("observed_at")
-    )
+    )]
     if "final_url" in ledger.columns:
         # An entry may be reached by the address asked for or the one it ended at.
         either = F.array_distinct(F.array_compact(F.array("source_url", "final_url")))
     else:
         either = F.array("source_url")
-    entries = ledger.select(
-        "evidence_id", "seller_display_name", "retrieved_at", either.alias("urls"), stated[0].alias("print_a"), stated[1].alias("print_b")
-    )
+    # What a row need not state, but must share with its entry if it does.
+    shared = [c for c in ("response_sha256", "response_bytes") if c in obs.columns]
+    archive_shared = shared + [c for c in ("archive_url",) if c in obs.columns and c in ledger.columns]
     needs = obs.select(
         "observation_id", "archived", "evidence_id", "source_url", F.col("observed_at").alias("retrieved_at"), "seller_display_name",
-        expected[0].alias("want_a"), expected[1].alias("want_b"),
+        expected[0].alias("want_a"), expected[1].alias("want_b"), *[F.col(c).alias(f"want_{c}") for c in archive_shared],
     )
 
-    def bound(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    def entries(prints: list[Column], keys: list[Column], named: list[str]) -> DataFrame:
+        return ledger.select(*keys, prints[0].alias("print_a"), prints[1].alias("print_b"), *[F.col(c).alias(f"held_{c}") for c in named])
+
+    def bound(rows: DataFrame, held: DataFrame, keys: list[str], named: list[str]) -> DataFrame:
         folded = held.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("entries"), F.min("print_a").alias("print_a"), F.min("print_b").alias("print_b")
+            F.count(F.lit(1)).alias("entries"), F.min("print_a").alias("print_a"), F.min("print_b").alias("print_b"), *[F.min(f"held_{c}").alias(f"held_{c}") for c in named]
         )
         agree = (F.col("print_a") == F.col("want_a")) & (F.col("print_b") == F.col("want_b"))
+        for c in named:
+            stated = F.col(f"want_{c}").isNotNull() & (F.col(f"want_{c}") != (0 if c == "response_bytes" else ""))
+            agree = agree & (~stated | F.coalesce(F.col(f"want_{c}") == F.col(f"held_{c}"), F.lit(False)))
         return rows.join(folded, keys, "left").select(
             "observation_id",
             F.coalesce("entries", F.lit(0)).alias("entry_count"),
             F.when(F.col("entries") == 1, F.coalesce(agree, F.lit(False))).alias("facts_equal"),
         )
 
-    archive = bound(needs.where("archived").select("observation_id", "evidence_id", "want_a", "want_b"), entries, ["evidence_id"])
+    wants = lambda named: ["want_a", "want_b", *[f"want_{c}" for c in named]]
+    archive = bound(
+        needs.where("archived").select("observation_id", "evidence_id", *wants(archive_shared)),
+        entries(by_capture, [F.col("evidence_id")], archive_shared), ["evidence_id"], archive_shared,
+    )
     live_keys = ["source_url", "retrieved_at", "seller_display_name"]
     live = bound(
-        needs.where(~F.col("archived")).select("observation_id", *live_keys, "want_a", "want_b"),
-        entries.withColumn("source_url", F.explode("urls")).drop("urls"),
-        live_keys,
+        needs.where(~F.col("archived")).select("observation_id", *live_keys, *wants(shared)),
+        entries(by_retrieval, [F.explode(either).alias("source_url"), F.col("retrieved_at"), F.col("seller_display_name")], shared), live_keys, shared,
     )
     return stacked(archive, live)
 

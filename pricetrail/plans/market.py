@@ -9,8 +9,9 @@ from pricetrail.functions.periods import instant_text
 from pricetrail.functions.reasons import stacked
 from pricetrail.operators import market
 from pricetrail.plans.registry import register
+from pricetrail.plans.views import AVAILABLE, VIEWS
 from pricetrail.session import settle
-from pricetrail.sources.adapter import catalogue, evidence_ledger, offer_observations, retailers
+from pricetrail.sources.adapter import catalogue, evidence_ledger, offer_observations, retailers, stated_ledger, stated_offers, stated_retailers
 
 SENTINELS = [9999999]
 
@@ -97,6 +98,60 @@ def _(spark, root):
     return qualified_offers(spark, root).select("observation_id", "retailer_id", "stock", F.array_join("reasons", ",").alias("reasons"))
 
 
+VIEWS.update({
+    "v_stated": """
+SELECT * REPLACE (CASE WHEN k_part % 61 <> 0 THEN seller_relationship END AS seller_relationship), observed_at + CASE WHEN k_part % 59 = 0 THEN INTERVAL (-1) SECOND ELSE INTERVAL 1 DAY END AS created_at,
+  CASE WHEN k_part % 67 = 0 THEN mpn || 'P' ELSE mpn END AS product_mpn, k_part % 71 > 3 AS right_kit,
+  CASE WHEN k_part % 79 = 0 THEN sha256('x') WHEN k_part % 79 > 40 THEN sha256(evidence_id) END AS stated_sha,
+  CASE WHEN k_part % 83 = 0 THEN 1 WHEN k_part % 83 > 40 THEN length(source_url) END AS stated_bytes,
+  CASE WHEN k_part % 89 = 0 THEN source_url || 'x' WHEN k_part % 89 > 40 THEN source_url END AS stated_archive
+FROM (SELECT * REPLACE (CASE WHEN NOT archived AND k_part % 97 = 0 THEN replace(source_url, 'https://www.' || shop || '.example/', 'HTTPS://WWW.' || upper(shop) || '.EXAMPLE:443/')
+    WHEN NOT archived AND k_part % 97 = 1 THEN replace(source_url, 'https://www.' || shop || '.example/', 'https://www.' || shop || '.example:8443/')
+    WHEN k_part % 7 = 0 THEN replace(source_url, 'https://www.' || shop || '.example/', 'https://shop.' || shop || '.example/')
+    WHEN NOT archived AND k_part % 97 = 2 THEN replace(source_url, 'https://www.' || shop || '.example/', 'https://me@www.' || shop || '.example/') ELSE source_url END AS source_url)
+  FROM (SELECT *, lower(replace(seller_display_name, '_', '-')) AS shop FROM v_offer))
+""",
+    # An offer's own entry by evidence id, or by address, time and seller: several offers of a seller can share the latter.
+    "v_stated_match": """
+SELECT observation_id, count(entry) AS entry_count, CASE WHEN count(entry) = 1 THEN bool_and(right_kit AND fact_capacity = 32 AND fact_modules = 2 AND fact_mpn = mpn AND fact_amount = amount_minor AND fact_currency = currency
+    AND fact_vat = (vat_state = 'included') AND seen_at = observed_at AND coalesce(stated_sha = held_sha, true) AND coalesce(stated_bytes = held_bytes, true) AND (NOT archived OR coalesce(stated_archive = held_archive, true))) END AS facts_equal
+FROM (WITH l AS (SELECT evidence_id AS entry, seller_display_name AS l_seller, source_url AS l_url, observed_at AS l_time, archived AS l_archived, observed_at + CASE WHEN k_part % 101 = 0 THEN INTERVAL 1 SECOND ELSE INTERVAL 0 SECOND END AS captured,
+    sha256(evidence_id) AS held_sha, length(source_url) AS held_bytes, source_url AS held_archive, mpn AS fact_mpn, amount_minor AS fact_amount, currency AS fact_currency, vat_state = 'included' AS fact_vat,
+    CASE WHEN k_part % 73 = 0 THEN 16 WHEN k_part % 73 <> 1 THEN 32 ELSE 0 END AS fact_capacity, CASE WHEN k_part % 73 = 2 THEN 4 ELSE 2 END AS fact_modules FROM v_stated WHERE k_part % 29 <> 0)
+  SELECT o.*, l.*, captured AS seen_at FROM v_stated o LEFT JOIN l ON l.entry = o.evidence_id WHERE o.archived
+  UNION ALL SELECT o.*, l.*, l_time AS seen_at FROM v_stated o LEFT JOIN l ON l_url = o.source_url AND l_time = o.observed_at AND l_seller = o.seller_display_name AND NOT l_archived WHERE NOT o.archived)
+GROUP BY observation_id
+""",
+})
+
+#: The address rules on stated offers, written from how those addresses are made.
+STATED_URL = """(scheme_ok AND tail_ok AND NOT (NOT archived AND k_part % 97 IN (1, 2) AND (k_part % 97 = 1 OR k_part % 7 <> 0)))"""
+
+
+@register("match_evidence_stated", "SELECT observation_id, entry_count, facts_equal FROM v_stated_match")
+def _(spark, root):
+    return market.match_evidence(stated_offers(spark, root), stated_ledger(spark, root))
+
+
+@register("qualify_offer_stated", f"""
+SELECT o.observation_id, r.retailer_id, concat_ws(',',
+  CASE WHEN archived AND (NOT identity_exact OR product_mpn <> o.mpn) THEN 'archived_identity_not_exact' END,
+  CASE WHEN NOT archived AND mpn_expected <> o.mpn THEN 'direct_identity_not_exact_mpn' END, CASE WHEN observed_at > created_at THEN 'invalid_or_future_observed_at' END,
+  CASE WHEN currency <> 'GBP' THEN 'currency_not_gbp' END, CASE WHEN vat_state <> 'included' THEN 'vat_not_explicitly_included' END,
+  CASE WHEN {AVAILABLE} IS NULL THEN 'availability_not_explicitly_orderable' END, CASE WHEN r.retailer_id IS NULL THEN 'retailer_not_recognised' END,
+  CASE WHEN seller_relationship <> 'retailer_owned' THEN 'seller_not_retailer_owned' END, CASE WHEN seller_relationship IS NULL AND NOT archived THEN 'primary_retail_relationship_not_established' END,
+  CASE WHEN entry_count = 0 THEN 'missing_evidence_ledger_entry' WHEN entry_count > 1 THEN 'ambiguous_evidence_ledger_entry' END, CASE WHEN NOT facts_equal THEN 'evidence_facts_mismatch' END,
+  CASE WHEN r.retailer_id IS NOT NULL AND NOT {STATED_URL} THEN 'source_url_contract_mismatch' END,
+  CASE WHEN stock_semantics = 'ambiguous' OR contains(lower(review_note), 'identity_mismatch') THEN 'record_specific_ambiguity_restriction_or_rejection' END,
+  CASE WHEN publication_allowed THEN 'record_authority_drift' END) AS reasons
+FROM (SELECT *, NOT contains(source_url, 'http://') AS scheme_ok, NOT regexp_matches(source_url, '[?#].') AS tail_ok FROM v_stated) o
+JOIN v_approved a ON a.mpn = o.mpn LEFT JOIN v_retailer r ON r.accepted_name = o.seller_display_name JOIN v_stated_match m ON m.observation_id = o.observation_id""")
+def _(spark, root):
+    o = stated_offers(spark, root)
+    q = market.qualify_offer(o, approved(spark, root), stated_ledger(spark, root), stated_retailers(spark, root))
+    return q.select("observation_id", "retailer_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @register("public_offers", f"SELECT * REPLACE ({STAMP}) FROM v_public")
 def _(spark, root):
     fresh = market.public_offers(candidates(qualified_offers(spark, root)))

@@ -99,7 +99,7 @@ def _(spark, root):
     r = retailers(spark, root)
     return o.join(r, o.seller_display_name == r.accepted_name, "left").select(
         "observation_id",
-        qualify.check_source_url(F.col("source_url"), F.col("archived"), F.col("observed_at"), F.col("https_host")).alias("url_ok"),
+        qualify.check_source_url(F.col("source_url"), F.col("archived"), F.col("observed_at"), F.array("https_host")).alias("url_ok"),
     )
 
 

@@ -251,6 +251,53 @@ def retailers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def stated_offers(spark: SparkSession, root: str) -> DataFrame:
+    """Offers with everything a row can state about itself, and rows that break each rule on it."""
+    o, k = offer_observations(spark, root), F.col("k_part")
+    direct = ~F.col("archived")
+    url, key = F.col("source_url"), retailer_key(F.col("seller_display_name"))
+    host = F.concat(F.lit("https://www."), key, F.lit(".example/"))
+    told = (
+        F.when(direct & (k % 97 == 0), F.replace(url, host, F.concat(F.lit("HTTPS://WWW."), F.upper(key), F.lit(".EXAMPLE:443/"))))
+        .when(direct & (k % 97 == 1), F.replace(url, host, F.concat(F.lit("https://www."), key, F.lit(".example:8443/"))))
+        .when(k % 7 == 0, F.replace(url, host, F.concat(F.lit("https://shop."), key, F.lit(".example/"))))
+        .when(direct & (k % 97 == 2), F.replace(url, host, F.concat(F.lit("https://me@www."), key, F.lit(".example/")))).otherwise(url)
+    )
+    evidence = F.sha2("evidence_id", 256)
+    return o.withColumn("source_url", told).withColumns({
+        "created_at": F.col("observed_at") + F.when(k % 59 == 0, F.expr("INTERVAL -1 SECOND")).otherwise(F.expr("INTERVAL 86400 SECOND")),
+        "source_class": F.when(direct, F.lit("primary_retail_storefront")).otherwise(F.lit("archived_primary_retail_storefront")),
+        "seller_relationship": F.when(k % 61 != 0, F.col("seller_relationship")),
+        "product_mpn": F.when(k % 67 == 0, F.concat("mpn", F.lit("P"))).otherwise(F.col("mpn")),
+        "capacity_gb": F.when(k % 71 == 0, 16).otherwise(32), "module_count": F.when(k % 71 == 1, 1).when(k % 71 != 3, 2),
+        "memory_type": F.when(k % 71 == 2, F.lit("DDR4")).otherwise(F.lit("DDR5")),
+        "response_sha256": F.when(k % 79 == 0, F.sha2(F.lit("x"), 256)).when(k % 79 > 40, evidence),
+        "response_bytes": F.when(k % 83 == 0, F.lit(1)).when(k % 83 > 40, F.length("source_url")).cast("long"),
+        "archive_url": F.when(k % 89 == 0, F.concat("source_url", F.lit("x"))).when(k % 89 > 40, F.col("source_url")),
+    })
+
+
+def stated_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """Entries of those offers with the kit's shape, the archive address and its capture time."""
+    o, k = stated_offers(spark, root).where("k_part % 29 <> 0"), F.col("k_part")
+    late = F.when(F.col("archived"), F.expr("INTERVAL 3 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    return o.select(
+        "evidence_id", "seller_display_name", "source_url", (F.col("observed_at") + late).alias("retrieved_at"), F.lit(200).alias("http_status"),
+        F.sha2("evidence_id", 256).alias("response_sha256"), F.length("source_url").cast("long").alias("response_bytes"),
+        F.col("mpn").alias("fact_mpn"), F.col("amount_minor").alias("fact_amount_minor"), F.col("currency").alias("fact_currency"), (F.col("vat_state") == "included").alias("fact_vat_included"),
+        F.when(k % 73 == 0, 16).when(k % 73 != 1, 32).alias("fact_capacity_gb"), F.when(k % 73 == 2, 4).otherwise(2).alias("fact_module_count"),
+        F.col("source_url").alias("archive_url"), (F.col("observed_at") + F.when(k % 101 == 0, F.expr("INTERVAL 1 SECOND")).otherwise(F.expr("INTERVAL 0 SECOND"))).alias("archive_captured_at"),
+    )
+
+
+def stated_retailers(spark: SparkSession, root: str) -> DataFrame:
+    """The roster with two hosts each, every third retailer accepted under a second name."""
+    r = retailers(spark, root)
+    names = F.when(F.length("accepted_name") % 3 == 0, F.array(F.col("accepted_name"), F.concat("accepted_name", F.lit(" Ltd")))).otherwise(F.array("accepted_name"))
+    hosts = F.array("https_host", F.replace("https_host", F.lit("www."), F.lit("shop.")))
+    return r.select("retailer_id", "retailer_name", F.explode(names).alias("accepted_name"), hosts.alias("https_hosts"))
+
+
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
     """Catalogue products with manufacturer, specification and review state."""
     k, size = F.col("p_partkey"), F.col("p_size")

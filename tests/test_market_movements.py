@@ -168,3 +168,42 @@ def test_widest_prefers_one_seller(spark):
 def test_widest_tie_goes_to_first_seller(spark):
     o = obs(spark, [("A", "z", "2024-01-01", 1, True), ("A", "z", "2024-01-11", 2, True), ("A", "a", "2024-02-01", 5, True), ("A", "a", "2024-02-11", 9, True)])
     assert movements.widest_movements(o).first()["from_seller"] == "a"
+
+
+def test_source_addresses_are_parsed(spark):
+    from pricetrail.operators.qualify import check_source_url
+
+    good = ["https://www.shop.example/p/1", "https://shop.example", "https://shop.example:443/p", "https://shop.example:/p", "HTTPS://SHOP.Example/p", "https://shop.example/p?", "https://shop.example/p#"]
+    bad = ["http://shop.example/p", "https://shop.example:444/p", "https://me@shop.example/p", "https://shop.example/p?x=1", "https://shop.example/p#top", "https://shop.example.evil/p",
+           "https://evil.example/shop.example", "https://", "shop.example/p", "https://shop.example/a b", "https://shop.example\\\\@evil.example/", None, ""]
+    stamp = "https://web.archive.org/web/20260102030405id_/"
+    archived_good = [stamp + u for u in good[:5] if u.startswith("https")] + ["https://WEB.archive.org:443/web/20260102030405id_/https://shop.example/p"]
+    archived_bad = [stamp + u for u in bad[:7]] + [stamp, good[0], stamp.replace("id_", "") + good[0], stamp.replace("0405", "0406") + good[0], stamp.replace("web.", "www.") + good[0]]
+    cases = [(u, False, True) for u in good] + [(u, False, False) for u in bad] + [(u, True, True) for u in archived_good] + [(u, True, False) for u in archived_bad]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, url string, archived boolean, want boolean")
+    hosts = F.array(F.lit("www.shop.example"), F.lit("shop.example"))
+    ok = check_source_url(F.col("url"), F.col("archived"), F.lit("2026-01-02 03:04:05").cast("timestamp"), hosts)
+    got = {r["i"]: r["ok"] for r in df.select("i", ok.alias("ok")).collect()}
+    assert [(u, a) for i, (u, a, want) in enumerate(cases) if got[i] != want] == []
+    assert not df.select(check_source_url(F.col("url"), F.col("archived"), F.lit(None).cast("timestamp"), F.lit(None).cast("array<string>")).alias("ok")).where("ok").count()
+
+
+def test_evidence_must_show_the_kit_on_both_sides(spark):
+    from pricetrail.operators.qualify import match_evidence
+
+    row = {"observation_id": "o", "archived": True, "evidence_id": "e", "source_url": "u", "seller_display_name": "s", "mpn": "A", "amount_minor": 5, "currency": "GBP", "vat_state": "included",
+           "capacity_gb": 32, "module_count": 2, "memory_type": "DDR5", "response_sha256": None, "response_bytes": None, "archive_url": None}
+    entry = {"evidence_id": "e", "seller_display_name": "s", "source_url": "u", "http_status": 200, "response_sha256": "a" * 64, "response_bytes": 9, "fact_mpn": "A", "fact_amount_minor": 5,
+             "fact_currency": "GBP", "fact_vat_included": True, "fact_capacity_gb": 32, "fact_module_count": 2, "archive_url": "w"}
+    cases = [({}, {}, True), ({"capacity_gb": 16}, {}, False), ({"module_count": None}, {}, False), ({"memory_type": "DDR4"}, {}, False), ({}, {"fact_capacity_gb": 16}, False), ({}, {"fact_module_count": None}, False),
+             ({"capacity_gb": 16}, {"fact_capacity_gb": 16}, False), ({"response_sha256": "a" * 64}, {}, True), ({"response_sha256": "b" * 64}, {}, False), ({"response_bytes": 9}, {}, True), ({"response_bytes": 8}, {}, False),
+             ({"response_bytes": 0}, {}, True), ({"archive_url": "w"}, {}, True), ({"archive_url": "x"}, {}, False), ({"archive_url": "x", "archived": False}, {}, True), ({}, {"archive_captured_at": "2026-01-02"}, False),
+             ({}, {"retrieved_at": "2026-01-02"}, True), ({"archived": False}, {"archive_captured_at": "2026-01-02"}, True)]
+    obs_rows = [row | {"observation_id": f"o{i}", "evidence_id": f"e{i}", "source_url": f"u{i}", "observed_at": "2026-01-01"} | o for i, (o, _, _) in enumerate(cases)]
+    entries = [entry | {"evidence_id": f"e{i}", "source_url": f"u{i}", "retrieved_at": "2026-01-01", "archive_captured_at": "2026-01-01"} | e for i, (_, e, _) in enumerate(cases)]
+    obs_df = spark.createDataFrame(obs_rows, "observation_id string, archived boolean, evidence_id string, source_url string, seller_display_name string, mpn string, amount_minor long, currency string, vat_state string, "
+                                   "capacity_gb int, module_count int, memory_type string, response_sha256 string, response_bytes long, archive_url string, observed_at string").withColumn("observed_at", F.to_timestamp("observed_at"))
+    ledger = spark.createDataFrame(entries, "evidence_id string, seller_display_name string, source_url string, http_status int, response_sha256 string, response_bytes long, fact_mpn string, fact_amount_minor long, fact_currency string, "
+                                   "fact_vat_included boolean, fact_capacity_gb int, fact_module_count int, archive_url string, retrieved_at string, archive_captured_at string").withColumns({c: F.to_timestamp(c) for c in ("retrieved_at", "archive_captured_at")})
+    got = {r["observation_id"]: r["facts_equal"] for r in match_evidence(obs_df, ledger).collect()}
+    assert [(i, c) for i, c in enumerate(cases) if got[f"o{i}"] != c[2]] == []
