@@ -146,15 +146,16 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     same = Window.partitionBy("doc_id").orderBy("size", "start")
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_spans", F.row_number().over(same).alias("_nth"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    numbered = docs.withColumn("_n", size).where("_n > 0")
-    return _layers(numbered, spans, docs.columns)
+    # The table's own columns travel in a struct, where no name can clash.
+    numbered = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", size.alias("_n")).where("_n > 0")
+    return _layers(numbered, spans, docs)
 
 
-def _layers(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
+def _layers(rows: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
     nth = Window.partitionBy("doc_id", "_n").orderBy(F.xxhash64("text"))
     again = Window.partitionBy("_id", "_size").orderBy("_nth")
     spans = spans.withColumn("_k", F.row_number().over(again)).drop("_nth")
-    held = docs.withColumn("_k2", F.row_number().over(nth)).join(
+    held = rows.withColumn("_k2", F.row_number().over(nth)).join(
         spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & (F.col("_k2") == F.col("_k"))
     )
     held = held.withColumn("_layer", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["times"])).cast("int"))))
@@ -163,6 +164,7 @@ def _layers(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     held = held.withColumn("_words", F.when(got < F.col("_n"), F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))))
     part = F.array_join(F.flatten(F.transform("_in", lambda s: F.slice("_words", (s["from_word"] + 1).cast("int"), s["words"].cast("int")))), "")
     held = held.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(part))
-    if "n_chars" in columns:
-        held = held.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return held.select(*columns)
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return held.select(*[made.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

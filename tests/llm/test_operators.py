@@ -227,6 +227,25 @@ def test_forest(spark, messy, empty, width):
     assert once.columns == messy.columns and once.where("doc_id = 0").count() == 1 and once.where("doc_id = 1").count() == 0
 
 
+def test_one_of_each_judges_texts_not_ids(spark):
+    """Other texts under a repeated id, rows without id and columns of any name."""
+    line = lambda k: " ".join(f"{w}{k}" for w in LINE.split())
+    rows = [(1, line(1)), (1, line(2)), (1, line(2)), (2, line(2)), (3, line(3)), (None, line(3)), (None, line(4)), (None, line(4)), (None, line(5)), (4, None), (4, None), (5, ""), (6, line(6)), (7, line(6) + " more")]
+    clash = "node string, mark int, doc int, stays int, again int, apart int, `_id` int, `_n` int, key int, rep int"
+    for kind in ("long", "string", "int"):
+        docs = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], f"doc_id long, text string, {clash}").withColumn("doc_id", F.col("doc_id").cast(kind))
+        out = lshforest.one_of_each(docs)
+        assert out.columns == docs.columns
+        got = sorted(((None if r["doc_id"] is None else int(r["doc_id"])), r["text"]) for r in out.where("doc_id IS NOT NULL").select("doc_id", "text").collect() if r["text"])
+        assert got == [(1, line(1)), (2, line(2)), (3, line(3)), (6, line(6))]
+        assert sorted(r["text"] for r in out.where("doc_id IS NULL").collect()) == [line(4), line(5)]
+        assert out.where("doc_id IN (4, 5)").count() == 2
+    assert lshforest.one_of_each(docs.limit(0)).count() == 0
+    sourced = docs.withColumn("source", F.lit("s"))
+    mixed = mixing.mixed_documents(sourced)
+    assert mixed.columns == sourced.columns and mixed.count() > 0
+
+
 def test_forest_regions_that_are_split(spark, monkeypatch):
     """Pairs at 0.8 exactly, among many texts at 0.73, in regions that pass REGION_PAIRS at every depth."""
     monkeypatch.setattr(lshforest, "REGION_PAIRS", 20)
