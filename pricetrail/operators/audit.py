@@ -199,25 +199,74 @@ def presentation_order(overlays: DataFrame) -> DataFrame:
     return shown.select("overlay_id", "display_order").orderBy("display_order", "overlay_id")
 
 
-OVERLAY_FIELDS = ["title", "display_order", "placement_state", "review_state", "creator_id", "reviewer_id", "causal_language_level"]
+# What an overlay revision states besides its place in the chain, and the closed lists of its words.
+OVERLAY_FIELDS = [
+    "title", "event_revision_ref", "numeric_revision_ref", "display_start", "display_end", "date_precision", "possible_effect_label",
+    "causal_language_level", "uncertainty", "evidence_panel_ref", "placement_state", "unavailable_reason", "display_order", "creator_id",
+    "review_state", "reviewer_id",
+]
+ACTIONS = ["add", "edit", "remove", "reorder", "review"]
+ACTOR_TYPES = ["fixture_editor", "human_editor_fixture"]
+STABLE_ID = "^[a-z0-9]+(-[a-z0-9]+)*$"
+
+
+def check_overlays(overlays: DataFrame) -> DataFrame:
+    """What every overlay revision must state, whatever was done to it. Fields the table lacks are not judged."""
+    c = F.col
+    date = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+    missing = c("display_start").isNull() | (c("date_precision") == "unresolved") | (c("placement_state") == "unavailable")
+    reviewed = c("review_state") == "reviewed_private"
+    told = c("unavailable_reason").eqNullSafe(F.lit("UNAVAILABLE_EVENT_DATE_OR_REVISION"))
+    rules = [
+        (["display_start"], "display_start_malformed", F.coalesce(~c("display_start").rlike(date), F.lit(False))),
+        (["display_end"], "display_end_malformed", F.coalesce(~c("display_end").rlike(date), F.lit(False))),
+        (["display_start", "display_end"], "date_range_reversed", F.coalesce(c("display_end") < c("display_start"), F.lit(False))),
+        (["date_precision"], "date_precision_unknown", failed(~c("date_precision").isin("day", "month", "range", "unresolved"))),
+        (["possible_effect_label"], "possible_effect_label_missing", failed(F.length("possible_effect_label") == 0)),
+        (["causal_language_level"], "causal_level_not_permitted", failed(~c("causal_language_level").isin("descriptive", "temporal_association", "contributory_hypothesis"))),
+        (["uncertainty"], "uncertainty_missing", failed(F.length("uncertainty") == 0)),
+        (["evidence_panel_ref"], "evidence_panel_ref_malformed", failed(~c("evidence_panel_ref").rlike(STABLE_ID))),
+        (["placement_state"], "placement_state_unknown", failed(~c("placement_state").isin("placed_private", "unavailable", "withdrawn"))),
+        (["unavailable_reason"], "unavailable_reason_unknown", c("unavailable_reason").isNotNull() & ~told),
+        (["display_start", "date_precision", "placement_state", "unavailable_reason"], "unavailability_not_stated", F.coalesce(missing, F.lit(False)) != told),
+        (["display_order"], "display_order_negative", failed(c("display_order") < 0)),
+        (["creator_id"], "creator_id_malformed", failed(~c("creator_id").rlike(STABLE_ID))),
+        (["review_state"], "review_state_unknown", failed(~c("review_state").isin("draft", "review_pending", "reviewed_private", "withdrawn"))),
+        (["reviewer_id"], "reviewer_id_malformed", F.coalesce(~c("reviewer_id").rlike(STABLE_ID), F.lit(False))),
+        (["review_state", "reviewer_id"], "reviewed_without_reviewer", F.coalesce(reviewed, F.lit(False)) != c("reviewer_id").isNotNull()),
+        (["reviewer_id", "creator_id"], "creator_is_reviewer", F.coalesce(c("reviewer_id") == c("creator_id"), F.lit(False))),
+        (["review_state", "display_start", "date_precision", "placement_state"], "unavailable_but_reviewed", F.coalesce(reviewed & missing, F.lit(False))),
+        (["placement_state", "review_state"], "withdrawn_but_not_in_review", F.coalesce((c("placement_state") == "withdrawn") & (c("review_state") != "withdrawn"), F.lit(False))),
+    ]
+    held = set(overlays.columns)
+    return violations(overlays, F.concat_ws("@", "overlay_id", F.col("revision").cast("string")), [(rule, cond) for needs, rule, cond in rules if held >= set(needs)])
 
 
 def audit_operations(ops: DataFrame) -> DataFrame:
-    """Legality of add/edit/remove/reorder/review against the prior revision."""
-    j = with_prior_revision(ops, "overlay_id", OVERLAY_FIELDS)
+    """Legality of add/edit/remove/reorder/review against the prior revision.
+
+    Every field of an overlay that the table holds is compared, so an action
+    changes nothing it does not name. Unknown actions and kinds of actor are
+    reported as such.
+    """
+    fields = [f for f in OVERLAY_FIELDS if f in ops.columns]
+    j = with_prior_revision(ops, "overlay_id", fields)
     has_prior = F.col("has_prior").isNotNull()
     action = F.col("action")
-    changed = F.array_compact(F.array(*[F.when(has_prior & ~F.col(f).eqNullSafe(F.col(f"prior_{f}")), F.lit(f)) for f in OVERLAY_FIELDS]))
+    changed = F.array_compact(F.array(*[F.when(has_prior & ~F.col(f).eqNullSafe(F.col(f"prior_{f}")), F.lit(f)) for f in fields]))
 
     def only(*fields: str) -> Column:
         return F.size(F.array_except("changed", F.array(*[F.lit(f) for f in fields]))) == 0
 
     j = j.withColumn("changed", changed)
     return violations(j, F.concat_ws("@", "overlay_id", F.col("revision").cast("string")), [
+        ("action_unsupported", failed(~action.isin(*ACTIONS))),
+        ("actor_type_unsupported", failed(~F.col("actor_type").isin(*ACTOR_TYPES))),
+        ("actor_id_malformed", failed(~F.col("actor_id").rlike(STABLE_ID))),
         ("add_overwrites", (action == "add") & has_prior),
         ("add_bypasses_review", (action == "add") & ((F.col("review_state") == "reviewed_private") | F.col("reviewer_id").isNotNull())),
         ("add_creator_is_not_actor", (action == "add") & (F.col("creator_id") != F.col("actor_id"))),
-        ("needs_existing_overlay", (action != "add") & ~has_prior),
+        ("needs_existing_overlay", action.isin(*ACTIONS[1:]) & ~has_prior),
         ("edit_must_return_to_review", (action == "edit") & (F.col("review_state") != "review_pending")),
         ("remove_must_withdraw", (action == "remove") & ((F.col("placement_state") != "withdrawn") | (F.col("review_state") != "withdrawn"))),
         ("remove_changes_other_fields", (action == "remove") & has_prior & ~only("placement_state", "review_state", "reviewer_id")),

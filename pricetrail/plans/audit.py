@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetrail.functions.periods import instant_text
@@ -102,13 +102,15 @@ def _(spark, root):
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    """The largest error events as collection runs."""
-    return table(spark, root, "events").where("event_type = 'error' AND value > 180").select(
-        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"), F.col("ts").cast("timestamp").alias("started_at")
+    """Error events as collection runs; on every fifth day of a month none runs, its events count as the day before's."""
+    at = F.col("ts").cast("timestamp")
+    started = F.when(F.dayofmonth("ts") % 5 == 3, at - F.expr("INTERVAL 1 DAY")).otherwise(at)
+    return table(spark, root, "events").where("event_type = 'error'").select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"), started.alias("started_at")
     )
 
 
-RUNS = "(SELECT 'run-' || event_id AS run_id, ts AS started_at FROM events WHERE event_type = 'error' AND value > 180)"
+RUNS = "(SELECT 'run-' || event_id AS run_id, CASE WHEN day(ts) % 5 = 3 THEN ts - INTERVAL 1 DAY ELSE ts END AS started_at FROM events WHERE event_type = 'error')"
 MISSED = f"""SELECT strftime(d + INTERVAL 690 MINUTE, '%Y-%m-%dT%H:%M:%S') AS scheduled_for, 'unobserved_no_run' AS state FROM
   (SELECT unnest(generate_series(date_trunc('day', z), TIMESTAMP '2024-02-20', INTERVAL 1 DAY)) AS d, z FROM (SELECT max(started_at) AS z FROM {RUNS}))
   WHERE d + INTERVAL 690 MINUTE > z AND d + INTERVAL 690 MINUTE < TIMESTAMP '2024-02-20 12:00:00' AND d < TIMESTAMP '2024-02-20'
@@ -239,8 +241,8 @@ def _(spark, root):
     return audit.current_revisions(revision_log(spark, root).select("record_id", "revision", "revision_hash", "event_type"), "record_id")
 
 
-def overlay_ops(spark: SparkSession, root: str) -> DataFrame:
-    """Events of a user as edits of one overlay."""
+def overlay_ops(spark: SparkSession, root: str, more: list[Column] | None = None) -> DataFrame:
+    """Events of a user as edits of one overlay; `more` are further columns over the event."""
     e = numbered_events(spark, root)
     v, kind = F.col("value"), F.col("event_type")
     action = (
@@ -260,7 +262,7 @@ def overlay_ops(spark: SparkSession, root: str) -> DataFrame:
         .when(v > 220, F.lit("draft")).otherwise(F.lit("review_pending")).alias("review_state"),
         F.when((a == "add") & (v < 200), actor).otherwise(owner).alias("creator_id"),
         F.when((a == "review") & (v > 10), actor).when(v < 10, F.lit("a9")).alias("reviewer_id"),
-        F.when(v > 180, F.lit("contributory_hypothesis")).otherwise(F.lit("descriptive")).alias("causal_language_level"),
+        F.when(v > 180, F.lit("contributory_hypothesis")).otherwise(F.lit("descriptive")).alias("causal_language_level"), *(more or []),
     )
 
 
@@ -304,6 +306,66 @@ def _(spark, root):
     return audit.audit_operations(overlay_ops(spark, root))
 
 
+#: Further fields of an overlay as columns over the event, and the same as SQL.
+STATED = {
+    "display_start": ("CASE WHEN event_id % 9 = 1 THEN '2024-01-0' || CAST(event_id % 5 + 1 AS STRING) WHEN event_id % 9 = 4 THEN NULL ELSE '2024-01-09' END"),
+    "display_end": ("CASE WHEN event_id % 9 = 2 THEN '2024-01-03' END"),
+    "date_precision": ("CASE WHEN event_id % 9 = 3 THEN 'week' WHEN event_id % 9 = 4 THEN 'unresolved' ELSE 'day' END"),
+    "unavailable_reason": ("CASE WHEN event_id % 9 = 4 AND value > 20 THEN 'UNAVAILABLE_EVENT_DATE_OR_REVISION' END"),
+    "possible_effect_label": ("CASE WHEN event_id % 9 = 5 THEN '' ELSE 'effect' END"),
+    "uncertainty": ("CASE WHEN event_id % 9 = 6 THEN 'high' ELSE 'low' END"),
+    "evidence_panel_ref": ("CASE WHEN event_id % 9 = 7 THEN 'Panel 1' ELSE 'panel-1' END"),
+}
+V_STATED_OP = f"""(SELECT o.*, CASE WHEN e.event_id % 11 = 5 AND o.revision > 1 THEN 'conjure' ELSE o.action END AS stated_action, CASE WHEN e.event_id % 13 = 5 THEN 'robot' ELSE o.actor_type END AS stated_type,
+  {", ".join(f"{sql} AS {name}" for name, sql in STATED.items())} FROM v_op o JOIN (SELECT event_id, value, 'ov-' || user_id AS who, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) e ON e.who = o.overlay_id AND e.n = o.revision)""".replace("STRING", "VARCHAR")
+
+
+def stated_ops(spark: SparkSession, root: str) -> DataFrame:
+    """Overlay edits with all their fields, some by an unknown action or kind of actor."""
+    more = [F.expr(sql).alias(name) for name, sql in STATED.items()] + [F.col("event_id").alias("of")]
+    ops = overlay_ops(spark, root, more)
+    return ops.withColumns({
+        "action": F.when((F.col("of") % 11 == 5) & (F.col("revision") > 1), F.lit("conjure")).otherwise(F.col("action")),
+        "actor_type": F.when(F.col("of") % 13 == 5, F.lit("robot")).otherwise(F.col("actor_type")),
+    }).drop("of")
+
+
+def _stated(condition: str) -> str:
+    return condition.replace("o.action", "o.stated_action").replace("o.actor_type", "o.stated_type")
+
+
+STATED_RULES = {
+    **{rule: _stated(cond) for rule, cond in OPERATION_RULES.items()},
+    **{f"{a}_changes_other_fields": _stated(OPERATION_RULES[f"{a}_changes_other_fields"])[:-1] + " OR " + _changed(*STATED)[1:] for a in ("remove", "reorder", "review")},
+    "action_unsupported": "o.stated_action = 'conjure'", "actor_type_unsupported": "o.stated_type = 'robot'",
+}
+
+
+@register("audit_operations_stated", f"WITH s AS {V_STATED_OP} " + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, o.overlay_id || '@' || o.revision AS key, '' AS detail FROM s o LEFT JOIN s p ON p.overlay_id = o.overlay_id AND p.revision = o.revision - 1 WHERE {cond}"
+    for rule, cond in STATED_RULES.items()
+))
+def _(spark, root):
+    return audit.audit_operations(stated_ops(spark, root))
+
+
+UNAVAILABLE = "(display_start IS NULL OR date_precision = 'unresolved')"
+OVERLAY_RULES = {
+    "date_range_reversed": "display_end < display_start", "date_precision_unknown": "date_precision = 'week'", "possible_effect_label_missing": "possible_effect_label = ''",
+    "evidence_panel_ref_malformed": "evidence_panel_ref = 'Panel 1'", "placement_state_unknown": "placement_state = 'unplaced'",
+    "unavailability_not_stated": f"{UNAVAILABLE} <> (unavailable_reason IS NOT NULL)", "reviewed_without_reviewer": "(review_state = 'reviewed_private') <> (reviewer_id IS NOT NULL)",
+    "creator_is_reviewer": "reviewer_id = creator_id", "unavailable_but_reviewed": f"review_state = 'reviewed_private' AND {UNAVAILABLE}",
+    "withdrawn_but_not_in_review": "placement_state = 'withdrawn' AND review_state <> 'withdrawn'",
+}
+
+
+@register("check_overlays", f"WITH s AS {V_STATED_OP} " + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, overlay_id || '@' || revision AS key, '' AS detail FROM s WHERE {cond}" for rule, cond in OVERLAY_RULES.items()
+))
+def _(spark, root):
+    return audit.check_overlays(stated_ops(spark, root))
+
+
 # Documents stand in for captures, their opening words for quoted claims.
 CAPTURE = """(SELECT 'cap-' || doc_id AS capture_id, source AS source_item_id, text AS retained_text,
   octet_length(encode(text)) + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS byte_count,
@@ -378,12 +440,12 @@ def _(spark, root):
     return audit.check_relations(edges, claims(spark, root))
 
 
-EVENT_REF = """(SELECT record_id AS event_id, revision, CASE WHEN event_type = 'click' THEN 'contradictory' ELSE 'supporting' END AS kind, 'claim-' || (event_id % 300) AS claim_id,
-  sha256('c' || (event_id % 300 + CASE WHEN value > 150 THEN 1 ELSE 0 END)) AS claim_revision_hash FROM v_rev)"""
+EVENT_REF = """(SELECT record_id AS event_id, revision, CASE WHEN event_type = 'click' THEN 'contradictory' ELSE 'supporting' END AS kind, 'claim-' || (event_id // 7) AS claim_id,
+  sha256('c' || (event_id // 7 + CASE WHEN value > 150 THEN 1 ELSE 0 END)) AS claim_revision_hash FROM v_rev)"""
 
 
 def event_references(log: DataFrame) -> DataFrame:
-    n = F.col("event_id") % 300
+    n = F.expr("event_id div 7")
     return log.select(
         F.col("record_id").alias("event_id"), "revision",
         F.when(F.col("event_type") == "click", F.lit("contradictory")).otherwise(F.lit("supporting")).alias("kind"),

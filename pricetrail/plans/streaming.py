@@ -194,11 +194,14 @@ def _(spark, root):
 
 
 @register("stream_missed_slots", """
-WITH r AS (SELECT DISTINCT date_trunc('day', observed_at) AS d FROM v_event_obs WHERE amount_minor > 25000)
+WITH r AS (SELECT DISTINCT date_trunc('day', CASE WHEN day(observed_at) % 5 = 3 THEN observed_at - INTERVAL 1 DAY ELSE observed_at END) AS d FROM v_event_obs)
 SELECT strftime(s + INTERVAL 690 MINUTE, '%Y-%m-%dT%H:%M:%S') AS scheduled_for, 'unobserved_no_run' AS state
 FROM (SELECT unnest(generate_series((SELECT min(d) FROM r), (SELECT max(d) FROM r), INTERVAL 1 DAY)) AS s) WHERE s NOT IN (SELECT d FROM r)""")
 def _(spark, root):
-    runs = event_stream(spark, root).where("amount_minor > 25000").select(F.col("observation_id").alias("run_id"), F.col("observed_at").alias("started_at"))
+    # On every fifth day of a month nothing runs: its events count as the day before's.
+    at = F.col("observed_at")
+    started = F.when(F.dayofmonth("observed_at") % 5 == 3, at - F.expr("INTERVAL 1 DAY")).otherwise(at)
+    runs = event_stream(spark, root).select(F.col("observation_id").alias("run_id"), started.alias("started_at"))
     folder = through_batches(spark, runs, "slots", lambda f: live.missed_slot_writer(spark, f, 11, 30))
     return spark.read.parquet(f"{folder}/missed").drop("batch")
 
