@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from functools import lru_cache
 from uuid import uuid4
@@ -35,34 +37,34 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    A folder of our own is used only in local mode; elsewhere there is none.
+    A folder of our own is used only in local mode, and goes when the process
+    ends. Elsewhere executors would each write to their own disk and the table
+    read back would lack their rows, so a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    return None
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_folder()
 
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="pricetrail-")
+    folder = tempfile.mkdtemp(prefix="pricetrail-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write a result that several plans are about to read, and read it back.
 
     The table goes to the shared folder, so it survives lost executors, and
-    what reads it is planned and computed from the table alone. Where a cluster
-    names no folder, the plan stays as it is.
+    what reads it is planned and computed from the table alone.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/settled/{uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/settled/{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
