@@ -1,15 +1,16 @@
 """Mixing sources to target weights.
 
 Each source's words form one stream, cut into fixed-length blocks. The mix is a
-row of output slots in shards; a source's slots are numbered, and slot o takes
-block perm(o mod n) of the source's n blocks, under a permutation keyed by the
-source and the pass o div n. Blocks then join their slots by index.
-
-Source counts of a shard are multinomial draws conditioned on the mix's totals:
-one permutation of all slots deals every source's slots to the shards. A free
-draw would miss a small source's target by its random walk and could pass the
-limit of three passes; the condition keeps the totals and leaves the shards
-random.
+row of output shards of slots. First every shard draws how many of its slots each
+source gets. From that table of counts a source's slots are numbered through the
+shards, and its o-th slot takes block perm(o mod n) of the source's n blocks,
+under a permutation keyed by the source and the pass o div n; inside a shard the
+slots are shuffled. Blocks then join their slots by index.
+
+The draws are multinomial counts conditioned on the mix's totals: a pseudorandom
+permutation deals all slots of all sources to the shards. A free draw would miss
+a small source's target by its random walk and could pass the limit of three
+passes; the condition keeps the totals and leaves the shards random.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import WORD, row_chunks, running_start, write_out
+from pricetrail.llm.common import WORD, discard, row_chunks, running_start, write_out
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -71,22 +72,36 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("sid", "source", "source_size", "target", "blocks", "slots", "first_slot", "all_slots")
 
 
-def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
-    """Every slot of the mix: (sid, block, pass_no, position, shard)."""
+def shard_counts(sources: DataFrame, seed: int = 0) -> DataFrame:
+    """(shard, sid, n): the draws, how many slots of each shard a source gets. They sum to `slots` per source."""
     pieces = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / PIECE))).alias("piece"))
     # A number of its own: sizes do not tell how far a row expands, so adaptive merging would put all pieces in one task.
     pieces = pieces.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "piece")
     o = F.explode(F.sequence(F.col("piece") * PIECE, F.least((F.col("piece") + 1) * PIECE, F.col("slots")) - 1))
-    rows = pieces.select("sid", "blocks", "first_slot", "all_slots", o.alias("o"))
-    rows = rows.withColumn("pass_no", F.floor(F.col("o") / F.col("blocks")))
-    rows = rows.withColumn("block", permute(F.col("o") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass_no")))
-    rows = rows.withColumn("position", permute(F.col("first_slot") + F.col("o"), F.col("all_slots"), F.lit(seed)))
-    return rows.select("sid", "block", "pass_no", "position", F.floor(F.col("position") / SHARD_SLOTS).alias("shard"))
+    rows = pieces.select("sid", "first_slot", "all_slots", o.alias("o"))
+    dealt = permute(F.col("first_slot") + F.col("o"), F.col("all_slots"), F.lit(seed))
+    return rows.groupBy(F.floor(dealt / SHARD_SLOTS).alias("shard"), "sid").agg(F.count("*").alias("n"))
 
 
-def shard_counts(mix: DataFrame) -> DataFrame:
-    """(shard, sid, n): how many slots of a shard each source gets."""
-    return mix.groupBy("shard", "sid").agg(F.count("*").alias("n"))
+def slots(sources: DataFrame, counts: DataFrame, seed: int = 0) -> DataFrame:
+    """Every slot of the mix from the shards' counts: (shard, position, sid, block, pass_no).
+
+    A source's slots are numbered over the shards, so its passes are complete
+    before the next begins, whatever the draws were. A shard's rows are one per
+    source and expand to its own slots.
+    """
+    numbered = running_start(counts, ["sid"], "shard", "n", row_chunks(counts), "first")
+    shard = Window.partitionBy("shard")
+    before = shard.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = numbered.withColumns({"ahead": F.coalesce(F.sum("n").over(before), F.lit(0)), "filled": F.sum("n").over(shard)})
+    of = sources.select(F.col("sid").alias("_sid"), "blocks")
+    rows = numbered.join(of, F.col("sid") == F.col("_sid")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    o = F.col("first") + F.col("k")
+    rows = rows.withColumns({"pass_no": F.floor(o / F.col("blocks")), "index": o % F.col("blocks")})
+    return rows.select(
+        "shard", (F.col("shard") * SHARD_SLOTS + permute(F.col("ahead") + F.col("k"), F.col("filled"), F.lit(seed), F.col("shard"))).alias("position"), "sid",
+        permute(F.col("index"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass_no")).alias("block"), "pass_no",
+    )
 
 
 def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -106,7 +121,7 @@ def doc_blocks(rows: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables of a mix: sources, packed documents, and times taken per (sid, block).
+    """Written tables of a mix: sources, packed documents, and slots.
 
     Null source is a source, last in order; null text has no words and is never
     taken. Rows with equal ids are packed side by side as rows of their own. An
@@ -115,19 +130,35 @@ def plan(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFram
     sizes = write_out(sized(docs), "mix-sizes")
     sources = write_out(targets(sizes), "mix-sources")
     rows = write_out(packed(sizes, sources), "mix-packed")
-    times = write_out(slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times")), "mix-times")
-    return sources, rows, times
+    counts = write_out(shard_counts(sources, seed), "mix-counts")
+    dealt = write_out(slots(sources, counts, seed), "mix-slots")
+    for table in (sizes, counts):
+        discard(table)
+    return sources, rows, dealt
+
+
+def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix as (shard, position, source, block, pass_no): which block of a source's stream stands at each place."""
+    sources, rows, dealt = plan(docs, seed)
+    discard(rows)
+    return dealt.join(sources.select("sid", "source"), "sid").select("shard", "position", "source", "block", "pass_no")
+
+
+def times_taken(dealt: DataFrame) -> DataFrame:
+    """(sid, block, times, at): how often a block is taken, and where first."""
+    return dealt.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("position").alias("at"))
 
 
 def taken_words(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row."""
-    _, rows, times = plan(docs, seed)
+    """(doc_id, size, source_size, target, taken, first_shard, first_position) for every row; the last two null where nothing is taken."""
+    _, rows, dealt = plan(docs, seed)
     spread = doc_blocks(rows).select("sid", "block", "doc_id", "start", "size", "source_size", "target", "words")
-    hit = spread.join(times, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size", "source_size", "target")
-    full = hit.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return full.select(*columns).unionByName(none.select(*columns))
+    hit = spread.join(times_taken(dealt), ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size", "source_size", "target")
+    full = hit.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"), F.min("at").alias("first_position"))
+    none = rows.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_position": F.lit(None).cast("long")})
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_position"]
+    out = full.select(*columns).unionByName(none.select(*columns))
+    return out.select(*columns[:-1], F.floor(F.col("first_position") / SHARD_SLOTS).alias("first_shard"), "first_position")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -138,8 +169,8 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     where there is such a column, its length. Rows are matched by doc_id, and
     rows with equal doc_id by the order of their sizes; a null doc_id is an id.
     """
-    _, rows, times = plan(docs, seed)
-    spread = doc_blocks(rows).join(times, ["sid", "block"])
+    _, rows, dealt = plan(docs, seed)
+    spread = doc_blocks(rows).join(times_taken(dealt), ["sid", "block"])
     spans = spread.groupBy("doc_id", "start", "size").agg(
         F.array_sort(F.collect_list(F.struct("from_word", "words", "times"))).alias("_spans")
     )

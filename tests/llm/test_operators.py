@@ -96,6 +96,37 @@ def test_mixing(spark, messy, empty):
     assert sum(words.values()) == sum(r["taken"] for r in got)
 
 
+def test_shards_are_drawn(spark, monkeypatch):
+    """Counts sum to the targets, slots follow from the counts, and blocks from the slots."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "PIECE", 50)
+    rows = [(i, " ".join(["w"] * (40 + 13 * (i % 9))), "abc"[i % 3] if i % 10 else "hot") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources, packed, dealt = mixing.plan(docs)
+    held = {r["sid"]: r for r in sources.collect()}
+    counts = {(r["shard"], r["sid"]): r["n"] for r in mixing.shard_counts(sources).collect()}
+    total = sum(s["slots"] for s in held.values())
+    assert {k: sum(n for (_, sid), n in counts.items() if sid == k) for k in held} == {k: s["slots"] for k, s in held.items()}
+    shards = {shard for shard, _ in counts}
+    assert shards == set(range(-(-total // 16))) and all(sum(n for (s, _), n in counts.items() if s == shard) == min(16, total - 16 * shard) for shard in shards)
+    # Not the same in every shard, as a draw is not.
+    assert len({counts.get((shard, 0), 0) for shard in shards}) > 2
+    got = dealt.collect()
+    assert sorted(r["position"] for r in got) == list(range(total)) and all(r["position"] // 16 == r["shard"] for r in got)
+    assert collections.Counter((r["shard"], r["sid"]) for r in got) == counts
+    for sid, s in held.items():
+        taken = collections.Counter(r["block"] for r in got if r["sid"] == sid)
+        assert set(taken.values()) <= {s["slots"] // s["blocks"], -(-s["slots"] // s["blocks"])}
+        assert len({(r["block"], r["pass_no"]) for r in got if r["sid"] == sid}) == s["slots"]
+    first = {r["doc_id"]: (r["taken"], r["first_shard"], r["first_position"]) for r in mixing.taken_words(docs).collect()}
+    at = {(r["sid"], r["block"]): min(q["position"] for q in got if (q["sid"], q["block"]) == (r["sid"], r["block"])) for r in got}
+    size = {r["doc_id"]: (r["sid"], r["start"], r["size"]) for r in packed.collect()}
+    for i, (sid, start, n) in size.items():
+        where = [at[sid, b] for b in range(start // 64, (start + n - 1) // 64 + 1) if (sid, b) in at]
+        assert first[i][1:] == ((min(where) // 16, min(where)) if where else (None, None)) and (first[i][0] > 0) == bool(where)
+    assert mixing.mix(docs).count() == total
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p")).collect()
@@ -161,6 +192,18 @@ def test_cross_polytope(spark):
     assert crosspolytope.near_duplicates(vectors.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_without_or_with_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(3, 64))
+    close = lambda v: (v + 0.02 * rng.normal(size=64)).tolist()
+    a, b, c = base
+    rows = [(7, 0, a.tolist()), (None, 0, close(a)), (None, 0, close(b)), (None, 0, b.tolist()), (9, 0, close(c)), (9, 0, c.tolist()), (9, 0, close(-c)), (4, 0, (-c).tolist()), (5, 1, a.tolist()), (None, 0, None)]
+    out = crosspolytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out), key=str)
+    want = [(7, 1, 7, True), (None, 1, 7, False), (None, 1, None, True), (None, 1, None, True), (9, 1, 9, True), (9, 1, 9, True), (9, 1, 4, False), (4, 1, 4, True), (5, 0, 5, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_secrets(spark, messy, empty):
     assert secretscan.scan(empty).count() == 0 and secretscan.redacted(empty).count() == 0
     found = {(r["doc_id"], r["is_secret"]) for r in secretscan.scan(messy).collect()}
