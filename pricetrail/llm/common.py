@@ -14,19 +14,16 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricetrail.session import shared_folder
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, for translate().
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="pricetrail-llm-")
-
-
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; one of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder of `spark.checkpoint.dir`; one of our own only in local mode, else an error."""
+    return shared_folder(spark)
 
 
 @lru_cache(maxsize=4)

@@ -72,7 +72,7 @@ def keyed(vectors: DataFrame, kind: str) -> DataFrame:
     return rows.mapInPandas(run, f"vec_id {kind}, label string, key binary, vec binary")
 
 
-def buckets(classes: DataFrame, width: int, tables: int, kind: str, probing: bool) -> DataFrame:
+def buckets(classes: DataFrame, width: int, tables: int, probing: bool) -> DataFrame:
     """(label, slot, id): the bucket a vector is stored in, or all buckets it looks into, table by table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,16 +93,16 @@ def buckets(classes: DataFrame, width: int, tables: int, kind: str, probing: boo
                             slot = slot * (2 * full + 1) + near[k][:, p]
                         yield pd.DataFrame({"label": labels, "slot": slot, "id": ids})
 
-    return classes.select("label", "vec", F.col("rep").alias("id")).mapInPandas(run, f"label string, slot long, id {kind}")
+    return classes.select("label", "vec", F.col("node").alias("id")).mapInPandas(run, "label string, slot long, id long")
 
 
-def links(classes: DataFrame, width: int, tables: int, kind: str, cosine: float) -> DataFrame:
-    """Pairs (a, b) of different vectors with the cosine or more."""
-    stored = buckets(classes, width, tables, kind, False).withColumnRenamed("id", "x")
-    looked = buckets(classes, width, tables, kind, True).withColumnRenamed("id", "y")
+def links(classes: DataFrame, width: int, tables: int, cosine: float) -> DataFrame:
+    """Pairs (a, b) of nodes, different vectors with the cosine or more."""
+    stored = buckets(classes, width, tables, False).withColumnRenamed("id", "x")
+    looked = buckets(classes, width, tables, True).withColumnRenamed("id", "y")
     met = looked.join(stored, ["label", "slot"]).where("x <> y")
     pairs = write_out(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "polytope-pairs")
-    vec = lambda side: classes.select(F.col("rep").alias(side), F.col("vec").alias(f"v{side}"))
+    vec = lambda side: classes.select(F.col("node").alias(side), F.col("vec").alias(f"v{side}"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,7 +114,7 @@ def links(classes: DataFrame, width: int, tables: int, kind: str, cosine: float)
                     good[i] = x @ y / math.sqrt((x @ x) * (y @ y)) >= cosine
             yield pdf.loc[good, ["a", "b"]]
 
-    return write_out(pairs.join(vec("a"), "a").join(vec("b"), "b").mapInPandas(check, f"a {kind}, b {kind}"), "polytope-links")
+    return write_out(pairs.join(vec("a"), "a").join(vec("b"), "b").mapInPandas(check, "a long, b long"), "polytope-links")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -124,22 +124,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     never paired out. Rows without label, or whose vector is null, empty, zero or
     has null or non-finite components, have no links and are their own component.
     Vectors of different lengths do not link. Rows that repeat a vec_id count one
-    by one; a row without vec_id takes part with its copies and links, and its
-    component is the least id that is not null.
+    by one, with their own vectors; a row without vec_id takes part with its
+    copies and links. A component's id is the least that is not null among its
+    rows; a row without vec_id is kept where its component has none.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = write_out(keyed(vectors, kind), "polytope-vectors")
     grouped = rows.where("key IS NOT NULL").groupBy("key")
-    classes = write_out(grouped.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")), "polytope-classes")
-    nodes = classes.where("rep IS NOT NULL")
-    width, tables = shape(nodes.count())
-    found = links(nodes, width, tables, kind, cosine)
+    merged = grouped.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label"))
+    # Numbered as it is written: every reader sees the same numbers.
+    classes = write_out(merged.withColumn("node", F.monotonically_increasing_id()), "polytope-classes")
+    width, tables = shape(classes.count())
+    found = links(classes, width, tables, cosine)
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = nodes.select(F.col("rep").alias("b"), F.col("copies").alias("more"))
+    copies = classes.select(F.col("node").alias("b"), F.col("copies").alias("more"))
     degree = both.join(copies, "b").groupBy("a").agg(F.sum("more").alias("more"))
-    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "polytope")
-    held = classes.join(degree, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    held = held.select("key", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.select("vec_id", "key").join(write_out(held, "polytope-held"), "key", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "polytope").withColumnRenamed("node", "linked")
+    held = classes.join(degree, F.col("node") == F.col("a"), "left").join(roots, F.col("node") == F.col("linked"), "left")
+    held = held.select("key", "rep", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component"))
+    held = write_out(held, "polytope-held")
+    least = held.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("component_id"))
+    named = held.join(least, F.col("component") == F.col("of")).select("key", "n_links", "component_id")
+    out = rows.select("vec_id", "key").join(named, "key", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
