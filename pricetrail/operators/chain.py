@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetrail.functions.money import round_dp
-from pricetrail.functions.periods import period_spine, quarter_label
+from pricetrail.functions.periods import quarter_label
 
 
 def matched_pairs(prices: DataFrame) -> DataFrame:
@@ -54,16 +54,35 @@ def link_dispersion(pairs: DataFrame) -> DataFrame:
 
 
 def index_table(prices: DataFrame) -> DataFrame:
-    """Everything the chain needs, one row per quarter between first and last."""
-    pairs = matched_pairs(prices)
-    present = prices.groupBy("period").agg(F.count(F.lit(1)).alias("distinct_products"))
-    bounds = present.agg(F.min("period").alias("first"), F.max("period").alias("last"))
-    return (
-        period_spine(bounds, "first", "last", 3)
-        .join(present, "period", "left")
-        .join(matched_links(pairs), "period", "left")
-        .join(link_dispersion(pairs), "period", "left")
+    """Everything the chain needs, one row per quarter between first and last.
+
+    One pass over the prices: products are counted per quarter and rounded
+    relative, null where a product has no price in the quarter before, with the
+    sum of their logarithms. Presence, links and dispersion all fold from those
+    counts; quarters in between come from the distance to the next one.
+    """
+    w = Window.partitionBy("mpn").orderBy("period")
+    held = prices.select("period", "price_minor", F.lag(F.struct("period", "price_minor")).over(w).alias("before"))
+    ratio = F.when(F.col("before.period") == F.add_months("period", -3), F.col("price_minor") / F.col("before.price_minor"))
+    counted = held.select("period", ratio.alias("ratio")).groupBy("period", round_dp(F.col("ratio"), 4).alias("relative")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.ln("ratio")).alias("logs")
+    )
+    known = F.col("relative").isNotNull()
+    quarter = Window.partitionBy("period")
+    ranked = counted.withColumns({
+        "upto": F.sum("n").over(quarter.orderBy(F.col("relative").asc_nulls_last())), "total": F.sum(F.when(known, F.col("n"))).over(quarter),
+    })
+    reached = known & (F.col("upto") > F.floor(F.col("total") / 2))
+    per = ranked.groupBy("period").agg(
+        F.sum("n").alias("distinct_products"), F.sum(F.when(known, F.col("n"))).alias("matched_count"),
+        F.exp(F.sum("logs") / F.sum(F.when(known, F.col("n")))).alias("link"), F.min("relative").alias("relative_min"),
+        F.min(F.when(reached, F.col("relative"))).alias("relative_median"), F.max("relative").alias("relative_max"),
     )
+    upcoming = F.lead("period").over(Window.orderBy("period"))
+    until = F.coalesce(F.add_months(upcoming, -3), F.col("period"))
+    spread = per.withColumn("until", until).withColumn("quarter", F.explode(F.sequence("period", "until", F.expr("INTERVAL 3 MONTH"))))
+    own = F.col("quarter") == F.col("period")
+    return spread.select(F.col("quarter").alias("period"), *[F.when(own, F.col(c)).alias(c) for c in per.columns if c != "period"])
 
 
 def chain_index(table: DataFrame, base: Column, floor: int, base_value: float = 100.0) -> DataFrame:
