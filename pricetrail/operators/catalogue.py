@@ -92,9 +92,14 @@ def near_mpn(listings: DataFrame, products: DataFrame) -> DataFrame:
 
     `listings` needs (manufacturer_key, mpn_key). Numbers meet on shared
     deletion variants, an equi-join, instead of all pairs of a manufacturer;
-    the distance is then verified on the few that meet.
+    the distance is then verified on the few that meet. A number more than two
+    characters off the lengths of its manufacturer's catalogue is near nothing,
+    so free text of any length makes no variants.
     """
     wanted = listings.where("manufacturer_key IS NOT NULL AND mpn_key IS NOT NULL").select("manufacturer_key", "mpn_key").distinct()
+    lengths = products.groupBy(F.col("manufacturer_key").alias("maker")).agg(F.min(F.length("mpn_normalized")).alias("least"), F.max(F.length("mpn_normalized")).alias("most"))
+    size = F.length("mpn_key")
+    wanted = wanted.join(lengths, (F.col("manufacturer_key") == F.col("maker")) & (size >= F.col("least") - 2) & (size <= F.col("most") + 2), "left_semi")
     held = products.select("manufacturer_key", F.col("mpn_normalized").alias("near_mpn"), F.col("product_key").alias("near_product_key"))
     left = wanted.withColumn("variant", F.explode(deletions(F.col("mpn_key"))))
     right = held.withColumn("variant", F.explode(deletions(F.col("near_mpn"))))

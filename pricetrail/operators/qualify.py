@@ -76,16 +76,22 @@ def qualify_quoted(obs: DataFrame) -> DataFrame:
     )
 
 
+# How shops word that an item is gone, in stock, or can be ordered.
+GONE_WORDS = "out of stock|sold out|unavailable|not available"
+STOCK_WORDS = "in stock|hurry, only [1-9][0-9]* left"
+ORDER_WORDS = "available to order"
+
+
 def classify_availability(state: Column, text: Column, semantics: Column) -> Column:
     """in_stock, available_to_order or null; negative wording beats the state."""
     raw = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     stated = F.coalesce(state, F.lit("unknown"))
     return (
         F.when(F.coalesce(semantics, F.lit("explicit")) != "explicit", F.lit(None))
-        .when(raw.rlike("out of stock|sold out|unavailable|not available"), F.lit(None))
+        .when(raw.rlike(GONE_WORDS), F.lit(None))
         .when(stated.isin("in_stock", "available_to_order"), stated)
-        .when((stated == "stated_at_capture") & raw.rlike("in stock|hurry, only [1-9][0-9]* left"), F.lit("in_stock"))
-        .when((stated == "stated_at_capture") & raw.contains("available to order"), F.lit("available_to_order"))
+        .when((stated == "stated_at_capture") & raw.rlike(STOCK_WORDS), F.lit("in_stock"))
+        .when((stated == "stated_at_capture") & raw.contains(ORDER_WORDS), F.lit("available_to_order"))
     )
 
 

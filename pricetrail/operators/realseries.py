@@ -259,6 +259,24 @@ def check_deflator(release: DataFrame, release_vintage_id: str) -> DataFrame:
     )
 
 
+def check_deflator_release(releases: DataFrame) -> DataFrame:
+    """Where a release comes from, one row each: (release_id, release_date, retrieved_at, capture_sha256, parser_version,
+    provider, series_code, title, adjustment_status, frequency, unit, canonical_source_url), all as text."""
+    def blank(name: str) -> Column:
+        return failed(F.length(F.trim(name)) == 0)
+
+    return violations(releases, F.col("release_id"), [
+        ("release_id_missing", blank("release_id")),
+        ("release_date_malformed", failed(~F.col("release_date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))),
+        ("retrieved_at_not_utc", failed(~F.col("retrieved_at").endswith("Z"))),
+        ("capture_not_digest", failed(~F.col("capture_sha256").rlike("^[0-9a-f]{64}$"))),
+        ("parser_version_missing", blank("parser_version")),
+        *[(f"series_{name}_missing", blank(name)) for name in ("provider", "series_code", "title", "adjustment_status")],
+        ("series_not_monthly_index", failed((F.col("frequency") != "monthly") | (F.col("unit") != "index_points"))),
+        ("series_source_not_https", failed(~F.col("canonical_source_url").startswith("https://"))),
+    ])
+
+
 def constant_price(months: DataFrame, deflator: DataFrame, reference_month: str) -> DataFrame:
     """Nominal x deflator(reference) / deflator(month), with why a month is missing.
 

@@ -291,10 +291,11 @@ def value_runs(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
 def series_staleness(summary: DataFrame, stale_after: int = 3) -> DataFrame:
     """Placement of every product inside the month span of the whole dataset."""
     ends = F.struct(F.min("first_month").alias("first"), F.max("last_month").alias("last"))
-    domain = summary.agg(ends.alias("domain")).scalar()
-    first, last = domain.getField("first"), domain.getField("last")
+    # One subquery of one row, stated once and carried as a column.
+    placed = summary.withColumn("domain", summary.agg(ends.alias("domain")).scalar())
+    first, last = F.col("domain.first"), F.col("domain.last")
     behind = month_offset(last, F.col("last_month"))
-    return summary.select(
+    return placed.select(
         "mpn",
         month_span(first, last).alias("domain_months"),
         month_offset(F.col("first_month"), first).alias("starts_at"),

@@ -12,7 +12,7 @@ from pricetrail.plans.registry import register
 from pricetrail.plans.views import VIEWS
 from pricetrail.session import settle
 from pricetrail.sources.adapter import observations
-from pricetrail.sources.tables import literal_table
+from pricetrail.sources.tables import literal_table, table
 
 BASE_DAY = "1998-03-02"
 
@@ -293,6 +293,25 @@ def _(spark, root):
     return ops.check_deflator(stacked(d, d.where("n % 7 = 0")), "rel-1")
 
 
+@register("check_deflator_release", """
+WITH r AS (SELECT 'rel-' || o_orderkey AS release_id, o_orderkey AS k FROM orders)
+SELECT 'release_date_malformed' AS rule, release_id AS key, '' AS detail FROM r WHERE k % 11 = 1 UNION ALL SELECT 'retrieved_at_not_utc', release_id, '' FROM r WHERE k % 13 = 2
+UNION ALL SELECT 'capture_not_digest', release_id, '' FROM r WHERE k % 17 = 3 UNION ALL SELECT 'parser_version_missing', release_id, '' FROM r WHERE k % 19 = 4
+UNION ALL SELECT 'series_title_missing', release_id, '' FROM r WHERE k % 23 = 5 UNION ALL SELECT 'series_adjustment_status_missing', release_id, '' FROM r WHERE k % 29 = 6
+UNION ALL SELECT 'series_not_monthly_index', release_id, '' FROM r WHERE k % 31 = 7 UNION ALL SELECT 'series_source_not_https', release_id, '' FROM r WHERE k % 37 = 8""")
+def _(spark, root):
+    k = F.col("o_orderkey")
+    unless = lambda m, r, good, bad: F.when(k % m == r, F.lit(bad)).otherwise(good)
+    text, day = F.lit, F.date_format("o_orderdate", "yyyy-MM-dd")
+    return ops.check_deflator_release(table(spark, root, "orders").select(
+        F.concat(F.lit("rel-"), k.cast("string")).alias("release_id"), unless(11, 1, day, "1 March").alias("release_date"),
+        unless(13, 2, F.concat(day, F.lit("T09:00:00Z")), "2024-01-01T09:00:00+01:00").alias("retrieved_at"), unless(17, 3, F.sha2(k.cast("string"), 256), "none").alias("capture_sha256"),
+        unless(19, 4, text("v1"), None).alias("parser_version"), text("office").alias("provider"), text("L55O").alias("series_code"), unless(23, 5, text("Prices"), " ").alias("title"),
+        unless(29, 6, text("unadjusted"), None).alias("adjustment_status"), unless(31, 7, text("monthly"), "quarterly").alias("frequency"), text("index_points").alias("unit"),
+        unless(37, 8, text("https://office.example/l55o"), "http://office.example/l55o").alias("canonical_source_url"),
+    ))
+
+
 @register("constant_price", f"""
 SELECT m.month, floor(m.value * (SELECT value FROM {DEFLATOR_SQL} WHERE month = '1998-01') / d.value * 100 + 0.5) / 100 AS value,
   CASE WHEN m.value IS NULL THEN 'monthly_nominal_unavailable' WHEN d.value IS NULL THEN 'observation_month_missing' END AS unavailable_reason

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.functions.money import grouped_median
+from pricetrail.functions.money import format_gbp, format_index, format_signed_percent, grouped_median
 from pricetrail.functions.periods import instant_text, month_label, quarter_end, quarter_label, quarter_of, period_spine
 from pricetrail.operators import chain, series
 from pricetrail.plans.registry import register
@@ -296,3 +296,14 @@ def _(spark, root):
         month_offset(F.col("last_month"), F.col("first_month")).alias("month_offset"),
         month_span(F.col("first_month"), F.col("last_month")).alias("month_span"),
     )
+
+
+@register("formatted_values", """
+SELECT observation_id, CASE WHEN m < 0 THEN '-' ELSE '' END || '£' || format('{:,}', abs(m) // 100) || '.' || lpad(CAST(abs(m) % 100 AS VARCHAR), 2, '0') AS gbp,
+  CASE WHEN m > 0 THEN '+' WHEN m < 0 THEN '-' ELSE '' END || (abs(m) // 100) || '.' || lpad(CAST(abs(m) % 100 AS VARCHAR), 2, '0') || '%' AS percent,
+  ((p + 50) // 1000) || '.' || ((p + 50) // 100 % 10) AS index_level FROM (SELECT observation_id, amount_minor - 150000 AS m, amount_minor * 7 AS p FROM v_obs)""")
+def _(spark, root):
+    a = F.col("amount_minor")
+    moved = (a - 150000).alias("m")
+    rows = observations(spark, root).select("observation_id", moved, (a * 7).alias("p"))
+    return rows.select("observation_id", format_gbp(F.col("m")).alias("gbp"), format_signed_percent(F.col("m")).alias("percent"), format_index(F.col("p")).alias("index_level"))
