@@ -46,6 +46,12 @@ def ship_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> SparkSession:
+    """Bound what a Python task is handed at once by bytes as well as rows: long texts come in smaller batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
 def write_out(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
