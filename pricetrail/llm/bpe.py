@@ -228,7 +228,11 @@ def round_trips(docs: DataFrame, path: str, id_type: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, id_type: str) -> DataFrame:
-    """Per row: n_tokens and the SHA-256 of the ids' text and of the decoded text, made in the same pass."""
+    """Per row: n_tokens and the SHA-256 of the ids' text and of the decoded text, made in the same pass.
+
+    A null text is empty: no ids, and the digests of nothing. Rows are encoded one
+    by one, also where doc_id is null or repeats; an empty table gives no rows.
+    """
     from pricetrail.llm.common import in_chunks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -155,7 +155,12 @@ def fit(docs: DataFrame, min_share: float = 2e-5, bits: int = 19, probes: int =
 
 
 def predict(docs: DataFrame, model: BloomLanguages, id_columns: list[str]) -> DataFrame:
-    """id_columns with lang_pred and score for every row, over whole texts."""
+    """id_columns with lang_pred and score for every row, over whole texts.
+
+    A text that is null or has no letter is `und` with score 0, and so is every
+    text where nothing was learned. Rows are judged one by one, equal ones alike,
+    whatever their ids; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(text: pd.Series) -> pd.DataFrame:
@@ -168,7 +173,7 @@ def predict(docs: DataFrame, model: BloomLanguages, id_columns: list[str]) -> Da
 
 
 def keep_identified(docs: DataFrame, model: BloomLanguages, least: float) -> DataFrame:
-    """Rows whose language is identified with at least that score; all columns stay."""
+    """Rows whose language is identified with at least that score; all columns stay, repeated rows too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sure(text: pd.Series) -> pd.Series:

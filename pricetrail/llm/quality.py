@@ -134,7 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
 
 
 def score(docs: DataFrame, model: CompressionModel, id_columns: list[str]) -> DataFrame:
-    """id_columns and score for every row, over whole texts."""
+    """id_columns and score for every row, over whole texts.
+
+    Null and empty texts have the model's score of nothing, between 0 and 1 as all
+    are. Rows are scored one by one, equal ones alike, whatever their ids; an
+    empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
