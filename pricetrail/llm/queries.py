@@ -70,7 +70,18 @@ def language_id(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", split_is(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-@register("op6_minhash_forest")
+@register("op6_minhash_forest", sql=r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS (SELECT DISTINCT doc_id, w[i] || ' ' || coalesce(w[i + 1], '') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other)
+    SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, node = min(other) AS kept
+    FROM reach LEFT JOIN n ON n.doc_id = node GROUP BY node
+""")
 def minhash_forest(spark: SparkSession, root: str) -> DataFrame:
     return lshforest.near_duplicates(read(spark, root, "documents"), width=2)
 
