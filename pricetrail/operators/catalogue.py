@@ -77,22 +77,24 @@ def deletions(text: Column) -> Column:
 
     Two strings are within edit distance two only if they share one of these.
     """
-    def without_one(s: Column) -> Column:
+    def without_one(s: Column, first: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+            F.sequence(first, F.greatest(F.length(s), first)),
             lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)),
         )
 
-    once = without_one(text)
-    return F.array_distinct(F.concat(F.array(text), once, F.flatten(F.transform(once, without_one))))
+    once = without_one(text, F.lit(1))
+    # The second character goes from the place of the first on, so no two are removed in both orders.
+    twice = F.flatten(F.transform(once, lambda s, i: without_one(s, i + 1)))
+    return F.array_distinct(F.concat(F.array(text), once, twice))
 
 
 def near_mpn(listings: DataFrame, products: DataFrame) -> DataFrame:
     """Pairs of unmatched number and catalogue number at edit distance one or two.
 
     `listings` needs (manufacturer_key, mpn_key). Numbers meet on shared
-    deletion variants, an equi-join, instead of all pairs of a manufacturer;
-    the distance is then verified on the few that meet. A number more than two
+    deletion variants, an equi-join on their hashes, instead of all pairs of a
+    manufacturer; manufacturer and distance are then verified on the few that meet. A number more than two
     characters off the lengths of its manufacturer's catalogue is near nothing,
     so free text of any length makes no variants.
     """
@@ -101,9 +103,15 @@ def near_mpn(listings: DataFrame, products: DataFrame) -> DataFrame:
     size = F.length("mpn_key")
     wanted = wanted.join(lengths, (F.col("manufacturer_key") == F.col("maker")) & (size >= F.col("least") - 2) & (size <= F.col("most") + 2), "left_semi")
     held = products.select("manufacturer_key", F.col("mpn_normalized").alias("near_mpn"), F.col("product_key").alias("near_product_key"))
-    left = wanted.withColumn("variant", F.explode(deletions(F.col("mpn_key"))))
-    right = held.withColumn("variant", F.explode(deletions(F.col("near_mpn"))))
-    met = left.join(right, ["manufacturer_key", "variant"])
+    def variants(maker: str, number: str) -> Column:
+        return F.explode(F.transform(deletions(F.col(number)), lambda v: F.xxhash64(maker, v))).alias("variant")
+
+    left = wanted.select("*", variants("manufacturer_key", "mpn_key"))
+    # A catalogue is one small file, but its variants are not one task's work.
+    held = held.withColumnRenamed("manufacturer_key", "maker").repartition("maker", "near_mpn")
+    right = held.select("*", variants("maker", "near_mpn"))
+    # Spark sizes an exploded table as if it were not, so that it would broadcast a hundred times what it expects.
+    met = left.join(right.hint("merge"), "variant").where("manufacturer_key = maker")
     distance = F.levenshtein("mpn_key", "near_mpn", 2)
     return (
         met.withColumn("distance", distance.cast("long"))

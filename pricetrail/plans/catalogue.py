@@ -9,6 +9,7 @@ from pricetrail.functions.reasons import stacked
 from pricetrail.functions.text import normalise_manufacturer, normalise_mpn
 from pricetrail.operators import catalogue as ops
 from pricetrail.plans.registry import register
+from pricetrail.session import settle
 from pricetrail.sources.adapter import catalogue, listings, manufacturer_aliases
 from pricetrail.sources.tables import literal_table, table
 
@@ -125,7 +126,8 @@ SELECT rule, listing_id AS key, decision || '/' || reason_code AS detail FROM (
   UNION ALL SELECT 'eligible_without_match', m.listing_id, m.decision, m.reason_code FROM labelled x JOIN matches m ON m.listing_id = x.listing_id WHERE x.index_eligible AND x.decision <> 'match')
 UNION ALL SELECT 'decision_never_covered', d, '' FROM (SELECT unnest(['match', 'no_match', 'abstain_ambiguous', 'abstain_insufficient', 'unsupported']) AS d) WHERE d NOT IN (SELECT decision FROM labelled)""")
 def _(spark, root):
-    m = matches(spark, root)
+    # Labels are made from the matches and compared with them, so these are written once.
+    m = settle(matches(spark, root))
     labels = listings(spark, root).select("listing_id", "title").join(m, "listing_id").select(
         "listing_id",
         F.when(F.col("title").endswith("widget"), F.lit("match")).when(F.col("decision") == "unsupported", F.lit("no_match"))
