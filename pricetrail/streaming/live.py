@@ -11,9 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -87,32 +85,32 @@ def line_follower(tranche: Sequence[str]) -> StatefulProcessor:
     accepted row follows the newest accepted one, wherever that arrived.
     """
 
+    order = [*tranche, "at", "observation_id"]
+    follows = Row(*[c.split()[0] for c in FOLLOWED.split(", ")])
+
     class Follower(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.newest = handle.getValueState("newest", LINE_STATE)
 
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-            batch = pd.concat(list(rows), ignore_index=True)
-            batch = batch.sort_values([*tranche, "at", "observation_id"], ignore_index=True, na_position="first")
-            old = self.newest.get() if self.newest.exists() else None
-            at = batch["at"].to_numpy(dtype="float64", na_value=np.nan)
-            # The newest time of all tranches before a row's own.
-            marks = batch[list(tranche)].astype("string").fillna("")
-            opens = np.append(True, (marks.iloc[1:].to_numpy() != marks.iloc[:-1].to_numpy()).any(axis=1)) if tranche else np.arange(len(batch)) == 0
-            top = np.fmax.accumulate(np.fmax.reduceat(at, np.flatnonzero(opens)))
-            reached = np.append(np.nan, top[:-1]) if old is None else np.fmax(np.append(np.nan, top[:-1]), old[0])
-            accepted = ~(at <= reached[np.cumsum(opens) - 1]) & ~np.isnan(at)
-            out = batch[["mpn", "seller", "observation_id", "at", "amount_minor"]].astype({"at": "Int64", "amount_minor": "Int64"})
-            out["side"] = np.where(accepted, "accepted", "refused")
-            kept = out[accepted]
-            first = (None, None) if old is None else (old[1], old[2])
-            out["from_observation_id"] = kept["observation_id"].shift(1).where(np.arange(len(kept)) > 0, first[0])
-            out["from_minor"] = kept["amount_minor"].shift(1)
-            if len(kept):
-                out.loc[kept.index[0], "from_minor"] = pd.NA if first[1] is None else first[1]
-                last = kept.iloc[-1]
-                self.newest.update((int(last["at"]), last["observation_id"], None if pd.isna(last["amount_minor"]) else int(last["amount_minor"])))
-            yield out.astype({"observation_id": object, "side": object, "from_observation_id": object})
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:  # noqa: N802
+            # A line has few rows in a micro-batch, so plain values cost less than a table of them.
+            old = self.newest.get()
+            top, prior = (None, (None, None)) if old is None else (old[0], (old[1], old[2]))
+            reached, mark, moved = top, None, False
+            for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in order]):
+                here = [row[c] or "" for c in tranche]
+                if here != mark:
+                    # The newest time of all tranches before the row's own.
+                    reached, mark = top, here
+                at = row["at"]
+                accepted = at is not None and (reached is None or at > reached)
+                top = at if top is None else top if at is None else max(top, at)
+                told = (row["mpn"], row["seller"], row["observation_id"], at, row["amount_minor"])
+                yield follows(*told, "accepted", *prior) if accepted else follows(*told, "refused", None, None)
+                if accepted:
+                    newest, prior, moved = at, (row["observation_id"], row["amount_minor"]), True
+            if moved:
+                self.newest.update((newest, *prior))
 
         def close(self) -> None:
             pass
@@ -134,7 +132,7 @@ def follow_lines(obs: DataFrame, tranche: Sequence[str] = TRANCHE_ORDER) -> Data
     spark = obs.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = obs.select(*LINE, "observation_id", F.unix_micros("observed_at").alias("at"), "amount_minor", *[F.col(c).cast("string") if i else F.col(c) for i, c in enumerate(tranche)])
-    followed = rows.groupBy(*LINE).transformWithStateInPandas(line_follower(tranche), FOLLOWED, "Append", "None")
+    followed = rows.groupBy(*LINE).transformWithState(line_follower(tranche), FOLLOWED, "Append", "None")
     return followed.select(*LINE, "observation_id", F.timestamp_micros("at").alias("observed_at"), "amount_minor", "side", "from_observation_id", "from_minor")
 
 
