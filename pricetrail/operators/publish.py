@@ -371,18 +371,26 @@ def _sieve(anchors: DataFrame) -> tuple[np.ndarray, list[int]]:
     return sieve, sorted({n for r in pieces for n in r["sizes"]})
 
 
+def _windows(data: bytes, at: np.ndarray, reach: int) -> list[bytes]:
+    """The parts of a text within `reach` bytes of these places, which ascend; parts that meet are one."""
+    apart = np.flatnonzero(np.diff(at) > 2 * reach) + 1
+    return [data[max(0, w[0] - reach) : w[-1] + reach] for w in np.split(at, apart)]
+
+
 def leak_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(text_id, token) for every private token that occurs in a public text.
 
     A token is looked up by one of its own short pieces, the one rarest among
     the tokens. Texts are read once: their pieces pass through a sieve of fixed
     size before anything is shuffled, so a text in which no piece could be an
-    anchor ends there. What is left meets the anchors on equality, with its text,
-    and the full token is verified; a sieve that many tokens fill lets more
-    pieces through and changes no row. Null texts hold nothing.
+    anchor ends there. What is left meets the anchors on equality, with its text
+    as far as the longest token reaches to either side, and the full token is
+    verified; a sieve that many tokens fill lets more pieces through and changes
+    no row. Null texts hold nothing.
     """
     anchors = _anchors(tokens)
     sieve, sizes = _sieve(anchors)
+    reach = tokens.agg(F.max(F.octet_length("token"))).first()[0] or 0
     kind = dict(texts.dtypes)["text_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -391,14 +399,16 @@ def leak_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
                 data = text.encode()
                 for size in sizes:
                     grams = _byte_grams(data, size)
-                    grams = np.unique(grams[sieve[_slots(grams, size)]])
-                    if len(grams):
-                        at = np.full(len(grams), i)
-                        yield pdf.iloc[at].assign(size=size, gram=grams.view(np.int64))
-
-    held = texts.where("text IS NOT NULL").select("text_id", "text").mapInPandas(run, f"text_id {kind}, text string, size int, gram long")
+                    places = np.flatnonzero(sieve[_slots(grams, size)])
+                    if len(places):
+                        places = places[np.argsort(grams[places], kind="stable")]
+                        found, starts = np.unique(grams[places], return_index=True)
+                        parts = [_windows(data, at, reach) for at in np.split(places, starts[1:])]
+                        yield pd.DataFrame({"text_id": pdf["text_id"].iloc[[i] * len(found)].array, "parts": parts, "size": size, "gram": found.view(np.int64)})
+
+    held = texts.where("text IS NOT NULL").select("text_id", "text").mapInPandas(run, f"text_id {kind}, parts array<binary>, size int, gram long")
     met = held.join(anchors.select("token", "size", "gram"), ["size", "gram"])
-    return met.where(F.contains("text", "token")).select("text_id", "token")
+    return met.where(F.exists("parts", lambda p: F.contains(p, F.col("token").cast("binary")))).select("text_id", "token")
 
 
 # Shapes of credentials.

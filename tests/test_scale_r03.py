@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pricetrail.operators import catalogue
+from datetime import datetime
+
+import numpy as np
+from pyspark.sql import Row
+
+from pricetrail.operators import catalogue, publish
+from pricetrail.operators.qualify import match_evidence
+from pricetrail.streaming import live
 
 
 def plan_of(df) -> str:
@@ -25,3 +32,51 @@ def test_no_pair_of_characters_is_removed_twice(spark):
     want = {text} | once | {s[:i] + s[i + 1:] for s in once for i in range(7)}
     got = df.select(catalogue.deletions(df["t"]).alias("d")).first()["d"]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_leak_scan_moves_what_surrounds_a_piece(spark):
+    assert publish._windows(b"0123456789abcdef", np.array([2, 5, 14]), 2) == [b"0123456", b"cdef"]
+    tokens = ["needle-in-hay", "é-needle-twice", "short"]
+    texts = ["x" * 5000 + "needle-in-hay" + "y" * 5000, "é-needle-twice, é-needle-twice", "needle-in-hat", None, "", "a short needle-in-haystack"]
+    held = spark.createDataFrame([(0, t) for t in texts], "text_id long, text string")
+    found = publish.leak_scan(held, spark.createDataFrame([(t,) for t in tokens], "token string"))
+    want = sorted((0, t) for x in texts if x for t in tokens if t in x)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "parts" in plan_of(found) and "text_id#" in plan_of(found)
+
+
+def test_evidence_meets_by_prints(spark):
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    obs = spark.createDataFrame(
+        [("o1", True, "e1", "u1", at, "s", "m", 5, "GBP", "included"), ("o2", False, None, "u2", at, "s", "m", 5, "GBP", "included"), ("o3", True, None, "u1", at, "s", "m", 5, "GBP", "included")],
+        "observation_id string, archived boolean, evidence_id string, source_url string, observed_at timestamp, seller_display_name string, mpn string, amount_minor long, currency string, vat_state string",
+    )
+    ledger = spark.createDataFrame(
+        [("e1", "s", "u1", at, 200, "0" * 64, 9, "m", 5, "GBP", True), (None, "s", "u2", at, 200, "0" * 64, 9, "m", 6, "GBP", True)],
+        "evidence_id string, seller_display_name string, source_url string, retrieved_at timestamp, http_status int, response_sha256 string, response_bytes long, fact_mpn string, fact_amount_minor long, fact_currency string, fact_vat_included boolean",
+    )
+    found = match_evidence(obs, ledger)
+    assert sorted(tuple(r) for r in found.collect()) == [("o1", 1, True), ("o2", 1, False), ("o3", 0, None)]
+    assert "hashpartitioning(key_a" in plan_of(found) and "hashpartitioning(source_url" not in plan_of(found)
+
+
+def test_a_line_is_followed_over_plain_rows():
+    class Newest:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    follower = live.line_follower(("created_at", "tranche_id"))
+    follower.newest = Newest()
+    line = Row("mpn", "seller", "observation_id", "at", "amount_minor", "created_at", "tranche_id")
+    first = [line("m", "s", "b", 20, 7, "1", "t1"), line("m", "s", "a", 10, 5, "1", "t1"), line("m", "s", "c", 20, 9, "2", None), line("m", "s", "d", None, 9, "2", None)]
+    out = list(follower.handleInputRows(("m", "s"), iter(first), None))
+    assert [(r["observation_id"], r["side"], r["from_observation_id"], r["from_minor"]) for r in out] == [
+        ("a", "accepted", None, None), ("b", "accepted", "a", 5), ("d", "refused", None, None), ("c", "refused", None, None)]
+    out = list(follower.handleInputRows(("m", "s"), iter([line("m", "s", "e", 30, None, "3", "t3")]), None))
+    assert [(r["side"], r["from_observation_id"], r["from_minor"]) for r in out] == [("accepted", "b", 7)]
+    assert follower.newest.value == (30, "e", None)
