@@ -73,7 +73,6 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     """
     mine = obs.join(products.select("mpn"), "mpn", "left_semi")
     named = mine.join(retailers, F.col("seller_display_name") == F.col("accepted_name"), "left").drop("accepted_name")
-    bound = named.join(match_evidence(mine, ledger), "observation_id", "left")
     availability = classify_availability(F.col("stock_state"), F.col("stock_text"), F.col("stock_semantics"))
     archived = F.col("archived")
     known_retailer = F.col("retailer_id").isNotNull()
@@ -94,7 +93,8 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
         unproven = relationship.isNull() & failed(F.col("source_class") != "archived_primary_retail_storefront")
     else:
         foreign, unproven = failed(relationship != "retailer_owned"), F.lit(False)
-    rules = reason_codes([
+    # What a row tells about itself is judged before it moves, so that only the outcome does.
+    own = reason_codes([
         ("archived_identity_not_exact", archived & archived_bad),
         ("direct_identity_not_exact_mpn", ~archived & direct_bad),
         ("invalid_or_future_observed_at", untimely),
@@ -105,13 +105,17 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
         ("retailer_not_recognised", ~known_retailer),
         ("seller_not_retailer_owned", foreign),
         ("primary_retail_relationship_not_established", unproven),
+    ])
+    evidence = reason_codes([
         ("missing_evidence_ledger_entry", F.col("entry_count") == 0),
         ("ambiguous_evidence_ledger_entry", F.col("entry_count") > 1),
         ("evidence_facts_mismatch", F.coalesce(~F.col("facts_equal"), F.lit(False))),
-        ("source_url_contract_mismatch", known_retailer & ~url_ok),
     ])
+    address = reason_codes([("source_url_contract_mismatch", known_retailer & ~url_ok)])
     restricted = restriction_reasons(["review_note", "stock_semantics"], ["publication_allowed"])
-    return bound.withColumn("stock", availability).withColumn("reasons", F.array_distinct(F.concat(rules, restricted)))
+    judged = named.withColumn("stock", availability).withColumns({"_own": own, "_last": F.concat(address, restricted)})
+    bound = judged.join(match_evidence(mine, ledger), "observation_id", "left")
+    return bound.withColumn("reasons", F.array_distinct(F.concat("_own", evidence, "_last"))).drop("_own", "_last")
 
 
 def offer_candidates(qualified: DataFrame) -> DataFrame:

@@ -172,18 +172,24 @@ def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
         expected[0].alias("want_a"), expected[1].alias("want_b"), *[F.col(c).alias(f"want_{c}") for c in archive_shared],
     )
 
+    def keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        # Ids and addresses are long; their prints are what is moved and compared. A null key meets nothing.
+        key = _fact_print(*map(F.col, keys))
+        return rows.select("*", key[0].alias("key_a"), key[1].alias("key_b")).drop(*keys)
+
     def entries(prints: list[Column], keys: list[Column], named: list[str]) -> DataFrame:
         return ledger.select(*keys, prints[0].alias("print_a"), prints[1].alias("print_b"), *[F.col(c).alias(f"held_{c}") for c in named])
 
     def bound(rows: DataFrame, held: DataFrame, keys: list[str], named: list[str]) -> DataFrame:
-        folded = held.groupBy(*keys).agg(
+        rows, held = keyed(rows, keys), keyed(held, keys).where("key_a IS NOT NULL")
+        folded = held.groupBy("key_a", "key_b").agg(
             F.count(F.lit(1)).alias("entries"), F.min("print_a").alias("print_a"), F.min("print_b").alias("print_b"), *[F.min(f"held_{c}").alias(f"held_{c}") for c in named]
         )
         agree = (F.col("print_a") == F.col("want_a")) & (F.col("print_b") == F.col("want_b"))
         for c in named:
             stated = F.col(f"want_{c}").isNotNull() & (F.col(f"want_{c}") != (0 if c == "response_bytes" else ""))
             agree = agree & (~stated | F.coalesce(F.col(f"want_{c}") == F.col(f"held_{c}"), F.lit(False)))
-        return rows.join(folded, keys, "left").select(
+        return rows.join(folded, ["key_a", "key_b"], "left").select(
             "observation_id",
             F.coalesce("entries", F.lit(0)).alias("entry_count"),
             F.when(F.col("entries") == 1, F.coalesce(agree, F.lit(False))).alias("facts_equal"),

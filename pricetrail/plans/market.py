@@ -33,8 +33,9 @@ def approved(spark: SparkSession, root: str) -> DataFrame:
 
 
 def qualified_offers(spark: SparkSession, root: str) -> DataFrame:
+    # Written, so that Spark knows how few the products are next to the observations.
     return market.qualify_offer(
-        offer_observations(spark, root), approved(spark, root), evidence_ledger(spark, root), retailers(spark, root)
+        offer_observations(spark, root), settle(approved(spark, root)), evidence_ledger(spark, root), retailers(spark, root)
     )
 
 
@@ -148,7 +149,7 @@ FROM (SELECT *, NOT contains(source_url, 'http://') AS scheme_ok, NOT regexp_mat
 JOIN v_approved a ON a.mpn = o.mpn LEFT JOIN v_retailer r ON r.accepted_name = o.seller_display_name JOIN v_stated_match m ON m.observation_id = o.observation_id""")
 def _(spark, root):
     o = stated_offers(spark, root)
-    q = market.qualify_offer(o, approved(spark, root), stated_ledger(spark, root), stated_retailers(spark, root))
+    q = market.qualify_offer(o, settle(approved(spark, root)), stated_ledger(spark, root), stated_retailers(spark, root))
     return q.select("observation_id", "retailer_id", F.array_join("reasons", ",").alias("reasons"))
 
 
