@@ -16,8 +16,13 @@ def failed(condition: Column) -> Column:
 
 
 def reason_codes(rules: Sequence[Rule]) -> Column:
-    """Codes of the rules whose failure condition holds, in the given order."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules]))
+    """Codes of the rules whose failure condition holds, in the given order.
+
+    Put together from arrays of one code or none: a filter over an array is not
+    compiled, and neither are the rules inside it.
+    """
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(cond, F.array(F.lit(code))).otherwise(none) for code, cond in rules])
 
 
 def first_reason(rules: Sequence[Rule]) -> Column:

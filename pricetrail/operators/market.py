@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricetrail.functions.money import grouped_median, half_up, mean_minor, median_by_rank
 from pricetrail.functions.periods import london_date, month_label, month_of
 from pricetrail.functions.reasons import duplicated, failed, reason_codes, stacked, violations
+from pricetrail.functions.sieve import may_be_in
 from pricetrail.operators.qualify import check_source_url, classify_availability, hosts_of, match_evidence, restriction_reasons
 from pricetrail.operators.series import contiguous_segments
 
@@ -64,15 +65,18 @@ def check_approvals(catalogue: DataFrame, policy: DataFrame, reviews: DataFrame)
 def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retailers: DataFrame) -> DataFrame:
     """Publication predicates of rows whose product is approved.
 
-    The product filter comes first and shrinks every join after it. Where `obs`
+    Products are picked twice: by a sieve of fixed size before anything is
+    computed, and exactly once a row is judged by itself, so that outcomes and
+    prints move instead of texts. Where `obs`
     has them, `created_at` (of the row's tranche) bounds its time, `product_mpn`
     is held against the number of an archived row, `mpn_observed` against that of
     a direct one, and `source_class` tells whether a row without a seller
     relationship comes from a primary retailer. `retailers` has a row per
-    accepted name, with `https_hosts` or one `https_host`.
+    accepted name, with `https_hosts` or one `https_host`. `facts_clear` tells
+    that a row gives no reason apart from its evidence.
     """
-    mine = obs.join(products.select("mpn"), "mpn", "left_semi")
-    named = mine.join(retailers, F.col("seller_display_name") == F.col("accepted_name"), "left").drop("accepted_name")
+    seen = obs.where(may_be_in(F.col("mpn"), products, "mpn"))
+    named = seen.join(retailers, F.col("seller_display_name") == F.col("accepted_name"), "left").drop("accepted_name")
     availability = classify_availability(F.col("stock_state"), F.col("stock_text"), F.col("stock_semantics"))
     archived = F.col("archived")
     known_retailer = F.col("retailer_id").isNotNull()
@@ -113,18 +117,26 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     ])
     address = reason_codes([("source_url_contract_mismatch", known_retailer & ~url_ok)])
     restricted = restriction_reasons(["review_note", "stock_semantics"], ["publication_allowed"])
-    judged = named.withColumn("stock", availability).withColumns({"_own": own, "_last": F.concat(address, restricted)})
-    bound = judged.join(match_evidence(mine, ledger), "observation_id", "left")
+    judged = named.withColumn("stock", availability).withColumns({"_own": own, "_last": F.concat(address, restricted)}).withColumn(
+        "facts_clear", F.size("_own") + F.size("_last") == 0
+    )
+    mine = judged.join(products.select("mpn"), "mpn", "left_semi")
+    bound = mine.join(match_evidence(seen, ledger, products), "observation_id", "left")
     return bound.withColumn("reasons", F.array_distinct(F.concat("_own", evidence, "_last"))).drop("_own", "_last")
 
 
 def offer_candidates(qualified: DataFrame) -> DataFrame:
-    """Accepted rows in published shape, with a content id over their facts."""
+    """Accepted rows in published shape, with a content id over their facts.
+
+    `facts_clear` follows from the empty reasons; stated on its own, Spark drops
+    what a row's own facts refuse before the row moves to its evidence.
+    """
     identity = F.concat_ws(
         UNIT, "mpn", "retailer_id", F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.col("amount_minor").cast("string"), "currency", "source_url",
     )
-    return qualified.where(F.size("reasons") == 0).select(
+    accepted = qualified.where("facts_clear") if "facts_clear" in qualified.columns else qualified
+    return accepted.where(F.size("reasons") == 0).select(
         F.concat(F.lit("offer-"), F.substring(F.sha2(identity, 256), 1, 24)).alias("public_observation_id"),
         "observed_at",
         F.when(F.col("archived"), F.lit("archived_retail_observation")).otherwise(F.lit("direct_retail_observation")).alias("observation_kind"),

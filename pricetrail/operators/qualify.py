@@ -97,6 +97,11 @@ def classify_availability(state: Column, text: Column, semantics: Column) -> Col
 
 #: An address with HTTPS and a host, without credentials, query or fragment; the port may be empty or the scheme's own, which a parser drops.
 HTTPS = r"(?i:https)://([^/:@?#\\\s]+)(?::(?:443)?)?(/[^?#\s]*)?"
+#: Such an address on the archive's host, that holds a capture time and, to the end of its line, another such address.
+ARCHIVED = (
+    r"(?i:https://web\.archive\.org)(?::(?:443)?)?/web/([0-9]{14})id_/"
+    r"https://([^/:@?#\\\s\u0085  ]+)(?::(?:443)?)?(?:/[^?#\s\u0085  ]*)?[\u0085  ]?"
+)
 
 
 def hosts_of(roster: DataFrame) -> Column:
@@ -107,22 +112,21 @@ def hosts_of(roster: DataFrame) -> Column:
 def check_source_url(url: Column, archived: Column, observed_at: Column, hosts: Column) -> Column:
     """HTTPS without credentials, foreign port, query or fragment, on one of the retailer's hosts (an array).
 
-    An archive address must embed the capture time and such an address.
+    An archive address must embed the capture time and such an address. A
+    pattern is read once for each thing taken from it: this runs for every row.
     """
+    held = F.array_remove(hosts, "")
 
-    def on(text: Column, held: Column) -> Column:
-        host = F.lower(F.regexp_extract(text, f"^{HTTPS}[?]?#?$", 1))
-        return (host != "") & F.array_contains(held, host)
+    def taken(pattern: str, group: int) -> Column:
+        return F.regexp_extract(url, f"^{pattern}[?]?#?$", group)
 
-    path = F.regexp_extract(url, f"^{HTTPS}[?]?#?$", 2)
-    shape = r"^/web/([0-9]{14})id_/(https://.*)$"
-    inner, stamp = F.regexp_extract(path, shape, 2), F.regexp_extract(path, shape, 1)
-    archive_ok = on(url, F.array(F.lit("web.archive.org"))) & on(inner, hosts) & (stamp == F.date_format(observed_at, "yyyyMMddHHmmss"))
-    return F.coalesce(F.when(archived, archive_ok).otherwise(on(url, hosts)), F.lit(False))
+    stamped = taken(ARCHIVED, 1) == F.date_format(observed_at, "yyyyMMddHHmmss")
+    archive_ok = stamped & F.array_contains(held, F.lower(taken(ARCHIVED, 2)))
+    return F.coalesce(F.when(archived, archive_ok).otherwise(F.array_contains(held, F.lower(taken(HTTPS, 1)))), F.lit(False))
 
 
-def _fact_print(*facts: Column) -> list[Column]:
-    """Two independent 64-bit prints of a row of facts, 128 bits together.
+def _print(salt: str, *facts: Column) -> Column:
+    """A 64-bit print of a row of facts.
 
     Null when any fact is: hashing skips nulls, and an unknown fact agrees with
     nothing.
@@ -130,16 +134,22 @@ def _fact_print(*facts: Column) -> list[Column]:
     known = F.lit(True)
     for fact in facts:
         known = known & fact.isNotNull()
-    return [F.when(known, F.xxhash64(F.lit(salt), *facts)) for salt in ("a", "b")]
+    return F.when(known, F.xxhash64(F.lit(salt), *facts))
 
 
-def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
+def match_evidence(obs: DataFrame, ledger: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """(observation_id, entry_count, facts_equal): exactly one entry must agree, in facts all known.
 
+    Of every row, or of those whose `mpn` is in `products`, which are picked once
+    a row is down to its prints.
+
     Archived rows are bound by evidence id; live rows by address, time and
-    seller. Each kind is its own equi-join. The ledger is folded to one row per
-    binding key beforehand, as a count and a fixed-width print of its facts, so
+    seller. Both kinds meet the ledger in one equi-join on a 128-bit print of
+    kind and key, so rows and entries are read once. The ledger is folded to one
+    row per binding key beforehand, as a count and a print of its facts, so
     copies of an entry never multiply rows and the fold hashes instead of sorts.
+    Facts are compared only within a key, one entry with one row, for which a
+    64-bit print is enough.
     Where the tables have them, the kit's shape (32 GB, two modules, DDR5) must
     be stated on both sides, an archived row is held against the entry's capture
     time, and a digest, byte count or archive address that the row states must be
@@ -155,57 +165,59 @@ def match_evidence(obs: DataFrame, ledger: DataFrame) -> DataFrame:
             shape = shape & (F.col(name) == value)
     captured = F.col("archive_captured_at" if "archive_captured_at" in ledger.columns else "retrieved_at")
     facts = [F.coalesce(sound, F.lit(False)), F.col("fact_mpn"), F.col("fact_amount_minor"), F.col("fact_currency"), F.col("fact_vat_included")]
-    by_capture, by_retrieval = _fact_print(*facts, captured), _fact_print(*facts, F.col("retrieved_at"))
-    expected = [F.when(shape, p) for p in _fact_print(
-        F.lit(True), F.col("mpn"), F.col("amount_minor"), F.col("currency"), F.col("vat_state") == "included", F.col("observed_at")
-    )]
-    if "final_url" in ledger.columns:
-        # An entry may be reached by the address asked for or the one it ended at.
-        either = F.array_distinct(F.array_compact(F.array("source_url", "final_url")))
-    else:
-        either = F.array("source_url")
-    # What a row need not state, but must share with its entry if it does.
-    shared = [c for c in ("response_sha256", "response_bytes") if c in obs.columns]
-    archive_shared = shared + [c for c in ("archive_url",) if c in obs.columns and c in ledger.columns]
-    needs = obs.select(
-        "observation_id", "archived", "evidence_id", "source_url", F.col("observed_at").alias("retrieved_at"), "seller_display_name",
-        expected[0].alias("want_a"), expected[1].alias("want_b"), *[F.col(c).alias(f"want_{c}") for c in archive_shared],
-    )
+    wanted = F.when(shape, _print(
+        "facts", F.lit(True), F.col("mpn"), F.col("amount_minor"), F.col("currency"), F.col("vat_state") == "included", F.col("observed_at")
+    ))
+    # What a row need not state, but must share with its entry if it does; the archive address binds archived rows only.
+    shared = [c for c in ("response_sha256", "response_bytes", "archive_url") if c in obs.columns and (c != "archive_url" or c in ledger.columns)]
 
-    def keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def short(name: str) -> Column:
+        return F.col(name) if name == "response_bytes" else _print(name, F.col(name))
+
+    def stated(name: str) -> Column:
+        told = F.col(name) != (0 if name == "response_bytes" else "")
+        return F.when(told & F.col("archived") if name == "archive_url" else told, short(name))
+
+    def keys(kind: str, *of: Column) -> list[Column]:
         # Ids and addresses are long; their prints are what is moved and compared. A null key meets nothing.
-        key = _fact_print(*map(F.col, keys))
-        return rows.select("*", key[0].alias("key_a"), key[1].alias("key_b")).drop(*keys)
-
-    def entries(prints: list[Column], keys: list[Column], named: list[str]) -> DataFrame:
-        return ledger.select(*keys, prints[0].alias("print_a"), prints[1].alias("print_b"), *[F.col(c).alias(f"held_{c}") for c in named])
-
-    def bound(rows: DataFrame, held: DataFrame, keys: list[str], named: list[str]) -> DataFrame:
-        rows, held = keyed(rows, keys), keyed(held, keys).where("key_a IS NOT NULL")
-        folded = held.groupBy("key_a", "key_b").agg(
-            F.count(F.lit(1)).alias("entries"), F.min("print_a").alias("print_a"), F.min("print_b").alias("print_b"), *[F.min(f"held_{c}").alias(f"held_{c}") for c in named]
-        )
-        agree = (F.col("print_a") == F.col("want_a")) & (F.col("print_b") == F.col("want_b"))
-        for c in named:
-            stated = F.col(f"want_{c}").isNotNull() & (F.col(f"want_{c}") != (0 if c == "response_bytes" else ""))
-            agree = agree & (~stated | F.coalesce(F.col(f"want_{c}") == F.col(f"held_{c}"), F.lit(False)))
-        return rows.join(folded, ["key_a", "key_b"], "left").select(
-            "observation_id",
-            F.coalesce("entries", F.lit(0)).alias("entry_count"),
-            F.when(F.col("entries") == 1, F.coalesce(agree, F.lit(False))).alias("facts_equal"),
-        )
-
-    wants = lambda named: ["want_a", "want_b", *[f"want_{c}" for c in named]]
-    archive = bound(
-        needs.where("archived").select("observation_id", "evidence_id", *wants(archive_shared)),
-        entries(by_capture, [F.col("evidence_id")], archive_shared), ["evidence_id"], archive_shared,
+        return [_print(f"{kind} {half}", *of) for half in ("a", "b")]
+
+    archived = F.col("archived")
+    by_id = keys("archived", F.col("evidence_id"))
+    by_sight = keys("live", F.col("source_url"), F.col("observed_at"), F.col("seller_display_name"))
+    needs = obs.where(archived.isNotNull()).select(
+        "observation_id", "mpn", F.when(archived, by_id[0]).otherwise(by_sight[0]).alias("key_a"), F.when(archived, by_id[1]).otherwise(by_sight[1]).alias("key_b"),
+        wanted.alias("want"), *[stated(c).alias(f"want_{c}") for c in shared],
+    )
+
+    if products is not None:
+        needs = needs.join(products.select("mpn"), "mpn", "left_semi")
+
+    def bound(key: list[Column], at: Column) -> Column:
+        return F.struct(key[0].alias("key_a"), key[1].alias("key_b"), _print("facts", *facts, at).alias("print"))
+
+    addresses = [F.col("source_url")]
+    if "final_url" in ledger.columns:
+        # An entry may be reached by the address asked for or the one it ended at.
+        addresses.append(F.when(~F.col("final_url").eqNullSafe(F.col("source_url")), F.col("final_url")))
+    ways = [bound(by_id, captured)] + [
+        bound(keys("live", url, F.col("retrieved_at"), F.col("seller_display_name")), F.col("retrieved_at")) for url in addresses
+    ]
+    names = [f"way_{i}" for i in range(len(ways))]
+    # Printed before the rows are dealt out: a generator's own expressions are not compiled.
+    printed = ledger.select(*[way.alias(n) for way, n in zip(ways, names, strict=True)], *[short(c).alias(f"held_{c}") for c in shared])
+    entries = printed.select(F.inline(F.array(*names)), *[f"held_{c}" for c in shared]).where("key_a IS NOT NULL")
+    folded = entries.groupBy("key_a", "key_b").agg(
+        F.count(F.lit(1)).alias("entries"), F.min("print").alias("print"), *[F.min(f"held_{c}").alias(f"held_{c}") for c in shared]
     )
-    live_keys = ["source_url", "retrieved_at", "seller_display_name"]
-    live = bound(
-        needs.where(~F.col("archived")).select("observation_id", *live_keys, *wants(shared)),
-        entries(by_retrieval, [F.explode(either).alias("source_url"), F.col("retrieved_at"), F.col("seller_display_name")], shared), live_keys, shared,
+    agree = F.col("print") == F.col("want")
+    for c in shared:
+        agree = agree & (F.col(f"want_{c}").isNull() | F.coalesce(F.col(f"want_{c}") == F.col(f"held_{c}"), F.lit(False)))
+    return needs.join(folded, ["key_a", "key_b"], "left").select(
+        "observation_id",
+        F.coalesce("entries", F.lit(0)).alias("entry_count"),
+        F.when(F.col("entries") == 1, F.coalesce(agree, F.lit(False))).alias("facts_equal"),
     )
-    return stacked(archive, live)
 
 
 def restriction_reasons(fields: list[str], flags: list[str]) -> Column:
@@ -213,10 +225,12 @@ def restriction_reasons(fields: list[str], flags: list[str]) -> Column:
     text = F.lower(F.concat_ws("\n", *[F.col(f).cast("string") for f in fields]))
     worded = text.rlike("ambigu|restrict|reject|identity_mismatch|mpn_mismatch")
     named = [f for f in flags if any(p in f for p in ("approval", "approved", "allowed", "eligibility", "activation"))]
-    raised = F.exists(F.array(*[F.col(f) for f in named]), lambda v: v) if named else F.lit(False)
+    raised = F.lit(False)
+    for flag in named:
+        raised = raised | F.coalesce(F.col(flag), F.lit(False))
     return reason_codes([
         ("record_specific_ambiguity_restriction_or_rejection", worded),
-        ("record_authority_drift", F.coalesce(raised, F.lit(False))),
+        ("record_authority_drift", raised),
     ])
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricetrail.plans.views import VIEWS
-from pricetrail.session import use_utc
+from pricetrail.session import keep_compiled, use_utc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +43,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
     def add(plan: Plan) -> Plan:
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return plan(use_utc(spark), root)
+            return plan(keep_compiled(use_utc(spark)), root)
 
         QUERIES[name] = run
         if sql is not None:

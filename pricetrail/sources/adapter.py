@@ -29,9 +29,12 @@ def mpn_of(partkey: Column) -> Column:
     )
 
 
-def lines(spark: SparkSession, root: str) -> DataFrame:
-    """Line items with short driver columns and the observation fields they give."""
-    src = table(spark, root, "lineitem")
+def lines(spark: SparkSession, root: str, src: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Line items with short driver columns and the observation fields they give.
+
+    `src` is the line items already joined with something, whose columns `keep` stay.
+    """
+    src = table(spark, root, "lineitem") if src is None else src
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5).cast("long")
     minutes = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 131) % 1440
     at = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + minutes * 60)
@@ -62,6 +65,7 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", F.lit("archive_capture"))
         .otherwise(F.lit("prospective_capture"))
         .alias("capture_kind"),
+        *keep,
     )
 
 
@@ -97,14 +101,14 @@ def sellers(spark: SparkSession, root: str) -> DataFrame:
     return _with_sellers(keys, spark, root).select("k_supp", *_seller_columns())
 
 
-def observations(spark: SparkSession, root: str) -> DataFrame:
-    """The flat observation table most operators start from."""
-    rows = lines(spark, root)
+def observations(spark: SparkSession, root: str, src: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The flat observation table most operators start from; `src` and `keep` as for `lines`."""
+    rows = lines(spark, root, src, keep)
     return _with_sellers(rows, spark, root).select(*rows.columns, *_seller_columns())
 
 
 def retailer_key(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "_", "-"))
+    return F.lower(F.translate(name, "_", "-"))
 
 
 def landed_observations(spark: SparkSession, root: str) -> DataFrame:
@@ -161,9 +165,9 @@ def landed_observations(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def offer_observations(spark: SparkSession, root: str) -> DataFrame:
-    """Observations with the seller, stock, source and review fields of an offer."""
-    o = observations(spark, root)
+def offer_observations(spark: SparkSession, root: str, src: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Observations with the seller, stock, source and review fields of an offer; `src` and `keep` as for `lines`."""
+    o = observations(spark, root, src, keep)
     k, ln, q = F.col("k_part"), F.col("k_line"), F.col("k_qty")
     archived = F.col("capture_kind") == "archive_capture"
     host = F.concat(F.lit("www."), retailer_key(F.col("seller_fine")), F.lit(".example"))
@@ -208,17 +212,22 @@ def offer_observations(spark: SparkSession, root: str) -> DataFrame:
         ((ln == 2) & (q == 11)).alias("publication_allowed"),
         F.col("k_order"),
         F.col("k_part"),
+        *keep,
     )
 
 
 def evidence_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """One entry per retained capture; some missing, some doubled, some drifted."""
-    o = offer_observations(spark, root).where(F.col("k_part") % 29 != 0)
+    """One entry per retained capture; some missing, some doubled, some drifted.
+
+    Line items meet their orders before ids and addresses are written out, so
+    that only short columns move.
+    """
     orders = table(spark, root, "orders").select("o_orderkey", "o_orderstatus")
+    retained = table(spark, root, "lineitem").where("l_partkey % 29 <> 0").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    o = offer_observations(spark, root, retained, ("o_orderstatus",))
     copies = F.when(F.col("k_part") % 31 == 0, F.lit(2)).otherwise(F.lit(1))
     return (
-        o.join(orders, F.col("k_order") == F.col("o_orderkey"))
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies)))
+        o.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies)))
         .select(
             "evidence_id",
             "seller_display_name",

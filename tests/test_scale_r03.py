@@ -6,9 +6,13 @@ from datetime import datetime
 
 import numpy as np
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from pricetrail.operators import catalogue, publish
+from pricetrail.functions.reasons import reason_codes
+from pricetrail.functions.sieve import may_be_in
+from pricetrail.operators import catalogue, market, publish
 from pricetrail.operators.qualify import match_evidence
+from pricetrail.sources.adapter import evidence_ledger
 from pricetrail.streaming import live
 
 
@@ -80,3 +84,60 @@ def test_a_line_is_followed_over_plain_rows():
     out = list(follower.handleInputRows(("m", "s"), iter([line("m", "s", "e", 30, None, "3", "t3")]), None))
     assert [(r["side"], r["from_observation_id"], r["from_minor"]) for r in out] == [("accepted", "b", 7)]
     assert follower.newest.value == (30, "e", None)
+
+
+def _offer_tables(spark):
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    names = ["observation_id", "mpn", "archived", "evidence_id", "source_url", "stock_state", "vat_state", "publication_allowed"]
+    rows = [("o1", "m", False, "e1", "https://www.s.example/p", "in_stock", "included", False), ("o2", "m", False, "e2", "https://www.s.example/q", "in_stock", "excluded", None),
+            ("o3", "other", False, "e3", "https://www.s.example/r", "in_stock", "included", False), ("o4", "m", True, "e4", "https://www.s.example/p", "unknown", "included", True),
+            ("o5", "m", False, "e5", "https://www.s.example/t", "in_stock", "included", False), ("o1", "m", False, "e1", "https://www.s.example/p", "in_stock", "included", False)]
+    same = {"observed_at": at, "seller_display_name": "s", "seller_relationship": "retailer_owned", "amount_minor": 500, "currency": "GBP", "stock_text": None, "stock_semantics": None,
+            "review_note": None, "identity_exact": True, "match_basis": "exact_mpn"}
+    obs = spark.createDataFrame(
+        [Row(**dict(zip(names, r, strict=True)), mpn_expected=r[1], **same) for r in rows],
+        "observation_id string, mpn string, archived boolean, evidence_id string, source_url string, stock_state string, vat_state string, publication_allowed boolean, mpn_expected string, observed_at timestamp, "
+        "seller_display_name string, seller_relationship string, amount_minor long, currency string, stock_text string, stock_semantics string, review_note string, identity_exact boolean, match_basis string",
+    )
+    ledger = spark.createDataFrame(
+        [(f"e{i}", "s", u, at, 200, "0" * 64, 9, "m", 500, "GBP", v) for i, u, v in ((1, "https://www.s.example/p", True), (2, "https://www.s.example/q", False), (4, "https://x", True))],
+        "evidence_id string, seller_display_name string, source_url string, retrieved_at timestamp, http_status int, response_sha256 string, response_bytes long, fact_mpn string, fact_amount_minor long, fact_currency string, fact_vat_included boolean",
+    )
+    retailers = spark.createDataFrame([("r", "R", "s", "www.s.example")], "retailer_id string, retailer_name string, accepted_name string, https_host string")
+    return obs, spark.createDataFrame([("m",)], "mpn string"), ledger, retailers
+
+
+def test_offers_are_judged_before_they_move(spark):
+    obs, products, ledger, retailers = _offer_tables(spark)
+    q = market.qualify_offer(obs, products, ledger, retailers)
+    got = sorted((r["observation_id"], ",".join(r["reasons"]), r["facts_clear"]) for r in q.collect())
+    clear, bad = ("o1", "", True), "availability_not_explicitly_orderable,source_url_contract_mismatch,record_authority_drift"
+    assert got == [clear] * 4 + [("o2", "vat_not_explicitly_included", False), ("o4", bad, False), ("o5", "missing_evidence_ledger_entry", True)]
+    # The ledger is read once for both kinds of row, and what a row's own facts refuse stays behind.
+    offers = market.offer_candidates(q)
+    plan = plan_of(offers)
+    assert plan.count("hashpartitioning(key_a") == 2
+    moved = plan.split("Exchange hashpartitioning(observation_id", 1)[1].split("Exchange", 1)[0]
+    assert "vat_not_explicitly_included" in moved and "Filter" in moved
+    assert [r["observation_id"] for r in offers.collect()] == ["o1"] * 4
+
+
+def test_reason_codes_are_compiled(spark):
+    df = spark.createDataFrame([(1, None), (2, True), (3, False)], "i int, b boolean")
+    codes = df.select("i", reason_codes([("x", F.col("b")), ("y", F.col("i") > 1), ("x", F.col("i") == 2)]).alias("codes"))
+    assert {r["i"]: r["codes"] for r in codes.collect()} == {1: [], 2: ["x", "y", "x"], 3: ["y"]}
+    assert "lambda" not in plan_of(codes)
+
+
+def test_sieve_lets_every_key_through(spark):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(500)] + [(None,)], "k string")
+    rows = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "v string")
+    passed = {r["v"] for r in rows.where(may_be_in(F.col("v"), keys, "k")).collect()}
+    assert {f"k{i}" for i in range(500)} <= passed and len(passed) < 520
+    assert rows.where(may_be_in(F.col("v"), keys.limit(0), "k")).count() == 0
+
+
+def test_the_ledger_meets_orders_before_texts_are_written(spark, root):
+    plan = plan_of(evidence_ledger(spark, root))
+    met = plan[plan.index("o_orderkey"):]
+    assert "sha2" not in met and "web.archive.org" not in met and "sha2" in plan
