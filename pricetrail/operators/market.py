@@ -9,7 +9,7 @@ from pricetrail.functions.money import grouped_median, half_up, mean_minor, medi
 from pricetrail.functions.periods import london_date, month_label, month_of
 from pricetrail.functions.reasons import duplicated, failed, reason_codes, stacked, violations
 from pricetrail.functions.sieve import may_be_in
-from pricetrail.operators.qualify import check_source_url, classify_availability, hosts_of, match_evidence, restriction_reasons
+from pricetrail.operators.qualify import check_source_url, classify_availability, hosts_of, match_evidence, restriction_reasons, with_evidence
 from pricetrail.operators.series import contiguous_segments
 
 OFFER_KEY = ["mpn", "retailer_id", "observed_at"]
@@ -62,7 +62,7 @@ def check_approvals(catalogue: DataFrame, policy: DataFrame, reviews: DataFrame)
     )
 
 
-def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retailers: DataFrame) -> DataFrame:
+def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retailers: DataFrame, accepted_only: bool = False) -> DataFrame:
     """Publication predicates of rows whose product is approved.
 
     Products are picked twice: by a sieve of fixed size before anything is
@@ -74,6 +74,12 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     relationship comes from a primary retailer. `retailers` has a row per
     accepted name, with `https_hosts` or one `https_host`. `facts_clear` tells
     that a row gives no reason apart from its evidence.
+
+    With `accepted_only`, the rows without any reason. What a row's own facts
+    refuse stays behind, the others go to their evidence themselves, and only
+    what that accepts is dealt out by product, where offers are folded next.
+    Rows that share an id are then held each against its own evidence, and come
+    once each.
     """
     seen = obs.where(may_be_in(F.col("mpn"), products, "mpn"))
     named = seen.join(retailers, F.col("seller_display_name") == F.col("accepted_name"), "left").drop("accepted_name")
@@ -120,6 +126,10 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     judged = named.withColumn("stock", availability).withColumns({"_own": own, "_last": F.concat(address, restricted)}).withColumn(
         "facts_clear", F.size("_own") + F.size("_last") == 0
     )
+    if accepted_only:
+        clear = judged.where("facts_clear").drop("_own", "_last").withColumns({"facts_clear": F.lit(True), "reasons": F.array().cast("array<string>")})
+        # Not a semi-join: Spark would move it below the evidence, and every clear row with it.
+        return with_evidence(obs, ledger, clear).join(products.select("mpn").distinct(), "mpn")
     mine = judged.join(products.select("mpn"), "mpn", "left_semi")
     bound = mine.join(match_evidence(seen, ledger, products), "observation_id", "left")
     return bound.withColumn("reasons", F.array_distinct(F.concat("_own", evidence, "_last"))).drop("_own", "_last")

@@ -137,61 +137,51 @@ def _print(salt: str, *facts: Column) -> Column:
     return F.when(known, F.xxhash64(F.lit(salt), *facts))
 
 
-def match_evidence(obs: DataFrame, ledger: DataFrame, products: DataFrame | None = None) -> DataFrame:
-    """(observation_id, entry_count, facts_equal): exactly one entry must agree, in facts all known.
+def _shared_facts(obs: DataFrame, ledger: DataFrame) -> list[str]:
+    """What a row need not state, but must share with its entry if it does; the archive address binds archived rows only."""
+    return [c for c in ("response_sha256", "response_bytes", "archive_url") if c in obs.columns and (c != "archive_url" or c in ledger.columns)]
 
-    Of every row, or of those whose `mpn` is in `products`, which are picked once
-    a row is down to its prints.
 
-    Archived rows are bound by evidence id; live rows by address, time and
-    seller. Both kinds meet the ledger in one equi-join on a 128-bit print of
-    kind and key, so rows and entries are read once. The ledger is folded to one
-    row per binding key beforehand, as a count and a print of its facts, so
-    copies of an entry never multiply rows and the fold hashes instead of sorts.
-    Facts are compared only within a key, one entry with one row, for which a
-    64-bit print is enough.
-    Where the tables have them, the kit's shape (32 GB, two modules, DDR5) must
-    be stated on both sides, an archived row is held against the entry's capture
-    time, and a digest, byte count or archive address that the row states must be
-    the entry's.
-    """
-    sound = (F.col("http_status") == 200) & F.col("response_sha256").rlike("^[0-9a-f]{64}$") & (F.col("response_bytes") > 0)
-    for name, value in (("fact_capacity_gb", 32), ("fact_module_count", 2)):
-        if name in ledger.columns:
-            sound = sound & (F.col(name) == value)
+def _short(name: str) -> Column:
+    return F.col(name) if name == "response_bytes" else _print(name, F.col(name))
+
+
+def _keys(kind: str, *of: Column) -> list[Column]:
+    # Ids and addresses are long; their prints are what is moved and compared. A null key meets nothing.
+    return [_print(f"{kind} {half}", *of) for half in ("a", "b")]
+
+
+def _needs(obs: DataFrame, shared: list[str]) -> list[Column]:
+    """What a row brings to the ledger: the print of its key, of its facts, and what it states beside."""
     shape = F.lit(True)
     for name, value in (("capacity_gb", 32), ("module_count", 2), ("memory_type", "DDR5")):
         if name in obs.columns:
             shape = shape & (F.col(name) == value)
-    captured = F.col("archive_captured_at" if "archive_captured_at" in ledger.columns else "retrieved_at")
-    facts = [F.coalesce(sound, F.lit(False)), F.col("fact_mpn"), F.col("fact_amount_minor"), F.col("fact_currency"), F.col("fact_vat_included")]
     wanted = F.when(shape, _print(
         "facts", F.lit(True), F.col("mpn"), F.col("amount_minor"), F.col("currency"), F.col("vat_state") == "included", F.col("observed_at")
     ))
-    # What a row need not state, but must share with its entry if it does; the archive address binds archived rows only.
-    shared = [c for c in ("response_sha256", "response_bytes", "archive_url") if c in obs.columns and (c != "archive_url" or c in ledger.columns)]
-
-    def short(name: str) -> Column:
-        return F.col(name) if name == "response_bytes" else _print(name, F.col(name))
+    archived = F.col("archived")
 
     def stated(name: str) -> Column:
         told = F.col(name) != (0 if name == "response_bytes" else "")
-        return F.when(told & F.col("archived") if name == "archive_url" else told, short(name))
-
-    def keys(kind: str, *of: Column) -> list[Column]:
-        # Ids and addresses are long; their prints are what is moved and compared. A null key meets nothing.
-        return [_print(f"{kind} {half}", *of) for half in ("a", "b")]
+        return F.when(told & archived if name == "archive_url" else told, _short(name))
 
-    archived = F.col("archived")
-    by_id = keys("archived", F.col("evidence_id"))
-    by_sight = keys("live", F.col("source_url"), F.col("observed_at"), F.col("seller_display_name"))
-    needs = obs.where(archived.isNotNull()).select(
-        "observation_id", "mpn", F.when(archived, by_id[0]).otherwise(by_sight[0]).alias("key_a"), F.when(archived, by_id[1]).otherwise(by_sight[1]).alias("key_b"),
+    by_id = _keys("archived", F.col("evidence_id"))
+    by_sight = _keys("live", F.col("source_url"), F.col("observed_at"), F.col("seller_display_name"))
+    return [
+        F.when(archived, by_id[0]).otherwise(by_sight[0]).alias("key_a"), F.when(archived, by_id[1]).otherwise(by_sight[1]).alias("key_b"),
         wanted.alias("want"), *[stated(c).alias(f"want_{c}") for c in shared],
-    )
+    ]
 
-    if products is not None:
-        needs = needs.join(products.select("mpn"), "mpn", "left_semi")
+
+def _folded_ledger(ledger: DataFrame, shared: list[str]) -> DataFrame:
+    """One row per binding key: the number of its entries, the print of their facts, and what a row may state beside."""
+    sound = (F.col("http_status") == 200) & F.col("response_sha256").rlike("^[0-9a-f]{64}$") & (F.col("response_bytes") > 0)
+    for name, value in (("fact_capacity_gb", 32), ("fact_module_count", 2)):
+        if name in ledger.columns:
+            sound = sound & (F.col(name) == value)
+    captured = F.col("archive_captured_at" if "archive_captured_at" in ledger.columns else "retrieved_at")
+    facts = [F.coalesce(sound, F.lit(False)), F.col("fact_mpn"), F.col("fact_amount_minor"), F.col("fact_currency"), F.col("fact_vat_included")]
 
     def bound(key: list[Column], at: Column) -> Column:
         return F.struct(key[0].alias("key_a"), key[1].alias("key_b"), _print("facts", *facts, at).alias("print"))
@@ -200,26 +190,72 @@ def match_evidence(obs: DataFrame, ledger: DataFrame, products: DataFrame | None
     if "final_url" in ledger.columns:
         # An entry may be reached by the address asked for or the one it ended at.
         addresses.append(F.when(~F.col("final_url").eqNullSafe(F.col("source_url")), F.col("final_url")))
-    ways = [bound(by_id, captured)] + [
-        bound(keys("live", url, F.col("retrieved_at"), F.col("seller_display_name")), F.col("retrieved_at")) for url in addresses
+    ways = [bound(_keys("archived", F.col("evidence_id")), captured)] + [
+        bound(_keys("live", url, F.col("retrieved_at"), F.col("seller_display_name")), F.col("retrieved_at")) for url in addresses
     ]
     names = [f"way_{i}" for i in range(len(ways))]
     # Printed before the rows are dealt out: a generator's own expressions are not compiled.
-    printed = ledger.select(*[way.alias(n) for way, n in zip(ways, names, strict=True)], *[short(c).alias(f"held_{c}") for c in shared])
+    printed = ledger.select(*[way.alias(n) for way, n in zip(ways, names, strict=True)], *[_short(c).alias(f"held_{c}") for c in shared])
     entries = printed.select(F.inline(F.array(*names)), *[f"held_{c}" for c in shared]).where("key_a IS NOT NULL")
-    folded = entries.groupBy("key_a", "key_b").agg(
+    return entries.groupBy("key_a", "key_b").agg(
         F.count(F.lit(1)).alias("entries"), F.min("print").alias("print"), *[F.min(f"held_{c}").alias(f"held_{c}") for c in shared]
     )
+
+
+def _agree(shared: list[str]) -> Column:
+    """Whether a row's facts are those of its entry."""
     agree = F.col("print") == F.col("want")
     for c in shared:
         agree = agree & (F.col(f"want_{c}").isNull() | F.coalesce(F.col(f"want_{c}") == F.col(f"held_{c}"), F.lit(False)))
-    return needs.join(folded, ["key_a", "key_b"], "left").select(
+    return F.coalesce(agree, F.lit(False))
+
+
+def match_evidence(obs: DataFrame, ledger: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """(observation_id, entry_count, facts_equal): exactly one entry must agree, in facts all known.
+
+    Of every row, or of those whose `mpn` is in `products`, which are picked once
+    a row is down to its prints.
+
+    Archived rows are bound by evidence id; live rows by address, time and
+    seller. Both kinds meet the ledger in one equi-join on a 128-bit print of
+    kind and key, so rows and entries are read once. The ledger is folded to one
+    row per binding key beforehand, as a count and a print of its facts, so
+    copies of an entry never multiply rows and the fold hashes instead of sorts.
+    Facts are compared only within a key, one entry with one row, for which a
+    64-bit print is enough.
+    Where the tables have them, the kit's shape (32 GB, two modules, DDR5) must
+    be stated on both sides, an archived row is held against the entry's capture
+    time, and a digest, byte count or archive address that the row states must be
+    the entry's.
+    """
+    shared = _shared_facts(obs, ledger)
+    needs = obs.where(F.col("archived").isNotNull()).select("observation_id", "mpn", *_needs(obs, shared))
+    if products is not None:
+        needs = needs.join(products.select("mpn"), "mpn", "left_semi")
+    return needs.join(_folded_ledger(ledger, shared), ["key_a", "key_b"], "left").select(
         "observation_id",
         F.coalesce("entries", F.lit(0)).alias("entry_count"),
-        F.when(F.col("entries") == 1, F.coalesce(agree, F.lit(False))).alias("facts_equal"),
+        F.when(F.col("entries") == 1, _agree(shared)).alias("facts_equal"),
     )
 
 
+def with_evidence(obs: DataFrame, ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """The `rows` (of `obs`, with further columns) to which evidence gives no reason against them.
+
+    The rules of `match_evidence`, for callers that want accepted rows alone: a
+    row goes to its entry itself, once, where the outcome would have to meet the
+    row again by its id. Rows that are neither archived nor live, or without id,
+    have no outcome to meet and stay, as they do there.
+    """
+    shared = _shared_facts(obs, ledger)
+    needs = _needs(obs, shared)
+    bound = rows.withColumn("unbound", F.col("archived").isNull() | F.col("observation_id").isNull()).select("*", *needs)
+    # Keys that are not known meet nothing; left in, they would all go to one task.
+    met = bound.where("unbound OR key_a IS NOT NULL").join(_folded_ledger(ledger, shared), ["key_a", "key_b"], "left")
+    good = F.coalesce(F.col("entries") == 1, F.lit(False)) & _agree(shared)
+    return met.where(F.col("unbound") | good).select(*rows.columns)
+
+
 def restriction_reasons(fields: list[str], flags: list[str]) -> Column:
     """Restriction wording anywhere in the review fields' values, or a true authority flag."""
     text = F.lower(F.concat_ws("\n", *[F.col(f).cast("string") for f in fields]))

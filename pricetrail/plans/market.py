@@ -32,10 +32,10 @@ def approved(spark: SparkSession, root: str) -> DataFrame:
     return market.approved_products(catalogue(spark, root), policy(spark, root), reviews(spark, root))
 
 
-def qualified_offers(spark: SparkSession, root: str) -> DataFrame:
+def qualified_offers(spark: SparkSession, root: str, accepted_only: bool = False) -> DataFrame:
     # Written, so that Spark knows how few the products are next to the observations.
     return market.qualify_offer(
-        offer_observations(spark, root), settle(approved(spark, root)), evidence_ledger(spark, root), retailers(spark, root)
+        offer_observations(spark, root), settle(approved(spark, root)), evidence_ledger(spark, root), retailers(spark, root), accepted_only
     )
 
 
@@ -54,7 +54,7 @@ def candidates(qualified: DataFrame) -> DataFrame:
 
 def offers(spark: SparkSession, root: str) -> DataFrame:
     """The published table, written once; everything after it starts from there."""
-    return settle(market.public_offers(candidates(qualified_offers(spark, root))))
+    return settle(market.public_offers(candidates(qualified_offers(spark, root, accepted_only=True))))
 
 
 def day_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -155,7 +155,7 @@ def _(spark, root):
 
 @register("public_offers", f"SELECT * REPLACE ({STAMP}) FROM v_public")
 def _(spark, root):
-    fresh = market.public_offers(candidates(qualified_offers(spark, root)))
+    fresh = market.public_offers(candidates(qualified_offers(spark, root, accepted_only=True)))
     return fresh.withColumn("observed_at", instant_text(F.col("observed_at")))
 
 

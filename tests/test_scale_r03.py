@@ -122,6 +122,32 @@ def test_offers_are_judged_before_they_move(spark):
     assert [r["observation_id"] for r in offers.collect()] == ["o1"] * 4
 
 
+def test_accepted_offers_go_to_their_evidence_themselves(spark):
+    obs, products, ledger, retailers = _offer_tables(spark)
+    # Neither archived nor live, or without id: no evidence to meet, as in the outcomes of all rows.
+    loose = obs.where("observation_id = 'o5'")
+    odd = [loose.withColumns({"observation_id": F.lit("o6"), "archived": F.lit(None).cast("boolean")}), loose.withColumn("observation_id", F.lit(None).cast("string"))]
+    # Two entries; an entry with other facts.
+    twin = loose.withColumns({"observation_id": F.lit("o7"), "source_url": F.lit("https://www.s.example/u")})
+    dear = loose.withColumns({"observation_id": F.lit("o8"), "source_url": F.lit("https://www.s.example/v")})
+    entry = ledger.where("evidence_id = 'e1'")
+    held = [entry.withColumn("source_url", F.lit("https://www.s.example/u"))] * 2 + [entry.withColumns({"source_url": F.lit("https://www.s.example/v"), "fact_amount_minor": F.lit(501).cast("long")})]
+    for more in [*odd, twin, dear]:
+        obs = obs.unionByName(more)
+    for more in held:
+        ledger = ledger.unionByName(more)
+    every = market.offer_candidates(market.qualify_offer(obs, products, ledger, retailers))
+    accepted = market.offer_candidates(market.qualify_offer(obs, products, ledger, retailers, accepted_only=True))
+    want = {tuple(r) for r in every.collect()}
+    got = [tuple(r) for r in accepted.collect()]
+    assert {r[-1] for r in got} == {"o1", "o6", None} and set(got) == want and len(got) == 4
+    public = market.public_offers(accepted)
+    assert sorted(map(str, public.collect())) == sorted(map(str, market.public_offers(every).collect()))
+    # No outcome meets its row again by id, and the fold uses the rows as they lie by product.
+    plan = plan_of(public)
+    assert "hashpartitioning(observation_id" not in plan and "hashpartitioning(mpn" in plan and "retailer_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
 def test_reason_codes_are_compiled(spark):
     df = spark.createDataFrame([(1, None), (2, True), (3, False)], "i int, b boolean")
     codes = df.select("i", reason_codes([("x", F.col("b")), ("y", F.col("i") > 1), ("x", F.col("i") == 2)]).alias("codes"))
