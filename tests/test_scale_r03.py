@@ -143,8 +143,8 @@ def test_accepted_offers_go_to_their_evidence_themselves(spark):
     assert {r[-1] for r in got} == {"o1", "o6", None} and set(got) == want and len(got) == 4
     public = market.public_offers(accepted)
     assert sorted(map(str, public.collect())) == sorted(map(str, market.public_offers(every).collect()))
-    # No outcome meets its row again by id, and the fold uses the rows as they lie by product.
-    plan = plan_of(public)
+    # As planned, before sizes are known: no outcome meets its row again by id, and the fold uses the rows as they lie by product.
+    plan = plan_of(market.public_offers(accepted))
     assert "hashpartitioning(observation_id" not in plan and "hashpartitioning(mpn" in plan and "retailer_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
 
 
