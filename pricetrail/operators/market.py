@@ -104,7 +104,7 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     else:
         foreign, unproven = failed(relationship != "retailer_owned"), F.lit(False)
     # What a row tells about itself is judged before it moves, so that only the outcome does.
-    own = reason_codes([
+    own_rules = [
         ("archived_identity_not_exact", archived & archived_bad),
         ("direct_identity_not_exact_mpn", ~archived & direct_bad),
         ("invalid_or_future_observed_at", untimely),
@@ -115,7 +115,8 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
         ("retailer_not_recognised", ~known_retailer),
         ("seller_not_retailer_owned", foreign),
         ("primary_retail_relationship_not_established", unproven),
-    ])
+    ]
+    own = reason_codes(own_rules)
     evidence = reason_codes([
         ("missing_evidence_ledger_entry", F.col("entry_count") == 0),
         ("ambiguous_evidence_ledger_entry", F.col("entry_count") > 1),
@@ -129,7 +130,10 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     if accepted_only:
         clear = judged.where("facts_clear").drop("_own", "_last").withColumns({"facts_clear": F.lit(True), "reasons": F.array().cast("array<string>")})
         # Not a semi-join: Spark would move it below the evidence, and every clear row with it.
-        return with_evidence(obs, ledger, clear).join(products.select("mpn").distinct(), "mpn")
+        # Rules on plain facts are enough to tell which entries may be asked for; what they let through beyond the clear rows is little.
+        plain = reason_codes([rule for rule in own_rules if rule[0] != "availability_not_explicitly_orderable"])
+        asking = named.where(F.size(plain) == 0)
+        return with_evidence(obs, ledger, clear, asking).join(products.select("mpn").distinct(), "mpn")
     mine = judged.join(products.select("mpn"), "mpn", "left_semi")
     bound = mine.join(match_evidence(seen, ledger, products), "observation_id", "left")
     return bound.withColumn("reasons", F.array_distinct(F.concat("_own", evidence, "_last"))).drop("_own", "_last")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.periods import valid_instant
 from pricetrail.functions.reasons import duplicated, failed, reason_codes, stacked, violations
+from pricetrail.functions.sieve import PrintSieve
+from pricetrail.session import settle
 
 
 def _identity_unresolved() -> Column:
@@ -174,8 +176,12 @@ def _needs(obs: DataFrame, shared: list[str]) -> list[Column]:
     ]
 
 
-def _folded_ledger(ledger: DataFrame, shared: list[str]) -> DataFrame:
-    """One row per binding key: the number of its entries, the print of their facts, and what a row may state beside."""
+def _folded_ledger(ledger: DataFrame, shared: list[str], asked: PrintSieve | None = None) -> DataFrame:
+    """One row per binding key: the number of its entries, the print of their facts, and what a row may state beside.
+
+    With `asked`, of the keys that it may hold: an entry is dropped before it is
+    printed or moved, and goes by those of its ways alone.
+    """
     sound = (F.col("http_status") == 200) & F.col("response_sha256").rlike("^[0-9a-f]{64}$") & (F.col("response_bytes") > 0)
     for name, value in (("fact_capacity_gb", 32), ("fact_module_count", 2)):
         if name in ledger.columns:
@@ -190,13 +196,19 @@ def _folded_ledger(ledger: DataFrame, shared: list[str]) -> DataFrame:
     if "final_url" in ledger.columns:
         # An entry may be reached by the address asked for or the one it ended at.
         addresses.append(F.when(~F.col("final_url").eqNullSafe(F.col("source_url")), F.col("final_url")))
-    ways = [bound(_keys("archived", F.col("evidence_id")), captured)] + [
-        bound(_keys("live", url, F.col("retrieved_at"), F.col("seller_display_name")), F.col("retrieved_at")) for url in addresses
-    ]
+    keys = [_keys("archived", F.col("evidence_id"))] + [_keys("live", url, F.col("retrieved_at"), F.col("seller_display_name")) for url in addresses]
+    if asked is not None:
+        any_held = F.lit(False)
+        for key in keys:
+            any_held = any_held | asked.may_hold(key[0])
+        ledger = ledger.where(any_held)
+    ways = [bound(key, captured if i == 0 else F.col("retrieved_at")) for i, key in enumerate(keys)]
     names = [f"way_{i}" for i in range(len(ways))]
     # Printed before the rows are dealt out: a generator's own expressions are not compiled.
     printed = ledger.select(*[way.alias(n) for way, n in zip(ways, names, strict=True)], *[_short(c).alias(f"held_{c}") for c in shared])
     entries = printed.select(F.inline(F.array(*names)), *[f"held_{c}" for c in shared]).where("key_a IS NOT NULL")
+    if asked is not None:
+        entries = entries.where(asked.may_hold(F.col("key_a")))
     return entries.groupBy("key_a", "key_b").agg(
         F.count(F.lit(1)).alias("entries"), F.min("print").alias("print"), *[F.min(f"held_{c}").alias(f"held_{c}") for c in shared]
     )
@@ -239,19 +251,25 @@ def match_evidence(obs: DataFrame, ledger: DataFrame, products: DataFrame | None
     )
 
 
-def with_evidence(obs: DataFrame, ledger: DataFrame, rows: DataFrame) -> DataFrame:
+def with_evidence(obs: DataFrame, ledger: DataFrame, rows: DataFrame, asking: DataFrame | None = None) -> DataFrame:
     """The `rows` (of `obs`, with further columns) to which evidence gives no reason against them.
 
     The rules of `match_evidence`, for callers that want accepted rows alone: a
     row goes to its entry itself, once, where the outcome would have to meet the
     row again by its id. Rows that are neither archived nor live, or without id,
     have no outcome to meet and stay, as they do there.
+
+    Entries that no row asks for stay behind: the keys of `asking` (the rows, or
+    more rows that are found with less work) are written once and make a sieve of
+    bounded size. What it lets through beyond them costs space and meets no row.
     """
     shared = _shared_facts(obs, ledger)
     needs = _needs(obs, shared)
     bound = rows.withColumn("unbound", F.col("archived").isNull() | F.col("observation_id").isNull()).select("*", *needs)
     # Keys that are not known meet nothing; left in, they would all go to one task.
-    met = bound.where("unbound OR key_a IS NOT NULL").join(_folded_ledger(ledger, shared), ["key_a", "key_b"], "left")
+    prints = settle((rows if asking is None else asking).select(needs[0]).where("key_a IS NOT NULL"))
+    folded = _folded_ledger(ledger, shared, PrintSieve(prints, "key_a"))
+    met = bound.where("unbound OR key_a IS NOT NULL").join(folded, ["key_a", "key_b"], "left")
     good = F.coalesce(F.col("entries") == 1, F.lit(False)) & _agree(shared)
     return met.where(F.col("unbound") | good).select(*rows.columns)
 

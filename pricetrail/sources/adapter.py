@@ -78,7 +78,7 @@ def _seller_columns() -> list[Column]:
     ]
 
 
-def _with_sellers(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+def _with_sellers(rows: DataFrame, spark: SparkSession, root: str, key: str = "k_supp") -> DataFrame:
     """Join the seller dimensions one by one onto `rows`.
 
     Left-deep, so that each join sees one table whose size is known: a joined
@@ -89,7 +89,7 @@ def _with_sellers(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     nation = table(spark, root, "nation")
     region = table(spark, root, "region")
     return (
-        rows.join(supplier, F.col("k_supp") == F.col("s_suppkey"))
+        rows.join(supplier, F.col(key) == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -102,7 +102,10 @@ def sellers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, root: str, src: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The flat observation table most operators start from; `src` and `keep` as for `lines`."""
+    """The flat observation table most operators start from; `src` (which may have its sellers) and `keep` as for `lines`."""
+    if src is not None and "n_name" in src.columns:
+        rows = lines(spark, root, src, (*keep, "s_name", "n_nationkey", "n_name", "r_name"))
+        return rows.select(*[c for c in rows.columns if c not in ("s_name", "n_nationkey", "n_name", "r_name")], *_seller_columns())
     rows = lines(spark, root, src, keep)
     return _with_sellers(rows, spark, root).select(*rows.columns, *_seller_columns())
 
@@ -220,10 +223,12 @@ def evidence_ledger(spark: SparkSession, root: str) -> DataFrame:
     """One entry per retained capture; some missing, some doubled, some drifted.
 
     Line items meet their orders before ids and addresses are written out, so
-    that only short columns move.
+    that only short columns move, and after their sellers, so that what is asked
+    of ids and addresses is asked before anything moves.
     """
     orders = table(spark, root, "orders").select("o_orderkey", "o_orderstatus")
-    retained = table(spark, root, "lineitem").where("l_partkey % 29 <> 0").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = _with_sellers(table(spark, root, "lineitem").where("l_partkey % 29 <> 0"), spark, root, "l_suppkey")
+    retained = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     o = offer_observations(spark, root, retained, ("o_orderstatus",))
     copies = F.when(F.col("k_part") % 31 == 0, F.lit(2)).otherwise(F.lit(1))
     return (

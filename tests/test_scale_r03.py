@@ -9,9 +9,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pricetrail.functions.reasons import reason_codes
-from pricetrail.functions.sieve import may_be_in
+from pricetrail.functions.sieve import PrintSieve, may_be_in
 from pricetrail.operators import catalogue, market, publish
 from pricetrail.operators.qualify import match_evidence
+from pricetrail.session import settle
 from pricetrail.sources.adapter import evidence_ledger
 from pricetrail.streaming import live
 
@@ -148,6 +149,35 @@ def test_accepted_offers_go_to_their_evidence_themselves(spark):
     assert "hashpartitioning(observation_id" not in plan and "hashpartitioning(mpn" in plan and "retailer_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
 
 
+def test_entries_that_no_offer_asks_for_stay_behind(spark):
+    obs, products, ledger, retailers = _offer_tables(spark)
+    entry = ledger.where("evidence_id = 'e1'")
+    idle = entry.crossJoin(spark.range(3000).select("id")).withColumns({"evidence_id": F.concat(F.lit("x"), "id"), "source_url": F.concat(F.lit("https://idle/"), "id")})
+    many = ledger.unionByName(idle.drop("id"))
+    few, all_entries = (market.offer_candidates(market.qualify_offer(obs, products, t, retailers, accepted_only=True)) for t in (ledger, many))
+    assert sorted(map(str, all_entries.collect())) == sorted(map(str, few.collect())) and few.count() == 2
+    # The entries are sieved before they are dealt out by key.
+    dealt = [x.split("FileScan")[0] for x in plan_of(all_entries).split("Exchange hashpartitioning(key_a")[1:]]
+    assert any("Filter" in line and "shiftrightunsigned" in line for part in dealt for line in part.splitlines())
+
+
+def test_sieve_of_prints_lets_every_print_through(spark):
+    prints = settle(spark.range(5000).select(F.xxhash64("id").alias("p")))
+    sieve = PrintSieve(prints, "p")
+    rows = spark.range(40000).select("id", F.xxhash64("id").alias("p"))
+    passed = {r["id"] for r in rows.where(sieve.may_hold(F.col("p"))).collect()}
+    assert set(range(5000)) <= passed and len(passed) < 5000 + 35000 // 10
+    assert rows.where(PrintSieve(prints.limit(0), "p").may_hold(F.col("p"))).count() == 0
+    assert rows.where(sieve.may_hold(F.lit(None).cast("long"))).count() == 0
+
+
+def test_day_rows_are_written_once_for_their_folds(spark, root):
+    from pricetrail.plans.market import daily
+
+    points, products = daily(spark, root)
+    assert all("retailer_name" not in plan_of(x) and "source_url" not in plan_of(x) and "observed_at" not in plan_of(x) for x in (points, products))
+
+
 def test_reason_codes_are_compiled(spark):
     df = spark.createDataFrame([(1, None), (2, True), (3, False)], "i int, b boolean")
     codes = df.select("i", reason_codes([("x", F.col("b")), ("y", F.col("i") > 1), ("x", F.col("i") == 2)]).alias("codes"))
