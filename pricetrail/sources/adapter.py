@@ -353,8 +353,10 @@ def manufacturer_aliases(spark: SparkSession, root: str) -> DataFrame:
 
 def listings(spark: SparkSession, root: str) -> DataFrame:
     """Marketplace listings to match: true, respelled, near, unknown and missing numbers."""
-    part = table(spark, root, "part").select(F.col("p_partkey").alias("k_part"), "p_brand", "p_name")
-    o = lines(spark, root).join(part, "k_part")
+    # Line items meet their parts before ids and numbers are written out, so that only short columns move.
+    part = table(spark, root, "part").select("p_partkey", "p_brand", "p_name")
+    sold = table(spark, root, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    o = lines(spark, root, sold, ("p_brand", "p_name"))
     k, ln, q = F.col("k_part"), F.col("k_line"), F.col("k_qty")
     mpn = F.col("mpn")
     return o.select(
