@@ -128,11 +128,15 @@ UNION ALL SELECT 'decision_never_covered', d, '' FROM (SELECT unnest(['match', '
 def _(spark, root):
     # Labels are made from the matches and compared with them, so these are written once.
     m = settle(matches(spark, root))
-    labels = listings(spark, root).select("listing_id", "title").join(m, "listing_id").select(
+    # What is asked of titles is asked before anything moves, and moves with the prints of its listing.
+    widget, ring = F.col("title").endswith("widget"), F.col("title").endswith("ring")
+    one, two = ops.listing_prints(F.col("listing_id"))
+    asked = listings(spark, root).where("listing_id IS NOT NULL").select(one.alias("one"), two.alias("two"), widget.alias("widget"), ring.alias("index_eligible"))
+    labels = asked.join(m, ops.same_listing([F.col("one"), F.col("two")], F.col("listing_id"))).select(
         "listing_id",
-        F.when(F.col("title").endswith("widget"), F.lit("match")).when(F.col("decision") == "unsupported", F.lit("no_match"))
+        F.when(F.col("widget"), F.lit("match")).when(F.col("decision") == "unsupported", F.lit("no_match"))
         .otherwise(F.col("decision")).alias("decision"),
-        "reason_code", F.col("title").endswith("ring").alias("index_eligible"),
+        "reason_code", "index_eligible",
     )
     return ops.check_labels(m, labels, DECISIONS)
 
