@@ -318,52 +318,59 @@ def _reason_leaves(leaves: DataFrame) -> DataFrame:
     return found.where(F.col("token").rlike(REASON_SHAPE))
 
 
-ANCHOR = 8
-#: The sieve of anchors: so many pieces of 32768 bits, whatever the number of tokens.
+#: Bytes of the longest piece; pieces are powers of two long.
+ANCHOR = 64
+#: The two sieves of anchors: so many pieces of 32768 bits each, whatever the number of tokens.
 SIEVE_PIECES = 128
+SIEVE_SLOTS = SIEVE_PIECES * 32768
+#: Bytes of short texts that are hashed together.
+TOGETHER = 1 << 18
 
 
-def _byte_grams(text: bytes, size: int) -> np.ndarray:
-    """All pieces of `size` bytes, as big-endian numbers."""
-    b = np.frombuffer(text, dtype=np.uint8)
-    if len(b) < size:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(b) - size + 1, dtype=np.uint64)
-    for i in range(size):
-        out = out << np.uint64(8) | b[i:i + len(out)]
-    return out
+def _grams(data: bytes, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes): of each size, powers of two that ascend, the hash of every piece of it; two halves make a whole."""
+    h, n, factor = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    for size in sizes:
+        while n < size:
+            h = h[:-n] * np.uint64(factor) + h[n:] if len(h) > n else h[:0]
+            n, factor = 2 * n, factor * factor % (1 << 64)
+        yield size, h
 
 
-def _slots(grams: np.ndarray, size: int) -> np.ndarray:
-    """The sieve's slot of each piece."""
-    mixed = (grams + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(24)).astype(np.int64) % (SIEVE_PIECES * 32768)
+def _slots(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's slot in the first sieve and in the second, which lies behind it."""
+    mixed = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * size)
+    # Upper bits of a product depend on all of the piece's.
+    first, second = mixed >> np.uint64(42), mixed * np.uint64(0x94D049BB133111EB) >> np.uint64(42)
+    return first.astype(np.int64) % SIEVE_SLOTS, second.astype(np.int64) % SIEVE_SLOTS + SIEVE_SLOTS
 
 
 def _anchors(tokens: DataFrame) -> DataFrame:
-    """(token, size, gram, slot): of each token the piece that fewest tokens hold; a shorter token is its own."""
+    """(token, size, gram, first, second): of each token the longest piece, of those the one that fewest tokens hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for token in pdf["token"]:
                 text = token.encode()
-                size = min(len(text), ANCHOR)
-                grams = np.unique(_byte_grams(text, size))
-                yield pd.DataFrame({"token": pd.Series([token] * len(grams), dtype=object), "size": size, "gram": grams.view(np.int64), "slot": _slots(grams, size)})
+                size = min(1 << (len(text).bit_length() - 1), ANCHOR)
+                grams = np.unique(next(_grams(text, [size]))[1])
+                first, second = _slots(grams, size)
+                yield pd.DataFrame({"token": pd.Series([token] * len(grams), dtype=object), "size": size, "gram": grams.view(np.int64), "first": first, "second": second})
 
-    every = tokens.where("length(token) > 0").select("token").distinct().mapInPandas(run, "token string, size int, gram long, slot long")
+    every = tokens.where("length(token) > 0").select("token").distinct().mapInPandas(run, "token string, size int, gram long, first long, second long")
     rarity = every.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("seen"))
-    best = F.min(F.struct("seen", "gram", "slot")).alias("a")
-    return every.join(rarity, ["size", "gram"]).groupBy("token", "size").agg(best).select("token", "size", "a.gram", "a.slot")
+    best = F.min(F.struct("seen", "gram", "first", "second")).alias("a")
+    return every.join(rarity, ["size", "gram"]).groupBy("token", "size").agg(best).select("token", "size", "a.gram", "a.first", "a.second")
 
 
 def _sieve(anchors: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """One byte per slot, set where an anchor hashes to it, and the anchors' sizes."""
+    """One byte per slot of both sieves, set where an anchor hashes to it, and the anchors' sizes."""
     at = F.col("slot")
-    pieces = anchors.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(
+    slots = anchors.select("size", F.explode(F.array("first", "second")).alias("slot"))
+    pieces = slots.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), F.collect_set("size").alias("sizes")
     ).collect()
-    sieve = np.zeros(SIEVE_PIECES * 32768 + 1, dtype=bool)
+    sieve = np.zeros(2 * SIEVE_SLOTS + 1, dtype=bool)
     for r in pieces:
         # Bucket b starts at 32768 * (b - 1) + 1; bucket 0 holds 0 alone.
         held = np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")) + 32768 * (r["piece"] - 1) + 1
@@ -371,6 +378,25 @@ def _sieve(anchors: DataFrame) -> tuple[np.ndarray, list[int]]:
     return sieve, sorted({n for r in pieces for n in r["sizes"]})
 
 
+def _passing(texts: list[bytes], sieve: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(text, size, gram, places) of every piece that both sieves let through; texts are hashed together, end to end."""
+    starts = np.cumsum([0, *map(len, texts)])
+    for size, grams in _grams(b"".join(texts), sizes):
+        first, _ = _slots(grams, size)
+        at = np.flatnonzero(sieve[first])
+        at = at[sieve[_slots(grams[at], size)[1]]]
+        text = np.searchsorted(starts, at, side="right") - 1
+        # A piece that goes on into the next text is none.
+        inside = at + size <= starts[text + 1]
+        at, text = at[inside], text[inside]
+        order = np.lexsort((at, grams[at], text))
+        at, text = at[order], text[order]
+        if len(at):
+            new = np.flatnonzero((np.diff(text) != 0) | (np.diff(grams[at]) != 0)) + 1
+            for places, i in zip(np.split(at, new), text[np.r_[0, new]], strict=True):
+                yield int(i), size, int(grams[places[0]].view(np.int64)), places - starts[i]
+
+
 def _windows(data: bytes, at: np.ndarray, reach: int) -> list[bytes]:
     """The parts of a text within `reach` bytes of these places, which ascend; parts that meet are one."""
     apart = np.flatnonzero(np.diff(at) > 2 * reach) + 1
@@ -380,12 +406,12 @@ def _windows(data: bytes, at: np.ndarray, reach: int) -> list[bytes]:
 def leak_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(text_id, token) for every private token that occurs in a public text.
 
-    A token is looked up by one of its own short pieces, the one rarest among
-    the tokens. Texts are read once: their pieces pass through a sieve of fixed
+    A token is looked up by one of its own pieces, as long as fits and the one rarest among
+    the tokens. Texts are read once: their pieces pass through two sieves of fixed
     size before anything is shuffled, so a text in which no piece could be an
     anchor ends there. What is left meets the anchors on equality, with its text
     as far as the longest token reaches to either side, and the full token is
-    verified; a sieve that many tokens fill lets more pieces through and changes
+    verified; sieves that many tokens fill let more pieces through and change
     no row. Null texts hold nothing.
     """
     anchors = _anchors(tokens)
@@ -395,18 +421,20 @@ def leak_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text in enumerate(pdf["text"]):
-                data = text.encode()
-                for size in sizes:
-                    grams = _byte_grams(data, size)
-                    places = np.flatnonzero(sieve[_slots(grams, size)])
-                    if len(places):
-                        places = places[np.argsort(grams[places], kind="stable")]
-                        found, starts = np.unique(grams[places], return_index=True)
-                        parts = [_windows(data, at, reach) for at in np.split(places, starts[1:])]
-                        yield pd.DataFrame({"text_id": pdf["text_id"].iloc[[i] * len(found)].array, "parts": parts, "size": size, "gram": found.view(np.int64)})
-
-    held = texts.where("text IS NOT NULL").select("text_id", "text").mapInPandas(run, f"text_id {kind}, parts array<binary>, size int, gram long")
+            data = pdf["text"].tolist()
+            # Runs of texts of a bounded size; a longer text is one by itself.
+            ends = np.cumsum([len(t) for t in data])
+            start = 0
+            while start < len(data):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, side="right")))
+                found = list(_passing(data[start:stop], sieve, sizes))
+                if found:
+                    ids = pdf["text_id"].iloc[[start + i for i, _, _, _ in found]].array
+                    parts = [_windows(data[start + i], at, reach) for i, _, _, at in found]
+                    yield pd.DataFrame({"text_id": ids, "parts": parts, "size": [n for _, n, _, _ in found], "gram": [g for _, _, g, _ in found]})
+                start = stop
+
+    held = texts.where("text IS NOT NULL").select("text_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"text_id {kind}, parts array<binary>, size int, gram long")
     met = held.join(anchors.select("token", "size", "gram"), ["size", "gram"])
     return met.where(F.exists("parts", lambda p: F.contains(p, F.col("token").cast("binary")))).select("text_id", "token")
 

@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pricetrail.operators import catalogue
+from pricetrail.operators import catalogue, publish
 from tests.helpers import rows
 
 
@@ -86,3 +86,22 @@ def test_labels_meet_matches_by_one_shuffle_of_each(spark):
     # Prints of the ids are what both are dealt out by.
     plan = plan_of(catalogue.check_labels(matches, labels, ["match"]).hint("merge"))
     assert "xxhash64(listing_id" in plan
+
+
+def test_pieces_of_texts_that_are_hashed_together(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    tokens = ["a", "é", "ab", "é a", "ab a", "x" * 70, "bbabbabbabb", *(t[5:5 + n] for n, t in zip((1, 3, 8, 9, 17, 33, 40, 64, 65, 70), texts)), texts[11][-3:] + texts[12][:3], ""]
+    data = [None, *texts, "y" * 300_000 + "x" * 70, "", None]
+    held = spark.createDataFrame(list(enumerate(data)), "text_id long, text string").coalesce(1)
+    found = publish.leak_scan(held, spark.createDataFrame([(t,) for t in tokens], "token string").coalesce(1))
+    want = sorted((i, t) for i, x in enumerate(data) if x for t in set(tokens) if t and t in x)
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_few_pieces_pass_beside_those_of_tokens(spark):
+    tokens = spark.createDataFrame([("the price of the kit was seen by everyone who had asked",)], "token string")
+    sieve, sizes = publish._sieve(publish._anchors(tokens))
+    assert sizes == [32]
+    near = [b"the price of the kit was not seen by anyone who had asked for the price of the kit"] * 50
+    assert list(publish._passing(near, sieve, sizes)) == []
