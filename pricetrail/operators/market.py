@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from pricetrail.functions.money import grouped_median, half_up, mean_minor, median_by_rank
 from pricetrail.functions.periods import london_date, month_label, month_of
 from pricetrail.functions.reasons import duplicated, failed, reason_codes, stacked, violations
-from pricetrail.functions.sieve import may_be_in
+from pricetrail.functions.sieve import PrintSieve, may_be_in
 from pricetrail.operators.qualify import check_source_url, classify_availability, hosts_of, match_evidence, restriction_reasons, with_evidence
 from pricetrail.operators.series import contiguous_segments
+from pricetrail.session import settle
 
 OFFER_KEY = ["mpn", "retailer_id", "observed_at"]
 OFFER_FACTS = [
     "observed_at", "observation_kind", "mpn", "retailer_id", "retailer_name", "item_price_minor",
     "currency", "vat_state", "availability", "delivery_state", "source_url",
 ]
+# Columns of a row that are read of accepted rows only.
+OFFER_TEXTS = ["retailer_id", "retailer_name", "amount_minor", "currency", "vat_state", "stock", "source_url"]
 # Fixed value: the separator inside a content id.
 UNIT = "\u001f"
 
@@ -62,7 +65,19 @@ def check_approvals(catalogue: DataFrame, policy: DataFrame, reviews: DataFrame)
     )
 
 
-def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retailers: DataFrame, accepted_only: bool = False) -> DataFrame:
+def with_products(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """The rows whose `mpn` is that of a product, without dealing the rows out by it.
+
+    They pass a sieve of the products; the few numbers that pass it and are no
+    product's are found, each once, and their rows dropped.
+    """
+    prints = settle(products.where("mpn IS NOT NULL").select(F.xxhash64("mpn").alias("print")))
+    passed = rows.where(F.col("mpn").isNotNull() & PrintSieve(prints, "print").may_hold(F.xxhash64("mpn")))
+    strays = settle(passed.select("mpn").distinct().join(products.select("mpn"), "mpn", "left_anti"))
+    return passed.join(strays, "mpn", "left_anti")
+
+
+def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retailers: DataFrame, accepted_only: bool = False, slim: bool = False) -> DataFrame:
     """Publication predicates of rows whose product is approved.
 
     Products are picked twice: by a sieve of fixed size before anything is
@@ -80,8 +95,13 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
     what that accepts is dealt out by product, where offers are folded next.
     Rows that share an id are then held each against its own evidence, and come
     once each.
+
+    With `slim`, every row with its reasons, but only the columns of an offer,
+    and these without those of OFFER_TEXTS where a row's own facts refuse it:
+    nothing is published of such a row. Rows move once, by a print of their id, and
+    reasons as bits.
     """
-    seen = obs.where(may_be_in(F.col("mpn"), products, "mpn"))
+    seen = with_products(obs, products) if slim else obs.where(may_be_in(F.col("mpn"), products, "mpn"))
     named = seen.join(retailers, F.col("seller_display_name") == F.col("accepted_name"), "left").drop("accepted_name")
     availability = classify_availability(F.col("stock_state"), F.col("stock_text"), F.col("stock_semantics"))
     archived = F.col("archived")
@@ -134,6 +154,17 @@ def qualify_offer(obs: DataFrame, products: DataFrame, ledger: DataFrame, retail
         plain = reason_codes([rule for rule in own_rules if rule[0] != "availability_not_explicitly_orderable"])
         asking = named.where(F.size(plain) == 0)
         return with_evidence(obs, ledger, clear, asking).join(products.select("mpn").distinct(), "mpn")
+    if slim:
+        bits = sum((F.when(cond, 1 << i).otherwise(0) for i, (_, cond) in enumerate(own_rules)), F.lit(0))
+        texts = [F.when(F.col("facts_clear"), F.col(c)).alias(c) for c in OFFER_TEXTS]
+        rows = judged.select("observation_id", "mpn", "observed_at", "archived", *texts, "facts_clear", bits.alias("_bits"), "_last")
+        # Two halves of a print, null where the id is.
+        known = F.col("observation_id").isNotNull()
+        print_of = F.when(known, F.struct(F.xxhash64("observation_id").alias("a"), F.xxhash64(F.lit("id"), "observation_id").alias("b")))
+        outcomes = match_evidence(seen.withColumn("observation_id", print_of), ledger).withColumnRenamed("observation_id", "_print")
+        told = reason_codes([(code, F.col("_bits").bitwiseAND(1 << i) != 0) for i, (code, _) in enumerate(own_rules)])
+        bound = rows.join(outcomes, print_of == F.col("_print"), "left")
+        return bound.withColumn("reasons", F.array_distinct(F.concat(told, evidence, "_last"))).drop("_bits", "_last", "_print", "entry_count", "facts_equal")
     mine = judged.join(products.select("mpn"), "mpn", "left_semi")
     bound = mine.join(match_evidence(seen, ledger, products), "observation_id", "left")
     return bound.withColumn("reasons", F.array_distinct(F.concat("_own", evidence, "_last"))).drop("_own", "_last")

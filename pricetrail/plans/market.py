@@ -32,10 +32,10 @@ def approved(spark: SparkSession, root: str) -> DataFrame:
     return market.approved_products(catalogue(spark, root), policy(spark, root), reviews(spark, root))
 
 
-def qualified_offers(spark: SparkSession, root: str, accepted_only: bool = False) -> DataFrame:
+def qualified_offers(spark: SparkSession, root: str, accepted_only: bool = False, slim: bool = False) -> DataFrame:
     # Written, so that Spark knows how few the products are next to the observations.
     return market.qualify_offer(
-        offer_observations(spark, root), settle(approved(spark, root)), evidence_ledger(spark, root), retailers(spark, root), accepted_only
+        offer_observations(spark, root), settle(approved(spark, root)), evidence_ledger(spark, root), retailers(spark, root), accepted_only, slim
     )
 
 
@@ -169,7 +169,7 @@ UNION ALL SELECT c.observation_id, c.mpn, strftime(c.observed_at, '%Y-%m-%dT%H:%
   CASE WHEN sets > 1 THEN 'conflicting_same_retailer_timestamp' ELSE 'duplicate_fact' END
 FROM v_copied c JOIN k ON k.mpn = c.mpn AND k.retailer_id = c.retailer_id AND k.observed_at = c.observed_at WHERE sets > 1 OR c.observation_id <> kept""")
 def _(spark, root):
-    q = settle(qualified_offers(spark, root))
+    q = settle(qualified_offers(spark, root, slim=True))
     return market.offer_exceptions(q, candidates(q)).withColumn("observed_at", instant_text(F.col("observed_at")))
 
 

@@ -7,8 +7,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from pricetrail.operators import catalogue, publish
+from pricetrail.operators import catalogue, market, publish
 from tests.helpers import rows
+from tests.test_scale_r03 import _offer_tables
 
 
 def plan_of(df) -> str:
@@ -105,3 +106,27 @@ def test_few_pieces_pass_beside_those_of_tokens(spark):
     assert sizes == [32]
     near = [b"the price of the kit was not seen by anyone who had asked for the price of the kit"] * 50
     assert list(publish._passing(near, sieve, sizes)) == []
+
+
+def test_rows_of_offers_move_slim(spark):
+    obs, products, ledger, retailers = _offer_tables(spark)
+    loose = obs.where("observation_id = 'o5'")
+    odd = [loose.withColumns({"observation_id": F.lit("o6"), "archived": F.lit(None).cast("boolean")}), loose.withColumn("observation_id", F.lit(None).cast("string")), loose.withColumn("mpn", F.lit(None).cast("string"))]
+    for more in odd:
+        obs = obs.unionByName(more)
+    every, slim = market.qualify_offer(obs, products, ledger, retailers), market.qualify_offer(obs, products, ledger, retailers, slim=True)
+    told = ["observation_id", "mpn", "observed_at", F.array_join("reasons", ",").alias("reasons"), "facts_clear"]
+    assert rows(slim, *told) == rows(every, *told) and slim.count() == 9
+    assert rows(market.offer_candidates(slim)) == rows(market.offer_candidates(every))
+    # Not even twice the same mpn: held back rows keep none of an offer's texts, and none is dealt out by product.
+    assert {r["source_url"] for r in slim.collect() if not r["facts_clear"]} == {None}
+    dealt = [x for x in plan_of(slim).splitlines() if "Exchange hashpartitioning" in x]
+    assert not any("hashpartitioning(mpn" in x or "hashpartitioning(observation_id" in x for x in dealt)
+
+
+def test_products_are_picked_exactly_without_dealing_rows_out(spark):
+    products = spark.createDataFrame([(f"k{i}",) for i in range(9000)] + [(None,)], "mpn string")
+    seen = spark.range(200_000).select(F.when(F.col("id") != 7, F.concat(F.lit("k"), "id")).alias("mpn"))
+    kept = market.with_products(seen, products)
+    assert "hashpartitioning(mpn" not in plan_of(kept)
+    assert sorted(r["mpn"] for r in kept.collect()) == sorted(f"k{i}" for i in range(9000) if i != 7)
